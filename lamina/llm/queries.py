@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import line_dedup, sharding
+from lamina.llm import line_dedup, sharding, token_files
 from lamina.tables import table
 
 
@@ -30,7 +30,20 @@ def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed public tokenizers keep a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, folder = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return token_files.read_token_files(manifest, folder)
+
+
 QUERIES = {
+    "op9_token_files": op9_token_files,
     "op5_minimax_sharding": op5_minimax_sharding,
     "op2_line_dedup": op2_line_dedup,
 }
