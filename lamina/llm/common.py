@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +48,9 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lamina_path = path
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # shuffle files that nothing needs any more can go
     return out
 
 
@@ -112,6 +119,18 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def portions(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``most`` bytes of text each, one row at least."""
+    for b in batches:
+        size = np.cumsum(np.nan_to_num(pyarrow.compute.binary_length(b[text]).to_numpy(zero_copy_only=False)))
+        lo = 0
+        while lo < len(b):
+            base = size[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(size, base + most, side="right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import line_dedup, sharding, token_files
+from lamina.llm import line_dedup, near_dedup, sharding, token_files
 from lamina.tables import table
 
 
@@ -30,6 +30,29 @@ def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, shingle_words=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] ELSE w END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (
+  SELECT a, b FROM (SELECT a, b FROM links UNION SELECT b, a FROM links)
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) l ON r.b = l.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON a = doc_id
+"""
+
+
 def tokenizer_file(name: str) -> str:
     """Where the installed public tokenizers keep a file."""
     import public_tokenizers
@@ -43,10 +66,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_near_dedup": op4_near_dedup,
     "op9_token_files": op9_token_files,
     "op5_minimax_sharding": op5_minimax_sharding,
     "op2_line_dedup": op2_line_dedup,
 }
 ORACLE_SQL = {
+    "op4_near_dedup": OP4_SQL,
     "op2_line_dedup": OP2_SQL,
 }

@@ -18,7 +18,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import new_folder, save, shuffle_partitions
+from lamina.llm.common import new_folder, portions, save, shuffle_partitions
 from lamina.llm.simple8b import Reader, Writer
 
 #: Bytes of text that are encoded at once, and different chunks that a task remembers.
@@ -90,18 +90,6 @@ class Encoder:
         return out, upto[bounds[1:]] - upto[bounds[:-1]]
 
 
-def portions(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``most`` bytes of text each, one row at least."""
-    for b in batches:
-        size = np.cumsum(np.nan_to_num(pa.compute.binary_length(b[text]).to_numpy(zero_copy_only=False)))
-        lo = 0
-        while lo < len(b):
-            base = size[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(size, base + most, side="right")))
-            yield b.slice(lo, hi - lo)
-            lo = hi
-
-
 def _writer(tokenizer: str, end_id: int | None, folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
