@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import gc
+import sys
 import tempfile
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -102,6 +104,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def in_worker(key, make):
+    """``make()``, or what it returned for the same key earlier in this process. Functions arrive
+    pickled by value, with globals of their own, so this lives among the loaded modules."""
+    kept = sys.modules.setdefault("_lamina_worker", types.ModuleType("_lamina_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes); remembers the words it has met, up to ``limit``."""
 

@@ -17,13 +17,11 @@ _COUNT = np.array([0, *(n for n, _ in SELECTORS.values()), 1], np.int64)
 
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value, at least 1."""
-    v = values.astype(np.uint64)
-    out = np.zeros(len(v), np.uint8)
-    for step in (32, 16, 8, 4, 2, 1):
-        high = (v >> np.uint64(step)) > 0
-        out[high] += step
-        v = np.where(high, v >> np.uint64(step), v)
-    return out + 1
+    out = np.frexp(values.astype(np.float64))[1]
+    near = values >= 2**53  # there a float can round up to the next power of two
+    if near.any():
+        out[near] = [int(v).bit_length() for v in values[near]]
+    return np.maximum(out, 1).astype(np.uint8)
 
 
 def _ahead(a: np.ndarray, n: int) -> np.ndarray:

@@ -18,11 +18,11 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import new_folder, portions, save, shuffle_partitions
+from lamina.llm.common import in_worker, new_folder, portions, save, shuffle_partitions
 from lamina.llm.simple8b import Reader, Writer
 
 #: Bytes of text that are encoded at once, and different chunks that a task remembers.
-TEXT_BYTES, CHUNKS = 2 << 20, 250_000
+TEXT_BYTES, CHUNKS = 2 << 20, 400_000
 MANIFEST = "part int, path string, bytes long, n_docs long, n_ids long"
 
 
@@ -39,6 +39,12 @@ def splits_at_space(path: str) -> bool:
     return plain and kinds <= {"NFC", "Replace", "Lowercase"} and cut.get("type") == "Split" and cut.get("behavior") == "Removed" and cut.get("invert") is True and set(words.split("|")) <= alternatives and not spec.get("post_processor")
 
 
+def marks_after(chunk: bytes) -> int:
+    """How many marks of .,;:!? follow a word's last letter or digit of ASCII."""
+    word = chunk.rstrip(b".,;:!?")
+    return len(chunk) - len(word) if word[-1:].isalnum() else 0
+
+
 class Encoder:
     """Ids of texts. Where the tokenizer allows it, texts are cut at white space and each
     different chunk is encoded once."""
@@ -54,6 +60,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.parts: dict[bytes, bytes] = {}
         self.pool, self.begins, self.lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         self.size = 0
 
@@ -62,22 +69,35 @@ class Encoder:
         n = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for x in found for i in x), np.uint32, int(n.sum())), n
 
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Chunks that differ in case alone have one encoding; so have a word and the marks after it,
+        apart from each other."""
+        plain = [c if b"<|" in c else c.lower() for c in chunks]
+        parts = [(c[: len(c) - k], c[len(c) - k :]) for c in plain for k in (marks_after(c),)]
+        new = list(dict.fromkeys(p for pair in parts for p in pair if p not in self.parts))
+        flat, n = self._encode([p.decode() for p in new])
+        ends = np.cumsum(n).tolist()
+        raw = flat.tobytes()
+        self.parts.update((p, raw[4 * (e - k) : 4 * e]) for p, e, k in zip(new, ends, n.tolist(), strict=True))
+        found = [self.parts[a] + self.parts[b] if b else self.parts[a] for a, b in parts]
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
+        self.pool.append(np.frombuffer(b"".join(found), np.uint32))
+        self.begins.append(self.size + np.cumsum(n) - n)
+        self.lengths.append(n)
+        self.size += int(n.sum())
+
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
         if not self.by_chunk:
             return self._encode([t.decode() for t in texts])
-        if len(self.known) > CHUNKS:
+        if len(self.known) > CHUNKS or len(self.parts) > CHUNKS:
             self._forget()
         chunks = [t.split() for t in texts]
         every = [c for x in chunks for c in x]
         new = list(dict.fromkeys(c for c in every if c not in self.known))
         if new:
-            flat, n = self._encode([c.decode() for c in new])
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.pool.append(flat)
-            self.begins.append(self.size + np.cumsum(n) - n)
-            self.lengths.append(n)
-            self.size += len(flat)
+            self._learn(new)
         pool, begins, lengths = (x[0] if len(x) == 1 else np.concatenate(x) for x in (self.pool, self.begins, self.lengths))
         self.pool, self.begins, self.lengths = [pool], [begins], [lengths]
         which = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
@@ -101,7 +121,7 @@ def _writer(tokenizer: str, end_id: int | None, folder: str):
                 fs.create_dir(at)
                 path = f"{at}/part-{part:06d}-{uuid.uuid4().hex}.s8b"
                 sink = fs.open_output_stream(path)
-                out, encoder = Writer(sink), Encoder(tokenizer)
+                out, encoder = Writer(sink), in_worker(("encoder", tokenizer), lambda: Encoder(tokenizer))
             ids, counts = encoder.ids([t or b"" for t in b["text"].to_pylist()])
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(counts), end_id)
