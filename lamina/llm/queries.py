@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontamination, line_dedup, near_dedup, sharding, token_files, toxicity
+from lamina.llm import decontamination, line_dedup, near_dedup, sharding, token_files, topk_search, toxicity
 from lamina.tables import table
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sound = "embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))"
+    vectors = table(spark, sf_dir, "embeddings").where(sound).select("vec_id", topk_search.quantised(F.col("embedding")).alias("vector"))
+    return topk_search.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
@@ -75,6 +93,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
     "op3_toxicity": op3_toxicity,
     "op6_decontamination": op6_decontamination,
     "op4_near_dedup": op4_near_dedup,
@@ -83,6 +102,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
 }
 ORACLE_SQL = {
+    "op1_topk_search": OP1_SQL,
     "op4_near_dedup": OP4_SQL,
     "op2_line_dedup": OP2_SQL,
 }

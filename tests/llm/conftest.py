@@ -7,7 +7,3 @@ def spark():
     s = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s
-
-
-def docs_frame(spark, rows, extra=""):
-    return spark.createDataFrame(rows, "doc_id long, text string" + extra)

@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from conftest import docs_frame
+from llm_helpers import docs_frame
 
 from lamina.llm import decontamination
 from lamina.llm.decontamination import decontaminate, find_leaks

@@ -1,6 +1,6 @@
 import random
 
-from conftest import docs_frame
+from llm_helpers import docs_frame
 
 from lamina.llm.sharding import shard_documents
 

@@ -2,7 +2,7 @@ import random
 import zlib
 
 import numpy as np
-from conftest import docs_frame
+from llm_helpers import docs_frame
 
 from lamina.llm.boosting import BoostedTrees, Isotonic
 from lamina.llm.toxicity import INSULTS, Words, features, reject_toxic, score_toxicity
