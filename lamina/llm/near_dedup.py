@@ -7,8 +7,9 @@ registers that agree estimate their Jaccard similarity (corrected for chance col
 full shingle sets confirm them.
 
 Equal sets are one node from the start. In each band's bucket a node is first paired with the
-smallest node alone; its best such pair is confirmed and components are formed. Only nodes of one
-bucket that are still in different components are then compared with each other, in blocks.
+bucket's best connected node alone; the best such pair of each node is confirmed and components
+are formed. Only nodes of one bucket that are still in different components are then compared
+with each other, in blocks, each pair in the first band it shares.
 So large groups of near copies don't cost all their pairs, and no linked pair that shares a band
 goes untested. With 38 bands of 5, a pair at similarity 0.8 shares none with probability 3e-7.
 """
@@ -28,9 +29,9 @@ from lamina.llm.shingles import shingle_set
 
 BANDS, ROWS, MANTISSA = 38, 5, 10
 BUCKETS = BANDS * ROWS
-#: Bytes of text sketched at once; nodes of a bucket compared at once; standard deviations that
+#: Bytes of text sketched at once; nodes of a bucket compared at once, and their shingles; standard deviations that
 #: an estimate may fall short of the threshold (of BUCKETS independent registers).
-TEXT_BYTES, BLOCK, SLACK = 4 << 20, 1024, 6
+TEXT_BYTES, BLOCK, BLOCK_SHINGLES, SLACK = 4 << 20, 1024, 400_000, 6
 #: Registers of independent sets agree with probability 4 * CHANCE / 2**MANTISSA * ab / (a+b)**2.
 CHANCE = 0.169919
 _NODE = "id long, n int, regs binary"
@@ -99,7 +100,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), regs.shape[:2])
             for k in range(ROWS):
                 key = mix64(key * np.uint64(1 << 16) + regs[:, :, k])
-            yield pa.record_batch({"key": pa.array(key.ravel().view(np.int64)), "id": pa.array(np.repeat(b["id"].to_numpy(), BANDS))})
+            yield pa.record_batch({"key": pa.array(key.ravel().view(np.int64)), "band": pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(b))), "id": pa.array(np.repeat(b["id"].to_numpy(), BANDS))})
 
 
 def estimate(same: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -115,26 +116,49 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": b["a"], "b": b["b"], "score": pa.array(estimate(same, na, nb))})
 
 
-def _cross(floor: float, threshold: float):
-    """Pairs of one bucket's block pair (x, y) that lie in different components and whose
-    estimate reaches ``floor``."""
+def _cross(floor: float, percent: int):
+    """Links between different components of one bucket's block pair (x, y). Pairs are taken by
+    falling estimate and confirmed on their full sets; a pair that earlier links have connected
+    needs no test. A pair that shares several bands is tested in the first alone."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         ids, part, n = (table[c].to_numpy() for c in ("id", "component", "n"))
-        block, x, y = table["block"].to_numpy(), table["x"][0].as_py(), table["y"][0].as_py()
-        regs = _registers(table["regs"].combine_chunks())
+        block, x, y, band = table["block"].to_numpy(), *(table[c][0].as_py() for c in ("x", "y", "band"))
+        regs = _registers(table["regs"])
+        flat, bounds = table["shingles"].chunk(0).flatten().to_numpy(), table["shingles"].chunk(0).offsets.to_numpy()
+        shingles = [flat[lo - bounds[0] : hi - bounds[0]] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
         found = []
         for lo in range(0, len(left), 32):
             rows = left[lo : lo + 32]
-            lengths = np.minimum(n[rows, None], n[None, right]) >= threshold * np.maximum(n[rows, None], n[None, right]) - 1e-9
+            lengths = 100 * np.minimum(n[rows, None], n[None, right]) >= percent * np.maximum(n[rows, None], n[None, right])
             i, j = np.nonzero((part[rows, None] != part[None, right]) & lengths & ((ids[rows, None] < ids[None, right]) if x == y else True))
-            for at in range(0, len(i), 8192):
-                p, q = rows[i[at : at + 8192]], right[j[at : at + 8192]]
-                score = estimate((regs[p] == regs[q]).mean(axis=1), n[p].astype(float), n[q].astype(float))
-                p, q = p[score >= floor], q[score >= floor]
-                found.append(np.stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])]))
-        a, b = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+            for at in range(0, len(i), 4096):
+                p, q = rows[i[at : at + 4096]], right[j[at : at + 4096]]
+                same = regs[p] == regs[q]
+                score = estimate(same.mean(axis=1), n[p].astype(float), n[q].astype(float))
+                first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+                found.append(np.stack([p, q, np.where(first, score, -1)])[:, first & (score >= floor)])
+        p, q, score = np.concatenate([np.zeros((3, 0)), *found], axis=1)
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        links = []
+        for k in np.argsort(-score, kind="stable"):
+            i, j = int(p[k]), int(q[k])
+            a, b = top(int(part[i])), top(int(part[j]))
+            if a != b:
+                common = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
+                if 100 * common >= percent * (len(shingles[i]) + len(shingles[j]) - common):
+                    root[max(a, b)] = min(a, b)
+                    links.append((ids[i], ids[j]))
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return run
@@ -172,10 +196,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     node_of = usable.groupBy("set_key").agg(F.min("id").alias("node"))
     nodes = save(usable.join(node_of, "set_key").where("id = node").dropDuplicates(["id", "set_key"]).select("id", "n", "regs"), "near-nodes")
 
-    bands = nodes.mapInArrow(_bands, "key long, id long")
-    shared = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("many")).where("pivot < last")
-    members = save(bands.join(shared.select("key", "pivot", "many"), "key"), "near-bands")
-    stars = members.where("id > pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    bands = nodes.mapInArrow(_bands, "key long, band int, id long")
+    shared = bands.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("many")).where("first < last")
+    members = save(bands.join(shared.select("key", "many"), "key"), "near-bands")
+    # the node that shares most, over all bands, is nearest to the middle of its group
+    degree = members.groupBy("id").agg(F.sum("many").alias("degree"))
+    pivots = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("other"))).alias("best")).select("key", (-F.col("best.other")).alias("pivot"))
+    stars = members.join(pivots, "key").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
     scored = stars.join(side("a"), "a").join(side("b"), "b").where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % percent).mapInArrow(_score, _PAIR + ", score double")
     best = save(scored.where(F.col("score") >= floor).groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("other"))).alias("best")).select("a", (-F.col("best.other")).alias("b")), "near-stars")
@@ -187,15 +214,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     forget(best)
     parts = connected_components(links, "a", "b")
 
-    placed = members.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-    placed = placed.join(mixed, "key").join(nodes, "id")
-    placed = placed.withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = members.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(nodes, "id")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("c0 < c1").select("key", "blocks")
+    placed = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    cross = placed.select("key", "x", "y", "block", "id", "component", "n", "regs").groupBy("key", "x", "y").applyInArrow(_cross(floor, percent / 100), _PAIR)
-    cross = save(cross.distinct(), "near-cross")
-    more = save(links.union(_confirmed(cross, sets, percent)), "near-all-links")
-    forget(members, cross, sets, links)
+    placed = placed.select("key", "band", "x", "y", "block", "id", "component", "n", "regs").join(sets, "id")
+    cross = placed.groupBy("key", "band", "x", "y").applyInArrow(_cross(floor, percent), _PAIR)
+    more = save(links.union(cross), "near-all-links")
+    forget(members, sets, links)
     parts = connected_components(more, "a", "b")
     forget(more)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontamination, line_dedup, near_dedup, sharding, token_files, topk_search, toxicity
+from lamina.llm import decontamination, line_dedup, near_dedup, sharding, token_files, topk_search, toxicity, url_filter
 from lamina.tables import table
 
 
@@ -80,6 +80,44 @@ FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON a = doc_id
 """
 
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_AFTER = "CASE WHEN contains({u}, '://') THEN substr({u}, strpos({u}, '://') + 3) ELSE '' END"
+_TEXT = lambda s: "'" + s.replace("'", "''") + "'"
+OP8_SQL = f"""
+WITH RECURSIVE rules AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS r(action, h, p)),
+parsed AS (
+  SELECT page_id, html, contains(url, '://') AS sound, {_LOWER.format("regexp_extract(coalesce(tail, ''), '^[^/?#]*')")} AS host, regexp_extract(coalesce(tail, ''), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(tail, ''), '^[^/?#]*([^#]*)', 1) AS more
+  FROM (SELECT *, {_AFTER.format(u="url")} AS tail FROM pages)),
+nodes AS (SELECT *, CASE WHEN sound THEN host || more END AS node FROM parsed),
+tags AS (SELECT node, host, path, unnest(regexp_extract_all(coalesce(html, ''), {_TEXT("(?i)" + url_filter.TAGS)})) AS tag FROM nodes WHERE node IS NOT NULL),
+targets AS (
+  SELECT node, host, path, trim(replace(t, '&amp;', '&')) AS t FROM (
+    SELECT *, CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, {_TEXT(url_filter.CANONICAL)}) THEN regexp_extract(tag, {_TEXT(url_filter.HREF)}, 1) || regexp_extract(tag, {_TEXT(url_filter.HREF)}, 2) || regexp_extract(tag, {_TEXT(url_filter.HREF)}, 3)
+      WHEN regexp_matches(tag, '(?i)^<meta') AND regexp_matches(tag, {_TEXT(url_filter.REFRESH)}) THEN regexp_extract(tag, {_TEXT(url_filter.TARGET)}, 1) END AS t FROM tags)),
+urls AS (
+  SELECT node, CASE WHEN regexp_matches(t, {_TEXT(url_filter.ABSOLUTE)}) THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t WHEN starts_with(t, '?') THEN 'http://' || host || path || t
+    ELSE 'http://' || host || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || t END AS u
+  FROM targets WHERE t IS NOT NULL AND t <> '' AND NOT starts_with(t, '#')),
+edges AS (SELECT node AS a, {_LOWER.format("regexp_extract(tail, '^[^/?#]*')")} || regexp_extract(tail, '^[^/?#]*([^#]*)', 1) AS b FROM (SELECT node, {_AFTER.format(u="u")} AS tail FROM urls)),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+fits AS (
+  SELECT n.node, n.host, n.path, r.action, r.h || r.p AS rule, row_number() OVER (PARTITION BY n.node, n.host, n.path ORDER BY length(r.h || r.p) DESC) AS k
+  FROM (SELECT DISTINCT node, host, path FROM nodes UNION SELECT DISTINCT b, regexp_extract(b, '^[^/?#]*'), regexp_extract(b, '^[^/?#]*([^?#]*)', 1) FROM edges) n
+  JOIN rules r ON (n.host = r.h OR ends_with(n.host, '.' || r.h)) AND starts_with(n.path, r.p)),
+bad AS (SELECT DISTINCT r.a AS node FROM reach r JOIN fits f ON f.node = r.b AND f.k = 1 AND f.action = 'block')
+SELECT n.page_id, n.host, n.path, f.rule, coalesce(f.action, CASE WHEN b.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM nodes n LEFT JOIN fits f ON f.k = 1 AND f.node IS NOT DISTINCT FROM n.node AND f.host = n.host AND f.path = n.path LEFT JOIN bad b ON b.node = n.node
+"""
+
+
 def tokenizer_file(name: str) -> str:
     """Where the installed public tokenizers keep a file."""
     import public_tokenizers
@@ -93,6 +131,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_url_filter": op8_url_filter,
     "op1_topk_search": op1_topk_search,
     "op3_toxicity": op3_toxicity,
     "op6_decontamination": op6_decontamination,
@@ -102,6 +141,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
 }
 ORACLE_SQL = {
+    "op8_url_filter": OP8_SQL,
     "op1_topk_search": OP1_SQL,
     "op4_near_dedup": OP4_SQL,
     "op2_line_dedup": OP2_SQL,
