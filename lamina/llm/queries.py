@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontamination, line_dedup, near_dedup, sharding, token_files, topk_search, toxicity, url_filter
+from lamina.llm import decontamination, line_dedup, near_dedup, sentencepiece_nbest, sharding, token_files, topk_search, toxicity, url_filter
 from lamina.tables import table
 
 
@@ -130,7 +130,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest, folder)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_nbest.digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), n=3)
+
+
 QUERIES = {
+    "op10_sentencepiece": op10_sentencepiece,
     "op8_url_filter": op8_url_filter,
     "op1_topk_search": op1_topk_search,
     "op3_toxicity": op3_toxicity,
