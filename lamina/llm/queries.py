@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontamination, line_dedup, near_dedup, sentencepiece_nbest, sharding, token_files, topk_search, toxicity, url_filter
+from lamina.llm import decontamination, line_dedup, near_dedup, secret_scan, sentencepiece_nbest, sharding, token_files, topk_search, toxicity, url_filter
 from lamina.tables import table
 
 
@@ -134,7 +134,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_nbest.digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), n=3)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
+    "op7_secret_scan": op7_secret_scan,
     "op10_sentencepiece": op10_sentencepiece,
     "op8_url_filter": op8_url_filter,
     "op1_topk_search": op1_topk_search,

@@ -36,6 +36,13 @@ def test_chunks_give_the_ids_of_whole_texts(texts):
     assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZéÉßΣσİıſK'’.,-<|>1٣ \u0301\u0130ǅﬁ中\n"), max_size=9), max_size=4))
+def test_odd_words_give_the_ids_of_whole_texts(texts):
+    ids, _ = token_files.Encoder(PATH).ids([t.encode() for t in texts])
+    assert ids.tolist() == [i for t in texts for i in WORDS.encode(t, add_special_tokens=False).ids]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_other_tokenizers(name):
     path = public_tokenizers.path(name)
