@@ -23,4 +23,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-__all__ = ["QUERIES", "ORACLE_SQL", "FLAGSHIP", "query", "table", "DataFrame", "SparkSession"]
+
+from lamina.plans import queries_native  # noqa: E402, F401
