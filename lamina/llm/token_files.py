@@ -7,8 +7,11 @@ that a lost or repeated task left behind is in no manifest. Files are read back
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import string
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 from lamina.llm.common import in_worker, new_folder, portions, save, shuffle_partitions
 from lamina.llm.simple8b import Reader, Writer
 
-#: Bytes of text that are encoded at once, and different chunks that a task remembers.
-TEXT_BYTES, CHUNKS = 2 << 20, 400_000
+#: Bytes of text that are encoded at once, and different chunks that a worker remembers.
+TEXT_BYTES, CHUNKS = 2 << 20, 500_000
 MANIFEST = "part int, path string, bytes long, n_docs long, n_ids long"
 
 
@@ -39,10 +42,14 @@ def splits_at_space(path: str) -> bool:
     return plain and kinds <= {"NFC", "Replace", "Lowercase"} and cut.get("type") == "Split" and cut.get("behavior") == "Removed" and cut.get("invert") is True and set(words.split("|")) <= alternatives and not spec.get("post_processor")
 
 
-def marks_after(chunk: bytes) -> int:
-    """How many marks of .,;:!? follow a word's last letter or digit of ASCII."""
-    word = chunk.rstrip(b".,;:!?")
-    return len(chunk) - len(word) if word[-1:].isalnum() else 0
+class _ByteLevel(dict):
+    """Characters as the tokenizers library writes their bytes."""
+
+    def __missing__(self, code: int) -> str:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        s = self[code] = "".join(x for x, _ in ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(code)))
+        return s
 
 
 class Encoder:
@@ -56,11 +63,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.by_chunk = splits_at_space(path)
+        self.model, self.marks, self.spell = self.tokenizer.model, {}, _ByteLevel()
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.parts: dict[bytes, bytes] = {}
         self.pool, self.begins, self.lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         self.size = 0
 
@@ -69,20 +76,35 @@ class Encoder:
         n = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for x in found for i in x), np.uint32, int(n.sum())), n
 
+    def _word(self, chunk: bytes) -> list[int] | None:
+        """The ids of a chunk that is one word of letters and then marks of ASCII, straight from
+        the tokenizer's model; None for other chunks, and where its normal form needs more than
+        each letter's lower case."""
+        text = chunk.decode()
+        word = text.rstrip(string.punctuation)
+        if not word.isalpha():
+            return None
+        lower = word.lower()
+        if not word.isascii():
+            if "\u03a3" in word or not lower.isalpha() or not unicodedata.is_normalized("NFC", word):
+                return None
+            lower = lower.translate(self.spell)
+        ids = [t.id for t in self.model.tokenize(lower)]
+        if len(word) < len(text):
+            marks = text[len(word) :]
+            if marks not in self.marks:
+                self.marks[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
+            ids += self.marks[marks]
+        return ids
+
     def _learn(self, chunks: list[bytes]) -> None:
-        """Chunks that differ in case alone have one encoding; so have a word and the marks after it,
-        apart from each other."""
-        plain = [c if b"<|" in c else c.lower() for c in chunks]
-        parts = [(c[: len(c) - k], c[len(c) - k :]) for c in plain for k in (marks_after(c),)]
-        new = list(dict.fromkeys(p for pair in parts for p in pair if p not in self.parts))
-        flat, n = self._encode([p.decode() for p in new])
-        ends = np.cumsum(n).tolist()
-        raw = flat.tobytes()
-        self.parts.update((p, raw[4 * (e - k) : 4 * e]) for p, e, k in zip(new, ends, n.tolist(), strict=True))
-        found = [self.parts[a] + self.parts[b] if b else self.parts[a] for a, b in parts]
-        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        found = list(map(self._word, chunks))
+        rest = [k for k, x in enumerate(found) if x is None]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[k].decode() for k in rest], add_special_tokens=False), strict=True):
+            found[k] = e.ids
+        n = np.fromiter(map(len, found), np.int64, len(found))
         self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
-        self.pool.append(np.frombuffer(b"".join(found), np.uint32))
+        self.pool.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(n.sum())))
         self.begins.append(self.size + np.cumsum(n) - n)
         self.lengths.append(n)
         self.size += int(n.sum())
@@ -91,13 +113,13 @@ class Encoder:
         """All ids in a row, and how many each text has."""
         if not self.by_chunk:
             return self._encode([t.decode() for t in texts])
-        if len(self.known) > CHUNKS or len(self.parts) > CHUNKS:
+        if len(self.known) > CHUNKS:
             self._forget()
         chunks = [t.split() for t in texts]
-        every = [c for x in chunks for c in x]
-        new = list(dict.fromkeys(c for c in every if c not in self.known))
+        every = list(itertools.chain.from_iterable(chunks))
+        new = set(every).difference(self.known)
         if new:
-            self._learn(new)
+            self._learn(list(new))
         pool, begins, lengths = (x[0] if len(x) == 1 else np.concatenate(x) for x in (self.pool, self.begins, self.lengths))
         self.pool, self.begins, self.lengths = [pool], [begins], [lengths]
         which = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
