@@ -137,11 +137,11 @@ def infill_spacing_local(spark, d):
 
 
 @query("midpoint_insertion", """
-WITH c AS (SELECT conv_id, turn AS t, CAST(length(text) AS DOUBLE) AS v FROM conversations WHERE turn % 3 <> 1),
+WITH c AS (SELECT conv_id, turn AS t, CAST(length(text) AS DOUBLE) AS v FROM conversations WHERE role = 'user'),
 n AS (SELECT *, lead(t) OVER (PARTITION BY conv_id ORDER BY t) AS nt, lead(v) OVER (PARTITION BY conv_id ORDER BY t) AS nv FROM c)
 SELECT conv_id, t AS turn, v AS size, false AS filled FROM n UNION ALL SELECT conv_id, t + 1, (v + nv) / 2, true FROM n WHERE nt - t = 2""")
 def midpoint_insertion(spark, d):
-    c = table(spark, d, "conversations").where("turn % 3 <> 1").select("conv_id", "turn", F.char_length("text").cast("double").alias("size"))
+    c = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.char_length("text").cast("double").alias("size"))
     return ordered.midpoints_at_skips(c, ["conv_id"], "turn", "size")
 
 
@@ -293,12 +293,20 @@ def frame_change(spark, d):
 # ---- joins by nearness
 
 
-def click_pairs(spark, d):
-    e = events(spark, d)
-    first = e.groupBy().agg(F.min("event_type")).first()[0]
+def first_type(e: DataFrame) -> str:
+    return e.agg(F.min("event_type")).first()[0]
+
+
+def split_by_type(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events of the first type, and all others."""
+    first = first_type(e)
     return e.where(F.col("event_type") == first), e.where(F.col("event_type") != first)
 
 
+def click_pairs(spark, d):
+    return split_by_type(events(spark, d))
+
+
 FIRST = "(SELECT min(event_type) FROM events)"
 PAIRS = f"WITH a AS (SELECT user_id, event_id, value FROM events WHERE event_type = {FIRST}), b AS (SELECT user_id, event_id, value FROM events WHERE event_type <> {FIRST})"
 
@@ -365,41 +373,42 @@ def collapse_map(spark, d):
 
 
 @query("alignment_offset", f"""
-WITH e AS ({INDEXED}), a AS (SELECT user_id, i, event_id FROM e WHERE i % 2 = 0), b AS (SELECT user_id, i + 7 AS ri, event_id FROM e WHERE i % 3 = 0),
+WITH e AS ({INDEXED}), a AS (SELECT user_id, i, event_id FROM e WHERE event_type = {FIRST}), b AS (SELECT user_id, i + 7 AS ri, event_id FROM e WHERE event_type <> {FIRST}),
 p AS (SELECT a.user_id, a.i, b.ri, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.event_id - b.event_id), b.event_id) AS k, abs(a.event_id - b.event_id) AS g FROM a JOIN b ON a.user_id = b.user_id)
-SELECT user_id, count(*) AS n, CASE WHEN count(*) < 10 THEN 0.0 ELSE median(ri - i) END AS "offset" FROM p WHERE k = 1 AND g <= 40 GROUP BY user_id""")
+SELECT user_id, count(*) AS n, CASE WHEN count(*) < 10 THEN 0.0 ELSE median(ri - i) END AS "offset" FROM p WHERE k = 1 AND g <= 140 GROUP BY user_id""")
 def alignment_offset(spark, d):
-    e = indexed(spark, d).select("user_id", "i", "event_id")
-    return matching.alignment_offset(e.where("i % 2 = 0"), e.where("i % 3 = 0").withColumn("i", F.col("i") + 7), ["user_id"], "i", "event_id", 40)
+    one, others = split_by_type(indexed(spark, d).select("user_id", "i", "event_id", "event_type"))
+    return matching.alignment_offset(one, others.withColumn("i", F.col("i") + 7), ["user_id"], "i", "event_id", 140)
 
 
 # ---- interpolation
 
 
 @query("interpolate_hold", f"""
-WITH e AS ({INDEXED}), k AS (SELECT user_id, event_id AS t, value AS v FROM e WHERE i % 3 = 0), q AS (SELECT user_id, event_id AS t FROM e),
+WITH k AS (SELECT user_id, event_id AS t, value AS v FROM events WHERE event_type <> {FIRST}), q AS (SELECT user_id, event_id AS t FROM events),
 a AS (SELECT q.*, k.t AS t0, k.v AS v0 FROM q ASOF LEFT JOIN k ON q.user_id = k.user_id AND q.t >= k.t),
 b AS (SELECT a.*, k.t AS t1, k.v AS v1 FROM a ASOF LEFT JOIN k ON a.user_id = k.user_id AND a.t <= k.t)
-SELECT user_id, t, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 WHEN t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 4) AS v FROM b""")
+SELECT user_id, t, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 WHEN t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END + 1e-7, 4) AS v FROM b""")
 def interpolate_hold(spark, d):
-    e = indexed(spark, d).select("user_id", F.col("event_id").alias("t"), F.col("value").alias("v"), "i")
-    return interp.interpolate(e.select("user_id", "t"), e.where("i % 3 = 0").select("user_id", "t", "v"), ["user_id"], "t", "v").withColumn("v", F.round("v", 4))
+    e = events(spark, d).select("user_id", F.col("event_id").alias("t"), F.col("value").alias("v"), "event_type")
+    knots = split_by_type(e)[1].select("user_id", "t", "v")
+    return interp.interpolate(e.select("user_id", "t"), knots, ["user_id"], "t", "v").withColumn("v", F.round(F.col("v") + 1e-7, 4))  # off the ties of rounding
 
 
 @query("extend_line", f"""
-WITH e AS ({INDEXED}), k AS (SELECT user_id, CAST(i AS DOUBLE) AS t, value AS v FROM e WHERE i % 2 = 0 AND i BETWEEN 10 AND 40), q AS (SELECT user_id, CAST(i AS DOUBLE) AS t FROM e WHERE i <= 50),
+WITH e AS ({INDEXED}), k AS (SELECT user_id, CAST(i AS DOUBLE) AS t, value AS v FROM e WHERE event_type <> {FIRST}), q AS (SELECT user_id, CAST(i AS DOUBLE) AS t FROM e),
 x AS (SELECT user_id, min(t) AS lo, max(t) AS hi FROM k GROUP BY user_id),
 l AS (SELECT k.user_id, regr_slope(v, t) AS a, regr_intercept(v, t) AS b, count(*) AS n FROM k JOIN x ON x.user_id = k.user_id WHERE t <= lo + 8 GROUP BY 1),
 h AS (SELECT k.user_id, regr_slope(v, t) AS a, regr_intercept(v, t) AS b, count(*) AS n FROM k JOIN x ON x.user_id = k.user_id WHERE t >= hi - 8 GROUP BY 1),
 a AS (SELECT q.*, k.t AS t0, k.v AS v0 FROM q ASOF LEFT JOIN k ON q.user_id = k.user_id AND q.t >= k.t),
 b AS (SELECT a.*, k.t AS t1, k.v AS v1 FROM a ASOF LEFT JOIN k ON a.user_id = k.user_id AND a.t <= k.t)
-SELECT b.user_id, b.t, round(CASE WHEN t < lo AND l.n >= 3 THEN l.a * t + l.b WHEN t > hi AND h.n >= 3 THEN h.a * t + h.b WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 WHEN t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 6) AS v,
+SELECT b.user_id, b.t, round(CASE WHEN t < lo AND l.n >= 3 THEN l.a * t + l.b WHEN t > hi AND h.n >= 3 THEN h.a * t + h.b WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 WHEN t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END + 1e-7, 4) AS v,
   CASE WHEN (t < lo AND l.n >= 3) OR (t > hi AND h.n >= 3) THEN 'line' WHEN t < lo OR t > hi THEN 'hold' ELSE 'inside' END AS origin
 FROM b LEFT JOIN x ON x.user_id = b.user_id LEFT JOIN l ON l.user_id = b.user_id LEFT JOIN h ON h.user_id = b.user_id""")
 def extend_line(spark, d):
-    e = indexed(spark, d).select("user_id", F.col("i").cast("double").alias("t"), F.col("value").alias("v"))
-    out = interp.extend_line(e.where("t <= 50").select("user_id", "t"), e.where("t % 2 = 0 AND t BETWEEN 10 AND 40"), ["user_id"], "t", "v", 8.0)
-    return r6(out.select("user_id", "t", "v", "origin"), "v")
+    e = indexed(spark, d).select("user_id", F.col("i").cast("double").alias("t"), F.col("value").alias("v"), "event_type")
+    out = interp.extend_line(e.select("user_id", "t"), split_by_type(e)[1].select("user_id", "t", "v"), ["user_id"], "t", "v", 8.0)
+    return out.select("user_id", "t", F.round(F.col("v") + 1e-7, 4).alias("v"), "origin")
 
 
 @query("resample_index", f"""
@@ -432,27 +441,28 @@ def arc_columns(spark, d):
 
 
 @query("histogram_match", f"""
-WITH s AS (SELECT event_type AS k, value AS v FROM events WHERE event_id % 2 = 0), r AS (SELECT event_type AS k, value AS v FROM events WHERE event_id % 2 = 1),
+WITH s AS (SELECT 0 AS k, value AS v FROM events WHERE event_type = {FIRST}), r AS (SELECT 0 AS k, value AS v FROM events WHERE event_type <> {FIRST}),
 cs AS (SELECT k, v, sum(count(*)) OVER (PARTITION BY k ORDER BY v) / CAST(sum(count(*)) OVER (PARTITION BY k) AS DOUBLE) AS q FROM s GROUP BY k, v),
 cr AS (SELECT k, v, sum(count(*)) OVER (PARTITION BY k ORDER BY v) / CAST(sum(count(*)) OVER (PARTITION BY k) AS DOUBLE) AS q FROM r GROUP BY k, v),
 a AS (SELECT cs.*, cr.q AS t0, cr.v AS v0 FROM cs ASOF LEFT JOIN cr ON cs.k = cr.k AND cs.q >= cr.q),
 b AS (SELECT a.*, cr.q AS t1, cr.v AS v1 FROM a ASOF LEFT JOIN cr ON a.k = cr.k AND a.q <= cr.q),
 m AS (SELECT k, v, CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 WHEN t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (q - t0) / (t1 - t0) END AS matched FROM b)
-SELECT s.k AS event_type, s.v AS value, round(m.matched, 5) AS matched FROM s JOIN m ON m.k = s.k AND m.v = s.v""")
+SELECT s.v AS value, round(m.matched + 1e-7, 5) AS matched FROM s JOIN m ON m.k = s.k AND m.v = s.v""")
 def histogram_match(spark, d):
-    e = events(spark, d)
-    out = interp.histogram_match(e.where("event_id % 2 = 0").select("event_type", "value"), e.where("event_id % 2 = 1").select("event_type", "value"), ["event_type"], "value")
-    return out.select("event_type", "value", F.round("matched", 5).alias("matched"))
+    one, others = split_by_type(events(spark, d).select("event_type", "value"))
+    whole = lambda df: df.select(F.lit(0).alias("k"), "value")
+    return interp.histogram_match(whole(one), whole(others), ["k"], "value").select("value", F.round(F.col("matched") + 1e-7, 5).alias("matched"))
 
 
 @query("z_fill", f"""
-WITH e AS ({INDEXED}), x AS (SELECT user_id, i, CASE WHEN i % 4 = 1 THEN value END AS v FROM e),
+WITH e AS ({INDEXED}), x AS (SELECT user_id, i, CASE WHEN event_type = {FIRST} THEN value END AS v FROM e),
 k AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER a AS bi, last_value(v IGNORE NULLS) OVER a AS bv, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS ai, first_value(v IGNORE NULLS) OVER b AS av FROM x
   WINDOW a AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT user_id, i, CASE WHEN coalesce(i - bi <= ai - i, bi IS NOT NULL) THEN bv ELSE av END AS filled, CASE WHEN v IS NOT NULL THEN 'walked' ELSE 'copied' END AS origin FROM k""")
 def z_fill(spark, d):
     e = indexed(spark, d)
-    return interp.z_fill(e, ["user_id"], "i", F.when(F.col("i") % 4 == 1, F.col("value")), "filled").select("user_id", "i", "filled", "origin")
+    first = first_type(e)
+    return interp.z_fill(e, ["user_id"], "i", F.when(F.col("event_type") == first, F.col("value")), "filled").select("user_id", "i", "filled", "origin")
 
 
 @query("blend", f"""
