@@ -280,6 +280,14 @@ class Tracker:
                 self.seen.append([z])
         return ids
 
+    def state(self) -> tuple:
+        """What a tracker knows, as plain lists."""
+        return [p.tolist() for p in self.profiles], self.seen
+
+    def restore(self, state: tuple) -> Tracker:
+        self.profiles, self.seen = [np.array(p, float) for p in state[0]], [list(s) for s in state[1]]
+        return self
+
     def merged(self) -> dict[int, int]:
         """Track -> the earlier track whose fragment it is."""
         to: dict[int, int] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,18 @@ def scores(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"dice": ratio(2 * tp, 2 * tp + fp + fn), "iou": ratio(tp, tp + fp + fn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn)})
 
 
+def _reserve(f):
+    """Key columns get reserved names inside an operator, so that none meets a working column."""
+
+    @functools.wraps(f)
+    def run(df, keys, *args, **more):
+        names = {k: f"__key_{n}" for n, k in enumerate(keys)}
+        out = f(df.withColumnsRenamed(names), list(names.values()), *args, **more)
+        return out.withColumnsRenamed({v: k for k, v in names.items()})
+
+    return run
+
+
 METRICS = ("dice", "iou", "precision", "recall")
 
 
@@ -39,6 +52,7 @@ def mean_nonfinite_as_zero(df: DataFrame, keys: list[str], columns: list[str]) -
     return df.groupBy(*keys).agg(*[F.avg(F.coalesce(finite(F.col(c)), F.lit(0.0))).alias(c) for c in columns])
 
 
+@_reserve
 def metric_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Long form: key, metric, mean, median and n over finite values."""
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), finite(F.col(m)).alias("v")) for m in metrics]))
@@ -73,6 +87,7 @@ def trimmed_circular_mean(df: DataFrame, keys: list[str], angle: str, limit_deg:
     return near.groupBy(*keys).agg(F.first("rough").alias("rough"), circular_mean(F.col(angle)).alias("mean"), F.count("*").alias("n"))
 
 
+@_reserve
 def otsu(df: DataFrame, keys: list[str], value: str, bins: int = 512) -> DataFrame:
     """The threshold of the largest between-class variance on a histogram of the value's range."""
     span = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
@@ -95,6 +110,7 @@ def entropy_of(n: Column, total: Column) -> Column:
     return -F.sum(p * F.ln(p))
 
 
+@_reserve
 def mutual_information(df: DataFrame, keys: list[str], a: str, b: str, bins: int = 64, span: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
     """Normalised mutual information (H(a) + H(b)) / H(a, b) of a joint histogram."""
     cells = df.select(*keys, histogram_bin(F.col(a), *span, bins).alias("i"), histogram_bin(F.col(b), *span, bins).alias("j")).where("i IS NOT NULL AND j IS NOT NULL")
@@ -121,6 +137,7 @@ def psnr_two_ways(errors: DataFrame, keys: list[str], top: float = 1.0) -> DataF
     return errors.groupBy(*keys).agg(F.avg(psnr_of(F.col("mse"), top)).alias("mean_psnr"), psnr_of(F.avg("mse"), top).alias("psnr_of_mean"))
 
 
+@_reserve
 def weighted_correlation(df: DataFrame, keys: list[str], a: str, b: str, w: str) -> DataFrame:
     """Weighted Pearson correlation; 0 where a variance vanishes."""
     x, y, k = F.col(a), F.col(b), F.col(w)
@@ -149,6 +166,7 @@ def strip_scores(df: DataFrame, row: str, values: str) -> DataFrame:
     return flat.join(F.broadcast(var)).join(F.broadcast(coh))  # one row each
 
 
+@_reserve
 def robust_scatter(df: DataFrame, keys: list[str], value: str, least: int = 3) -> DataFrame:
     """The scaled MAD about the median; NULL for fewer than ``least`` values."""
     m = df.groupBy(*keys).agg(median(F.col(value)).alias("_m"), F.count(value).alias("n"))
@@ -176,6 +194,7 @@ def _against_line(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame
     return rows.join(fit, keys).withColumn("fit", F.col("_a") * F.col(x) + F.col("_b")).withColumn("residual", F.col(y) - F.col("fit")).drop("_a", "_b")
 
 
+@_reserve
 def circle_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Algebraic circle: centre and radius by normal equations about the mean."""
     m = df.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
@@ -208,6 +227,7 @@ def block_ratio(df: DataFrame, row: str, col: str, value: str, rows: int, cols:
     return b.withColumn("ratio", F.try_divide(F.col("mean"), median(F.col("mean")).over(centred(["bc"], half, "br"))))
 
 
+@_reserve
 def polynomial_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Quadratic least squares by normal equations: c0 + c1 x + c2 x^2 about the mean of x."""
     m = df.groupBy(*keys).agg(F.avg(x).alias("_mx"))

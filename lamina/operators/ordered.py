@@ -56,31 +56,31 @@ def kth_run_profile(run_table: DataFrame, group: list[str], ray: str) -> DataFra
 
 def infill_spacing(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     """Evenly spaced rows put into gaps that hold several median spacings: keys, pos, filled."""
-    gaps = df.select(*keys, F.col(pos).cast("double").alias("p")).withColumn("next", F.lead("p").over(ordered(keys, "p")))
-    med = gaps.groupBy(*keys).agg(median(F.col("next") - F.col("p")).alias("med"))
-    return _fill(gaps.join(med, keys), keys, F.col("med"), None, pos)
+    gaps = df.select(*keys, F.col(pos).cast("double").alias("_p")).withColumn("_next", F.lead("_p").over(ordered(keys, "_p")))
+    med = gaps.groupBy(*keys).agg(median(F.col("_next") - F.col("_p")).alias("_med"))
+    return _fill(gaps.join(med, keys), keys, F.col("_med"), None, pos)
 
 
 def infill_spacing_local(df: DataFrame, keys: list[str], pos: str, window: int = 4, max_fill: int = 3) -> DataFrame:
     """The same with the median of the ``window`` gaps on either side, the gap itself left out; a
     gap that would take more than ``max_fill`` rows is a void and stays empty."""
-    gaps = df.select(*keys, F.col(pos).cast("double").alias("p")).withColumn("next", F.lead("p").over(ordered(keys, "p")))
-    gaps = gaps.withColumn("gap", F.col("next") - F.col("p"))
-    near = ordered(keys, "p")
-    around = F.concat(F.collect_list("gap").over(near.rowsBetween(-window, -1)), F.collect_list("gap").over(near.rowsBetween(1, window)))
+    gaps = df.select(*keys, F.col(pos).cast("double").alias("_p")).withColumn("_next", F.lead("_p").over(ordered(keys, "_p")))
+    gaps = gaps.withColumn("_gap", F.col("_next") - F.col("_p"))
+    near = ordered(keys, "_p")
+    around = F.concat(F.collect_list("_gap").over(near.rowsBetween(-window, -1)), F.collect_list("_gap").over(near.rowsBetween(1, window)))
     s = F.array_sort(F.filter(around, lambda x: x.isNotNull()))
     n = F.size(s)
     mid = (F.get(s, ((n - 1) / 2).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2
-    return _fill(gaps.withColumn("med", F.when(n > 0, mid)), keys, F.col("med"), max_fill, pos)
+    return _fill(gaps.withColumn("_med", F.when(n > 0, mid)), keys, F.col("_med"), max_fill, pos)
 
 
 def _fill(gaps: DataFrame, keys: list[str], med: Column, max_fill: int | None, pos: str) -> DataFrame:
-    extra = F.greatest(F.coalesce(rint(F.try_divide(F.col("next") - F.col("p"), med)).cast("int") - 1, F.lit(0)), F.lit(0))
+    extra = F.greatest(F.coalesce(rint(F.try_divide(F.col("_next") - F.col("_p"), med)).cast("int") - 1, F.lit(0)), F.lit(0))
     if max_fill is not None:
         extra = F.when(extra > max_fill, 0).otherwise(extra)
-    rows = gaps.withColumn("k", extra).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    at = F.when(F.col("i") == 0, F.col("p")).otherwise(lerp(F.col("p"), F.col("next"), F.col("i") / (F.col("k") + 1)))
-    return rows.select(*keys, at.alias(pos), (F.col("i") > 0).alias("filled"))
+    rows = gaps.withColumn("_k", extra).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k"))))
+    at = F.when(F.col("_i") == 0, F.col("_p")).otherwise(lerp(F.col("_p"), F.col("_next"), F.col("_i") / (F.col("_k") + 1)))
+    return rows.select(*keys, at.alias(pos), (F.col("_i") > 0).alias("filled"))
 
 
 def midpoints_at_skips(df: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:
@@ -134,23 +134,23 @@ def unslip(df: DataFrame, keys: list[str], order: str, value: str, pitch: float)
 def leave_one_out(df: DataFrame, keys: list[str], index: str, value: str, half: int = 3, least: int = 3) -> DataFrame:
     """The residual to the line through the neighbours at most ``half`` index steps away, the row
     itself left out; NULL with fewer than ``least``: keys, index, value, residual."""
-    me = df.select(*keys, F.col(index).alias("i"), F.col(value).cast("double").alias("y"))
-    shifts = me.withColumn("d", F.explode(F.array(*[F.lit(d) for d in range(-half, half + 1) if d])))
-    near = shifts.select(*keys, (F.col("i") + F.col("d")).alias("i"), F.col("d").cast("double").alias("x"), F.col("y").alias("ny"))
+    me = df.select(*keys, F.col(index).alias("_i"), F.col(value).cast("double").alias("_y"))
+    shifts = me.withColumn("_d", F.explode(F.array(*[F.lit(d) for d in range(-half, half + 1) if d])))
+    near = shifts.select(*keys, (F.col("_i") + F.col("_d")).alias("_i"), F.col("_d").cast("double").alias("_x"), F.col("_y").alias("_ny"))
     # a neighbour at distance d stands at -d as seen from the row
-    sums = near.groupBy(*keys, "i").agg(F.count("*").alias("n"), F.sum(-F.col("x")).alias("sx"), F.sum("ny").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(-F.col("x") * F.col("ny")).alias("sxy"))
-    det = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    at_zero = F.try_divide(F.col("sxx") * F.col("sy") - F.col("sx") * F.col("sxy"), det)
-    joined = me.join(sums, [*keys, "i"], "left")
-    return joined.select(*keys, F.col("i").alias(index), F.col("y").alias(value), F.when(F.col("n") >= least, F.col("y") - at_zero).alias("residual"))
+    sums = near.groupBy(*keys, "_i").agg(F.count("*").alias("_n"), F.sum(-F.col("_x")).alias("_sx"), F.sum("_ny").alias("_sy"), F.sum(F.col("_x") * F.col("_x")).alias("_sxx"), F.sum(-F.col("_x") * F.col("_ny")).alias("_sxy"))
+    det = F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
+    at_zero = F.try_divide(F.col("_sxx") * F.col("_sy") - F.col("_sx") * F.col("_sxy"), det)
+    joined = me.join(sums, [*keys, "_i"], "left")
+    return joined.select(*keys, F.col("_i").alias(index), F.col("_y").alias(value), F.when(F.col("_n") >= least, F.col("_y") - at_zero).alias("residual"))
 
 
 def second_difference_noise(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Noise of a series: the scaled MAD of its second differences over the root of 6."""
     w = ordered(keys, order)
-    d = df.select(*keys, (F.lag(value).over(w) - 2 * F.col(value) + F.lead(value).over(w)).alias("d")).where("d IS NOT NULL")
-    mid = d.groupBy(*keys).agg(median(F.col("d")).alias("m"))
-    return d.join(mid, keys).groupBy(*keys).agg((MAD_SCALE * median(F.abs(F.col("d") - F.col("m"))) / F.sqrt(F.lit(6.0))).alias("noise"))
+    d = df.select(*keys, (F.lag(value).over(w) - 2 * F.col(value) + F.lead(value).over(w)).alias("_d")).where("_d IS NOT NULL")
+    mid = d.groupBy(*keys).agg(median(F.col("_d")).alias("_m"))
+    return d.join(mid, keys).groupBy(*keys).agg((MAD_SCALE * median(F.abs(F.col("_d") - F.col("_m"))) / F.sqrt(F.lit(6.0))).alias("noise"))
 
 
 def arc_length(df: DataFrame, keys: list[str], order: str, x: str, y: str) -> DataFrame:
@@ -242,10 +242,10 @@ def local_extrema(df: DataFrame, keys: list[str], order: str, value: str, min_pr
 
 def level_crossings(df: DataFrame, keys: list[str], order: str, value: str, level: Column) -> DataFrame:
     """The first and last place where a profile crosses a level, between samples: keys, first, last."""
-    w = ordered(keys, "t")
-    rows = df.select(*keys, F.col(order).cast("double").alias("t"), F.col(value).alias("v"), level.alias("l")).withColumns({"pt": F.lag("t").over(w), "pv": F.lag("v").over(w)})
-    crossing = ((F.col("pv") < F.col("l")) & (F.col("v") >= F.col("l"))) | ((F.col("pv") >= F.col("l")) & (F.col("v") < F.col("l")))
-    at = F.col("pt") + (F.col("l") - F.col("pv")) / (F.col("v") - F.col("pv")) * (F.col("t") - F.col("pt"))
+    w = ordered(keys, "_t")
+    rows = df.select(*keys, F.col(order).cast("double").alias("_t"), F.col(value).alias("_v"), level.alias("_l")).withColumns({"_pt": F.lag("_t").over(w), "_pv": F.lag("_v").over(w)})
+    crossing = ((F.col("_pv") < F.col("_l")) & (F.col("_v") >= F.col("_l"))) | ((F.col("_pv") >= F.col("_l")) & (F.col("_v") < F.col("_l")))
+    at = F.col("_pt") + (F.col("_l") - F.col("_pv")) / (F.col("_v") - F.col("_pv")) * (F.col("_t") - F.col("_pt"))
     return rows.where(crossing).groupBy(*keys).agg(F.min(at).alias("first"), F.max(at).alias("last"))
 
 

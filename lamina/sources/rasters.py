@@ -80,7 +80,7 @@ def register(spark: SparkSession) -> None:
 
 def numbered(files: DataFrame, path: str = "path") -> DataFrame:
     """Adds z, the number at the end of a file's name; of files with one z the last name counts."""
-    z = F.regexp_extract(F.col(path), r"(\d+)\D*$", 1)
+    z = F.regexp_extract(F.col(path), r"(\d+)\D*(?:\.[A-Za-z0-9]+)?$", 1)
     rows = files.where(z != "").withColumn("z", z.cast("long"))
     last = F.row_number().over(Window.partitionBy("z").orderBy(F.desc(path)))
     return rows.withColumn("_n", last).where("_n = 1").drop("_n")
@@ -88,7 +88,7 @@ def numbered(files: DataFrame, path: str = "path") -> DataFrame:
 
 def z_range(files: DataFrame, path: str = "path") -> DataFrame:
     """Adds z0 and z1 from names that end in <z0>-<z1>."""
-    part = lambda k: F.regexp_extract(F.col(path), r"(\d+)-(\d+)\D*$", k)
+    part = lambda k: F.regexp_extract(F.col(path), r"(\d+)-(\d+)\D*(?:\.[A-Za-z0-9]+)?$", k)
     return files.where(part(1) != "").withColumns({"z0": part(1).cast("long"), "z1": part(2).cast("long")})
 
 

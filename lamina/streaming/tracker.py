@@ -22,14 +22,17 @@ def track_stream(profiles: DataFrame, near: float) -> DataFrame:
     as its windings have been numbered past. The state is a profile for each track."""
 
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker, last = pickle.loads(state.get[0]) if state.exists else (Tracker(near), -(2**31))
+        tracker, last = Tracker(near), -(2**31)
+        if state.exists:
+            known, last = pickle.loads(state.get[0])
+            tracker.restore(known)
         rows = []
         for z, part in pd.concat(list(parts)).sort_values(["z", "walk_id"]).groupby("z"):
             if z > last:
                 ids = tracker.step(int(z), [np.array([np.nan if v is None else v for v in r], float) for r in part["r"]])
                 rows += [(key[0], int(z), int(w), i) for w, i in zip(part["walk_id"], ids, strict=True)]
                 last = z
-        state.update((pickle.dumps((tracker, last)),))
+        state.update((pickle.dumps((tracker.state(), last)),))
         yield pd.DataFrame(rows, columns=["roll", "z", "walk_id", "track_id"])
 
     return profiles.select(F.col("roll").cast("long").alias("roll"), "z", "walk_id", "r").groupBy("roll").applyInPandasWithState(run, OUT, "tracker binary", "append", GroupStateTimeout.NoTimeout)
