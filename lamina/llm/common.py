@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import sys
 import tempfile
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 #: Characters that count as white space, as in [\x20\x09-\x0D].
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+BATCH_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _written: list[tuple[SparkSession, str]] = []
 
@@ -105,12 +108,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def in_worker(key, make):
-    """``make()``, or what it returned for the same key earlier in this process. Functions arrive
-    pickled by value, with globals of their own, so this lives among the loaded modules."""
+    """``make()``, or what it returned for the same key earlier in this process; one such thing is
+    kept at a time. Functions arrive pickled by value, with globals of their own, so it lives
+    among the loaded modules."""
     kept = sys.modules.setdefault("_lamina_worker", types.ModuleType("_lamina_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kept.get("key") != key:
+        kept["value"] = None
+        kept.update(key=key, value=make())
+    return kept["value"]
+
+
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: idle workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold batches for Python to BATCH_BYTES, unless the session has a bound of its own: the
+    default is 64 MB for each task, on either side, and texts can be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "64MB", "67108864b", "67108864"):
+        spark.conf.set(name, BATCH_BYTES)
 
 
 class WordHashes(dict):
@@ -132,14 +153,17 @@ class WordHashes(dict):
 
 def portions(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of text each, one row at least."""
-    for b in batches:
-        size = np.cumsum(np.nan_to_num(pyarrow.compute.binary_length(b[text]).to_numpy(zero_copy_only=False)))
-        lo = 0
-        while lo < len(b):
-            base = size[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(size, base + most, side="right")))
-            yield b.slice(lo, hi - lo)
-            lo = hi
+    try:
+        for b in batches:
+            size = np.cumsum(np.nan_to_num(pyarrow.compute.binary_length(b[text]).to_numpy(zero_copy_only=False)))
+            lo = 0
+            while lo < len(b):
+                base = size[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(size, base + most, side="right")))
+                yield b.slice(lo, hi - lo)
+                lo = hi
+    finally:
+        release()
 
 
 def crc32(data: bytes) -> int:

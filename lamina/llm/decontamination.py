@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import WordHashes, in_worker, mix64, portions
+from lamina.llm.common import WordHashes, in_worker, mix64, portions, small_batches
 
 RADIUS, BLOCKS, FLIPS, SCREEN_BITS = 22, 8, 2, 22
 #: Bytes of items searched for in one pass over the documents; bytes of text taken at once.
@@ -193,6 +193,7 @@ def _best(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int,
 def _passes(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, shingle_words: int) -> list:
     """Broadcast indexes of the items, each over about PASS_BYTES of them at most."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-total // PASS_BYTES) or 1

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import WordHashes, forget, free, mix64, portions, save
+from lamina.llm.common import WordHashes, forget, free, in_worker, mix64, portions, save, small_batches
 from lamina.llm.components import connected_components
 from lamina.llm.shingles import shingle_set
 
@@ -65,7 +65,7 @@ def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        words, priority = WordHashes(), _priorities()
+        words, priority = in_worker("shingle words", WordHashes), _priorities()
         for b in portions(batches, "text", TEXT_BYTES):
             n, key, regs = [], [], []
             for text in b["text"].to_pylist():
@@ -80,7 +80,7 @@ def _sketches(size: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words = in_worker("shingle words", WordHashes)
         for b in portions(batches, "text", TEXT_BYTES):
             found = [shingle_set(t or b"", size, words).view(np.int64) for t in b["text"].to_pylist()]
             yield pa.record_batch({"id": b["id"], "shingles": pa.array(found, pa.list_(pa.int64()))})
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     same id are one document for links, and are all kept or not. Empty table: no rows.
     Other columns pass through; a new column whose name is taken gets an underscore.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     floor = percent / 100 - SLACK * (0.16 / BUCKETS) ** 0.5
     own = [f"__near_{x}" for x in ("id", "key", "n", "component")]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lamina.llm.common import crc32, in_worker, mix64, portions
+from lamina.llm.common import crc32, in_worker, mix64, portions, small_batches
 
 #: Bytes of text taken at once, segments a worker remembers, characters of a segment that is
 #: learned in a batch, segments in a batch, and the cost of a character without a piece.
@@ -357,6 +357,7 @@ def encode(docs: DataFrame, model: str, n: int = 1, id_col: str = "doc_id", text
         found = [[{"score": s, "ids": ids} for s, ids in x] for x in segmenter.segment(texts)]
         return pa.record_batch({"doc_id": b["doc_id"], "segmentations": pa.array(found, kind)})
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_run(model, n, "text", emit), "doc_id long, segmentations array<struct<score:long,ids:array<int>>>")
 
@@ -370,6 +371,7 @@ def best_ids(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *(i for _, i in found)])))
         return pa.record_batch({"doc_id": b["doc_id"], "score": pa.array([s for s, _ in found], pa.int64()), "ids": ids})
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_run(model, 1, "text", emit), "doc_id long, score long, ids array<int>")
 
@@ -389,6 +391,7 @@ def digest(docs: DataFrame, model: str, n: int = 3, id_col: str = "doc_id", text
         many = pa.list_(pa.int64())
         return pa.record_batch({"doc_id": b["doc_id"], "n_tokens": pa.array(n_tokens, pa.int64()), "ids_crc32": pa.array(first, pa.int64()), "scores": pa.array(scores, many), "crc32s": pa.array(crcs, many), "decoded": pa.array(decoded, pa.bool_())})
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_run(model, n, "text", emit), "doc_id long, n_tokens long, ids_crc32 long, scores array<long>, crc32s array<long>, decoded boolean")
 

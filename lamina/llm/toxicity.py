@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lamina.llm.boosting import Calibrated
-from lamina.llm.common import free, portions
+from lamina.llm.common import free, in_worker, portions, small_batches
 
 #: Labelled rows that training uses at most, words of the learned lexicon at most, and labelled
 #: documents that must hold such a word.
@@ -177,11 +177,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     scores. Empty table: no rows. Other columns pass through; a new column whose name is taken
     gets an underscore.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs if train_docs is None else train_docs, labels, train_rows, id_col, text_col))
     names = {c: free(docs, c) for c in ("held_out", "score", "predicted")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(model.value.learned)
+        words = in_worker(("toxicity", tuple(sorted(model.value.learned.items()))), lambda: Words(model.value.learned))
         for b in portions(batches, text_col, TEXT_BYTES):
             x = np.stack([features(t or b"", words) for t in b[text_col].cast(pa.binary()).to_pylist()])
             yield b.append_column(names["score"], pa.array(model.value.predict(x)))
