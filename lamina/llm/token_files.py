@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import in_worker, new_folder, portions, save, shuffle_partitions
+from lamina.llm.common import in_worker, new_folder, portions, save, shuffle_partitions, small_batches
 from lamina.llm.simple8b import Reader, Writer
 
 #: Bytes of text that are encoded at once, and different chunks that a worker remembers.
@@ -42,6 +42,18 @@ def splits_at_space(path: str) -> bool:
     return plain and kinds <= {"NFC", "Replace", "Lowercase"} and cut.get("type") == "Split" and cut.get("behavior") == "Removed" and cut.get("invert") is True and set(words.split("|")) <= alternatives and not spec.get("post_processor")
 
 
+class _Numbers(dict):
+    """Numbers things in the order they are first met; ``new`` lists those met lately."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self.new.append(key)
+        n = self[key] = len(self)
+        return n
+
+
 class _ByteLevel(dict):
     """Characters as the tokenizers library writes their bytes."""
 
@@ -67,7 +79,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbers()
         self.pool, self.begins, self.lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         self.size = 0
 
@@ -103,7 +115,6 @@ class Encoder:
         for k, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[k].decode() for k in rest], add_special_tokens=False), strict=True):
             found[k] = e.ids
         n = np.fromiter(map(len, found), np.int64, len(found))
-        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
         self.pool.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(n.sum())))
         self.begins.append(self.size + np.cumsum(n) - n)
         self.lengths.append(n)
@@ -117,12 +128,12 @@ class Encoder:
             self._forget()
         chunks = [t.split() for t in texts]
         every = list(itertools.chain.from_iterable(chunks))
-        new = set(every).difference(self.known)
-        if new:
-            self._learn(list(new))
+        which = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
         pool, begins, lengths = (x[0] if len(x) == 1 else np.concatenate(x) for x in (self.pool, self.begins, self.lengths))
         self.pool, self.begins, self.lengths = [pool], [begins], [lengths]
-        which = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
         size = lengths[which]
         end = np.cumsum(size)
         total = int(end[-1]) if len(end) else 0
@@ -167,6 +178,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None
     Empty table: no files. Texts of any length are encoded whole. No other column is read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or new_folder(spark, "token-files")
     folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(text_col).cast("binary").alias("text"))
