@@ -92,6 +92,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where(F.char_length("key") >= min_chars)
         .select("id", "text_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
     )
+    lines = save(lines, "line-hashes")
     keys = save(lines.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")), "line-keys")
     shared = keys.where("lo < hi")
     shards = int(min(MOST_SHARDS, -(-shared.count() // SHARD_KEYS) or 1))
@@ -103,7 +104,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     probes = lines.select("*", shard).join(F.broadcast(load), "shard")
     probes = probes.select("shard", F.pmod(F.xxhash64("id", "pos"), F.col("copies")).cast("int").alias("copy"), F.lit(None).cast("binary").alias("blob"), "h1", "h2", "id", "text_key", "pos")
     both = arrays.unionByName(probes).repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("blob").isNull())
-    return save(both.mapInArrow(_serve, "id long, text_key long, pos int"), "line-drops"), (keys, load)
+    return save(both.mapInArrow(_serve, "id long, text_key long, pos int"), "line-drops"), (lines, keys, load)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
