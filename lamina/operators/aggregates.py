@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.semantics import MAD_SCALE, centred, circular_mean, finite, histogram_bin, median, ordered, ratio, rint, running, wrap_angle
@@ -181,17 +181,19 @@ def line_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 def clipped_line(df: DataFrame, keys: list[str], x: str, y: str, rounds: int = 4, limit: float = 2.5, floor: float = 0.0) -> DataFrame:
     """A least-squares line refitted to the points within ``limit`` scaled MADs of the last one
     (``floor`` at least): every row with fit, residual and used."""
-    rows = df.withColumn("used", F.lit(True))
+    whole = Window.partitionBy(*keys)
+    rows = _against_line(df.withColumn("used", F.lit(True)), whole, x, y)
     for _ in range(rounds):
-        rows = _against_line(rows, keys, x, y)
-        scale = rows.where("used").groupBy(*keys).agg((MAD_SCALE * median(F.abs("residual"))).alias("_s"))
-        rows = rows.join(scale, keys).withColumn("used", F.abs("residual") <= F.greatest(limit * F.col("_s"), F.lit(floor))).drop("_s", "fit", "residual")
-    return _against_line(rows, keys, x, y)
+        scale = MAD_SCALE * median(F.when(F.col("used"), F.abs("residual"))).over(whole)
+        rows = rows.withColumn("_s", scale).withColumn("used", F.abs("residual") <= F.greatest(limit * F.col("_s"), F.lit(floor))).drop("_s", "fit", "residual")
+        rows = _against_line(rows, whole, x, y)
+    return rows
 
 
-def _against_line(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    fit = line_fit(rows.where("used"), keys, x, y).select(*keys, F.col("slope").alias("_a"), F.col("intercept").alias("_b"))
-    return rows.join(fit, keys).withColumn("fit", F.col("_a") * F.col(x) + F.col("_b")).withColumn("residual", F.col(y) - F.col("fit")).drop("_a", "_b")
+def _against_line(rows: DataFrame, whole, x: str, y: str) -> DataFrame:
+    used = lambda c: F.when(F.col("used"), F.col(c))
+    rows = rows.withColumns({"_a": F.regr_slope(used(y), used(x)).over(whole), "_b": F.regr_intercept(used(y), used(x)).over(whole)})
+    return rows.withColumn("fit", F.col("_a") * F.col(x) + F.col("_b")).withColumn("residual", F.col(y) - F.col("fit")).drop("_a", "_b")
 
 
 @_reserve
