@@ -21,10 +21,11 @@ def assign_layers(points: DataFrame, layers: DataFrame, keys: list[str], bins: i
 
 
 def bin_to_boundaries(points: DataFrame, boundaries: DataFrame, keys: list[str], r: str) -> DataFrame:
-    """Adds k, the number of boundaries at or below a radius, by an as-of join."""
-    b = boundaries.select(*keys, F.col("r").cast("double").alias(r)).withColumn("k", F.row_number().over(ordered(keys, r)))
-    joined = matching.asof(points, b, keys, r, ["k"])
-    return joined.withColumn("k", F.coalesce("k", F.lit(0))).drop(f"{r}_right")
+    """Adds k, the number of the key's boundaries at or below a radius. A key has as many
+    boundaries as windings, so they travel as one array; points are not sorted."""
+    b = boundaries.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("r").cast("double"))).alias("_b"))
+    joined = points.join(b, keys, "left") if keys else points.join(F.broadcast(b))  # one row without keys
+    return joined.withColumn("k", F.coalesce(F.size(F.filter("_b", lambda x: x <= F.col(r))), F.lit(0)).cast("long")).drop("_b")
 
 
 def refit_centres(centres: DataFrame, keys: list[str], z: str, columns: list[str], rounds: int = 5, limit: float = 3.0, floor: float = 0.5) -> DataFrame:

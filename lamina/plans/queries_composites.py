@@ -119,9 +119,8 @@ def assign_layers(spark, d):
 @query("bin_to_boundaries", """
 SELECT e.event_id, (SELECT count(*) FROM (SELECT 20.0 * n_nationkey AS r FROM nation) b WHERE b.r <= e.value) AS k FROM events e""")
 def bin_to_boundaries(spark, d):
-    b = table(spark, d, "nation").select(F.lit(0).alias("g"), (20.0 * F.col("n_nationkey")).alias("r"))
-    e = events(spark, d).select(F.lit(0).alias("g"), "event_id", F.col("value").cast("double").alias("value"))
-    return comp.bin_to_boundaries(e, b, ["g"], "value").select("event_id", "k")
+    b = table(spark, d, "nation").select((20.0 * F.col("n_nationkey")).alias("r"))
+    return comp.bin_to_boundaries(events(spark, d).select("event_id", "value"), b, [], "value").select("event_id", "k")
 
 
 @query("refit_centres")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lamina.functions import semantics as sem
-from lamina.kernels import image, signal
+from lamina.kernels import frames, image, signal
 from lamina.operators import kernel_ops as k
 from lamina.operators import matching
 from lamina.plans import spiral
@@ -170,3 +170,15 @@ def robust_polynomial(spark, d):
 def hashed_sample(spark, d):
     """A tenth of the rows, drawn by hash: the same ones however the table is partitioned."""
     return events(spark, d).where(sem.hashed_uniform(F.col("event_id"), seed=3) < 0.1)
+
+
+@query("frame_lines")
+def frame_lines(spark, d):
+    """Lines of each type's series, refined on their own template."""
+    return k.series_places(events(spark, d).select("event_type", "event_id", "value"), ["event_type"], "event_id", "value", lambda a: frames.frame_lines(a, 24.0, 6)[0], "line")
+
+
+@query("feature_coherence")
+def feature_coherence(spark, d):
+    one = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
+    return k.pair_numbers(one.withColumn("b", F.col("a")), ["vec_id"], "a", "b", (8, 8), lambda a, _: {"distance": frames.feature_coherence(a, 4, 3)}, ["distance"])

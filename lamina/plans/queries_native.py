@@ -441,17 +441,17 @@ def arc_columns(spark, d):
 
 
 @query("histogram_match", f"""
-WITH s AS (SELECT 0 AS k, value AS v FROM events WHERE event_type = {FIRST}), r AS (SELECT 0 AS k, value AS v FROM events WHERE event_type <> {FIRST}),
+WITH s AS (SELECT user_id AS k, value AS v FROM events WHERE event_type = {FIRST}), r AS (SELECT user_id AS k, value AS v FROM events WHERE event_type <> {FIRST}),
 cs AS (SELECT k, v, sum(count(*)) OVER (PARTITION BY k ORDER BY v) / CAST(sum(count(*)) OVER (PARTITION BY k) AS DOUBLE) AS q FROM s GROUP BY k, v),
 cr AS (SELECT k, v, sum(count(*)) OVER (PARTITION BY k ORDER BY v) / CAST(sum(count(*)) OVER (PARTITION BY k) AS DOUBLE) AS q FROM r GROUP BY k, v),
 a AS (SELECT cs.*, cr.q AS t0, cr.v AS v0 FROM cs ASOF LEFT JOIN cr ON cs.k = cr.k AND cs.q >= cr.q),
 b AS (SELECT a.*, cr.q AS t1, cr.v AS v1 FROM a ASOF LEFT JOIN cr ON a.k = cr.k AND a.q <= cr.q),
 m AS (SELECT k, v, CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 WHEN t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (q - t0) / (t1 - t0) END AS matched FROM b)
-SELECT s.v AS value, round(m.matched + 1e-7, 5) AS matched FROM s JOIN m ON m.k = s.k AND m.v = s.v""")
+SELECT s.k AS user_id, s.v AS value, round(m.matched + 1e-7, 5) AS matched FROM s JOIN m ON m.k = s.k AND m.v = s.v""")
 def histogram_match(spark, d):
-    one, others = split_by_type(events(spark, d).select("event_type", "value"))
-    whole = lambda df: df.select(F.lit(0).alias("k"), "value")
-    return interp.histogram_match(whole(one), whole(others), ["k"], "value").select("value", F.round(F.col("matched") + 1e-7, 5).alias("matched"))
+    one, others = split_by_type(events(spark, d).select("event_type", "user_id", "value"))
+    out = interp.histogram_match(one.select("user_id", "value"), others.select("user_id", "value"), ["user_id"], "value")
+    return out.select("user_id", "value", F.round(F.col("matched") + 1e-7, 5).alias("matched"))
 
 
 @query("z_fill", f"""
