@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows of documents.
 
 Every item has a 64-bit SimHash of its weighted shingles. A document's windows of the item's
-length are fingerprinted alike; a window without enough weight in benchmark shingles cannot be
+length are fingerprinted alike; a document shorter than the item is one window as a whole. A window
+without enough weight in benchmark shingles, or a whole document too light for the items, cannot be
 similar to any item, so those alone are passed over. Fingerprints are looked up in a multi-index:
 eight blocks of eight bits, each with every key at most FLIPS bits away. Two fingerprints at most
 RADIUS apart agree to within FLIPS bits in some block, so none within the radius is missed. Exact
@@ -84,6 +85,7 @@ class _Group:
 
     def __init__(self, length: int, size: int, items: list[tuple[int, np.ndarray, np.ndarray]]):
         self.length, self.size, self.items = length, size, items
+        self.least = min(int(w.sum()) for _, _, w in items)
         self.prints = np.concatenate([_pack((_signs(h) * w[:, None]).sum(axis=0)[None]) for _, h, w in items])
         keys = self.prints.view(np.uint8).reshape(-1, BLOCKS)
         self.lists = []
@@ -150,8 +152,10 @@ class Index:
         found = []
         for g in (g for g in self.groups if g.size == size):
             m = g.length - size + 1
-            if m > len(h):
-                continue
+            if m > len(h):  # the whole document is the one window
+                m = len(h)
+                if upto[-1] < threshold * g.least - 1e-9:  # too light to be similar to any
+                    continue
             inside, total = hit_upto[m:] - hit_upto[:-m], upto[m:] - upto[:-m]
             starts = np.flatnonzero(inside >= threshold * total - 1e-9)
             for lo in range(0, len(starts), 512):
@@ -162,7 +166,7 @@ class Index:
                     item, ih, iw = g.items[i]
                     s = similarity(h[p : p + m], weight[p : p + m], ih, iw)
                     if s >= threshold - 1e-12:
-                        found.append((item, p, p + g.length, s))
+                        found.append((item, p, p + m + size - 1, s))
         return _best(found)
 
     @staticmethod
@@ -216,10 +220,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, th
     similarity.
 
     Words are split at [\\x20\\x09-\\x0D], A-Z lower-cased, punctuation of ASCII around them
-    removed; words of punctuation alone don't count. A window has as many words as the item. Its
-    similarity is the weighted Jaccard similarity of the multisets of shingles, a shingle weighing
-    the bytes of its words (a word 255 at most). Items with fewer words than ``shingle_words`` are
-    one shingle. Of overlapping windows for one item the most similar counts, ties to the first.
+    removed; words of punctuation alone don't count. A window has as many words as the item; a
+    document with fewer words is one window as a whole. Its similarity is the weighted Jaccard
+    similarity of the multisets of shingles, a shingle weighing the bytes of its words (a word 255
+    at most). Items with fewer words than ``shingle_words`` are one shingle. Of overlapping windows
+    for one item the most similar counts, ties to the first.
 
     Null or empty texts and items match nothing. Null ids stay null in the rows. Repeated rows
     repeat theirs. Empty tables give no rows. Other columns are not read.

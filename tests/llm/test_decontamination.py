@@ -85,3 +85,28 @@ def test_edges(spark):
     assert decontaminate(frame, bench).columns == frame.columns
     assert find_leaks(docs_frame(spark, []), bench).count() == 0
     assert find_leaks(frame, bench.limit(0)).count() == 0
+
+
+def test_documents_shorter_than_items_against_brute_force(spark):
+    _, items = corpus()
+    docs = []
+    for _, text in items[:30]:
+        w = text.split()
+        for some in (w[:-1], w[1:], w[:-2], w[2:-1], w[: len(w) * 3 // 4], w[: len(w) // 2], w[:5], w[:4]):
+            docs.append((len(docs), " ".join(some)))
+    docs += [(900, "one"), (901, "two one"), (902, "...")]
+    want = brute(docs, items)
+    for d, text in docs:
+        for i, item in items:
+            w, v = words(text), words(item)
+            if 5 <= len(w) < len(v):  # the whole document is the one window
+                a, b = shingles(v, 5), shingles(w, 5)
+                weigh = lambda c: sum(n * sum(map(len, s)) for s, n in c.items())
+                s = weigh(a & b) / weigh(a | b)
+                if s >= 0.8:
+                    want[d, i] = round(s, 9)
+    frame, bench = docs_frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    rows = find_leaks(frame, bench).collect()
+    assert len(want) > 60 and {(r.doc_id, r.item_id): round(r.similarity, 9) for r in rows} == want
+    assert all((r.first_word, r.last_word) == (0, len(words(docs[r.doc_id][1]))) for r in rows)
+    assert {r.doc_id for r in decontaminate(frame, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
