@@ -20,9 +20,20 @@ NODES = 2 ** (DEPTH + 1) - 1
 BEFORE, AFTER = 64, 32
 # What a candidate is made of, and the words that speak for or against it.
 CANDIDATE = r"[A-Za-z0-9+/_.=\-]{16,}"
-KEYWORDS = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth(?:orization)?|bearer|credentials?|private[_\-]?key|key)[\x22']?\s*(?:[=:]|=>)?\s*[\x22']?$"
+_NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth(?:orization)?|bearer|credentials?|private[_\-]?key|key)"
+KEYWORDS = rf"(?i){_NAMES}[\x22']?\s*(?:[=:]|=>)?\s*[\x22']?$"
 HARMLESS = r"(?i)(?:sha\d*|md5|commit|checksum|hash|digest|uuid|guid|etag|integrity|order|invoice|card|phone|tel|version|file|path|see|page|isbn|doi|id)[\x22']?\s*(?:[=:#])?\s*[\x22']?$"
-PREFIX = r"^(?:AKIA|ASIA|gh[opsu]_|xox[abprs]-|sk_live_|sk_test_|eyJ|AIza|glpat-|npm_)"
+_PREFIXES = "(?:AKIA|ASIA|gh[opsu]_|xox[abprs]-|sk_live_|sk_test_|eyJ|AIza|glpat-|npm_)"
+PREFIX = "^" + _PREFIXES
+#: A run is a candidate with a digit, with a capital behind a small letter, or with a key's prefix.
+TELLING = "[0-9]|[a-z][A-Z]|(?:^|[^A-Za-z0-9])" + _PREFIXES
+#: An assignment: its name and what stands before the value, and the value: VALUE_CHARS or more of
+#: any characters but spaces, to the closing quote, if quoted, or else to the next assignment, a tag
+#: or punctuation before a space. (Behind 256 characters to the next space: Java would recurse.)
+VALUE_CHARS = 6
+_HEAD = rf"(?i){_NAMES}[\x22']?\s*+(?:=>|:=|[=:]++)\s*+(?:(?:bearer|basic)\s++)?+[\x22'`]?+"
+_PLAIN = r"(?!</|[&;,][\x22']?[A-Za-z_]\w{0,30}[\x22']?[=:]|[,;.:)\]}>\x22'`]{0,8}+(?:\s|$))\S"
+ASSIGNED = rf"{_HEAD}(?![^\sA-Za-z0-9]{{0,8}}{_NAMES}[\x22']?\s{{0,8}}[=:])(?:(?<=\x22)[^\x22\s]{{{VALUE_CHARS},}}+(?=\x22)|(?<=')[^'\s]{{{VALUE_CHARS},}}+(?=')|(?:{_PLAIN}){{256}}+\S*+|(?:{_PLAIN}){{{VALUE_CHARS},255}}+)"
 PLACEHOLDER = r"(?i)(.)\1{4,}|example|changeme|placeholder|your|dummy|0123456|123456789|abcdefg|xxxx"
 FILE = r"(?i)\.(?:com|org|net|edu|gov|io|html?|php|png|jpe?g|gif|svg|js|css|py|java|txt|md|json|xml|ya?ml|pdf|zip|gz)(?:$|[/.])"
 WORDS = "about account address after again all also and any app are back base been before block body build button call can case change class client code color com common config content control copy count create current data date default delete device docs document each edit element email end error event every example file first font for form from full function get git global group have head help home html http image index info input into item java key label last level line link list load local lock log login main make map master media member menu message method model module more name net new next node not number object open option order org other out over page param part path people phone photo post print product public query read record request return right root save script search section select send server service session set show site size source start state status string style system table test text that the their there these this time title tool top type update upload user value version video view was web what when where which will window with word work world www year you your".split()
@@ -69,23 +80,37 @@ def features(candidate: Column, before: Column, after: Column) -> Column:
     )
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each candidate of each text: id, nth (from 0), start (in code points, from 0), candidate,
-    before and after. A candidate is a run of 16 or more of CANDIDATE's characters with a digit,
-    or with a capital behind a small letter."""
+def _hits(docs: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
+    """Each match of each text: id, nth, end of what stands before it, the match, and the text
+    between it and its neighbours (left and right)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("hits"), text.alias("whole")).where(F.size("hits") > 0)
-    found = found.select("id", "hits", F.split("whole", CANDIDATE, -1).alias("gaps"))
+    found = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), text.alias("whole")).where(F.size("hits") > 0)
+    found = found.select("id", "hits", F.split("whole", pattern, -1).alias("gaps"))
     found = found.withColumn("ends", F.transform(F.sequence(F.lit(1), F.size("hits")), lambda k: F.aggregate(F.slice("gaps", 1, k), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("hits", 1, k - 1), F.lit(0), lambda a, x: a + F.length(x))))
     rows = found.select("id", F.posexplode(F.arrays_zip("hits", "ends", F.slice("gaps", 1, F.size("hits")).alias("left"), F.slice("gaps", 2, F.size("hits")).alias("right"))).alias("nth", "x"))
-    rows = rows.select("id", "nth", F.col("x.ends").alias("start"), F.col("x.hits").alias("candidate"), F.right(F.col("x.left"), F.lit(BEFORE)).alias("before"), F.left(F.col("x.right"), F.lit(AFTER)).alias("after"))
-    return rows.where(F.col("candidate").rlike("[0-9]|[a-z][A-Z]"))
+    return rows.select("id", "nth", F.col("x.ends").alias("end"), F.col("x.hits").alias("hit"), F.col("x.left").alias("left"), F.col("x.right").alias("right"))
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each candidate of each text: id, nth, start (in code points, from 0), candidate, before and
+    after. Runs of 16 or more of CANDIDATE's characters that are TELLING are candidates, and so are
+    the values of ASSIGNED that lie in no such run. nth counts from 0 for runs, and from -1
+    downwards for assignments."""
+    runs = _hits(docs, id_col, text_col, CANDIDATE).where(F.col("hit").rlike(TELLING))
+    runs = runs.select("id", "nth", F.col("end").alias("start"), F.col("hit").alias("candidate"), F.right("left", F.lit(BEFORE)).alias("before"), F.left("right", F.lit(AFTER)).alias("after"))
+    values = _hits(docs, id_col, text_col, ASSIGNED).withColumn("head", F.regexp_extract("hit", "^" + _HEAD, 0))
+    values = values.select("id", (-1 - F.col("nth")).alias("nth"), (F.col("end") + F.length("head")).alias("start"), F.substr("hit", F.length("head") + 1).alias("candidate"), F.right(F.concat("left", "head"), F.lit(BEFORE)).alias("before"), F.left("right", F.lit(AFTER)).alias("after"))
+    one = CANDIDATE.split("{")[0]
+    run = F.concat(F.regexp_extract("before", one + "*$", 0), "candidate", F.regexp_extract("after", f"^{one}*", 0))
+    inside = F.col("candidate").rlike(f"^{one}+$") & (F.length(run) >= 16) & run.rlike(TELLING)
+    return runs.unionByName(values.where(~inside))
 
 
 def labelled_findings(spark: SparkSession, rows: int = 6_000, seed: int = SEED) -> DataFrame:
     """Findings as a review would label them, made from a rule: candidate, before, after and label
     (1: a secret). Kinds of secrets: assigned passwords and tokens, cloud and service keys, signed
-    tokens. Of others: numbers, hosts, paths, words, identifiers, checksums, placeholders."""
+    tokens, short passwords, pass phrases. Of others: numbers, hosts, paths, words, identifiers,
+    checksums, placeholders, and words and code behind a secret's name."""
     r = lambda salt, n: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(salt)), F.lit(n))
     hexa = F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{seed}")), 512)
     hex_upper = F.upper(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"+{seed}")), 512))
@@ -97,6 +122,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000, seed: int = SEED)
     digits = F.translate(F.left(hexa, F.lit(24)), "abcdef", "493817")
     name = F.array_join(F.array(*map(word, "abcd")), "\0")
     name = F.replace(name, F.lit("\0"), pick("join", ["_", "-", ".", "/", ""]))
+    assign = ["password: ", "db_password: ", 'password = "', "passwd=", "pwd: ", "secret: ", "secret=", "token: ", "api_key = '", "auth_token=", "passphrase: ", "credentials: "]
     kinds = [  # candidate, what ends the text before it, what follows, label
         (F.concat(pick("k", ["password=", "passwd=", "pwd=", "secret=", "token=", "api_key=", "auth="]), F.left(hexa, F.lit(12) + r("n", 24).cast("int"))), F.concat(word("w"), F.lit(" ")), F.concat(F.lit(" "), word("x")), 1),
         (F.left(hexa, pick("n", [32, 40, 64])), pick("k", ['token = "', 'secret: "', "api_key = '", 'access_key="', "Authorization: Bearer ", "private_key: "]), pick("q", ['"', "'", " "]), 1),
@@ -114,6 +140,14 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000, seed: int = SEED)
         (F.concat_ws("-", F.substring(hexa, 1, 8), F.substring(hexa, 9, 4), F.substring(hexa, 13, 4), F.substring(hexa, 17, 4), F.substring(hexa, 21, 12)), pick("k", ["uuid ", "id: ", "guid=", 'id="', "session "]), pick("q", [" ", '"']), 0),
         (F.concat(pick("k", ["password=", "token=", "api_key=", "secret="]), pick("v", ["xxxxxxxxxxxxxxxx", "your_token_here_1", "changeme123456789", "example-key-0123456789", "placeholder000000", "aaaaaaaaaaaaaaaaaaaa1"])), F.concat(word("w"), F.lit(" ")), F.lit(" "), 0),
         (F.concat_ws(".", r("a1", 30).cast("string"), r("a2", 300).cast("string"), r("a3", 3000).cast("string"), F.lit("2024-01-17"), F.lit("rc1")), pick("k", ["version ", "v", "page "]), F.lit(" "), 0),
+        (F.left(hexa, F.lit(8) + r("n", 8).cast("int")), pick("k", assign), pick("q", ['"', " ", "\n", ", "]), 1),
+        (F.concat(F.lit("a"), F.left(plain, F.lit(4) + r("n", 5).cast("int")), pick("s", ["!", "#", "$", "@", "%", "&", "*", ""]), F.right(plain, F.lit(2) + r("m", 4).cast("int")), r("d", 99).cast("string")), pick("k", assign), pick("q", ['"', " ", "\n", ", "]), 1),
+        (F.concat(F.initcap(word("a")), pick("s", ["!", "#", "$", "@", "_"]), F.initcap(word("b")), r("d", 9999).cast("string"), pick("t", ["", "!", "?"])), pick("k", assign), pick("q", ['"', " ", "\n"]), 1),
+        (F.left(made, F.lit(18) + r("n", 12).cast("int")), pick("k", assign), pick("q", ['"', " ", "\n", ". "]), 1),
+        (F.concat(pick("k", ["AKIA", "ASIA"]), F.left(F.translate(hex_upper, "0123456789", "QWXZJKLMNP"), F.lit(16))), F.concat(word("w"), pick("s", [" ", ": ", "=", ' "'])), F.concat(pick("s2", [" ", '"', ", "]), word("x")), 1),
+        (F.left(made, F.lit(6) + r("n", 8).cast("int")), pick("k", [*assign, "key: ", "The key: ", "pass: "]), F.concat(pick("q", [" ", ", ", ". "]), word("x")), 0),
+        (F.concat(word("a"), pick("s", ["_", "-", ".", "/", ""]), word("b"), pick("t", ["", "", "()", "[0]", "s"])), pick("k", [*assign, "key: ", "pass: "]), F.concat(pick("q", [" ", ", ", ". ", "\n"]), word("x")), 0),
+        (F.concat(pick("s", ["${", "{{", "<", "$", "%", "["]), F.when(r("u", 2) == 0, F.upper(word("a"))).otherwise(word("a")), F.lit("_"), word("b"), pick("t", ["}", "}}", ">", "", "%", "]"])), pick("k", assign), pick("q", ['"', " ", "\n"]), 0),
     ]
     kind = r("kind", len(kinds))
     options = [F.when(kind == k, F.struct(c.alias("candidate"), b.alias("before"), a.alias("after"), F.lit(y).alias("label"))) for k, (c, b, a, y) in enumerate(kinds)]
@@ -199,7 +233,7 @@ def train(findings: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED) -> Fore
 
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every candidate of every text with the forest's score: doc_id, nth, start, candidate,
+    """Every candidate of every text (see candidates()) with the forest's score: doc_id, nth, start, candidate,
     before, after, score (0 to 1) and secret (score >= ``threshold``). ``findings`` are labelled
     ones to learn from; labelled_findings() unless given.
 
