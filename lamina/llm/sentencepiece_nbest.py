@@ -5,7 +5,8 @@ follows another character, and around line breaks. In each such segment a forwar
 gives the score of the best way to every position; these scores are the exact heuristic of an A*
 search that runs backward from the end and meets complete segmentations in falling order of
 score. Segments are learned in batches: the forward and the backward pass give the best
-segmentation and how far the second is behind it. The N best of a text can differ from the best
+segmentation and how far the second is behind it; of equal ones both they and A* take the longest
+last piece, then the longest before it. The N best of a text can differ from the best
 only in the N - 1 segments whose second segmentations are nearest; A* lists those.
 
 Scores are integers (millionths), so sums are exact. A unigram model's scores are its own; a BPE
@@ -238,7 +239,7 @@ class Segmenter:
         for j in range(1, width + 1):
             for k in range(min(most, j)):
                 via = forward[:, j - k - 1] + score[k, :, j - k - 1]
-                better = via > forward[:, j]
+                better = via >= forward[:, j]  # ties: the longest last piece, as in A*
                 forward[better, j], back[better, j] = via[better], k
         everyone = np.arange(rows)
         backward = np.full((rows, width + 1), NEVER, np.int64)
@@ -275,7 +276,6 @@ class Segmenter:
                 self.listed.clear()
             k = self.known[segment]
             best = (int(self.score[0][k]), self.pool[0][self.begin[0][k] : self.begin[0][k] + self.length[0][k]].tolist())
-            # of equally good ones the batch may have met another first
             self.listed[segment] = [best, *(x for x in Lattice(self.vocabulary, segment).n_best(self.n) if x[1] != best[1])][: self.n]
         return self.listed[segment]
 
@@ -345,9 +345,9 @@ def encode(docs: DataFrame, model: str, n: int = 1, id_col: str = "doc_id", text
     """doc_id and segmentations, an array of the up to ``n`` best (score, ids), best first.
 
     ``model`` is the path of a SentencePiece model file, on every machine. Scores are sums of log
-    probabilities in millionths. Of segmentations with equal scores any may come, always the same;
-    a text has fewer than ``n`` only if it can be cut in no more ways. Characters without a piece
-    become bytes. A null or empty text has one segmentation without ids and score 0. Null ids stay
+    probabilities in millionths. Of best segmentations with equal scores the one with the longest
+    last piece comes, then the longest before it; of others any, always the same. A text has fewer
+    than ``n`` only if it can be cut in no more ways. Characters without a piece become bytes. A null or empty text has one segmentation without ids and score 0. Null ids stay
     null; repeated rows repeat; an empty table gives no rows. Texts of any length are cut whole.
     Other columns are not read.
     """

@@ -86,3 +86,15 @@ def test_frames(spark):
     best = sp.best_ids(frame, MODEL)
     assert sorted((r.doc_id or 0, r.text) for r in sp.decode(best, MODEL).collect()) == sorted((i or 0, t or "") for i, t in rows)
     assert sp.digest(docs_frame(spark, []), MODEL).count() == 0
+
+
+def test_ties_fall_alike_in_batches_and_lattices():
+    v, rng = small(), random.Random(8)
+    words = sorted({"".join(rng.choices("abcé ", [6, 6, 3, 1, 1], k=rng.randint(1, 32))) for _ in range(400)})
+    for n in (1, 3):
+        segmenter = sp.Segmenter(v, n)
+        segmenter._learn_batch(words)
+        pool = np.concatenate(segmenter.pool)
+        begin, length = np.concatenate(segmenter.begin), np.concatenate(segmenter.length)
+        for w, b, k in zip(words, begin, length, strict=True):
+            assert pool[b : b + k].tolist() == sp.Lattice(v, w).n_best(1)[0][1]
