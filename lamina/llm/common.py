@@ -6,8 +6,10 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import sys
 import tempfile
+import time
 import types
 import uuid
 import zlib
@@ -16,26 +18,42 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that count as white space, as in [\x20\x09-\x0D].
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 BATCH_BYTES = 8 << 20
+#: Seconds between two calls for the driver's garbage, so that shuffle files which nothing needs go.
+TIDY_SECONDS = 5.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _written: list[tuple[SparkSession, str]] = []
+_tidied = 0.0
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is
-    unset (a local session), a temporary folder that is then set for the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a
+    local session gets a temporary folder; on a cluster executors could not read it, so there it is
+    an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share ({master})")
         at = "file://" + tempfile.mkdtemp(prefix="lamina-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI; without a scheme it lies on the cluster's default file system."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub("^file:/+", "file:///", uri)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the scratch folder that nothing else uses; it goes when the driver ends."""
     path = f"{scratch(spark)}/lamina/{name}-{uuid.uuid4().hex}"
@@ -54,11 +72,33 @@ def save(df: DataFrame, name: str) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._lamina_path = path
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files that nothing needs any more can go
+    tidy(spark)
     return out
 
 
+def park(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept on the executors' disks until drop(). What a lost executor
+    held is computed again, from the saved tables that ``df`` comes from."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def drop(*parked: DataFrame) -> None:
+    for df in parked:
+        df.unpersist()
+    if parked:
+        tidy(parked[0].sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let shuffle files go that nothing needs any more: they stay until the driver collects its
+    garbage. At most once in TIDY_SECONDS."""
+    global _tidied
+    if time.monotonic() - _tidied >= TIDY_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _tidied = time.monotonic()
+
+
 def forget(*saved: DataFrame) -> None:
     """Delete tables made by save() that nothing will read again."""
     for df in saved:

@@ -6,12 +6,17 @@ borrows the register of another, chosen by fixed priorities. Bands of registers
 registers that agree estimate their Jaccard similarity (corrected for chance collisions), and
 full shingle sets confirm them.
 
-Equal sets are one node from the start. In each band's bucket a node is first paired with the
-bucket's best connected node alone; the best such pair of each node is confirmed and components
-are formed. Only nodes of one bucket that are still in different components are then compared
-with each other, in blocks, each pair in the first band it shares.
-So large groups of near copies don't cost all their pairs, and no linked pair that shares a band
-goes untested. With 38 bands of 5, a pair at similarity 0.8 shares none with probability 3e-7.
+Equal sets are one node from the start. In each band's bucket every node is first paired with the
+bucket's best connected node alone; the pair of each node that shares most bands is estimated and
+confirmed, and components are formed. Where that leaves many pairs in buckets of several
+components, the nodes outside a bucket's largest component get pivots of their own, and so on. The
+nodes still outside are then compared with all of their bucket, in blocks, each pair in the first
+band it shares. So large groups of near copies don't cost all their pairs, and no linked pair that
+shares a band goes untested. With 38 bands of 5, a pair at similarity 0.8 shares none with
+probability 3e-7.
+
+Hot groups: exact copies meet as partial minima; a bucket that holds a large part of all nodes is
+a key of joins between two exchanges, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import WordHashes, forget, free, in_worker, mix64, portions, save, small_batches
+from lamina.llm.common import WordHashes, drop, forget, free, in_worker, mix64, park, portions, save, small_batches
 from lamina.llm.components import connected_components
 from lamina.llm.shingles import shingle_set
 
@@ -32,9 +37,10 @@ BUCKETS = BANDS * ROWS
 #: Bytes of text sketched at once; nodes of a bucket compared at once, and their shingles; standard deviations that
 #: an estimate may fall short of the threshold (of BUCKETS independent registers).
 TEXT_BYTES, BLOCK, BLOCK_SHINGLES, SLACK = 4 << 20, 1024, 400_000, 6
+#: Pairs a node that may be left to blocks before more pivots are tried, and rounds of these.
+PAIRS, ROUNDS = 200, 4
 #: Registers of independent sets agree with probability 4 * CHANCE / 2**MANTISSA * ab / (a+b)**2.
 CHANCE = 0.169919
-_NODE = "id long, n int, regs binary"
 _PAIR = "a long, b long"
 
 
@@ -117,29 +123,32 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross(floor: float, percent: int):
-    """Links between different components of one bucket's block pair (x, y). Pairs are taken by
-    falling estimate and confirmed on their full sets; a pair that earlier links have connected
-    needs no test. A pair that shares several bands is tested in the first alone."""
+    """Links between components of one bucket: its rows of side 0, which are outside the largest
+    component, with those of side 1. Pairs are taken by falling estimate and confirmed on their
+    full sets; a pair whose components earlier links have connected needs no test. A pair that
+    shares several bands is tested in the first alone. Gives pairs of components."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, part, n = (table[c].to_numpy() for c in ("id", "component", "n"))
-        block, x, y, band = table["block"].to_numpy(), *(table[c][0].as_py() for c in ("x", "y", "band"))
+        ids, part, n, outside, side = (table[c].to_numpy() for c in ("id", "component", "n", "outside", "side"))
+        band = table["band"][0].as_py()
         regs = _registers(table["regs"])
-        flat, bounds = table["shingles"].chunk(0).flatten().to_numpy(), table["shingles"].chunk(0).offsets.to_numpy()
+        column = table["shingles"].chunk(0)
+        flat, bounds = column.flatten().to_numpy(), column.offsets.to_numpy()
         shingles = [flat[lo - bounds[0] : hi - bounds[0]] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         found = []
         for lo in range(0, len(left), 32):
             rows = left[lo : lo + 32]
             lengths = 100 * np.minimum(n[rows, None], n[None, right]) >= percent * np.maximum(n[rows, None], n[None, right])
-            i, j = np.nonzero((part[rows, None] != part[None, right]) & lengths & ((ids[rows, None] < ids[None, right]) if x == y else True))
+            once = ~outside[None, right] | (ids[rows, None] < ids[None, right])  # two outside meet twice
+            i, j = np.nonzero((part[rows, None] != part[None, right]) & lengths & once)
             for at in range(0, len(i), 4096):
                 p, q = rows[i[at : at + 4096]], right[j[at : at + 4096]]
                 same = regs[p] == regs[q]
                 score = estimate(same.mean(axis=1), n[p].astype(float), n[q].astype(float))
                 first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-                found.append(np.stack([p, q, np.where(first, score, -1)])[:, first & (score >= floor)])
+                found.append(np.stack([p, q, score])[:, first & (score >= floor)])
         p, q, score = np.concatenate([np.zeros((3, 0)), *found], axis=1)
         root: dict[int, int] = {}
 
@@ -157,7 +166,7 @@ def _cross(floor: float, percent: int):
                 common = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
                 if 100 * common >= percent * (len(shingles[i]) + len(shingles[j]) - common):
                     root[max(a, b)] = min(a, b)
-                    links.append((ids[i], ids[j]))
+                    links.append((part[i], part[j]))
         a, b = np.array(links, np.int64).reshape(-1, 2).T
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
@@ -173,6 +182,41 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * total).select("a", "b")
 
 
+def _best_stars(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(a, b): each member with the pivot of its buckets that it shares most of them with."""
+    stars = members.select("key", "id").join(pivots, "key").where("id <> pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("shared"))
+    return stars.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("other"))).alias("best")).select("a", (-F.col("best.other")).alias("b"))
+
+
+def _pivots(members: DataFrame) -> DataFrame:
+    """(key, pivot): the member that shares most, over all bands, is nearest to the middle."""
+    return park(members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("other"))).alias("best")).select("key", (-F.col("best.other")).alias("pivot")))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Buckets of several components: the largest one, the pairs between the nodes outside it and
+    all, and into how many blocks these (x) and those (y) are dealt."""
+    each = placed.groupBy("key", "component").agg(F.count("*").alias("many"), F.sum("n").alias("n"))
+    whole = each.groupBy("key").agg(F.max(F.struct("many", (-F.col("component")).alias("other"), "n")).alias("top"), F.sum("many").alias("many"), F.sum("n").alias("n"), F.count("*").alias("components")).where("components > 1")
+    blocks = lambda many, n: F.greatest(F.ceil(many / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    out, out_n = F.col("many") - F.col("top.many"), F.col("n") - F.col("top.n")
+    return park(whole.select("key", (-F.col("top.other")).alias("largest"), (out * F.col("many")).alias("pairs"), blocks(out, out_n).alias("xs"), blocks(F.col("many"), F.col("n")).alias("ys")))
+
+
+def _in_blocks(placed: DataFrame, mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of mixed buckets, a copy for each pair of blocks that they meet in: those
+    outside the largest component (side 0) in one x and every y, all (side 1) in one y and every x."""
+    rows = placed.select("key", "band", "id", "component").join(mixed, "key").withColumn("outside", F.col("component") != F.col("largest"))
+    rows = rows.join(nodes.select("id", "n", "regs"), "id").join(sets, "id")
+    block = lambda many: F.pmod(F.xxhash64("id"), many).cast("int")
+    cell = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), F.lit(side).alias("side"))
+    upto = lambda many: F.sequence(F.lit(0), F.col(many) - 1)
+    as_all = F.transform(upto("xs"), lambda x: cell(x, block(F.col("ys")), 1))
+    as_outside = F.transform(upto("ys"), lambda y: cell(block(F.col("xs")), y, 0))
+    cells = F.when(F.col("outside"), F.concat(as_all, as_outside)).otherwise(as_all)
+    return rows.withColumn("cell", F.explode(cells)).select("key", "band", "cell.x", "cell.y", "cell.side", "id", "component", "outside", "n", "regs", "shingles")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with columns n_shingles, component_id and kept.
 
@@ -183,59 +227,71 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     Null or empty texts, or texts without words, have an empty set and are linked with nothing.
     Null ids: such a row is linked with nothing, has a null component and is kept. Rows with the
-    same id are one document for links, and are all kept or not. Empty table: no rows.
-    Other columns pass through; a new column whose name is taken gets an underscore.
+    same id are one document for links, whatever their texts, and are all kept or not. Empty
+    table: no rows. Other columns pass through; a new column whose name is taken gets an
+    underscore.
     """
     small_batches(docs.sparkSession)
     floor = percent / 100 - SLACK * (0.16 / BUCKETS) ** 0.5
-    own = [f"__near_{x}" for x in ("id", "key", "n", "component")]
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     text_key = lambda c: F.xxhash64(c, F.octet_length(c))
-    rows = save(source.select(F.struct("id", text_key(F.col("text")).alias("key")).alias("row"), "text").mapInArrow(_sketches(shingle_words), "row struct<id:long,key:long>, n int, set_key binary, regs binary").select("row.id", "row.key", "n", "set_key", "regs"), "near-sketches")
+    sketches = source.select(F.struct("id", text_key(F.col("text")).alias("key")).alias("row"), "text").mapInArrow(_sketches(shingle_words), "row struct<id:long,key:long>, n int, set_key binary, regs binary")
+    rows = save(sketches.select("row.id", "row.key", "n", "set_key", "regs"), "near-sketches")
     usable = rows.where("n > 0 AND id IS NOT NULL")
-    node_of = usable.groupBy("set_key").agg(F.min("id").alias("node"))
-    nodes = save(usable.join(node_of, "set_key").where("id = node").dropDuplicates(["id", "set_key"]).select("id", "n", "regs"), "near-nodes")
+    # rows of one set have the same n and registers, so any of them will do
+    nodes = park(usable.groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.count("*").alias("copies")))
 
     bands = nodes.mapInArrow(_bands, "key long, band int, id long")
-    shared = bands.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("many")).where("first < last")
-    members = save(bands.join(shared.select("key", "many"), "key"), "near-bands")
-    # the node that shares most, over all bands, is nearest to the middle of its group
-    degree = members.groupBy("id").agg(F.sum("many").alias("degree"))
-    pivots = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("other"))).alias("best")).select("key", (-F.col("best.other")).alias("pivot"))
-    stars = members.join(pivots, "key").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
-    scored = stars.join(side("a"), "a").join(side("b"), "b").where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % percent).mapInArrow(_score, _PAIR + ", score double")
-    best = save(scored.where(F.col("score") >= floor).groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("other"))).alias("best")).select("a", (-F.col("best.other")).alias("b")), "near-stars")
+    shared = park(bands.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("many")).where("first < last").select("key", "many"))
+    found = park(bands.join(shared, "key"))
+    degree = found.groupBy("id").agg(F.sum("many").alias("degree")).join(nodes.groupBy("id").agg(F.max("n").alias("n")), "id")
+    members = park(found.join(degree, "id").select("key", "band", "id", "degree", "n"))
+    parked = [nodes, shared, found, members]
 
     wanted = members.select("id").distinct()
     texts = source.join(wanted, "id").withColumn("key", text_key(F.col("text"))).dropDuplicates(["id", "key"]).select("id", "text")
-    sets = save(texts.mapInArrow(_sets(shingle_words), "id long, shingles array<long>"), "near-sets")
-    links = save(_confirmed(best, sets, percent), "near-links")
-    forget(best)
-    parts = connected_components(links, "a", "b")
-
-    placed = members.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(nodes, "id")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("c0 < c1").select("key", "blocks")
-    placed = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    placed = placed.select("key", "band", "x", "y", "block", "id", "component", "n", "regs").join(sets, "id")
-    cross = placed.groupBy("key", "band", "x", "y").applyInArrow(_cross(floor, percent), _PAIR)
-    more = save(links.union(cross), "near-all-links")
-    forget(members, sets, links)
-    parts = connected_components(more, "a", "b")
-    forget(more)
-
-    # from nodes back to documents
-    final = node_of.join(parts.select("node", "component"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    placed = rows.join(final, "set_key", "left").groupBy("id", "key").agg(F.max("n").alias("n"), F.min("component").alias("component"))
-    named = placed.select(*[F.col(c).alias(o) for c, o in zip(("id", "key", "n", "component"), own, strict=True)])
+    sets = park(texts.mapInArrow(_sets(shingle_words), "id long, shingles array<long>"))
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
+    several = park(usable.groupBy("id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("other")).where("one <> other").select("id"))
+    links = usable.select("id", "set_key").join(several, "id").join(nodes.select("set_key", F.col("id").alias("b")), "set_key").select(F.col("id").alias("a"), "b")
+    parked += [sets, several]
+
+    outside, parts = members, None
+    for k in range(ROUNDS):
+        pivots = _pivots(outside)
+        close = _best_stars(outside, pivots).join(side("a"), "a").join(side("b"), "b").where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % percent)
+        likely = park(close.mapInArrow(_score, _PAIR + ", score double").where(F.col("score") >= floor).select("a", "b"))
+        links = park(links.union(_confirmed(likely, sets, percent)))
+        if parts is not None:
+            forget(parts)
+        parts = connected_components(links, "a", "b")
+        placed = park(members.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+        mixed = _mixed(placed)
+        parked += [pivots, likely, links, placed, mixed]
+        left = mixed.agg(F.sum("pairs")).first()[0] or 0
+        if k + 1 == ROUNDS or left <= PAIRS * members.count():
+            break
+        outside = placed.join(mixed.select("key", "largest"), "key").where("component <> largest").drop("component", "largest")
+
+    cross = _in_blocks(placed, mixed, nodes, sets).groupBy("key", "band", "x", "y").applyInArrow(_cross(floor, percent), _PAIR)
+    wider = connected_components(cross, "a", "b")
+
+    # from components to sets, and from these back to documents; most sets stand alone
+    final = nodes.select("set_key", "id", "copies").join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    final = final.join(wider.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").withColumn("least", F.coalesce("least", "component"))
+    final = save(final.where("copies > 1 OR least <> id").groupBy("set_key").agg(F.min("least").alias("component")), "near-components")
+    drop(*parked)
+    forget(parts, wider)
+    alone = "n > 0 AND id IS NOT NULL"
+    mine = rows.where(alone).join(final, "set_key", "left").select("id", "key", "n", "component")
+    mine = mine.union(rows.where(f"NOT ({alone})").select("id", "key", "n", F.lit(None).cast("long")))
+    own = [f"__near_{x}" for x in ("id", "key", "n", "component", "doc", "text")]
+    named = mine.groupBy(F.col("id").alias(own[0]), F.col("key").alias(own[1])).agg(F.max("n").alias(own[2]), F.min("component").alias(own[3]))
     named = save(named, "near-result")
-    forget(rows, nodes)
-    mine = ["__near_doc", "__near_text"]
-    keyed = docs.withColumns({mine[0]: F.col(id_col).cast("long"), mine[1]: text_key(F.col(text_col).cast("binary"))})
-    out = keyed.join(named, F.col(mine[0]).eqNullSafe(F.col(own[0])) & (F.col(mine[1]) == F.col(own[1])), "left")
-    # a document without shingles is its own component
-    component = F.when(F.col(own[2]) > 0, F.col(own[3])).otherwise(F.col(id_col).cast("long"))
-    component = F.when(F.col(id_col).isNull(), None).otherwise(component)
+    forget(rows, final)
+    keyed = docs.withColumns({own[4]: F.col(id_col).cast("long"), own[5]: text_key(F.col(text_col).cast("binary"))})
+    out = keyed.join(named, F.col(own[4]).eqNullSafe(F.col(own[0])) & (F.col(own[5]) == F.col(own[1])), "left")
+    # a document that is linked with nothing, or has no shingles, is its own component
+    component = F.when(F.col(id_col).isNotNull(), F.coalesce(F.col(own[3]), F.col(id_col).cast("long")))
     new = {"n_shingles": F.coalesce(F.col(own[2]), F.lit(0)).cast("long"), "component_id": component, "kept": F.coalesce(component == F.col(id_col).cast("long"), F.lit(True))}
     return out.select(*docs.columns, *[x.alias(free(docs, c)) for c, x in new.items()])

@@ -58,9 +58,10 @@ def corpus(seed):
     return [*rows, (3, ""), (5, None), (7, " \n"), (8, "word"), (9, "Word"), (11, "one two"), (12, "ONE  two")]
 
 
-@pytest.mark.parametrize(("size", "block"), [(2, 1024), (5, 1024), (2, 4)])
-def test_against_brute_force(spark, monkeypatch, size, block):
+@pytest.mark.parametrize(("size", "block", "pairs"), [(2, 1024, 200), (5, 1024, 200), (2, 4, 200), (2, 3, 0)])
+def test_against_brute_force(spark, monkeypatch, size, block, pairs):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "PAIRS", pairs)  # 0: more rounds of pivots
     rows = corpus(size)
     got = near_duplicates(docs_frame(spark, [(*r, "x") for r in rows], ", kept string"), size, 80)
     assert got.columns == ["doc_id", "text", "kept", "n_shingles", "component_id", "kept_"]
@@ -75,6 +76,27 @@ def test_odd_rows(spark):
     assert near_duplicates(docs_frame(spark, []), 2).collect() == []
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    a, b = "one two three four five six", "quite another text of that document"
+    rows = [(4, a), (4, b), (3, b), (7, a), (9, "nothing like them at all here")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs_frame(spark, rows), 2).collect())
+    assert got == [(3, 3, True), (4, 3, False), (4, 3, False), (7, 3, False), (9, 9, True)]
+
+
+def test_one_large_group(spark):
+    """A third of all rows are copies of one text, another third near copies of it."""
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(base)) for i in range(300)]
+    for i in range(300, 600):
+        w = list(base)
+        w[rng.randrange(60)] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join(f"x{i}y{k}" for k in range(30))) for i in range(600, 900)] + [(1000 + i, "") for i in range(300)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs_frame(spark, rows), 2).collect()}
+    assert got == brute(rows, 2)
+
+
 def test_estimates():
     rng, priority = np.random.default_rng(1), near_dedup._priorities()
     for n in (3, 20, 150, 2000):
