@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lamina.llm.boosting import Calibrated
-from lamina.llm.common import free, in_worker, portions, small_batches
+from lamina.llm.common import forget, free, in_worker, portions, save, small_batches
 
 #: Labelled rows that training uses at most, words of the learned lexicon at most, and labelled
 #: documents that must hold such a word.
@@ -142,15 +142,19 @@ def _lexicon(held: DataFrame, half: int, pos: int, neg: int) -> dict[bytes, floa
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from labelled documents that aren't held out: at most ``rows`` of them, those with
-    the smallest hashes of their ids. The lexicon takes words that toxic documents hold more often
-    than others; training judges a document by the lexicon of the half that it isn't in, scoring
-    by that of all."""
+    the smallest hashes of their ids; of several texts of an id, the one of the smallest hash. The
+    lexicon takes words that toxic documents hold more often than others; training judges a
+    document by the lexicon of the half that it isn't in, scoring by that of all. The chosen texts
+    and their words are written once and read for all lexicons and features."""
     label = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & ~_held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = label.orderBy(F.xxhash64("id"), "id").limit(rows).withColumn("half", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(sample), "id")  # `rows` rows at most
-    size = {(r["half"], r["toxic"]): r["n"] for r in sample.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(sample), "id")  # `rows` ids at most
+    texts = texts.groupBy("id", "toxic", "half").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one"))
+    texts = save(texts.select("id", "toxic", "half", "one.text"), "toxic-texts")
+    size = {(r["half"], r["toxic"]): r["n"] for r in texts.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
     held = texts.mapInArrow(_distinct_words, "word binary, toxic int, half int").groupBy("word").agg(*[F.sum(F.when(F.col("half") == h, x).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c, x in (("bad", F.col("toxic")), ("n", F.lit(1)))])
     held = held.where(F.col("n0") + F.col("n1") >= LEAST_DOCS).withColumns({"bad2": F.col("bad0") + F.col("bad1"), "n2": F.col("n0") + F.col("n1")})
+    held = save(held, "toxic-words")
     learned = [_lexicon(held, h, *(sum(size.get((k, t), 0) for k in ((h,) if h < 2 else (0, 1))) for t in (1, 0))) for h in (0, 1, 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
             yield pa.record_batch({"id": b["id"], "toxic": b["toxic"], "x": pa.array(x, pa.list_(pa.float64()))})
 
     found = texts.mapInArrow(run, "id long, toxic int, x array<double>").toArrow().sort_by([("id", "ascending")])
+    forget(texts, held)
     x = np.array(found["x"].to_pylist(), np.float64).reshape(-1, FEATURES)
     return Model(learned[2], x, found["toxic"].to_numpy().astype(np.float64))
 

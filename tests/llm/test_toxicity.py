@@ -57,6 +57,55 @@ def test_no_labels_or_rows(spark):
     assert score_toxicity(docs_frame(spark, []), none).count() == 0
 
 
+def slow_features(text, learned):
+    """The features of a text, word by word."""
+    from math import log1p
+
+    from lamina.llm.toxicity import SECOND_PERSON
+
+    marks, look = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", dict(zip("013457@$!|", "oieastasii", strict=True))
+    words = text.split()
+    if not words:
+        return [0.0] * 21
+    rows = []
+    for w in words:
+        plain = w.lower().strip(marks)
+        undone = "".join(c for c in (look.get(c, c) for c in w.lower()) if "a" <= c <= "z")
+        insult, hidden = plain in INSULTS, plain not in INSULTS and undone in INSULTS and undone != plain
+        weight = learned.get(plain, learned.get(undone) if undone != plain else None)
+        inner = any(a.isalpha() and not b.isalpha() and any(c.isalpha() for c in w.lower()[k + 2 :]) for k, (a, b) in enumerate(zip(w.lower(), w.lower()[1:])))
+        rows.append((insult, hidden, plain in SECOND_PERSON, weight or 0.0, weight is not None, len(plain) > 1 and plain.isalpha() and w.isupper(), any(c.isdigit() for c in plain) and any("a" <= c <= "z" for c in plain), inner, len(plain) == 1))
+    n, total = len(rows), [sum(r[k] for r in rows) for k in range(9)]
+    bad = [k for k, r in enumerate(rows) if r[0] or r[1] or r[3] > 0]
+    you = [k for k, r in enumerate(rows) if r[2]]
+    near = sum(any(b - 5 <= y <= b + 5 for y in you) for b in bad)
+    size = len(text)
+    capitals, small = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
+    return [log1p(n), *(100 * t / n for t in total), log1p(total[0] + total[1]), log1p(total[4]), log1p(total[2]), max(r[3] for r in rows), log1p(near) if bad else 0, 100 * near / n if bad else 0, max((sum(b <= c < b + 50 for c in bad) for b in bad), default=0), 100 * capitals / max(1, capitals + small), 1000 * text.count("!") / size, 1000 * text.count("?") / size, 100 * sum(c in marks[1:15] + marks[15:20] + marks[22:28] for c in text) / size]
+
+
+def test_features_against_a_slow_reference():
+    rng = random.Random(4)
+    learned = {"awful": 2.5, "nice": -1.0, "idot": 1.5}
+    pool = ["idiot", "1d10t", "m.o.r.o.n", "You", "your,", "awful", "a.w.f.u.l", "nice!", "plain", "WORDS", "A", "b2b", "x-y", "!!!", "id0t", "U", "STUPID", "st-upid?", "12", "ok"]
+    for _ in range(200):
+        text = " ".join(rng.choices(pool, k=rng.randint(0, 90)))
+        got = features(text.encode(), Words({k.encode(): v for k, v in learned.items()}))
+        assert np.allclose(got, slow_features(text, learned), rtol=1e-5), text
+
+
+def test_training_texts_are_bounded(spark, monkeypatch):
+    """An id that repeats with many texts is learned from once."""
+    from lamina.llm import toxicity
+
+    seen, plain = [], toxicity.Calibrated
+    monkeypatch.setattr(toxicity, "Calibrated", lambda x, y: seen.append(len(y)) or plain(x, y))
+    rows, labels = data()
+    rows += [(i, f"{t} again {k}") for i, t in rows[:5] for k in range(20)]
+    score_toxicity(docs_frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), train_rows=300)
+    assert seen == [300]
+
+
 def test_features():
     w = Words({})
     assert not features(b"", w).any() and not features(b" \n", w).any()
