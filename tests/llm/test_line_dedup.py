@@ -51,6 +51,30 @@ def test_empty(spark):
     assert dedup_lines(docs_frame(spark, [])).collect() == []
 
 
+def test_shards_answer_by_counts_and_refuse_other_lines():
+    rng = np.random.default_rng(3)
+    h1, h2 = rng.integers(-(2**63), 2**63, (2, 5000))
+    first = rng.integers(0, 900, 5000)
+    last = first + np.where(rng.random(5000) < 0.4, rng.integers(1, 9, 5000), 0)
+    blob = line_dedup._pack(h1, h2, first, last)
+    assert len(blob) < 5000 * (2 + 1 + 1) + 8 * (first < last).sum() + 500  # compact
+    shard = line_dedup.Shard(blob)
+    pick = rng.integers(0, 5000, 20_000)
+    doc = np.where(rng.random(20_000) < 0.5, first[pick], last[pick])
+    want = np.flatnonzero((first < last)[pick] & (doc != first[pick]))
+    assert shard.repeats(h1[pick], h2[pick], doc).tolist() == want.tolist()
+    with pytest.raises(ValueError):
+        shard.repeats(h1[:50] + 1, h2[:50], doc[:50])
+
+
+def test_hashes_that_mix_alike_get_another_seed():
+    h1 = np.array([3, 9], np.int64)
+    h2 = np.zeros(2, np.int64)
+    h2[1] = (line_dedup._mixed(h1[:1], h2[:1], 0) - line_dedup._mixed(h1[1:], h2[:1], 0)).view(np.int64)[0]
+    shard = line_dedup.Shard(line_dedup._pack(h1, h2, np.array([1, 2]), np.array([1, 5])))
+    assert shard.seed > 0 and shard.repeats(h1, h2, np.array([1, 5])).tolist() == [1]
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 63, 5000):
