@@ -4,11 +4,15 @@ Every item has a 64-bit SimHash of its weighted shingles. A document's windows o
 length are fingerprinted alike; a document shorter than the item is one window as a whole. A window
 without enough weight in benchmark shingles, or a whole document too light for the items, cannot be
 similar to any item, so those alone are passed over. Fingerprints are looked up in a multi-index:
-eight blocks of eight bits, each with every key at most FLIPS bits away. Two fingerprints at most
-RADIUS apart agree to within FLIPS bits in some block, so none within the radius is missed. Exact
-weighted similarity of the shingle multisets then verifies what the index proposes.
+eight blocks of eight bits, each asked for every key at most FLIPS bits away. Two fingerprints at
+most RADIUS apart agree to within FLIPS bits in some block, so none within the radius is missed.
+Exact weighted similarity of the shingle multisets then verifies what the index proposes.
 
-At similarity 0.8 windows' fingerprints are 9.7 bits apart on average, with a deviation of 2.9.
+At similarity 0.8 windows' fingerprints are 9.7 bits apart on average, with a deviation of 2.9; a
+test counts windows that are similar but beyond the radius.
+
+The items' index is broadcast; INDEX_BYTES bounds it (or one item, if that is larger). More items
+take several passes over the documents, one after another, each with its part of the index alone.
 """
 
 from __future__ import annotations
@@ -21,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import WordHashes, in_worker, mix64, portions, small_batches
+from lamina.llm.common import WordHashes, in_worker, mix64, portions, save, small_batches
 
 RADIUS, BLOCKS, FLIPS, SCREEN_BITS = 22, 8, 2, 22
-#: Bytes of items searched for in one pass over the documents; bytes of text taken at once.
-PASS_BYTES, TEXT_BYTES = 8 << 20, 4 << 20
+#: Bytes of the index of one pass over the documents, besides its screens of 2**SCREEN_BITS bytes
+#: for each shingle size; bytes of text taken at once.
+INDEX_BYTES, TEXT_BYTES = 64 << 20, 4 << 20
+#: What an item costs in the index: itself, and each byte of its text (a word and the space behind
+#: it have two at least; a shingle takes 8 bytes of hash twice and 4 of weight).
+_ITEM_COST, _BYTE_COST = 128, 10
 _MARKS = string.punctuation.encode()
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NEAR = np.array([k for k in range(256) if k.bit_count() <= FLIPS], np.uint8)
@@ -81,27 +89,25 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
 
 
 class _Group:
-    """Items of one length: their fingerprints in a multi-index."""
+    """Items of one length: their fingerprints in a multi-index, once in each block."""
 
     def __init__(self, length: int, size: int, items: list[tuple[int, np.ndarray, np.ndarray]]):
         self.length, self.size, self.items = length, size, items
         self.least = min(int(w.sum()) for _, _, w in items)
         self.prints = np.concatenate([_pack((_signs(h) * w[:, None]).sum(axis=0)[None]) for _, h, w in items])
-        keys = self.prints.view(np.uint8).reshape(-1, BLOCKS)
         self.lists = []
-        for k in range(BLOCKS):
-            near = (keys[:, k, None] ^ _NEAR[None]).ravel()
-            order = np.argsort(near, kind="stable")
-            bounds = np.searchsorted(near[order], np.arange(257))
-            self.lists.append((bounds, order // len(_NEAR)))
+        for key in self.prints.view(np.uint8).reshape(-1, BLOCKS).T:
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            self.lists.append((np.searchsorted(key[order], np.arange(257)).astype(np.int32), order))
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(print, item) pairs at most RADIUS bits apart."""
         keys = prints.view(np.uint8).reshape(-1, BLOCKS)
         found = []
         for k, (bounds, items) in enumerate(self.lists):
-            lo, n = bounds[keys[:, k]], bounds[keys[:, k].astype(int) + 1] - bounds[keys[:, k]]
-            which = np.repeat(np.arange(len(prints)), n)
+            near = (keys[:, k, None] ^ _NEAR[None]).ravel().astype(np.int64)
+            lo, n = bounds[near].astype(np.int64), (bounds[near + 1] - bounds[near]).astype(np.int64)
+            which = np.repeat(np.arange(len(near)) // len(_NEAR), n)
             at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             found.append(which * len(self.prints) + items[at])
         pair = np.unique(np.concatenate(found))
@@ -120,6 +126,7 @@ class Index:
             size = min(shingle_words, len(words))
             if size:
                 h, w = shingles_of(words, size)
+                w = w.astype(np.int32)
                 groups.setdefault((len(words), size), []).append((item, h, w))
                 screens.setdefault(size, []).append(h)
         self.groups = [_Group(length, size, rows) for (length, size), rows in sorted(groups.items())]
@@ -194,18 +201,20 @@ def _best(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int,
     return sorted(out)
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, shingle_words: int) -> list:
-    """Broadcast indexes of the items, each over about PASS_BYTES of them at most."""
+def _passes(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, shingle_words: int) -> tuple[int, Iterator]:
+    """How many passes the items take, and each one's broadcast index, made when it is asked for."""
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = -(-total // PASS_BYTES) or 1
-    out = []
-    for k in range(passes):
-        mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)  # a bounded part
-        out.append(spark.sparkContext.broadcast(Index([(r[0], bytes(r[1])) for r in mine.collect()], shingle_words)))
-    return out
+    total = items.agg(F.sum(_ITEM_COST + _BYTE_COST * F.octet_length("text").cast("long"))).first()[0] or 0
+    passes = -(-total // INDEX_BYTES) or 1
+
+    def each():
+        for k in range(passes):
+            mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)  # a bounded part
+            yield spark.sparkContext.broadcast(Index([(r[0], bytes(r[1])) for r in mine.collect()], shingle_words))
+
+    return passes, each()
 
 
 def _texts(batches: Iterator[pa.RecordBatch], text: str):
@@ -241,15 +250,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, th
         return run
 
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("similarity", pa.float64())])
-    out = [rows.mapInArrow(search(i), "doc_id long, item_id long, first_word int, last_word int, similarity double") for i in _passes(docs, benchmark, item_col, item_text_col, shingle_words)]
-    for more in out[1:]:
-        out[0] = out[0].union(more)
-    return out[0]
+    kind = "doc_id long, item_id long, first_word int, last_word int, similarity double"
+    passes, indexes = _passes(docs, benchmark, item_col, item_text_col, shingle_words)
+    out = None
+    for index in indexes:
+        part = rows.mapInArrow(search(index), kind)
+        if passes > 1:
+            part = save(part, "leaks")
+            index.destroy()
+        out = part if out is None else out.union(part)
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, threshold: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that repeat no benchmark item, as find_leaks() tells, with all their
-    columns; nothing is shuffled. Rows with a null or empty text stay."""
+    columns; nothing is shuffled. Rows with a null or empty text stay. Each further pass over the
+    items reads and writes the rows that are left."""
 
     def keep(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +274,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5,
 
         return run
 
-    for index in _passes(docs, benchmark, item_col, item_text_col, shingle_words):
+    passes, indexes = _passes(docs, benchmark, item_col, item_text_col, shingle_words)
+    for index in indexes:
         docs = docs.mapInArrow(keep(index), docs.schema)
+        if passes > 1:
+            docs = save(docs, "decontaminated")
+            index.destroy()
     return docs

@@ -64,8 +64,8 @@ def test_against_brute_force(spark, monkeypatch):
     docs, items = corpus()
     want = brute(docs, items)
     frame, bench = docs_frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
-    for size in (8 << 20, 1500):  # in one pass and in several
-        monkeypatch.setattr(decontamination, "PASS_BYTES", size)
+    for size in (64 << 20, 25_000):  # in one pass and in several
+        monkeypatch.setattr(decontamination, "INDEX_BYTES", size)
         got = {}
         for r in find_leaks(frame, bench).collect():
             got[r.doc_id, r.item_id] = max(got.get((r.doc_id, r.item_id), 0), round(r.similarity, 9))
@@ -110,3 +110,49 @@ def test_documents_shorter_than_items_against_brute_force(spark):
     assert len(want) > 60 and {(r.doc_id, r.item_id): round(r.similarity, 9) for r in rows} == want
     assert all((r.first_word, r.last_word) == (0, len(words(docs[r.doc_id][1]))) for r in rows)
     assert {r.doc_id for r in decontaminate(frame, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_similar_windows_beyond_the_radius():
+    """Of windows whose similarity to an item is just enough, hardly any lies beyond the radius,
+    and the index finds all within it."""
+    import numpy as np
+
+    rng = random.Random(12)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 10))) for _ in range(3000)]
+    hashes = decontamination._Words()
+    items, prints, near, far, counts = [], [], 0, 0, []
+    for k in range(150):
+        item = rng.choices(vocab, k=rng.randint(20, 90))
+        words = decontamination.words_of(" ".join(item).encode(), hashes)
+        items.append((k, *decontamination.shingles_of(words, 5)))
+        for _ in range(40):
+            w, some = list(item), rng.randint(1, 2)
+            for at in rng.sample(range(len(w)), some):
+                w[at] = rng.choice(vocab)
+            h, weight = decontamination.shingles_of(decontamination.words_of(" ".join(w).encode(), hashes), 5)
+            s = decontamination.similarity(h, weight, *items[-1][1:])
+            if 0.8 <= s <= 0.85:
+                p = decontamination._pack((decontamination._signs(h) * weight[:, None]).sum(axis=0)[None])
+                prints.append((k, p[0]))
+    group = decontamination._Group(0, 5, items)
+    for k, p in prints:
+        distance = int(np.bitwise_count(p ^ group.prints[k]))
+        counts.append(distance)
+        found = set(group.candidates(np.array([p]))[1].tolist())
+        assert found == {i for i, q in enumerate(group.prints) if np.bitwise_count(p ^ q) <= decontamination.RADIUS}
+        far += distance > decontamination.RADIUS
+    print(f"{len(counts)} windows at 0.80 to 0.85: {np.mean(counts):.1f} bits apart on average, {max(counts)} at most, {far} beyond the radius")
+    assert len(counts) > 300 and far == 0
+
+
+def test_index_keeps_its_bound():
+    """The cost that _passes() reckons with is no less than the index's own bytes."""
+    import pickle
+
+    rng = random.Random(1)
+    items = [(k, " ".join(rng.choices(["a", "bc", "def", "g"], k=rng.randint(5, 40))).encode()) for k in range(2000)]
+    index = decontamination.Index(items, 5)
+    cost = sum(decontamination._ITEM_COST + decontamination._BYTE_COST * len(t) for _, t in items)
+    held = sum(g.prints.nbytes + sum(a.nbytes + b.nbytes for a, b in g.lists) + sum(h.nbytes + w.nbytes for _, h, w in g.items) for g in index.groups) + sum(x.nbytes for x in index.known.values())
+    groups = len(index.groups)
+    assert held - groups * 8 * 257 * 4 <= cost and len(pickle.dumps(index)) <= 3 * cost + sum(x.nbytes for x in index.screen.values()) + groups * 9000
