@@ -4,13 +4,19 @@ The piece lattice of a text falls apart at places that no piece crosses: before
 follows another character, and around line breaks. In each such segment a forward Viterbi pass
 gives the score of the best way to every position; these scores are the exact heuristic of an A*
 search that runs backward from the end and meets complete segmentations in falling order of
-score. Segments are learned in batches: the forward and the backward pass give the best
-segmentation and how far the second is behind it; of equal ones both they and A* take the longest
-last piece, then the longest before it. The N best of a text can differ from the best
-only in the N - 1 segments whose second segmentations are nearest; A* lists those.
+score. Every rank comes from that search, the first included. Segments are learned in batches:
+the forward pass and the search run in step for all segments of a batch, each segment with a
+frontier of its own. As the heuristic is exact, each entry of a frontier completes to a
+segmentation of just its estimate, so the n best entries are all that a frontier needs.
+
+Order: higher scores first; of equal scores the one with the longer last piece, then with the
+longer piece before it, and so on. A segmentation is the set of its inner cuts; as a number with a
+bit for each cut, the smaller one goes first. The N best of a text differ from its best only in the
+N - 1 segments whose second segmentations come first in that order; lists of these are merged.
 
 Scores are integers (millionths), so sums are exact. A unigram model's scores are its own; a BPE
-model stores merge ranks instead, which Zipf's law turns into log probabilities.
+model stores merge ranks instead, which Zipf's law turns into log probabilities, so the best
+segmentation is the likeliest one and not the one that merging by rank gives.
 """
 
 from __future__ import annotations
@@ -29,9 +35,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 from lamina.llm.common import crc32, in_worker, mix64, portions, small_batches
 
 #: Bytes of text taken at once, segments a worker remembers, characters of a segment that is
-#: learned in a batch, segments in a batch, and the cost of a character without a piece.
-TEXT_BYTES, SEGMENTS, SHORT, BATCH, UNKNOWN_COST = 2 << 20, 400_000, 32, 4096, 10.0
-UNIT, NEVER = 1_000_000, -(2**60)
+#: learned in a batch (its cuts are bits of one number), segments in a batch, and the cost of a
+#: character without a piece.
+TEXT_BYTES, SEGMENTS, SHORT, BATCH, UNKNOWN_COST = 2 << 20, 400_000, 62, 4096, 10.0
+UNIT, NEVER, ALL_CUTS = 1_000_000, -(2**60), 2**63 - 1
 _P = np.uint64(0x100000001B3)
 _SLOTS = 20
 # Piece types of the model format.
@@ -171,28 +178,74 @@ class Lattice:
             best[j] = max(best[self.start[e]] + self.score[e] for e in range(self.upto[j], self.upto[j + 1]))
         self.best = best
 
-    def n_best(self, n: int) -> list[tuple[int, list[int]]]:
-        """The n segmentations of the highest scores, highest first: backward A* whose heuristic,
-        the forward score, is exact. Of equal estimates the one nearer the start goes first."""
-        heap = [(-self.best[self.n], self.n, 0, 0, None)]
-        count, out = 0, []
+    def n_best(self, n: int) -> list[tuple[int, int, list[int]]]:
+        """The n first segmentations as (score, cuts, ids): backward A* whose heuristic, the
+        forward score, is exact."""
+        heap = [(-self.best[self.n], 0, self.n, 0, None)]
+        out = []
         while heap and len(out) < n:
-            f, at, _, done, link = heapq.heappop(heap)
+            f, cuts, at, done, link = heapq.heappop(heap)
             if at == 0:
                 ids = []
                 while link is not None:
                     i, link = link
                     ids.append(i)
-                out.append((-f, self.vocabulary.spelled(ids)))
+                out.append((-f, cuts, self.vocabulary.spelled(ids)))
                 continue
             for e in range(self.upto[at], self.upto[at + 1]):
-                count += 1
                 i = self.start[e]
                 cost = done + self.score[e]
-                heapq.heappush(heap, (-(self.best[i] + cost), i, count, cost, (self.ids[e], link)))
+                heapq.heappush(heap, (-(self.best[i] + cost), cuts | (1 << i if i else 0), i, cost, (self.ids[e], link)))
         return out
 
 
+def _first(score: np.ndarray, cuts: np.ndarray, n: int) -> np.ndarray:
+    """Places of each row's n first entries, by falling score and then by rising cuts."""
+    score, rows, out = score.copy(), np.arange(len(score)), np.empty((len(score), n), np.int64)
+    for k in range(n):
+        best = score.max(axis=1)
+        out[:, k] = at = np.where(score == best[:, None], cuts, ALL_CUTS).argmin(axis=1)
+        score[rows, at] = NEVER - 1
+    return out
+
+
+def lockstep_n_best(score: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n first segmentations of each row, as scores and cuts [row, rank]; NEVER where a row has
+    fewer. ``score`` is that of Pieces.edges(), ``lengths`` the rows' characters."""
+    most, many, width = score.shape
+    forward = np.full((many, width + 1), NEVER, np.int64)
+    forward[:, 0] = 0
+    for j in range(1, width + 1):
+        for k in range(min(most, j)):
+            np.maximum(forward[:, j], forward[:, j - k - 1] + score[k, :, j - k - 1], out=forward[:, j])
+    np.maximum(forward, NEVER, out=forward)
+    found, found_cuts, count = np.full((many, n), NEVER, np.int64), np.zeros((many, n), np.int64), np.zeros(many, np.int64)
+    # frontiers: estimate, cuts, position and score so far of up to n entries a row, the first first
+    row, keep = np.arange(many), np.full((many, n), NEVER, np.int64)
+    keep[:, 0] = forward[row, lengths]
+    cuts, at, done = np.zeros((many, n), np.int64), np.zeros((many, n), np.int64), np.zeros((many, n), np.int64)
+    at[:, 0] = lengths
+    piece = np.arange(most)
+    while len(row):
+        whole = np.flatnonzero(at[:, 0] == 0)
+        if len(whole):
+            r = row[whole]
+            found[r, count[r]], found_cuts[r, count[r]] = keep[whole, 0], cuts[whole, 0]
+            count[r] += 1
+        start = at[:, :1] - 1 - piece
+        inside = np.maximum(start, 0)
+        edge = np.where(start >= 0, score[piece, row[:, None], inside], NEVER)
+        cost = done[:, :1] + edge
+        estimate = np.where(edge > NEVER, forward[row[:, None], inside] + cost, NEVER)
+        more = cuts[:, :1] | np.where(inside > 0, np.int64(1) << inside, 0)
+        columns = [np.concatenate(x, axis=1) for x in ((keep[:, 1:], estimate), (cuts[:, 1:], more), (at[:, 1:], inside), (done[:, 1:], cost))]
+        first = _first(columns[0], columns[1], n)
+        keep, cuts, at, done = (np.take_along_axis(x, first, axis=1) for x in columns)
+        going = (count[row] < n) & (keep[:, 0] > NEVER)
+        row, keep, cuts, at, done = row[going], keep[going], cuts[going], at[going], done[going]
+    return found, found_cuts
+
+
 class Segmenter:
     """N-best segmentations of texts; remembers segments."""
 
@@ -201,19 +254,32 @@ class Segmenter:
         self._forget()
 
     def _forget(self) -> None:
+        """A segment has ``ways`` ways from ``first`` on; ``behind`` is how far the second is behind
+        the first, ``sooner`` whether it has the smaller cuts. A way has ids in the pool, a score,
+        and ``order``, its place among its segment's ways by cuts."""
         self.known: dict[str, int] = {}
-        self.listed: dict[str, list[tuple[int, list[int]]]] = {}
-        self.pool, self.size = [np.zeros(0, np.int32)], 0
-        self.begin, self.length, self.score, self.behind = ([np.zeros(0, np.int64)] for _ in range(4))
-
-    def _keep(self, segments: list[str], ids: list[np.ndarray], length: np.ndarray, score: np.ndarray, behind: np.ndarray) -> None:
+        self.size = self.n_ways = 0
+        self.parts = {c: [np.zeros(0, t)] for c, t in (("pool", np.int32), ("first", np.int64), ("ways", np.int64), ("behind", np.int64), ("sooner", bool), ("begin", np.int64), ("length", np.int64), ("score", np.int64), ("order", np.int64))}
+
+    def _column(self, name: str) -> np.ndarray:
+        parts = self.parts[name]
+        if len(parts) > 1:
+            parts[:] = [np.concatenate(parts)]
+        return parts[0]
+
+    def _keep(self, segments: list[str], score: np.ndarray, order: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
+        """``score`` and ``order`` by [segment, rank], NEVER where there is no such way; the ways'
+        lengths and ids in a row."""
         self.known.update(zip(segments, range(len(self.known), len(self.known) + len(segments)), strict=True))
-        self.pool += ids
-        self.begin.append(self.size + np.cumsum(length) - length)
-        self.length.append(length)
-        self.score.append(score)
-        self.behind.append(behind)
-        self.size += int(length.sum())
+        there = score > NEVER
+        ways = there.sum(axis=1)
+        second = there[:, 1] if self.n > 1 else np.zeros(len(segments), bool)
+        behind = np.where(second, score[:, 0] - score[:, min(1, self.n - 1)], -NEVER)
+        new = {"pool": ids, "first": self.n_ways + np.cumsum(ways) - ways, "ways": ways, "behind": behind, "sooner": second & (order[:, min(1, self.n - 1)] < order[:, 0]), "begin": self.size + np.cumsum(length) - length, "length": length, "score": score[there], "order": order[there]}
+        for name, x in new.items():
+            self.parts[name].append(x)
+        self.n_ways += int(ways.sum())
+        self.size += len(ids)
 
     def _learn(self, segments: list[str]) -> None:
         segments = sorted(segments, key=len)
@@ -221,63 +287,41 @@ class Segmenter:
         for lo in range(0, len(short), BATCH):
             self._learn_batch(short[lo : lo + BATCH])
         for s in segments[len(short) :]:
-            two = Lattice(self.vocabulary, s).n_best(2)
-            behind = two[0][0] - two[1][0] if len(two) > 1 else -NEVER
-            ids = np.array(two[0][1], np.int32)
-            self._keep([s], [ids], np.array([len(ids)]), np.array([two[0][0]]), np.array([behind]))
+            ways = Lattice(self.vocabulary, s).n_best(self.n)
+            score, order = np.full((1, self.n), NEVER, np.int64), np.zeros((1, self.n), np.int64)
+            score[0, : len(ways)] = [x for x, _, _ in ways]
+            by_cuts = sorted(c for _, c, _ in ways)
+            order[0, : len(ways)] = [by_cuts.index(c) for _, c, _ in ways]
+            self._keep([s], score, order, np.array([len(i) for _, _, i in ways]), np.array([i for _, _, x in ways for i in x], np.int32))
 
     def _learn_batch(self, segments: list[str]) -> None:
         n, rows = np.array(list(map(len, segments))), len(segments)
         width = int(n.max())
         codes = np.zeros((rows, width), np.uint32)
         codes[np.arange(width) < n[:, None]] = _codes("".join(segments))
-        score, ids = self.vocabulary.edges(codes)
-        most = len(score)
-        forward = np.full((rows, width + 1), NEVER, np.int64)
-        forward[:, 0] = 0
-        back = np.zeros((rows, width + 1), np.int64)
-        for j in range(1, width + 1):
-            for k in range(min(most, j)):
-                via = forward[:, j - k - 1] + score[k, :, j - k - 1]
-                better = via >= forward[:, j]  # ties: the longest last piece, as in A*
-                forward[better, j], back[better, j] = via[better], k
-        everyone = np.arange(rows)
-        backward = np.full((rows, width + 1), NEVER, np.int64)
-        backward[everyone, n] = 0
-        for i in range(width - 1, -1, -1):
-            for k in range(min(most, width - i)):
-                np.maximum(backward[:, i], np.maximum(backward[:, i + k + 1] + score[k, :, i], NEVER), out=backward[:, i])
-        best = forward[everyone, n]
-        taken = np.zeros((rows, width), np.int32)
-        count, at = np.zeros(rows, np.int64), n.copy()
-        while (going := np.flatnonzero(at > 0)).size:
-            k = back[going, at[going]]
-            start = at[going] - k - 1
-            taken[going, count[going]] = ids[k, going, start]
-            score[k, going, start] = NEVER  # so what is left passes by another edge
-            count[going] += 1
-            at[going] = start
-        second = np.full(rows, NEVER, np.int64)
-        for k in range(most):
-            via = forward[:, : width - k] + score[k, :, : width - k] + backward[:, k + 1 :]
-            np.maximum(second, via.max(axis=1), out=second)
-        behind = np.where(second > NEVER // 2, best - second, -NEVER)
-        column = count[:, None] - 1 - np.arange(width)  # the way back, turned round
-        flat = np.take_along_axis(taken, np.maximum(column, 0), axis=1)[column >= 0]
-        if (flat >= self.vocabulary.limit).any():
-            parts = [self.vocabulary.spelled(x.tolist()) for x in np.split(flat, np.cumsum(count)[:-1])]
-            count = np.array(list(map(len, parts)))
-            flat = np.array([i for x in parts for i in x], np.int32)
-        self._keep(segments, [flat], count, best, behind)
-
-    def _list(self, segment: str) -> list[tuple[int, list[int]]]:
-        if segment not in self.listed:
-            if len(self.listed) > SEGMENTS // 8:
-                self.listed.clear()
-            k = self.known[segment]
-            best = (int(self.score[0][k]), self.pool[0][self.begin[0][k] : self.begin[0][k] + self.length[0][k]].tolist())
-            self.listed[segment] = [best, *(x for x in Lattice(self.vocabulary, segment).n_best(self.n) if x[1] != best[1])][: self.n]
-        return self.listed[segment]
+        edge, edge_ids = self.vocabulary.edges(codes)
+        score, cuts = lockstep_n_best(edge, n, self.n)
+        order = np.argsort(np.argsort(np.where(score > NEVER, cuts, ALL_CUTS), axis=1, kind="stable"), axis=1, kind="stable")
+        row, rank = np.nonzero(score > NEVER)
+        begins = (cuts[row, rank][:, None] >> np.arange(width)) & 1 == 1
+        begins[:, 0] = True
+        way, start = np.nonzero(begins)
+        end = np.append(start[1:], 0)
+        last = np.append(way[1:] != way[:-1], True)
+        end[last] = n[row]
+        ids = edge_ids[end - start - 1, row[way], start]
+        length = np.bincount(way, minlength=len(row))
+        bare = np.flatnonzero(ids >= self.vocabulary.limit)
+        if len(bare):
+            spelled = [self.vocabulary.spelled([i]) for i in ids[bare].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[bare] = list(map(len, spelled))
+            length = np.bincount(way, times, len(row)).astype(np.int64)
+            place = np.cumsum(times) - times
+            ids = np.repeat(ids, times)
+            for k, x in zip(place[bare].tolist(), spelled, strict=True):
+                ids[k : k + len(x)] = x
+        self._keep(segments, score, order, length, ids.astype(np.int32))
 
     def segment(self, texts: list[str]) -> Iterator[list[tuple[int, np.ndarray]]]:
         """For each text its N best (score, ids), best first; one without ids for an empty text."""
@@ -289,35 +333,37 @@ class Segmenter:
         new.difference_update(self.known)
         if new:
             self._learn(list(new))
-        for name in ("pool", "begin", "length", "score", "behind"):
-            setattr(self, name, [np.concatenate(getattr(self, name))] if len(getattr(self, name)) > 1 else getattr(self, name))
-        pool, begin, length, score, behind = self.pool[0], self.begin[0], self.length[0], self.score[0], self.behind[0]
+        pool, first, begin, length, score = map(self._column, ("pool", "first", "begin", "length", "score"))
         for segments in cut:
             at = np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))
-            size = length[at]
+            way = first[at]
+            size = length[way]
             end = np.cumsum(size)
-            ids = pool[np.repeat(begin[at] - (end - size), size) + np.arange(int(size.sum()))]
-            yield self._combine(segments, ids, end, int(score[at].sum()), behind[at])
+            ids = pool[np.repeat(begin[way] - (end - size), size) + np.arange(int(size.sum()))]
+            yield self._merged(at, ids, end, int(score[way].sum()))
 
-    def _combine(self, segments, ids, end, best, behind) -> list[tuple[int, np.ndarray]]:
+    def _merged(self, at: np.ndarray, ids: np.ndarray, end: np.ndarray, best: int) -> list[tuple[int, np.ndarray]]:
+        """The N best of a text from its segments ``at``, given its best."""
         out = [(best, ids)]
-        want = min(self.n - 1, len(behind))
+        behind = self._column("behind")[at]
+        want = min(self.n - 1, int((behind < -NEVER).sum()))
         if want < 1:
             return out
-        near = np.argpartition(behind, want - 1)[:want] if want < len(behind) else np.arange(want)
-        level = behind[near].max()
-        below = np.flatnonzero(behind < level)
-        near = np.sort(np.concatenate([below, np.flatnonzero(behind == level)[: want - len(below)]]))  # ties: the first
-        ways: list[tuple[int, tuple]] = [(0, ())]
-        for p in near.tolist():
-            if behind[p] >= -NEVER:
-                continue
-            options = self._list(segments[p])
-            ways = sorted(((d + options[0][0] - s, w if r == 0 else (*w, (p, r))) for d, w in ways for r, (s, _) in enumerate(options)), key=lambda x: x[0])[: self.n]
-        for d, way in ways[1:]:
+        level = np.partition(behind, want - 1)[want - 1]
+        below, equal = np.flatnonzero(behind < level), np.flatnonzero(behind == level)
+        sooner = self._column("sooner")[at[equal]]
+        equal = np.concatenate([equal[sooner][::-1], equal[~sooner]])  # those whose change moves a text forward, the last one first
+        near = np.sort(np.concatenate([below, equal[: want - len(below)]])).tolist()
+        pool, first, many, begin, length, score, order = map(self._column, ("pool", "first", "ways", "begin", "length", "score", "order"))
+        ways: list[tuple[int, tuple, tuple]] = [(0, (), ())]  # how far behind, orders from the last segment on, ways
+        for p in near:
+            w = int(first[at[p]])
+            options = [(int(score[w] - score[x]), int(order[x]), x) for x in range(w, w + int(many[at[p]]))]
+            ways = sorted((d + e, (o, *key), (*chosen, x)) for d, key, chosen in ways for e, o, x in options)[: self.n]
+        for d, _, chosen in ways[1:]:
             parts, done = [], 0
-            for p, r in way:
-                parts += [ids[done : end[p - 1] if p else 0], np.array(self._list(segments[p])[r][1], np.int32)]
+            for p, x in zip(near, chosen, strict=True):
+                parts += [ids[done : end[p - 1] if p else 0], pool[begin[x] : begin[x] + length[x]]]
                 done = end[p]
             out.append((best - d, np.concatenate([*parts, ids[done:]])))
         return out
@@ -345,11 +391,11 @@ def encode(docs: DataFrame, model: str, n: int = 1, id_col: str = "doc_id", text
     """doc_id and segmentations, an array of the up to ``n`` best (score, ids), best first.
 
     ``model`` is the path of a SentencePiece model file, on every machine. Scores are sums of log
-    probabilities in millionths. Of best segmentations with equal scores the one with the longest
-    last piece comes, then the longest before it; of others any, always the same. A text has fewer
-    than ``n`` only if it can be cut in no more ways. Characters without a piece become bytes. A null or empty text has one segmentation without ids and score 0. Null ids stay
-    null; repeated rows repeat; an empty table gives no rows. Texts of any length are cut whole.
-    Other columns are not read.
+    probabilities in millionths. Of equal scores the segmentation with the longer last piece comes
+    first, then with the longer one before it, and so on. A text has fewer than ``n`` only if it can
+    be cut in no more ways. Characters without a piece become bytes. A null or empty text has one
+    segmentation without ids and score 0. Null ids stay null; repeated rows repeat; an empty table
+    gives no rows. Texts of any length are cut whole. Other columns are not read.
     """
     kind = pa.list_(pa.struct([("score", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
