@@ -7,8 +7,11 @@ the query has each coordinate in a known interval around the query's; those of t
 largest coordinates are looked up in sorted lists. A low one prunes by length: the vectors too
 short for the threshold form the bucket's tail. What is left is multiplied out exactly.
 
-Queries come in blocks, candidates in buckets dealt to strides; a task holds one block of queries
-and streams one stride of buckets past it, longest first.
+Queries come in blocks of thousands, candidates in buckets dealt to strides, both in the narrowest
+integers that hold them. A task holds one block and streams one stride of buckets past it, longest
+first; all queries of a block that a bucket concerns by length are multiplied with its longer part
+at once. The longest bucket of all comes before: the k-th best score in it is where a query's
+threshold starts in every stride.
 """
 
 from __future__ import annotations
@@ -20,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import save, shuffle_partitions
+from lamina.llm.common import drop, forget, park, save, shuffle_partitions, small_batches
 
-#: Queries in a block, vectors in a bucket, candidates in a stride (about), and query blocks' count
-#: of strides at most.
-QUERIES, BUCKET, STRIDE, MOST_STRIDES = 256, 1024, 16_384, 64
-#: Coordinates looked up, and the local cosine from which they are.
-FOCUS, STEEP = 3, 0.6
-_EXACT = 2.0**52
-_PACK = "dim int, longest double, ids binary, vectors binary"
+#: Queries in a block, vectors in a bucket, candidates in a stride at most, queries multiplied at
+#: once.
+QUERIES, BUCKET, STRIDE, SIDE = 4096, 1024, 262_144, 512
+#: Coordinates looked up, and the local cosine from which they are: below it, the intervals of
+#: dense vectors take in nearly all of a bucket.
+FOCUS, STEEP = 3, 0.95
+_EXACT, _NONE = 2.0**52, -(2**63)
+_PACK = "dim int, longest double, width int, ids binary, vectors binary"
+_FOUND = "query_id long, vec_id long, score long"
 
 
 def quantised(vector: Column, scale: float = 64.0) -> Column:
@@ -37,43 +42,51 @@ def quantised(vector: Column, scale: float = 64.0) -> Column:
 
 
 def _pack(size: int):
-    """Sorted rows into rows of up to ``size`` vectors of one dimension."""
+    """Sorted rows into rows of up to ``size`` vectors of one dimension, ``width`` bytes a number."""
 
-    def emit(dim: int, ids: list, vectors: list):
-        v = np.array(vectors, np.int64).reshape(len(ids), dim)
+    def emit(ids: list, vectors: list):
+        i, v = np.concatenate(ids), np.concatenate(vectors)
         longest = float(np.sqrt((v.astype(np.float64) ** 2).sum(axis=1).max()))
-        return pa.record_batch({"dim": pa.array([dim], pa.int32()), "longest": [longest], "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "vectors": pa.array([v.tobytes()], pa.binary())})
+        kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if t is np.int64 or (v.min() >= np.iinfo(t).min and v.max() <= np.iinfo(t).max))
+        return pa.record_batch({"dim": pa.array([v.shape[1]], pa.int32()), "longest": [longest], "width": pa.array([np.dtype(kind).itemsize], pa.int32()), "ids": pa.array([i.tobytes()], pa.binary()), "vectors": pa.array([v.astype(kind).tobytes()], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, dim = [], [], None
+        ids, vectors, held = [], [], 0
         for b in batches:
-            for i, v in zip(b["id"].to_pylist(), b["v"].to_pylist(), strict=True):
-                if ids and (len(v) != dim or len(ids) == size):
-                    yield emit(dim, ids, vectors)
-                    ids, vectors = [], []
-                dim = len(v)
-                ids.append(i)
-                vectors.append(v)
-        if ids:
-            yield emit(dim, ids, vectors)
+            i, flat = b["id"].to_numpy(), b["v"].flatten().to_numpy()
+            at = b["v"].offsets.to_numpy().astype(np.int64)
+            at -= at[0] if len(at) else 0
+            dims = np.diff(at)
+            cut = np.flatnonzero(np.diff(dims)) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(dims)], strict=True):
+                while lo < hi:
+                    if held and (held == size or vectors[0].shape[1] != dims[lo]):
+                        yield emit(ids, vectors)
+                        ids, vectors, held = [], [], 0
+                    to = min(hi, lo + size - held)
+                    ids.append(i[lo:to])
+                    vectors.append(flat[at[lo] : at[to]].reshape(to - lo, -1))
+                    lo, held = to, held + to - lo
+        if held:
+            yield emit(ids, vectors)
 
     return run
 
 
-def _unpack(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(vectors, np.int64).reshape(len(i), -1)
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    i = np.frombuffer(row["ids"], np.int64)
+    return i, np.frombuffer(row["vectors"], f"<i{row['width']}").astype(np.int64).reshape(len(i), -1)
 
 
 def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Exact inner products; in floats where these can't round."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(p).max(initial=0)) * max(1, q.shape[-1])
+    """Exact inner products [q, p]; in floats where these can't round."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(p).max(initial=0)) * max(1, q.shape[1])
     if most < _EXACT:
-        return (p.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+        return (q.astype(np.float64) @ p.T.astype(np.float64)).astype(np.int64)
     if most < 2.0**62:
-        return p @ q
-    exact = p.astype(object) @ q.astype(object)
-    return np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in exact], np.int64)
+        return q @ p.T
+    exact = q.astype(object) @ p.T.astype(object)
+    return np.array([[min(max(int(x), -(2**63)), 2**63 - 1) for x in row] for row in exact], np.int64).reshape(len(q), len(p))
 
 
 class _Bucket:
@@ -93,18 +106,8 @@ class _Bucket:
             self.lists[c] = self.unit[order, c], order
         return self.lists[c]
 
-    def candidates(self, q: np.ndarray, q_length: float, threshold: float) -> np.ndarray:
-        """Places of all vectors whose product with q can reach ``threshold``."""
-        if threshold <= 0 or q_length == 0:
-            return np.arange(len(self.ids)) if threshold <= 0 else np.zeros(0, np.int64)
-        need = threshold / q_length * (1 - 1e-9)
-        if need > self.length[0]:
-            return np.zeros(0, np.int64)
-        long = int(np.searchsorted(-self.length, -need, side="right"))
-        cosine = min(1.0, need / self.length[0])
-        if cosine < STEEP:
-            return np.arange(long)
-        unit = q / q_length
+    def by_coordinates(self, unit: np.ndarray, cosine: float, long: int) -> np.ndarray:
+        """Places among the ``long`` first of all vectors within the angle of this cosine."""
         counts = np.zeros(len(self.ids), np.int8)
         for c in np.argsort(-np.abs(unit))[:FOCUS]:
             values, order = self.sorted_by(int(c))
@@ -120,46 +123,87 @@ class _Bucket:
         return some[some < long]
 
 
-def _search(k: int):
-    def best(ids, scores, more_ids, more_scores):
-        ids, scores = np.concatenate([ids, more_ids]), np.concatenate([scores, more_scores])
-        order = np.lexsort((ids, -scores))[:k]
-        return ids[order], scores[order]
+class _Block:
+    """A block of queries with each one's best candidates so far. ``least`` is the score that a
+    candidate must reach, _NONE while any will do."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.ids, self.q, self.k = ids, q, k
+        self.length = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+        self.least = np.full(len(ids), _NONE, np.int64) if floor is None else floor.copy()
+        self.row, self.vec, self.score = (np.zeros(0, np.int64) for _ in range(3))
+
+    def meet(self, bucket: _Bucket) -> None:
+        bound = self.least > 0
+        need = np.where(bound, self.least.astype(np.float64) / np.maximum(self.length, 1e-300) * (1 - 1e-9), 0.0)
+        live = ~bound | (need <= bucket.length[0])
+        cosine = np.minimum(1.0, need / max(bucket.length[0], 1e-300))
+        long = np.where(bound, np.searchsorted(-bucket.length, -need, side="right"), len(bucket.ids))
+        found = []
+        for r in np.flatnonzero(live & bound & (cosine >= STEEP)).tolist():
+            some = bucket.by_coordinates(self.q[r] / self.length[r], float(cosine[r]), int(long[r]))
+            if len(some):
+                found.append((np.full(len(some), r), some, products(self.q[r : r + 1], bucket.v[some])[0]))
+        flat = np.flatnonzero(live & ~(bound & (cosine >= STEEP)))
+        flat = flat[np.argsort(-long[flat], kind="stable")]
+        for lo in range(0, len(flat), SIDE):
+            rows = flat[lo : lo + SIDE]
+            part = bucket.v[: long[rows[0]]]
+            if not len(part):
+                continue
+            score, least = products(self.q[rows], part), self.least[rows][:, None]
+            if len(part) > self.k + 1:  # of one bucket, no more than k besides the query itself
+                least = np.maximum(least, np.partition(score, len(part) - self.k - 1, axis=1)[:, -self.k - 1, None])
+            r, c = np.nonzero(score >= least)
+            found.append((rows[r], c, score[r, c]))
+        if found:
+            self._take(*(np.concatenate(x) for x in zip(*found, strict=True)), bucket.ids)
+
+    def _take(self, row: np.ndarray, place: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        vec = ids[place]
+        good = (score >= self.least[row]) & (vec != self.ids[row])
+        row, vec, score = (np.concatenate(x) for x in ((self.row, row[good]), (self.vec, vec[good]), (self.score, score[good])))
+        order = np.lexsort((vec, ~score, row))  # ~: falling, and never out of range
+        row, vec, score = row[order], vec[order], score[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        self.row, self.vec, self.score = (x[nth < self.k] for x in (row, vec, score))
+        last = nth == self.k - 1
+        self.least[row[last]] = np.maximum(self.least[row[last]], score[last])
+
+
+def _search(k: int, seed: bool = False):
+    """Blocks against the buckets that follow them: what they found, or, to ``seed``, the blocks
+    again with each query's least score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, q_ids = None, np.zeros(0, np.int64)
-        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        kept: list = []
+        task, block, held = None, None, None
 
         def finish():
-            if len(q_ids):
-                n = [len(i) for i, _ in kept]
-                yield pa.record_batch({"query_id": np.repeat(q_ids, n), "vec_id": np.concatenate([i for i, _ in kept]), "score": np.concatenate([s for _, s in kept])})
+            if block is None:
+                return
+            if seed:
+                yield pa.record_batch({**{c: pa.array([held[c]], t) for c, t in _KINDS.items()}, "floor": pa.array([block.least.tobytes()], pa.binary())})
+            else:
+                yield pa.record_batch({"query_id": block.ids[block.row], "vec_id": block.vec, "score": block.score})
 
         for b in batches:
-            for t, is_query, ids, vectors in zip(*(b[c].to_pylist() for c in ("task", "is_query", "ids", "vectors")), strict=True):
-                if t != task:
+            for row in b.to_pylist():
+                if row["task"] != task:
                     yield from finish()
-                    task, q_ids, kept = t, np.zeros(0, np.int64), []
-                if is_query:
-                    q_ids, q = _unpack(ids, vectors)
-                    q_length = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
-                    kept = [none] * len(q_ids)
-                    continue
-                bucket = _Bucket(*_unpack(ids, vectors))
-                for n, query in enumerate(q):
-                    mine, scores = kept[n]
-                    threshold = float(scores[-1]) if len(scores) == k else -np.inf
-                    some = bucket.candidates(query, q_length[n], threshold)
-                    some = some[bucket.ids[some] != q_ids[n]]
-                    if len(some):
-                        s = products(query, bucket.v[some])
-                        kept[n] = best(mine, scores, bucket.ids[some], s)
+                    task, block = row["task"], None
+                if row["is_query"]:
+                    held, floor = row, row["floor"]
+                    block = _Block(*_unpack(row), k, None if floor is None else np.frombuffer(floor, np.int64))
+                else:
+                    block.meet(_Bucket(*_unpack(row)))
         yield from finish()
 
     return run
 
 
+_KINDS = {"block": pa.int64(), "dim": pa.int32(), "longest": pa.float64(), "width": pa.int32(), "ids": pa.binary(), "vectors": pa.binary()}
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
     """Each query's ``k`` highest inner products with the vectors of other ids: query_id, rank
     (from 1), vec_id and score. Ties go to the smaller id. Vectors are arrays of long.
@@ -170,25 +214,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     long stop at its ends. Empty tables give no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     whole = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)")
-    asked = whole(queries).groupBy("id").agg(F.min("v").alias("v"))
+    asked = park(whole(queries).groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.size("v").alias("dim")))
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     n = shuffle_partitions(spark)
-    dim = F.size("v").alias("dim")
-    packed = lambda df, size, *by: df.repartitionByRange(n, *by).sortWithinPartitions(*by).select("id", "v").mapInArrow(_pack(size), _PACK)
-    rows = whole(vectors).select("id", "v", dim, length.alias("length"))
-    by_length = (F.col("dim"), F.desc("length"), F.col("id"))
-    buckets = save(packed(rows, BUCKET, *by_length).withColumn("bucket", F.monotonically_increasing_id()), "topk-buckets")
-    blocks = save(packed(asked.select("id", "v", dim), QUERIES, F.col("dim"), F.xxhash64("id")).withColumn("block", F.monotonically_increasing_id()), "topk-queries")
-    strides = min(MOST_STRIDES, -(-buckets.count() * BUCKET // STRIDE) or 1)
-    stride = F.pmod(F.xxhash64("bucket"), F.lit(strides)).cast("int")
+    packed = lambda df, parts, size, *by: df.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("id", "v").mapInArrow(_pack(size), _PACK)
+    rows = whole(vectors).select("id", "v", F.size("v").alias("dim"), length.alias("length"))
+    buckets = save(packed(rows, n, BUCKET, F.col("dim"), F.desc("length"), F.col("id")).withColumn("bucket", F.monotonically_increasing_id()), "topk-buckets")
+    parts = min(n, -(-asked.count() // QUERIES) or 1)
+    plain = save(packed(asked, parts, QUERIES, F.col("dim"), F.xxhash64("id")).withColumn("block", F.monotonically_increasing_id()), "topk-queries")
+    drop(asked)
+
+    columns = ["dim", "longest", "width", "ids", "vectors"]
+    as_query = lambda df, floor: df.select("task", "block", F.lit(True).alias("is_query"), *columns, floor.alias("floor"))
+    as_bucket = lambda df: df.select("task", F.lit(None).cast("long").alias("block"), F.lit(False).alias("is_query"), *columns, F.lit(None).cast("binary").alias("floor"))
+    order = ["task", F.desc("is_query"), F.desc("longest")]
+    # one bucket for each dimension
+    first = buckets.join(buckets.groupBy("dim").agg(F.max(F.struct("longest", "bucket"))["bucket"].alias("bucket")).select("bucket"), "bucket")
+    both = as_query(plain.withColumn("task", F.col("block")), F.lit(None).cast("binary")).union(as_bucket(first.join(plain.select("dim", F.col("block").alias("task")), "dim")))
+    blocks = save(both.repartition(n, "task").sortWithinPartitions(*order).mapInArrow(_search(k, seed=True), "block long, dim int, longest double, width int, ids binary, vectors binary, floor binary"), "topk-blocks")
+    forget(plain)
+
     # the stated query set, in blocks, against every bucket
-    tasks = blocks.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(strides - 1))).alias("stride"))
-    task = F.xxhash64("block", "stride").alias("task")
-    held = blocks.join(tasks.select("block", "stride"), "block").select(task, "dim", F.lit(True).alias("is_query"), "longest", "ids", "vectors")
-    passing = buckets.withColumn("stride", stride).join(tasks, ["dim", "stride"]).select(task, "dim", F.lit(False).alias("is_query"), "longest", "ids", "vectors")
-    both = held.union(passing).repartition(n, "task").sortWithinPartitions("task", F.desc("is_query"), F.desc("longest"))
-    found = both.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    many = buckets.count()
+    strides = max(1, min(many, max(-(-many * BUCKET // STRIDE), -(-n // max(1, blocks.count())))))
+    tasks = blocks.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(strides - 1))).alias("stride")).withColumn("task", F.xxhash64("block", "stride"))
+    passing = buckets.withColumn("stride", F.pmod(F.xxhash64("bucket"), F.lit(strides)).cast("int")).join(tasks.select("dim", "stride", "task"), ["dim", "stride"])
+    both = as_query(blocks.join(tasks.select("block", "task"), "block"), F.col("floor")).union(as_bucket(passing))
+    found = both.repartition(n, "task").sortWithinPartitions(*order).mapInArrow(_search(k), _FOUND)
     # at most k rows of a query from each stride meet here
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

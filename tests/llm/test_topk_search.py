@@ -24,6 +24,7 @@ def test_against_brute_force(spark, kind, monkeypatch):
     monkeypatch.setattr(topk_search, "BUCKET", 64)
     monkeypatch.setattr(topk_search, "QUERIES", 7)
     monkeypatch.setattr(topk_search, "STRIDE", 200)
+    monkeypatch.setattr(topk_search, "SIDE", 3)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 8))
     if kind == "skewed lengths":
@@ -47,3 +48,13 @@ def test_few_many_and_huge(spark):
     none = frame(spark, [])
     assert top_k(none, none).count() == 0
     assert top_k(frame(spark, [(1, [1], "")]), frame(spark, [(1, [1], "")])).count() == 0
+
+
+def test_more_queries_than_a_block_and_narrow_numbers(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "QUERIES", 5)
+    monkeypatch.setattr(topk_search, "BUCKET", 16)
+    rng = np.random.default_rng(7)
+    for high in (100, 30_000, 2**31 + 5):
+        rows = [(i, [int(x) for x in rng.integers(-high, high, 3)]) for i in range(120)]
+        got = top_k(frame(spark, [(*r, "") for r in rows]), frame(spark, [(*r, "") for r in rows[:40]]), 3)
+        assert sorted(map(tuple, got.collect())) == brute(rows, rows[:40], 3)
