@@ -2,8 +2,11 @@
 
 Groups (equal texts) stand in one order, by their smallest id. The capacity of the largest shard
 is found by bisection: a capacity is feasible if filling shards greedily, each as far as it goes,
-needs no more than the given number. The order never comes to one place: a capacity's next cut is
-looked up in range-partitioned prefix sums, for many capacities in one pass.
+needs no more than the given number. The order never comes to one place. The driver holds a ladder
+of prefix sums, at most LADDER cells with the first and last sum in each, and bisects between what
+the ladder proves feasible and what it proves infeasible. Where the two differ, the cells around
+the possible cuts are divided again, until the cuts are exact: a pass for each ladder, and with
+fewer groups than cells around the cuts the second is the last.
 """
 
 from __future__ import annotations
@@ -12,14 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lamina.llm.common import forget, free, save, shuffle_partitions
+from lamina.llm.common import forget, free, save, shuffle_partitions, small_batches
 
-#: Capacities tried in one pass.
-TRIED = 1023
+#: Cells of a ladder: rows that come to the driver in one pass, two for each shard in addition.
+LADDER = 65_536
 _KEY = ("gid", "h1", "h2")
 
 
@@ -37,20 +40,20 @@ def _running(value: str, out: str, inclusive: bool):
     return run
 
 
-def _with_prefix(df: DataFrame, by: list, value: str, out: str, inclusive: bool, name: str) -> tuple[DataFrame, dict[int, int]]:
+def _with_prefix(df: DataFrame, by: list, value: str, out: str, inclusive: bool, name: str) -> tuple[DataFrame, dict[int, int], int, int]:
     """``df`` in range partitions ordered by ``by``, with a running sum inside each partition and
-    the partition's number as column block; and each block's start. The starts are one number
-    for each shuffle partition."""
+    the partition's number as column block; each block's start, the total and the largest value.
+    These are one number for each shuffle partition."""
     spark = df.sparkSession
     df = df.repartitionByRange(shuffle_partitions(spark), *by).sortWithinPartitions(*by).withColumn("block", F.spark_partition_id())
     schema = StructType([*df.schema.fields, StructField(out, LongType())])
     df = save(df.mapInArrow(_running(value, out, inclusive), schema), name)
-    sums = {r[0]: r[1] for r in df.groupBy("block").agg(F.sum(value)).collect()}
+    sums = {r[0]: (r[1], r[2]) for r in df.groupBy("block").agg(F.sum(value), F.max(value)).collect()}
     starts, total = {}, 0
     for block in sorted(sums):
         starts[block] = total
-        total += sums[block]
-    return df, starts
+        total += sums[block][0]
+    return df, starts, total, max((m for _, m in sums.values()), default=0)
 
 
 def _starts_column(starts: dict[int, int], block="block"):
@@ -59,57 +62,103 @@ def _starts_column(starts: dict[int, int], block="block"):
     return F.element_at(F.array(*[F.lit(x).cast("long") for x in ordered]), F.col(block) + 1) if ordered else F.lit(0).cast("long")
 
 
-def _reach(spark: SparkSession, groups: DataFrame, starts: dict[int, int], total: int, targets: np.ndarray) -> np.ndarray:
-    """For each target, the largest prefix sum that does not exceed it."""
-    blocks = np.array(sorted(starts), np.int64)
-    begins = np.array([starts[b] for b in blocks.tolist()], np.int64)
-    at = np.searchsorted(begins, targets, side="right") - 1
-    at = np.maximum(at, 0)
-    inside = np.unique(np.stack([blocks[at], targets - begins[at]], 1), axis=0)
-    wanted = spark.createDataFrame([tuple(map(int, x)) for x in inside], "want_block int, want long")
-    near = groups.where(F.col("block").isin(np.unique(inside[:, 0]).tolist()))
-    # at most TRIED rows to broadcast and to collect
-    rows = near.join(F.broadcast(wanted), (F.col("block") == F.col("want_block")) & (F.col("prefix") <= F.col("want"))).groupBy("want_block", "want").agg(F.max("prefix")).collect()
-    best = {(r[0], r[1]): r[2] for r in rows}
-    reached = [int(begins[a]) + best.get((int(blocks[a]), int(t - begins[a])), 0) for a, t in zip(at, targets, strict=True)]
-    return np.where(targets >= total, total, np.array(reached, np.int64))
-
-
-def _cuts(spark, groups, starts, total, capacities: np.ndarray, shards: int) -> np.ndarray:
-    """The greedy cuts of each capacity: a row of prefix sums where its shards end."""
-    ends = np.zeros((len(capacities), shards), np.int64)
-    at = np.zeros(len(capacities), np.int64)
-    for k in range(shards):
-        going = at < total
-        if going.any():
-            at = at.copy()
-            at[going] = _reach(spark, groups, starts, total, at[going] + capacities[going])
-        ends[:, k] = at
+class Ladder:
+    """Some of the prefix sums, in order, from 0 to the total; after some of them others follow
+    that are not known (``dark``)."""
+
+    def __init__(self, total: int):
+        self.points, self.dark = np.array([0, total], np.int64), np.array([True, False])
+
+    def _at(self, target: int) -> int:
+        return int(np.searchsorted(self.points, target, side="right")) - 1
+
+    def low(self, target: int) -> int:
+        """A sum that does not exceed the target, the largest that is known."""
+        return int(self.points[self._at(target)])
+
+    def high(self, target: int) -> int:
+        """No sum that does not exceed the target is larger than this."""
+        i = self._at(target)
+        return min(target, int(self.points[i + 1]) - 1) if self.dark[i] else int(self.points[i])
+
+    def gap(self, least: int, most: int) -> tuple[int, int] | None:
+        """The known sums around all unknown ones that targets from least to most could meet."""
+        i, j = self._at(least), self._at(most)
+        dark = i + np.flatnonzero(self.dark[i : j + 1])
+        return (int(self.points[dark[0]]), int(self.points[dark[-1] + 1])) if len(dark) else None
+
+    def learn(self, ranges: list[tuple[int, int]], cells: list[tuple[int, int, int]]) -> None:
+        """``cells``: first and last sum and how many, of cells that cover the open ranges."""
+        keep = np.ones(len(self.points), bool)
+        for a, b in ranges:
+            keep &= (self.points <= a) | (self.points >= b)
+        points, dark = self.points[keep], self.dark[keep]
+        for a, _ in ranges:
+            dark[np.searchsorted(points, a)] = False
+        new = {}
+        for first, last, n in cells:
+            new[last] = False
+            new[first] = n > 2
+        points = np.concatenate([points, np.fromiter(new.keys(), np.int64, len(new))])
+        dark = np.concatenate([dark, np.fromiter(new.values(), bool, len(new))])
+        order = np.argsort(points)
+        self.points, self.dark = points[order], dark[order]
+
+
+def _fill(reach, total: int, capacity: int, shards: int) -> list[int]:
+    """Where greedily filled shards end; the last is the total if the capacity is feasible."""
+    ends, at = [], 0
+    for _ in range(shards):
+        at = reach(min(total, at + capacity))
+        ends.append(at)
     return ends
 
 
-def minimax_cuts(spark, groups: DataFrame, starts: dict[int, int], total: int, largest: int, shards: int) -> tuple[int, list[int]]:
-    """The smallest feasible capacity, and the prefix sums at which its shards end. It lies
-    between the mean shard (or the largest group) and the two together."""
+def _least(low: int, high: int, feasible) -> int:
+    """The smallest feasible number from low to high, given that high is."""
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if feasible(middle) else (middle + 1, high)
+    return low
+
+
+def minimax_cuts(divide, total: int, largest: int, shards: int) -> tuple[int, list[int]]:
+    """The smallest feasible capacity, and the prefix sums at which its shards end. ``divide`` gets
+    open ranges and the width of each one's cells, and returns those that hold sums as (first sum,
+    last sum, how many)."""
     if not total:
         return 0, [0] * shards
-    low = max(largest, -(-total // shards))
-    high = max(low, -(-total // shards) + largest)
-    best, best_at = None, None
-    while low < high:
-        n = min(TRIED, high - low)
-        tried = low + (high - low) * np.arange(n, dtype=np.int64) // n
-        ends = _cuts(spark, groups, starts, total, tried, shards)
-        feasible = np.flatnonzero(ends[:, -1] >= total)
-        if len(feasible):
-            first = int(feasible[0])
-            best, best_at = ends[first].tolist(), int(tried[first])
-            low, high = (int(tried[first - 1]) + 1 if first else best_at), best_at
-        else:
-            low = int(tried[-1]) + 1
-    if best_at != high:
-        best = _cuts(spark, groups, starts, total, np.array([high]), shards)[0].tolist()
-    return high, best
+    ladder, ranges = Ladder(total), [(0, total)]
+    least = max(largest, -(-total // shards))
+    while True:
+        every = sum(b - a for a, b in ranges)
+        widths = [max(1, -(-every // LADDER))] * len(ranges)
+        ladder.learn(ranges, divide(ranges, widths))
+        sure = _least(least, total, lambda c: _fill(ladder.low, total, c, shards)[-1] == total)
+        least = _least(least, sure, lambda c: _fill(ladder.high, total, c, shards)[-1] == total)
+        low, high = _fill(ladder.low, total, least, shards), _fill(ladder.high, total, sure, shards)
+        if least == sure and low == high:
+            return sure, low
+        gaps = sorted(g for a, b in zip([0, *low], [0, *high], strict=True) if (g := ladder.gap(min(total, a + least), min(total, b + sure))))
+        ranges = []
+        for a, b in gaps:
+            if ranges and a < ranges[-1][1]:
+                ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]))
+            else:
+                ranges.append((a, b))
+
+
+def _divider(groups: DataFrame, starts: dict[int, int]):
+    """What minimax_cuts() asks for, from one pass over the groups."""
+    at = _starts_column(starts) + F.col("prefix")
+
+    def divide(ranges: list[tuple[int, int]], widths: list[int]) -> list[tuple[int, int, int]]:
+        cell = lambda r, a, w: F.struct(F.lit(r).alias("r"), F.floor((F.col("sum") - F.lit(a)) / F.lit(w)).alias("c"))
+        where = F.coalesce(*[F.when((F.col("sum") > F.lit(a)) & (F.col("sum") < F.lit(b)), cell(r, a, w)) for r, ((a, b), w) in enumerate(zip(ranges, widths, strict=True))])
+        found = groups.select(at.alias("sum")).withColumn("cell", where).where("cell IS NOT NULL").groupBy("cell").agg(F.min("sum"), F.max("sum"), F.count("*"))
+        return [(int(r[1]), int(r[2]), int(r[3])) for r in found.collect()]  # about LADDER rows at most
+
+    return divide
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8) -> DataFrame:
@@ -117,15 +166,16 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
 
     A row's size is the UTF-8 bytes of its text (null: none) plus ``overhead``. Rows with equal
     texts (null equals null, not the empty text) are a group and share a shard. Groups stand in
-    the order of their smallest id (null first, then by the text's hash); shards are contiguous in that order, and the largest is
-    as small as contiguity and whole groups allow. A slot counts a shard's rows from 0, in the
-    order of groups and then of ids (ties: any order).
+    the order of their smallest id (groups without one first; ties by the text's hash); shards are
+    contiguous in that order, and the largest is as small as contiguity and whole groups allow. A
+    slot counts a shard's rows from 0, in the order of groups, then of ids (null first), then of a
+    hash of the other columns.
 
     Empty and null texts are groups like any other. Repeated rows each get a slot. Empty table:
     no rows. A group may outweigh all the rest; some shards may then be empty. The text is not
     carried along; other columns pass through, and a new column whose name is taken gets an underscore.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     own = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
     text = F.col(own[text_col])
     raw = F.coalesce(text.cast("binary"), F.lit(b""))
@@ -133,21 +183,20 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     rest = [n for c, n in own.items() if c != text_col]
     rows = renamed.select(*rest, F.col(own[id_col]).cast("long").alias("id"), (F.octet_length(raw) + overhead).cast("long").alias("size"), F.crc32(raw).alias("crc"), F.xxhash64(text, text.isNull()).alias("h1"), F.xxhash64(F.lit(1), text, text.isNull()).alias("h2"))
     rows = save(rows, "shard-rows")
-    firsts = rows.groupBy("h1", "h2").agg(F.min(F.coalesce("id", F.lit(-(2**63)))).alias("gid"), F.sum("size").alias("bytes"))
-    groups, starts = _with_prefix(firsts, list(_KEY), "bytes", "prefix", True, "shard-groups")
-    total, largest = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
-    _, ends = minimax_cuts(spark, groups, starts, int(total), int(largest), shards)
+    firsts = rows.groupBy("h1", "h2").agg(F.min("id").alias("gid"), F.sum("size").alias("bytes"))
+    groups, starts, total, largest = _with_prefix(firsts, list(_KEY), "bytes", "prefix", True, "shard-groups")
+    _, ends = minimax_cuts(_divider(groups, starts), total, largest, shards)
     ends = sorted({e for e in ends if 0 < e < total})
     after = _starts_column(starts) + F.col("prefix")
     # each cut's last group: its key tells where the next shard starts; at most `shards` rows
-    found = sorted(tuple(r) for r in groups.where(after.isin(ends)).select(after, *_KEY).collect()) if ends else []
-    cut_keys = sorted({r[0]: r[1:] for r in found}.values())
+    cut_keys = [tuple(r) for r in groups.where(after.isin(ends)).select(*_KEY).collect()] if ends else []
     key = F.struct("gid", "h1", "h2")
     literal = lambda k: F.struct(*[F.lit(x).cast("long").alias(c) for x, c in zip(k, _KEY, strict=True)])
     shard = sum(((key > literal(k)).cast("int") for k in cut_keys), F.lit(0)).cast("int")
     placed = rows.join(groups.select(*_KEY), ["h1", "h2"]).withColumn("one", F.lit(1).cast("long"))
-    placed, row_starts = _with_prefix(placed, [*_KEY, "id"], "one", "local", False, "shard-places")
-    forget(rows)
+    hashed = [f.name for f in placed.schema.fields if f.name in rest and "map<" not in f.dataType.simpleString()]
+    placed, row_starts, _, _ = _with_prefix(placed, [*_KEY, "id", F.xxhash64(*hashed)], "one", "local", False, "shard-places")
+    forget(rows, groups)
     placed = placed.withColumn("shard", shard).withColumn("nth", _starts_column(row_starts) + F.col("local"))
     first = {r[0]: r[1] for r in placed.groupBy("shard").agg(F.min("nth")).collect()}
     start = F.element_at(F.array(*[F.lit(first.get(s, 0)).cast("long") for s in range(shards)]), F.col("shard") + 1)

@@ -1,7 +1,11 @@
 import random
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from llm_helpers import docs_frame
 
+from lamina.llm import sharding
 from lamina.llm.sharding import shard_documents
 
 
@@ -42,6 +46,46 @@ def test_against_brute_force(spark):
         check(rows, shard_documents(docs_frame(spark, rows), shards).collect(), shards)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 60) | st.just(900), min_size=1, max_size=120), st.integers(1, 30), st.sampled_from([2, 5, 40, 1000]))
+def test_capacity_and_cuts_from_ladders(sizes, shards, cells):
+    """Ladders of any size lead to the greedy cuts of the least capacity."""
+    sums, at = [], 0
+    for s in sizes:
+        sums.append(at := at + s)
+    asked = []
+
+    def divide(ranges, widths):
+        asked.append(ranges)
+        out = {}
+        for r, ((a, b), w) in enumerate(zip(ranges, widths, strict=True)):
+            for x in sums:
+                if a < x < b:
+                    out.setdefault((r, (x - a) // w), []).append(x)
+        assert len(out) <= cells + 2 * len(ranges)
+        return [(min(x), max(x), len(x)) for x in out.values()]
+
+    kept, sharding.LADDER = sharding.LADDER, cells
+    try:
+        capacity, ends = sharding.minimax_cuts(divide, at, max(sizes), shards)
+    finally:
+        sharding.LADDER = kept
+    assert capacity == smallest_capacity(sizes, shards)
+    fill = 0
+    for e in ends:
+        assert e == max([x for x in sums if x <= fill + capacity], default=fill)
+        fill = e
+    assert fill == at and (cells < 1000 or len(asked) <= 2 + (at > 1000))
+
+
+@pytest.mark.parametrize("cells", [7, 65_536])
+def test_few_cells(spark, monkeypatch, cells):
+    monkeypatch.setattr(sharding, "LADDER", cells)
+    rng = random.Random(2)
+    rows = [(i, "y" * rng.randint(0, 90) + str(rng.randrange(90))) for i in range(200)] + [(500, "long " * 40_000)]
+    check(rows, shard_documents(docs_frame(spark, rows), 6).collect(), 6)
+
+
 def test_hot_group_and_clashing_names(spark):
     rows = [(i, "same" if i % 3 else f"own {i}", 7, "s") for i in range(60)]
     got = shard_documents(docs_frame(spark, rows, ", size long, shard string"), 4).collect()
@@ -51,5 +95,16 @@ def test_hot_group_and_clashing_names(spark):
 
 def test_empty_and_null_ids(spark):
     assert shard_documents(docs_frame(spark, []), 3).count() == 0
-    got = shard_documents(docs_frame(spark, [(None, "a"), (None, "a"), (None, None)]), 3).collect()
-    assert len(got) == 3
+    got = shard_documents(docs_frame(spark, [(None, "a"), (None, "a"), (None, None), (-(2**63), "b"), (5, "a")]), 3).collect()
+    assert len(got) == 5
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append((r.slot, r.doc_id))
+    order = [i for s in sorted(by) for _, i in sorted(by[s], key=lambda x: x[0])]
+    assert order == [None, -(2**63), None, None, 5]
+
+
+def test_equal_ids_have_their_slots_by_the_other_columns(spark):
+    rows = [(1, "same", x) for x in "abcdef"]
+    one, two = ({r.tag: r.slot for r in shard_documents(docs_frame(spark, x, ", tag string").repartition(n), 2).collect()} for x, n in ((rows, 1), (rows[::-1], 3)))
+    assert one == two and sorted(one.values()) == list(range(6))
