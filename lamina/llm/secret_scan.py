@@ -11,7 +11,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import save
+from lamina.llm.common import forget, save
 
 #: Labelled findings that training uses at most, the forest's shape, and histogram bins.
 TRAIN_ROWS, TREES, DEPTH, BINS, LEAST, SEED = 20_000, 12, 6, 24, 6, 11
@@ -80,15 +80,30 @@ def features(candidate: Column, before: Column, after: Column) -> Column:
     )
 
 
+def _running(lengths: str) -> Column:
+    """Running sums of an array column, in blocks of about its size's square root: a whole prefix
+    for each element would cost the square of the size."""
+    width = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(lengths).cast("double"))).cast("int"))
+    none = F.array().cast("array<bigint>")
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+    within = lambda k: F.aggregate(F.slice(lengths, k * width + 1, width), state(F.lit(0).cast("long"), none), lambda a, x: state(a["at"] + x, F.array_append(a["out"], a["at"] + x)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / width).cast("int")), within)
+    place = lambda all_: F.aggregate(all_, state(F.lit(0).cast("long"), none), lambda a, x: state(a["at"] + x["at"], F.array_append(a["out"], a["at"])))["out"]
+    whole = F.transform(F.array(blocks), lambda all_: F.flatten(F.zip_with(all_, place(all_), lambda x, at: F.transform(x["out"], lambda v: v + at))))
+    return F.get(whole, 0)
+
+
 def _hits(docs: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
     """Each match of each text: id, nth, end of what stands before it, the match, and the text
     between it and its neighbours (left and right)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), text.alias("whole")).where(F.size("hits") > 0)
     found = found.select("id", "hits", F.split("whole", pattern, -1).alias("gaps"))
-    found = found.withColumn("ends", F.transform(F.sequence(F.lit(1), F.size("hits")), lambda k: F.aggregate(F.slice("gaps", 1, k), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("hits", 1, k - 1), F.lit(0), lambda a, x: a + F.length(x))))
+    # what stands between the end of the last match and the end of this one's gap
+    steps = F.zip_with(F.slice("gaps", 1, F.size("hits")), F.concat(F.array(F.lit("")), F.slice("hits", 1, F.size("hits") - 1)), lambda gap, hit: (F.length(gap) + F.length(hit)).cast("long"))
+    found = found.withColumn("steps", steps).withColumn("ends", _running("steps"))
     rows = found.select("id", F.posexplode(F.arrays_zip("hits", "ends", F.slice("gaps", 1, F.size("hits")).alias("left"), F.slice("gaps", 2, F.size("hits")).alias("right"))).alias("nth", "x"))
-    return rows.select("id", "nth", F.col("x.ends").alias("end"), F.col("x.hits").alias("hit"), F.col("x.left").alias("left"), F.col("x.right").alias("right"))
+    return rows.select("id", "nth", F.col("x.ends").cast("int").alias("end"), F.col("x.hits").alias("hit"), F.col("x.left").alias("left"), F.col("x.right").alias("right"))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,6 +163,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000, seed: int = SEED)
         (F.left(made, F.lit(6) + r("n", 8).cast("int")), pick("k", [*assign, "key: ", "The key: ", "pass: "]), F.concat(pick("q", [" ", ", ", ". "]), word("x")), 0),
         (F.concat(word("a"), pick("s", ["_", "-", ".", "/", ""]), word("b"), pick("t", ["", "", "()", "[0]", "s"])), pick("k", [*assign, "key: ", "pass: "]), F.concat(pick("q", [" ", ", ", ". ", "\n"]), word("x")), 0),
         (F.concat(pick("s", ["${", "{{", "<", "$", "%", "["]), F.when(r("u", 2) == 0, F.upper(word("a"))).otherwise(word("a")), F.lit("_"), word("b"), pick("t", ["}", "}}", ">", "", "%", "]"])), pick("k", assign), pick("q", ['"', " ", "\n"]), 0),
+        (F.concat(word("a"), F.initcap(F.left(made, F.lit(3) + r("n", 8).cast("int"))), F.when(r("u", 2) == 0, F.initcap(word("b"))).otherwise(""), F.initcap(word("c")), F.initcap(word("d")), pick("t", ["", "", "2", "64", "V3"])), pick("k", ["function ", "call ", "new ", "use ", "the ", "= ", "class "]), pick("q", ["(", " ", ".", ";", "\n"]), 0),
     ]
     kind = r("kind", len(kinds))
     options = [F.when(kind == k, F.struct(c.alias("candidate"), b.alias("before"), a.alias("after"), F.lit(y).alias("label"))) for k, (c, b, a, y) in enumerate(kinds)]
@@ -202,13 +218,14 @@ def train(findings: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED) -> Fore
     forest = Forest([-1] * (TREES * NODES), [0.0] * (TREES * NODES), [pos / n if n else 0.0] * (TREES * NODES))
     draw = F.pmod(F.xxhash64("h", "tree", F.lit(seed)), F.lit(10_000)) / 10_000
     weight = F.when(draw < 0.3679, 0).when(draw < 0.7358, 1).when(draw < 0.9197, 2).when(draw < 0.981, 3).otherwise(4)
-    each = sample.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).withColumn("w", weight).where("w > 0")
+    bins = F.array(*[_bin(F.get("x", F.lit(j)), e) for j, e in enumerate(edges)])
+    each = sample.select("x", "y", "h", bins.alias("bins")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).withColumn("w", weight).where("w > 0")
+    each = save(each.select("tree", "w", "y", "x", "bins"), "secret-bins")
     rng = random.Random(seed)
     for depth in range(DEPTH + 1):
         at = each.withColumn("node", forest.node(F.col("x"), F.col("tree"), depth)).where(F.col("node") >= 2**depth - 1)
-        bins = F.array(*[_bin(F.get("x", F.lit(j)), e) for j, e in enumerate(edges)])
         # as many rows as trees, nodes, features and bins allow
-        table = at.select("tree", "node", "w", "y", F.posexplode(bins).alias("j", "bin")).groupBy("tree", "node", "j", "bin").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("p")).collect()
+        table = at.select("tree", "node", "w", "y", F.posexplode("bins").alias("j", "bin")).groupBy("tree", "node", "j", "bin").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("p")).collect()
         grown: dict = {}
         for r in table:
             grown.setdefault((r["tree"], r["node"]), {}).setdefault(r["j"], {})[r["bin"]] = (r["n"], r["p"])
@@ -229,6 +246,7 @@ def train(findings: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED) -> Fore
                         best = max(best, (gain, (j, edges[j][b])), key=lambda x: x[0])
             if best[1]:
                 forest.feature[tree * NODES + node], forest.cut[tree * NODES + node] = best[1]
+    forget(sample, each)
     return forest
 
 

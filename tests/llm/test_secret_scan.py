@@ -92,3 +92,86 @@ def test_long_values(spark):
     texts = ["key: " + "x!" * 30_000 + " end", "password=" + "a!" * 100 + ", b", "key" + " " * 30_000 + "=abc!defg", "key: " + "k=;" * 20_000]
     got = {r.id: (r.start, r.candidate) for r in candidates(docs_frame(spark, list(enumerate(texts)))).collect() if r.nth == -1}
     assert got[0] == (5, "x!" * 30_000) and got[1] == (9, "a!" * 100) and got[2] == (30_004, "abc!defg")
+
+
+def test_very_many_candidates(spark):
+    """Starts are right in a text with tens of thousands of candidates, in passable time."""
+    import time
+
+    rng = random.Random(6)
+    text = " ".join(f"a{k}b" + "x" * rng.randint(12, 30) + rng.choice(["", " word", "é"]) for k in range(40_000))
+    began = time.time()
+    got = candidates(docs_frame(spark, [(1, text), (2, "x1" * 12)])).where("id = 1").select("nth", "start", F.length("candidate").alias("n")).collect()
+    assert sorted((r.nth, r.start, r.n) for r in got) == [(k, m.start(), len(m.group())) for k, m in enumerate(re.finditer(CANDIDATE, text))]
+    assert time.time() - began < 60
+
+
+def plants(rng):
+    """Secrets of several kinds as texts hold them, none by the rule that training uses."""
+    some = lambda alphabet, lo, hi: "".join(rng.choices(alphabet, k=rng.randint(lo, hi)))
+    hexa, letters, base = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    return {
+        "hex token": ('token = "{}"', some(hexa, 40, 40)),
+        "password": ("password: {}", some(base, 5, 8) + rng.choice("!#$%&*") + some(base, 3, 6) + str(rng.randrange(10, 99))),
+        "short hex": ("db_password={} ", some(hexa, 10, 14)),
+        "cloud key": ("key id {} in use", "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 16)),
+        "service key": ("use {} there", "ghp_" + some(base, 36, 36)),
+        "signed token": ("Authorization: Bearer {}", "eyJ" + some(base, 30, 40) + "." + some(base, 30, 60)),
+        "base64": ("aws_secret_access_key = {}", some(base + "+/", 40, 40)),
+        "api key": ("api_key: '{}'", some(base, 24, 40)),
+    }
+
+
+HARMLESS_TEXTS = ["see http://www.example.com/docs/page12/index.html for more", "commit {hex} was good", "sha256: {hex}{hex}", "mail to some.body42@mail-server7.example.org now", "order 4785380592391139 came", "the secret: everything is fine", "password: required", "id 550e8400-e29b-41d4-a716-446655440000 here", "function getElementByIdentifier2(document)", "version 1.22.333.2024-01-17.rc1", "call +49 30 1234567890123456 today", "key: value pairs"]
+
+
+def test_recall_of_planted_secrets_by_kind(spark):
+    rng = random.Random(21)
+    vocab = ["".join(rng.choices("aeiounrstlmd", k=rng.randint(2, 9))) for _ in range(300)]
+    say = lambda: " ".join(rng.choices(vocab, k=rng.randint(5, 40)))
+    rows, truth, clean = [], {}, set()
+    for _ in range(40):
+        for kind, (frame, secret) in plants(rng).items():
+            truth[len(rows)] = (kind, secret)
+            rows.append((len(rows), f"{say()} {frame.format(secret)} {say()}"))
+        for t in HARMLESS_TEXTS:
+            clean.add(len(rows))
+            rows.append((len(rows), f"{say()} {t.replace('{hex}', ''.join(rng.choices('0123456789abcdef', k=32)))} {say()}"))
+    got = [r for r in scan_secrets(docs_frame(spark, rows)).collect() if r.secret]
+    hit = {(r.doc_id, r.candidate) for r in got}
+    kinds = {}
+    for i, (kind, secret) in truth.items():
+        kinds.setdefault(kind, []).append(any(d == i and secret in c for d, c in hit))
+    recall = {k: sum(v) / len(v) for k, v in kinds.items()}
+    wrong = len({d for d, _ in hit} & clean) / len(clean)
+    print("recall", recall, "harmless texts flagged", wrong)
+    assert min(recall.values()) >= 0.9 and wrong <= 0.05
+
+
+def test_plants_of_the_tables_are_found(spark):
+    """The tables hold tokens of 40 hexadecimal digits behind a name: all of these are found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {(r.doc_id, m) for r in docs.collect() for m in re.findall('token = "([0-9a-f]{40})"', r.text or "")}
+    got = {(r.doc_id, r.candidate) for r in scan_secrets(docs).where("secret").collect()}
+    assert len(want) > 5 and want <= got
+
+
+def slow_features(c, before, after):
+    """The features of a candidate, with Python's own patterns."""
+    from lamina.llm.secret_scan import FILE, HARMLESS, KEYWORDS, PLACEHOLDER, PREFIX, WORDS
+
+    m = re.match(r"([A-Za-z_.\-]{2,30}=+)(?=[^=])", c)
+    cut = m.group(1) if m else ""
+    v, around = c[len(cut) :], before + cut
+    n = max(1, len(v))
+    count = lambda p: len(re.findall(p, v))
+    rest = re.sub("|".join(sorted(WORDS, key=lambda w: (-len(w), w))), "", v.lower())
+    letters = count("[A-Za-z]")
+    yes = lambda p, s: float(re.search(p, s) is not None)
+    return [len(v), count("[0-9]") / n, count("[A-Z]") / n, count("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])") / n, count("[a-z](?=[A-Z])|[A-Z](?=[a-z])") / n, (len(v) - len(rest)) / n, len(set(v)) / n, float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) and re.search("[A-Fa-f]", v))), yes("^[0-9.\\-]+$", v), count("[.]") / n, count("/") / n, yes(FILE, v), count("(?i)[aeiou]") / max(1, letters), yes(KEYWORDS, around), yes(HARMLESS, around), yes(PREFIX, v), yes(PLACEHOLDER, v), float(around[-1:] in ("@", "/") and bool(around) or after[:1] == "@"), float(around[-1:] in ('"', "'") and bool(around) and after[:1] in ('"', "'") and bool(after)), count("[_\\-]") / n]
+
+
+def test_features_against_a_slow_reference(spark):
+    rows = labelled_findings(spark, 600, seed=3).select("candidate", "before", "after", features(F.col("candidate"), F.col("before"), F.col("after")).alias("x")).collect()
+    for r in rows:
+        assert [round(a, 9) for a in r.x] == [round(b, 9) for b in slow_features(r.candidate, r.before, r.after)], r
