@@ -89,22 +89,30 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _AFTER = "CASE WHEN contains({u}, '://') THEN substr({u}, strpos({u}, '://') + 3) ELSE '' END"
-_TEXT = lambda s: "'" + s.replace("'", "''") + "'"
-OP8_SQL = f"""
+# Stated apart from the operator: none of its patterns is used here.
+OP8_SQL = rf"""
 WITH RECURSIVE rules AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS r(action, h, p)),
 parsed AS (
-  SELECT page_id, html, contains(url, '://') AS sound, {_LOWER.format("regexp_extract(coalesce(tail, ''), '^[^/?#]*')")} AS host, regexp_extract(coalesce(tail, ''), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(tail, ''), '^[^/?#]*([^#]*)', 1) AS more
+  SELECT page_id, html, contains(url, '://') AS sound, {_LOWER.format("regexp_extract(coalesce(tail, ''), '^[^/?#]*')")} AS host,
+    regexp_extract(coalesce(tail, ''), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(tail, ''), '^[^/?#]*([^#]*)', 1) AS more
   FROM (SELECT *, {_AFTER.format(u="url")} AS tail FROM pages)),
 nodes AS (SELECT *, CASE WHEN sound THEN host || more END AS node FROM parsed),
-tags AS (SELECT node, host, path, unnest(regexp_extract_all(coalesce(html, ''), {_TEXT("(?i)" + url_filter.TAGS)})) AS tag FROM nodes WHERE node IS NOT NULL),
+tags AS (
+  SELECT node, host, path, tag, replace(replace(regexp_replace(lower(tag), '[ \t\n\r\f\v]*=[ \t\n\r\f\v]*', '=', 'g'), '"', ''), chr(39), '') AS small FROM (
+    SELECT node, host, path, unnest(regexp_extract_all(coalesce(html, ''), '<[A-Za-z]+[ \t\n\r\f\v][^>]*>')) AS tag FROM nodes WHERE node IS NOT NULL)),
+hrefs AS (
+  SELECT *, regexp_extract(tag, '[hH][rR][eE][fF][ \t\n\r\f\v]*=[ \t\n\r\f\v]*("[^"]*"|\x27[^\x27]*\x27|[^ \t\n\r\f\v"\x27>]+)', 1) AS h FROM tags
+  WHERE regexp_matches(small, '^<link[ \t\n\r\f\v]') AND contains(small, 'rel=canonical')),
 targets AS (
-  SELECT node, host, path, trim(replace(t, '&amp;', '&')) AS t FROM (
-    SELECT *, CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, {_TEXT(url_filter.CANONICAL)}) THEN regexp_extract(tag, {_TEXT(url_filter.HREF)}, 1) || regexp_extract(tag, {_TEXT(url_filter.HREF)}, 2) || regexp_extract(tag, {_TEXT(url_filter.HREF)}, 3)
-      WHEN regexp_matches(tag, '(?i)^<meta') AND regexp_matches(tag, {_TEXT(url_filter.REFRESH)}) THEN regexp_extract(tag, {_TEXT(url_filter.TARGET)}, 1) END AS t FROM tags)),
+  SELECT node, host, path, trim(replace(CASE WHEN h[1] IN ('"', chr(39)) THEN substr(h, 2, length(h) - 2) ELSE h END, '&amp;', '&')) AS t FROM hrefs
+  UNION ALL
+  SELECT node, host, path, trim(replace(regexp_extract(tag, '[uU][rR][lL][ \t\n\r\f\v]*=[ \t\n\r\f\v]*["\x27]?([^ \t\n\r\f\v"\x27>]+)', 1), '&amp;', '&')) FROM tags
+  WHERE regexp_matches(small, '^<meta[ \t\n\r\f\v]') AND contains(small, 'http-equiv=refresh')),
 urls AS (
-  SELECT node, CASE WHEN regexp_matches(t, {_TEXT(url_filter.ABSOLUTE)}) THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t WHEN starts_with(t, '?') THEN 'http://' || host || path || t
-    ELSE 'http://' || host || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || t END AS u
-  FROM targets WHERE t IS NOT NULL AND t <> '' AND NOT starts_with(t, '#')),
+  SELECT node, CASE WHEN strpos(t, '://') > 1 AND regexp_full_match(substr(t, 1, strpos(t, '://') - 1), '[a-zA-Z][-+.a-zA-Z0-9]*') THEN t WHEN t[1:2] = '//' THEN 'http:' || t
+    WHEN t[1] = '/' THEN 'http://' || host || t WHEN t[1] = '?' THEN 'http://' || host || path || t
+    WHEN contains(path, '/') THEN 'http://' || host || substr(path, 1, length(path) - strpos(reverse(path), '/') + 1) || t ELSE 'http://' || host || '/' || t END AS u
+  FROM targets WHERE t <> '' AND t[1] <> '#'),
 edges AS (SELECT node AS a, {_LOWER.format("regexp_extract(tail, '^[^/?#]*')")} || regexp_extract(tail, '^[^/?#]*([^#]*)', 1) AS b FROM (SELECT node, {_AFTER.format(u="u")} AS tail FROM urls)),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),

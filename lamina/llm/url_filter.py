@@ -101,7 +101,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "u
     blocked = judged.where("verdict = 'block'").select("component").distinct()
     aliases = parts.join(blocked, "component").select(F.col("node").alias("__url_alias"))
     rule = rule_for(F.col(own[0]), F.col(own[1]), rules)
-    out = parsed.withColumn(own[3], rule).join(aliases, F.col(own[2]) == F.col("__url_alias"), "left")
+    ruled = parsed.withColumn(own[3], rule)
+    # pages without a node would all be one null key of the join
+    out = ruled.where(F.col(own[2]).isNotNull()).join(aliases, F.col(own[2]) == F.col("__url_alias"), "left")
+    out = out.union(ruled.where(F.col(own[2]).isNull()).withColumn("__url_alias", F.lit(None).cast("string")))
     verdict = F.coalesce(F.col(own[3])["verdict"], F.when(F.col("__url_alias").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     new = {"host": F.col(own[0]), "path": F.col(own[1]), "rule": F.col(own[3])["rule"], "verdict": verdict}
     return out.select(*pages.columns, *[x.alias(free(pages, c)) for c, x in new.items()])

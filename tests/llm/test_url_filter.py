@@ -1,5 +1,5 @@
 from lamina.llm.components import connected_components
-from lamina.llm.queries import URL_RULES
+from lamina.llm.queries import OP8_SQL, URL_RULES
 from lamina.llm.url_filter import judge_urls
 
 
@@ -36,6 +36,37 @@ def test_aliases(spark):
     assert {k for k, r in got.items() if r.verdict_ == "block"} == {1, 2, 3, 5, 6, 7}
 
 
+ODD = [
+    (1, "http://a.org/1", '<head><LINK href="http://b.org/2" rel="canonical"></head>'),
+    (2, "http://b.org/2#x", '<meta content="0; URL=/3?a=1&amp;b=2" http-equiv=refresh>'),
+    (3, "http://b.org/3?a=1&b=2", "<meta http-equiv='refresh' content='5;url=//x.net/es/y'>"),
+    (4, "http://c.com/4", "<link rel='canonical' href='http://a.org/1'>"),
+    (5, "http://d.org/f/5", "<link rel=canonical href=6>"),
+    (6, "http://d.org/f/6", "<link rel='stylesheet' href='http://x.net/es/y'>"),
+    (7, "http://e.org/7", None),
+    (8, "http://f.org/8", '<link rel="canonical" href="#top"><link rel="canonical" href="">'),
+    (9, "http://g.org/a/b", "<link  rel = canonical  href = '?q=1' ><linked rel=canonical href='http://x.net/es/'>"),
+    (10, "http://g.org/a/b?q=1", "<META HTTP-EQUIV=\"Refresh\" CONTENT=\"1; url=http://x.net/fr/z\">"),
+    (11, None, "<link rel=canonical href=http://x.net/es/>"),
+    (12, "no scheme", "<link rel=canonical href=http://x.net/es/>"),
+    (13, "http://h.org/13", "<p>" + "long " * 50_000 + "<link rel=canonical href=http://a.org/1>"),
+    (13, "http://h.org/13", "<p>" + "long " * 50_000 + "<link rel=canonical href=http://a.org/1>"),
+    (14, "http://example.com/en/1", "<link rel=canonical href=http://www.example.com/en/1>"),
+]
+
+
+def test_against_sql_with_patterns_of_its_own(spark):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(ODD, columns=["page_id", "url", "html"]))
+    want = con.execute(OP8_SQL).fetchall()
+    got = judge_urls(spark.createDataFrame(ODD, "page_id long, url string, html string"), URL_RULES)
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select("page_id", "host", "path", "rule", "verdict").collect())
+    assert {r[0] for r in want if r[4] == "block"} == {1, 2, 3, 9, 10, 13, 14}
+
+
 def test_empty(spark):
     assert judge(spark, []) == {}
 
