@@ -21,12 +21,14 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import in_worker, new_folder, portions, save, shuffle_partitions, small_batches
+from lamina.llm.common import in_worker, new_folder, portions, qualified, save, shuffle_partitions, small_batches
 from lamina.llm.simple8b import Reader, Writer
 
 #: Bytes of text that are encoded at once, and different chunks that a worker remembers.
 TEXT_BYTES, CHUNKS = 2 << 20, 500_000
-MANIFEST = "part int, path string, bytes long, n_docs long, n_ids long"
+MANIFEST = "part int, path string, bytes long, n_docs long, n_ids long, n_null long"
+#: What stands for a null id inside a file; the manifest counts them, and they come first.
+NO_ID = -(2**63)
 
 
 def splits_at_space(path: str) -> bool:
@@ -146,7 +148,7 @@ class Encoder:
 def _writer(tokenizer: str, end_id: int | None, folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
-        part = -1
+        part, nulls = -1, 0
         for b in portions(batches, "text", TEXT_BYTES):
             if out is None:
                 part = b["part"][0].as_py()
@@ -159,30 +161,33 @@ def _writer(tokenizer: str, end_id: int | None, folder: str):
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 counts = counts + 1
-            out.add(b["id"].to_numpy(zero_copy_only=False), counts, ids)
+            nulls += b["id"].null_count
+            out.add(b["id"].fill_null(NO_ID).to_numpy(zero_copy_only=False), counts, ids)
         if out is not None:
             out.close()
             sink.close()
-            yield pa.record_batch({"part": pa.array([part], pa.int32()), "path": [path], "bytes": [fs.get_file_info(path).size], "n_docs": [sum(map(len, out.docs))], "n_ids": [out.values]})
+            yield pa.record_batch({"part": pa.array([part], pa.int32()), "path": [path], "bytes": [fs.get_file_info(path).size], "n_docs": [sum(map(len, out.docs))], "n_ids": [out.values], "n_null": [nulls]})
 
     return write
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """Encode every text and write the ids in ascending order of id_col; returns the manifest
-    (part, path, bytes, n_docs, n_ids) and the folder. ``tokenizer`` is the path of a file of the
-    tokenizers library, on every machine; ``end_id`` is appended to each document.
-
-    A null or empty text has no ids but ``end_id``. Rows with a null id come first and are
-    numbered -2**63. Rows with equal ids stay side by side, ordered by their text's hash.
+    (part, path, bytes, n_docs, n_ids, n_null) and the folder. ``tokenizer`` is the path of a file
+    of the tokenizers library, on every machine; ``end_id`` is appended to each document.
+    ``folder`` is one that driver and executors share; without a scheme it lies on the cluster's
+    default file system.
+
+    A null or empty text has no ids but ``end_id``. Rows with a null id come first; files hold
+    NO_ID for them, and n_null says how many of a file's first documents they are. Rows with equal
+    ids stay side by side, ordered by their text's hash.
     Empty table: no files. Texts of any length are encoded whole. No other column is read.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    folder = folder or new_folder(spark, "token-files")
-    folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    order = ["id", F.xxhash64("text")]
+    folder = qualified(spark, folder or new_folder(spark, "token-files"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    order = [F.asc_nulls_first("id"), F.xxhash64("text")]
     rows = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     return save(rows.mapInArrow(_writer(tokenizer, end_id, folder), MANIFEST), "token-manifest"), folder
 
@@ -191,7 +196,7 @@ def _documents(folder: str, digest):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
         for b in batches:
-            for path, bytes_, start in zip(b["path"].to_pylist(), b["bytes"].to_pylist(), b["start"].to_pylist(), strict=True):
+            for path, bytes_, start, nulls in zip(*(b[c].to_pylist() for c in ("path", "bytes", "start", "n_null")), strict=True):
                 with fs.open_input_file(path) as source:
                     reader = Reader(source, bytes_)
                     ends = np.cumsum(reader.counts)
@@ -208,7 +213,7 @@ def _documents(folder: str, digest):
                             state, doc = None, doc + 1
                         at += len(values)
                     results += [digest(np.zeros(0, "<u4"), None)] * (len(ends) - doc)
-                yield pa.record_batch({"doc_id": pa.array(reader.docs), "start": pa.array(start + ends - reader.counts), "n_tokens": pa.array(reader.counts), "ids_crc32": pa.array(results, pa.int64())})
+                yield pa.record_batch({"doc_id": pa.array(reader.docs, mask=np.arange(len(ends)) < nulls), "start": pa.array(start + ends - reader.counts), "n_tokens": pa.array(reader.counts), "ids_crc32": pa.array(results, pa.int64())})
 
     return read
 
@@ -226,9 +231,9 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     spark = manifest.sparkSession
     rows, start = [], 0
     for r in sorted(manifest.collect(), key=lambda r: r["part"]):
-        rows.append((r["path"], r["bytes"], start))
+        rows.append((r["path"], r["bytes"], start, r["n_null"]))
         start += r["n_ids"]
-    files = spark.createDataFrame(rows, "path string, bytes long, start long")
+    files = spark.createDataFrame(rows, "path string, bytes long, start long, n_null long")
     return files.repartition(max(1, len(rows)), "path").mapInArrow(_documents(folder, _crc), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -53,11 +53,13 @@ def test_other_tokenizers(name):
 
 
 def test_files(spark, tmp_path):
-    rows = [(7, "b a"), (3, None), (5, ""), (-2, "word " * 30_000), (9, "x"), (9, "y"), (None, "none"), (4, "same"), (4, "same")]
+    rows = [(-(2**63), "least"), (7, "b a"), (3, None), (5, ""), (-2, "word " * 30_000), (9, "x"), (9, "y"), (None, "none"), (4, "same"), (4, "same")]
     manifest, folder = token_files.write_token_files(docs_frame(spark, [(*r, 1) for r in rows], ", ids_crc32 int"), PATH, 2, str(tmp_path))
     got = sorted(map(tuple, token_files.read_token_files(manifest, folder).collect()), key=lambda r: r[1])
-    assert [r[0] for r in got] == sorted((i if i is not None else -(2**63)) for i, _ in rows)
-    want = sorted((i if i is not None else -(2**63), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in rows for ids in [[*WORDS.encode(t or "", add_special_tokens=False).ids, 2]])
+    first = lambda i: (i is not None, i or 0)
+    assert [r[0] for r in got] == sorted((i for i, _ in rows), key=first) and got[0][0] is None and got[1][0] == -(2**63)
+    got = [(-(2**64) if r[0] is None else r[0], *r[1:]) for r in got]
+    want = sorted((i if i is not None else -(2**64), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in rows for ids in [[*WORDS.encode(t or "", add_special_tokens=False).ids, 2]])
     assert sorted((r[0], r[2], r[3]) for r in got) == want
     assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()]
     docs = {}
