@@ -36,7 +36,7 @@ BANDS, ROWS, MANTISSA = 38, 5, 10
 BUCKETS = BANDS * ROWS
 #: Bytes of text sketched at once; nodes of a bucket compared at once, and their shingles; standard deviations that
 #: an estimate may fall short of the threshold (of BUCKETS independent registers).
-TEXT_BYTES, BLOCK, BLOCK_SHINGLES, SLACK = 4 << 20, 1024, 400_000, 6
+TEXT_BYTES, BLOCK, BLOCK_SHINGLES, SLACK = 4 << 20, 256, 400_000, 6
 #: Pairs a node that may be left to blocks before more pivots are tried, and rounds of these.
 PAIRS, ROUNDS = 200, 4
 #: Registers of independent sets agree with probability 4 * CHANCE / 2**MANTISSA * ab / (a+b)**2.
@@ -122,34 +122,49 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": b["a"], "b": b["b"], "score": pa.array(estimate(same, na, nb))})
 
 
+def _candidates(table: pa.Table, floor: float, percent: int) -> np.ndarray:
+    """Pairs (rows of side 0, rows of side 1, estimate) of different components in one pair of a
+    bucket's blocks that may be similar enough and meet in no earlier band."""
+    ids, part, n, outside, side = (table[c].to_numpy() for c in ("id", "component", "n", "outside", "side"))
+    band, regs = table["band"][0].as_py(), _registers(table["regs"])
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    found = [np.zeros((3, 0))]
+    for lo in range(0, len(left), 32):
+        rows = left[lo : lo + 32]
+        lengths = 100 * np.minimum(n[rows, None], n[None, right]) >= percent * np.maximum(n[rows, None], n[None, right])
+        once = ~outside[None, right] | (ids[rows, None] < ids[None, right])  # two outside meet twice
+        i, j = np.nonzero((part[rows, None] != part[None, right]) & lengths & once)
+        for at in range(0, len(i), 4096):
+            p, q = rows[i[at : at + 4096]], right[j[at : at + 4096]]
+            same = regs[p] == regs[q]
+            score = estimate(same.mean(axis=1), n[p].astype(float), n[q].astype(float))
+            first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            found.append(np.stack([p, q, score])[:, first & (score >= floor)])
+    return np.concatenate(found, axis=1)
+
+
+def _promising(floor: float, percent: int):
+    """The rows of a pair of blocks that are in some candidate."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        return table.take(pa.array(np.unique(_candidates(table, floor, percent)[:2]).astype(np.int64)))
+
+    return run
+
+
 def _cross(floor: float, percent: int):
-    """Links between components of one bucket: its rows of side 0, which are outside the largest
-    component, with those of side 1. Pairs are taken by falling estimate and confirmed on their
-    full sets; a pair whose components earlier links have connected needs no test. A pair that
-    shares several bands is tested in the first alone. Gives pairs of components."""
+    """Links between components in one pair of a bucket's blocks. Candidates are taken by falling
+    estimate and confirmed on their full sets; one whose components earlier links have connected
+    needs no test. Gives pairs of components."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, part, n, outside, side = (table[c].to_numpy() for c in ("id", "component", "n", "outside", "side"))
-        band = table["band"][0].as_py()
-        regs = _registers(table["regs"])
+        part = table["component"].to_numpy()
         column = table["shingles"].chunk(0)
         flat, bounds = column.flatten().to_numpy(), column.offsets.to_numpy()
         shingles = [flat[lo - bounds[0] : hi - bounds[0]] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found = []
-        for lo in range(0, len(left), 32):
-            rows = left[lo : lo + 32]
-            lengths = 100 * np.minimum(n[rows, None], n[None, right]) >= percent * np.maximum(n[rows, None], n[None, right])
-            once = ~outside[None, right] | (ids[rows, None] < ids[None, right])  # two outside meet twice
-            i, j = np.nonzero((part[rows, None] != part[None, right]) & lengths & once)
-            for at in range(0, len(i), 4096):
-                p, q = rows[i[at : at + 4096]], right[j[at : at + 4096]]
-                same = regs[p] == regs[q]
-                score = estimate(same.mean(axis=1), n[p].astype(float), n[q].astype(float))
-                first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-                found.append(np.stack([p, q, score])[:, first & (score >= floor)])
-        p, q, score = np.concatenate([np.zeros((3, 0)), *found], axis=1)
+        p, q, score = _candidates(table, floor, percent)
         root: dict[int, int] = {}
 
         def top(c: int) -> int:
@@ -203,18 +218,21 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return park(whole.select("key", (-F.col("top.other")).alias("largest"), (out * F.col("many")).alias("pairs"), blocks(out, out_n).alias("xs"), blocks(F.col("many"), F.col("n")).alias("ys")))
 
 
-def _in_blocks(placed: DataFrame, mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+_MEMBER = "key long, band int, x int, y int, side int, id long, component long, outside boolean, n int, regs binary"
+
+
+def _in_blocks(placed: DataFrame, mixed: DataFrame, nodes: DataFrame) -> DataFrame:
     """The members of mixed buckets, a copy for each pair of blocks that they meet in: those
     outside the largest component (side 0) in one x and every y, all (side 1) in one y and every x."""
     rows = placed.select("key", "band", "id", "component").join(mixed, "key").withColumn("outside", F.col("component") != F.col("largest"))
-    rows = rows.join(nodes.select("id", "n", "regs"), "id").join(sets, "id")
+    rows = rows.join(nodes.select("id", "n", "regs"), "id")
     block = lambda many: F.pmod(F.xxhash64("id"), many).cast("int")
     cell = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), F.lit(side).alias("side"))
     upto = lambda many: F.sequence(F.lit(0), F.col(many) - 1)
     as_all = F.transform(upto("xs"), lambda x: cell(x, block(F.col("ys")), 1))
     as_outside = F.transform(upto("ys"), lambda y: cell(block(F.col("xs")), y, 0))
     cells = F.when(F.col("outside"), F.concat(as_all, as_outside)).otherwise(as_all)
-    return rows.withColumn("cell", F.explode(cells)).select("key", "band", "cell.x", "cell.y", "cell.side", "id", "component", "outside", "n", "regs", "shingles")
+    return rows.withColumn("cell", F.explode(cells)).select("key", "band", "cell.x", "cell.y", "cell.side", "id", "component", "outside", "n", "regs")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,43 +263,45 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     shared = park(bands.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("many")).where("first < last").select("key", "many"))
     found = park(bands.join(shared, "key"))
     degree = found.groupBy("id").agg(F.sum("many").alias("degree")).join(nodes.groupBy("id").agg(F.max("n").alias("n")), "id")
-    members = park(found.join(degree, "id").select("key", "band", "id", "degree", "n"))
-    parked = [nodes, shared, found, members]
+    members = save(found.join(degree, "id").select("key", "band", "id", "degree", "n"), "near-members")
+    drop(shared, found)
 
     wanted = members.select("id").distinct()
     texts = source.join(wanted, "id").withColumn("key", text_key(F.col("text"))).dropDuplicates(["id", "key"]).select("id", "text")
-    sets = park(texts.mapInArrow(_sets(shingle_words), "id long, shingles array<long>"))
+    sets = save(texts.mapInArrow(_sets(shingle_words), "id long, shingles array<long>"), "near-sets")
     side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
     several = park(usable.groupBy("id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("other")).where("one <> other").select("id"))
     links = usable.select("id", "set_key").join(several, "id").join(nodes.select("set_key", F.col("id").alias("b")), "set_key").select(F.col("id").alias("a"), "b")
-    parked += [sets, several]
+    parked = [nodes, several]
 
-    outside, parts = members, None
+    outside, tables = members, [members, sets]
     for k in range(ROUNDS):
         pivots = _pivots(outside)
         close = _best_stars(outside, pivots).join(side("a"), "a").join(side("b"), "b").where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % percent)
-        likely = park(close.mapInArrow(_score, _PAIR + ", score double").where(F.col("score") >= floor).select("a", "b"))
-        links = park(links.union(_confirmed(likely, sets, percent)))
-        if parts is not None:
-            forget(parts)
-        parts = connected_components(links, "a", "b")
+        likely = close.mapInArrow(_score, _PAIR + ", score double").where(F.col("score") >= floor)
+        parts = connected_components(links.union(_confirmed(likely, sets, percent)), "a", "b")
+        links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
         placed = park(members.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")))
         mixed = _mixed(placed)
-        parked += [pivots, likely, links, placed, mixed]
+        parked += [pivots, placed, mixed]
+        tables.append(parts)
         left = mixed.agg(F.sum("pairs")).first()[0] or 0
         if k + 1 == ROUNDS or left <= PAIRS * members.count():
             break
         outside = placed.join(mixed.select("key", "largest"), "key").where("component <> largest").drop("component", "largest")
 
-    cross = _in_blocks(placed, mixed, nodes, sets).groupBy("key", "band", "x", "y").applyInArrow(_cross(floor, percent), _PAIR)
+    cell = ("key", "band", "x", "y")
+    promising = park(_in_blocks(placed, mixed, nodes).groupBy(*cell).applyInArrow(_promising(floor, percent), _MEMBER))
+    cross = promising.join(sets, "id").groupBy(*cell).applyInArrow(_cross(floor, percent), _PAIR)
     wider = connected_components(cross, "a", "b")
+    parked.append(promising)
 
     # from components to sets, and from these back to documents; most sets stand alone
     final = nodes.select("set_key", "id", "copies").join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     final = final.join(wider.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").withColumn("least", F.coalesce("least", "component"))
     final = save(final.where("copies > 1 OR least <> id").groupBy("set_key").agg(F.min("least").alias("component")), "near-components")
     drop(*parked)
-    forget(parts, wider)
+    forget(*tables, wider)
     alone = "n > 0 AND id IS NOT NULL"
     mine = rows.where(alone).join(final, "set_key", "left").select("id", "key", "n", "component")
     mine = mine.union(rows.where(f"NOT ({alone})").select("id", "key", "n", F.lit(None).cast("long")))

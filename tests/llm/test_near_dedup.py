@@ -58,7 +58,7 @@ def corpus(seed):
     return [*rows, (3, ""), (5, None), (7, " \n"), (8, "word"), (9, "Word"), (11, "one two"), (12, "ONE  two")]
 
 
-@pytest.mark.parametrize(("size", "block", "pairs"), [(2, 1024, 200), (5, 1024, 200), (2, 4, 200), (2, 3, 0)])
+@pytest.mark.parametrize(("size", "block", "pairs"), [(2, 256, 200), (5, 256, 200), (2, 4, 200), (2, 3, 0)])
 def test_against_brute_force(spark, monkeypatch, size, block, pairs):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     monkeypatch.setattr(near_dedup, "PAIRS", pairs)  # 0: more rounds of pivots
