@@ -39,6 +39,8 @@ from lamina.llm.common import crc32, in_worker, mix64, portions, small_batches
 #: character without a piece.
 TEXT_BYTES, SEGMENTS, SHORT, BATCH, UNKNOWN_COST = 2 << 20, 400_000, 62, 4096, 10.0
 UNIT, NEVER, ALL_CUTS = 1_000_000, -(2**60), 2**63 - 1
+#: Characters of a batch's segments at most, padded; what a score is above unless it is NEVER and more.
+BATCH_CHARS, LOST = 1 << 16, -(2**59)
 _P = np.uint64(0x100000001B3)
 _SLOTS = 20
 # Piece types of the model format.
@@ -215,34 +217,44 @@ def lockstep_n_best(score: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.
     most, many, width = score.shape
     forward = np.full((many, width + 1), NEVER, np.int64)
     forward[:, 0] = 0
+    via = np.full((many, width + 1, most), NEVER, np.int64)  # best score up to an end through a piece of k + 1 characters
     for j in range(1, width + 1):
         for k in range(min(most, j)):
-            np.maximum(forward[:, j], forward[:, j - k - 1] + score[k, :, j - k - 1], out=forward[:, j])
-    np.maximum(forward, NEVER, out=forward)
+            np.maximum(forward[:, j - k - 1] + score[k, :, j - k - 1], NEVER, out=via[:, j, k])
+        forward[:, j] = via[:, j].max(axis=1)
+    via = via.reshape(-1, most)
     found, found_cuts, count = np.full((many, n), NEVER, np.int64), np.zeros((many, n), np.int64), np.zeros(many, np.int64)
-    # frontiers: estimate, cuts, position and score so far of up to n entries a row, the first first
+    # frontiers: estimates, cuts and positions of up to n entries a row, the first first
     row, keep = np.arange(many), np.full((many, n), NEVER, np.int64)
     keep[:, 0] = forward[row, lengths]
-    cuts, at, done = np.zeros((many, n), np.int64), np.zeros((many, n), np.int64), np.zeros((many, n), np.int64)
+    cuts, at = np.zeros((many, n), np.int64), np.zeros((many, n), np.int64)
     at[:, 0] = lengths
-    piece = np.arange(most)
     while len(row):
-        whole = np.flatnonzero(at[:, 0] == 0)
+        end = at[:, 0]
+        whole = np.flatnonzero(end == 0)
         if len(whole):
             r = row[whole]
             found[r, count[r]], found_cuts[r, count[r]] = keep[whole, 0], cuts[whole, 0]
             count[r] += 1
-        start = at[:, :1] - 1 - piece
-        inside = np.maximum(start, 0)
-        edge = np.where(start >= 0, score[piece, row[:, None], inside], NEVER)
-        cost = done[:, :1] + edge
-        estimate = np.where(edge > NEVER, forward[row[:, None], inside] + cost, NEVER)
-        more = cuts[:, :1] | np.where(inside > 0, np.int64(1) << inside, 0)
-        columns = [np.concatenate(x, axis=1) for x in ((keep[:, 1:], estimate), (cuts[:, 1:], more), (at[:, 1:], inside), (done[:, 1:], cost))]
-        first = _first(columns[0], columns[1], n)
-        keep, cuts, at, done = (np.take_along_axis(x, first, axis=1) for x in columns)
-        going = (count[row] < n) & (keep[:, 0] > NEVER)
-        row, keep, cuts, at, done = row[going], keep[going], cuts[going], at[going], done[going]
+        through = via[row * (width + 1) + end]
+        estimate = np.where(through > LOST, through + (keep[:, 0] - forward[row, end])[:, None], NEVER)
+        # the n first of the ways on: by estimate, and of equal ones the longest piece
+        every, more, starts, more_cuts = np.arange(len(row)), np.empty_like(keep), np.empty_like(keep), np.empty_like(keep)
+        for c in range(n):
+            k = most - 1 - estimate[:, ::-1].argmax(axis=1)
+            more[:, c] = estimate[every, k]
+            estimate[every, k] = NEVER
+            starts[:, c] = start = np.maximum(end - 1 - k, 0)
+            more_cuts[:, c] = cuts[:, 0] | np.where(start > 0, np.int64(1) << start, 0)
+        if n == 1:
+            keep, cuts, at = more, more_cuts, starts
+        else:
+            columns = [np.concatenate(x, axis=1) for x in ((keep[:, 1:], more), (cuts[:, 1:], more_cuts), (at[:, 1:], starts))]
+            first = _first(columns[0], columns[1], n)
+            keep, cuts, at = (np.take_along_axis(x, first, axis=1) for x in columns)
+        going = (count[row] < n) & (keep[:, 0] > LOST)
+        if not going.all():
+            row, keep, cuts, at = row[going], keep[going], cuts[going], at[going]
     return found, found_cuts
 
 
@@ -284,8 +296,11 @@ class Segmenter:
     def _learn(self, segments: list[str]) -> None:
         segments = sorted(segments, key=len)
         short = [s for s in segments if len(s) <= SHORT]
-        for lo in range(0, len(short), BATCH):
-            self._learn_batch(short[lo : lo + BATCH])
+        hi = len(short)
+        while hi:  # the longest first; a batch is as wide as its longest segment
+            lo = max(0, hi - max(1, min(BATCH, BATCH_CHARS // len(short[hi - 1]))))
+            self._learn_batch(short[lo:hi])
+            hi = lo
         for s in segments[len(short) :]:
             ways = Lattice(self.vocabulary, s).n_best(self.n)
             score, order = np.full((1, self.n), NEVER, np.int64), np.zeros((1, self.n), np.int64)
