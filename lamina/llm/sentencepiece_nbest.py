@@ -22,6 +22,7 @@ segmentation is the likeliest one and not the one that merging by rank gives.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ from lamina.llm.common import crc32, in_worker, mix64, portions, small_batches
 #: Bytes of text taken at once, segments a worker remembers, characters of a segment that is
 #: learned in a batch (its cuts are bits of one number), segments in a batch, and the cost of a
 #: character without a piece.
-TEXT_BYTES, SEGMENTS, SHORT, BATCH, UNKNOWN_COST = 2 << 20, 400_000, 62, 4096, 10.0
+TEXT_BYTES, SEGMENTS, SHORT, BATCH, UNKNOWN_COST = 4 << 20, 400_000, 62, 4096, 10.0
 UNIT, NEVER, ALL_CUTS = 1_000_000, -(2**60), 2**63 - 1
 #: Characters of a batch's segments at most, padded; what a score is above unless it is NEVER and more.
 BATCH_CHARS, LOST = 1 << 16, -(2**59)
@@ -128,19 +129,21 @@ class Pieces:
         return out
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of the lattice's edges, [length - 1, row, start], of rows of characters
+        """Scores and ids of the lattice's edges, [length - 1, start, row], of rows of characters
         as _codes() gives them. A character without a piece has an edge with the id limit + code."""
-        rows, n = codes.shape
+        codes = np.ascontiguousarray(codes.T)
+        n, rows = codes.shape
         most = min(self.longest, n)
-        score = np.full((most, rows, n), NEVER, np.int64)
-        ids = np.zeros((most, rows, n), np.int32)
-        h = np.zeros((rows, n), np.uint64)
+        score = np.full((most, n, rows), NEVER, np.int64)
+        ids = np.zeros((most, n, rows), np.int32)
+        h = np.zeros((n, rows), np.uint64)
         for k in range(most):
-            h = h[:, : n - k] * _P + codes[:, k:]
+            h = h[: n - k] * _P + codes[k:]
             piece = self.find(h.ravel()).reshape(h.shape)
-            here = (piece >= 0) & (codes[:, k:] > 0)
-            score[k, :, : n - k][here] = self.score_of[piece[here]]
-            ids[k, :, : n - k][here] = self.id_of[piece[here]]
+            here = np.flatnonzero((piece >= 0) & (codes[k:] > 0))
+            piece = piece.ravel()[here]
+            score[k].ravel()[here] = self.score_of[piece]
+            ids[k].ravel()[here] = self.id_of[piece]
         bare = (score[0] == NEVER) & (codes > 0)
         score[0][bare] = self.unknown
         ids[0][bare] = self.limit + codes[bare] - 1
@@ -170,10 +173,10 @@ class Lattice:
     def __init__(self, vocabulary: Pieces, segment: str):
         score, ids = vocabulary.edges(_codes(segment)[None])
         self.vocabulary, self.n = vocabulary, len(segment)
-        k, _, i = np.nonzero(score > NEVER)
+        k, i, _ = np.nonzero(score > NEVER)
         ends = i + k + 1
         order = np.lexsort((k, ends))
-        self.start, self.score, self.ids = (x[order].tolist() for x in (i, score[k, 0, i], ids[k, 0, i]))
+        self.start, self.score, self.ids = (x[order].tolist() for x in (i, score[k, i, 0], ids[k, i, 0]))
         self.upto = np.searchsorted(ends[order], np.arange(self.n + 2)).tolist()  # edges into j: upto[j] .. upto[j + 1]
         best = [0] + [NEVER] * self.n
         for j in range(1, self.n + 1):
@@ -214,19 +217,23 @@ def _first(score: np.ndarray, cuts: np.ndarray, n: int) -> np.ndarray:
 def lockstep_n_best(score: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The n first segmentations of each row, as scores and cuts [row, rank]; NEVER where a row has
     fewer. ``score`` is that of Pieces.edges(), ``lengths`` the rows' characters."""
-    most, many, width = score.shape
-    forward = np.full((many, width + 1), NEVER, np.int64)
-    forward[:, 0] = 0
-    via = np.full((many, width + 1, most), NEVER, np.int64)  # best score up to an end through a piece of k + 1 characters
+    most, width, many = score.shape
+    forward = np.full((width + 1, many), NEVER, np.int64)
+    forward[0] = 0
+    via = np.full((width + 1, many, most), NEVER, np.int64)  # best score up to an end through a piece of k + 1 characters
+    ways = np.empty((most, many), np.int64)
     for j in range(1, width + 1):
-        for k in range(min(most, j)):
-            np.maximum(forward[:, j - k - 1] + score[k, :, j - k - 1], NEVER, out=via[:, j, k])
-        forward[:, j] = via[:, j].max(axis=1)
-    via = via.reshape(-1, most)
+        upto = min(most, j)
+        for k in range(upto):
+            np.add(forward[j - k - 1], score[k, j - k - 1], out=ways[k])
+        np.maximum(ways[:upto], NEVER, out=ways[:upto])
+        ways[:upto].max(axis=0, out=forward[j])
+        via[j, :, :upto] = ways[:upto].T
+    via, forward = via.reshape(-1, most), forward.ravel()  # by end, then by row
     found, found_cuts, count = np.full((many, n), NEVER, np.int64), np.zeros((many, n), np.int64), np.zeros(many, np.int64)
     # frontiers: estimates, cuts and positions of up to n entries a row, the first first
     row, keep = np.arange(many), np.full((many, n), NEVER, np.int64)
-    keep[:, 0] = forward[row, lengths]
+    keep[:, 0] = forward[lengths * many + row]
     cuts, at = np.zeros((many, n), np.int64), np.zeros((many, n), np.int64)
     at[:, 0] = lengths
     while len(row):
@@ -236,8 +243,9 @@ def lockstep_n_best(score: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.
             r = row[whole]
             found[r, count[r]], found_cuts[r, count[r]] = keep[whole, 0], cuts[whole, 0]
             count[r] += 1
-        through = via[row * (width + 1) + end]
-        estimate = np.where(through > LOST, through + (keep[:, 0] - forward[row, end])[:, None], NEVER)
+        here = end * many + row
+        through = via[here]
+        estimate = np.where(through > LOST, through + (keep[:, 0] - forward[here])[:, None], NEVER)
         # the n first of the ways on: by estimate, and of equal ones the longest piece
         every, more, starts, more_cuts = np.arange(len(row)), np.empty_like(keep), np.empty_like(keep), np.empty_like(keep)
         for c in range(n):
@@ -258,6 +266,18 @@ def lockstep_n_best(score: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.
     return found, found_cuts
 
 
+class _Numbers(dict):
+    """Numbers segments in the order they are first met; ``new`` lists those met lately."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, segment: str) -> int:
+        self.new.append(segment)
+        n = self[segment] = len(self)
+        return n
+
+
 class Segmenter:
     """N-best segmentations of texts; remembers segments."""
 
@@ -269,7 +289,7 @@ class Segmenter:
         """A segment has ``ways`` ways from ``first`` on; ``behind`` is how far the second is behind
         the first, ``sooner`` whether it has the smaller cuts. A way has ids in the pool, a score,
         and ``order``, its place among its segment's ways by cuts."""
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.size = self.n_ways = 0
         self.parts = {c: [np.zeros(0, t)] for c, t in (("pool", np.int32), ("first", np.int64), ("ways", np.int64), ("behind", np.int64), ("sooner", bool), ("begin", np.int64), ("length", np.int64), ("score", np.int64), ("order", np.int64))}
 
@@ -279,13 +299,12 @@ class Segmenter:
             parts[:] = [np.concatenate(parts)]
         return parts[0]
 
-    def _keep(self, segments: list[str], score: np.ndarray, order: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
+    def _keep(self, score: np.ndarray, order: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
         """``score`` and ``order`` by [segment, rank], NEVER where there is no such way; the ways'
         lengths and ids in a row."""
-        self.known.update(zip(segments, range(len(self.known), len(self.known) + len(segments)), strict=True))
         there = score > NEVER
         ways = there.sum(axis=1)
-        second = there[:, 1] if self.n > 1 else np.zeros(len(segments), bool)
+        second = there[:, 1] if self.n > 1 else np.zeros(len(score), bool)
         behind = np.where(second, score[:, 0] - score[:, min(1, self.n - 1)], -NEVER)
         new = {"pool": ids, "first": self.n_ways + np.cumsum(ways) - ways, "ways": ways, "behind": behind, "sooner": second & (order[:, min(1, self.n - 1)] < order[:, 0]), "begin": self.size + np.cumsum(length) - length, "length": length, "score": score[there], "order": order[there]}
         for name, x in new.items():
@@ -293,21 +312,34 @@ class Segmenter:
         self.n_ways += int(ways.sum())
         self.size += len(ids)
 
-    def _learn(self, segments: list[str]) -> None:
-        segments = sorted(segments, key=len)
-        short = [s for s in segments if len(s) <= SHORT]
-        hi = len(short)
-        while hi:  # the longest first; a batch is as wide as its longest segment
-            lo = max(0, hi - max(1, min(BATCH, BATCH_CHARS // len(short[hi - 1]))))
-            self._learn_batch(short[lo:hi])
-            hi = lo
-        for s in segments[len(short) :]:
-            ways = Lattice(self.vocabulary, s).n_best(self.n)
-            score, order = np.full((1, self.n), NEVER, np.int64), np.zeros((1, self.n), np.int64)
-            score[0, : len(ways)] = [x for x, _, _ in ways]
-            by_cuts = sorted(c for _, c, _ in ways)
-            order[0, : len(ways)] = [by_cuts.index(c) for _, c, _ in ways]
-            self._keep([s], score, order, np.array([len(i) for _, _, i in ways]), np.array([i for _, _, x in ways for i in x], np.int32))
+    def learn(self, segments: list[str]) -> None:
+        """Ways of segments that are numbered already, in the order of their numbers."""
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        by_length = np.argsort(-lengths, kind="stable")
+        falling, lo = lengths[by_length], 0
+        ordered = [segments[k] for k in by_length.tolist()]
+        while lo < len(ordered):  # a batch is as wide as its longest segment, and none of it is much shorter
+            most = int(falling[lo])
+            if most > SHORT:
+                hi = lo + 1
+                self._learn_one(ordered[lo])
+            else:
+                alike = int(np.searchsorted(-falling, -0.6 * most + 1, side="left"))
+                hi = max(lo + 1, min(alike, lo + BATCH, lo + BATCH_CHARS // most))
+                self._learn_batch(ordered[lo:hi])
+            lo = hi
+        for name in ("first", "ways", "behind", "sooner"):
+            column = self._column(name)
+            mine = column[len(column) - len(segments) :]
+            mine[by_length] = mine.copy()
+
+    def _learn_one(self, segment: str) -> None:
+        ways = Lattice(self.vocabulary, segment).n_best(self.n)
+        score, order = np.full((1, self.n), NEVER, np.int64), np.zeros((1, self.n), np.int64)
+        score[0, : len(ways)] = [x for x, _, _ in ways]
+        by_cuts = sorted(c for _, c, _ in ways)
+        order[0, : len(ways)] = [by_cuts.index(c) for _, c, _ in ways]
+        self._keep(score, order, np.array([len(i) for _, _, i in ways]), np.array([i for _, _, x in ways for i in x], np.int32))
 
     def _learn_batch(self, segments: list[str]) -> None:
         n, rows = np.array(list(map(len, segments))), len(segments)
@@ -324,7 +356,7 @@ class Segmenter:
         end = np.append(start[1:], 0)
         last = np.append(way[1:] != way[:-1], True)
         end[last] = n[row]
-        ids = edge_ids[end - start - 1, row[way], start]
+        ids = edge_ids[end - start - 1, start, row[way]]
         length = np.bincount(way, minlength=len(row))
         bare = np.flatnonzero(ids >= self.vocabulary.limit)
         if len(bare):
@@ -336,7 +368,7 @@ class Segmenter:
             ids = np.repeat(ids, times)
             for k, x in zip(place[bare].tolist(), spelled, strict=True):
                 ids[k : k + len(x)] = x
-        self._keep(segments, score, order, length, ids.astype(np.int32))
+        self._keep(score, order, length, ids.astype(np.int32))
 
     def segment(self, texts: list[str]) -> Iterator[list[tuple[int, np.ndarray]]]:
         """For each text its N best (score, ids), best first; one without ids for an empty text."""
@@ -344,17 +376,19 @@ class Segmenter:
             self._forget()
         prefix = " " if self.vocabulary.dummy_prefix else ""
         cut = [self.vocabulary.cut.findall(prefix + t) if t else [] for t in texts]
-        new = {s for x in cut for s in x}
-        new.difference_update(self.known)
-        if new:
-            self._learn(list(new))
+        every = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        if self.known.new:
+            self.learn(self.known.new)
+            self.known.new = []
         pool, first, begin, length, score = map(self._column, ("pool", "first", "begin", "length", "score"))
+        done = 0
         for segments in cut:
-            at = np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))
+            at = every[done : done + len(segments)]
+            done += len(segments)
             way = first[at]
             size = length[way]
             end = np.cumsum(size)
-            ids = pool[np.repeat(begin[way] - (end - size), size) + np.arange(int(size.sum()))]
+            ids = pool[np.repeat(begin[way] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
             yield self._merged(at, ids, end, int(score[way].sum()))
 
     def _merged(self, at: np.ndarray, ids: np.ndarray, end: np.ndarray, best: int) -> list[tuple[int, np.ndarray]]:
