@@ -119,6 +119,12 @@ def hashed_uniform(*keys: Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(2**31)) / float(2**31)
 
 
+def portable_uniform(*keys: Column, seed: int = 0) -> Column:
+    """The same from MD5 of the keys' texts, which other engines have too; slower. Null keys count
+    as absent."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[k.cast("string") for k in keys], F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("double") / float(2**32)
+
+
 def linspace_index(n_out: Column, n_in: Column, i: Column) -> Column:
     """Evenly spread indices of 0 .. n_in - 1, rounded half to even."""
     return F.when(n_out <= 1, F.lit(0)).otherwise(rint(i * (n_in - 1) / (n_out - 1)).cast("int"))

@@ -103,14 +103,15 @@ def blend(a: DataFrame, b: DataFrame, on: list[str], value: str, weight: float)
 
 def bilinear(points: DataFrame, pixels: DataFrame, keys: list[str], x: str, y: str, value: str) -> DataFrame:
     """Values of a raster in long form (keys, row, col, value) between four pixels; outside it 0.
-    An equi-join on the pixels around each point."""
-    p = points.withColumn("_pid", F.monotonically_increasing_id()).withColumns({"_c": F.floor(x).cast("int"), "_r": F.floor(y).cast("int")})
+    An equi-join on the pixels around each different place, and one back to the points; points at
+    one place have one value. A place with a null coordinate has a null value."""
+    place = [*keys, x, y]
+    p = points.select(*place).distinct().withColumns({"_c": F.floor(x).cast("int"), "_r": F.floor(y).cast("int")})
     corners = F.explode(F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in (0, 1) for j in (0, 1)]))
     p = p.withColumn("_k", corners).withColumns({"row": F.col("_r") + F.col("_k.dr"), "col": F.col("_c") + F.col("_k.dc")})
     weight = (1 - F.abs(F.col(x) - F.col("col"))) * (1 - F.abs(F.col(y) - F.col("row")))
     near = p.join(pixels.select(*keys, "row", "col", F.col(value).alias("_v")), [*keys, "row", "col"], "left")
-    own = points.columns
-    return near.groupBy("_pid").agg(*[F.first(c).alias(c) for c in own], F.sum(F.coalesce("_v", F.lit(0.0)) * weight).alias(value)).drop("_pid")
+    return points.join(near.groupBy(*place).agg(F.sum(F.coalesce("_v", F.lit(0.0)) * weight).alias(value)), place, "left").select(*points.columns, value)
 
 
 def taps(points: DataFrame, x: str, y: str, nx: str, ny: str, n: int, spacing: float) -> DataFrame:

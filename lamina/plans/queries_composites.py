@@ -194,10 +194,15 @@ def fuse_rails(spark, d):
     return comp.fuse_rails(a, b, ["user_id"], "i", "v").withColumn("v", F.round("v", 5))
 
 
-@query("residual_agreement")
+@query("residual_agreement", f"""
+WITH e AS ({INDEXED}), f AS (
+  SELECT a.user_id, a.i, any_value(a.value) AS y, any_value(sin(a.value) * 9 + a.i) AS y2, count(b.i) AS n, regr_intercept(b.value, CAST(b.i - a.i AS DOUBLE)) AS at0, regr_intercept(sin(b.value) * 9 + b.i, CAST(b.i - a.i AS DOUBLE)) AS at02
+  FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.i <> a.i AND abs(a.i - b.i) <= 3 GROUP BY a.user_id, a.i)
+SELECT user_id, round(corr(y - at0, y2 - at02), 5) AS corr, count(*) AS n FROM f WHERE n >= 3 GROUP BY user_id""")
 def residual_agreement(spark, d):
     e = indexed(spark, d).select("user_id", "i", F.col("value").alias("v"))
-    return comp.residual_agreement(e, e.withColumn("v", F.col("v") * 2 + F.col("i")), ["user_id"], "i", "v")
+    r = comp.residual_agreement(e, e.withColumn("v", F.sin("v") * 9 + F.col("i")), ["user_id"], "i", "v")
+    return r.withColumn("corr", F.round("corr", 5))
 
 
 @query("hold_out_error", f"""
@@ -229,12 +234,6 @@ def class_shares(spark, d):
     return r6(comp.class_shares(j, ["lang"], "quality", [0, 1]), "class_0", "class_1")
 
 
-@query("consensus_outermost")
-def consensus_outermost(spark, d):
-    t = ordered.run_midpoints(ordered.runs(cells(spark, d), ["label", "z"], "col", F.col("v") > 0))
-    return comp.consensus_outermost(t, ["z"], "mid", ["label"])
-
-
 @query("prediction_errors", f"""
 WITH c AS ({CELLS}), m AS (SELECT label, col, avg(v) AS m FROM c GROUP BY label, col) SELECT c.label, round(sqrt(avg(power(v - m, 2))), 6) AS rmse, round(avg(abs(v - m)), 6) AS mae, round(corr(v, m), 5) AS corr FROM c JOIN m ON m.label = c.label AND m.col = c.col GROUP BY c.label""")
 def prediction_errors(spark, d):

@@ -75,8 +75,16 @@ def fold_assignment(spark, d):
     return grouped_folds(table(spark, d, "orders"), "o_custkey", 5, hashed=False).groupBy("o_custkey").agg(F.min("fold").alias("fold"), F.count("*").alias("n"))
 
 
+@query("hashed_folds", """
+SELECT o_custkey, CAST(floor(CAST('0x' || substr(md5(o_custkey || '|42'), 1, 8) AS BIGINT) / 4294967296.0 * 5) AS INT) AS fold, count(*) AS n FROM orders GROUP BY o_custkey""")
+def hashed_folds(spark, d):
+    from lamina.sources.splits import grouped_folds
+
+    return grouped_folds(table(spark, d, "orders"), "o_custkey", 5).groupBy("o_custkey").agg(F.min("fold").alias("fold"), F.count("*").alias("n"))
+
+
 RUNS = """
-WITH e AS (SELECT *, value > 250 AS hot, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
+WITH e AS (SELECT *, value > 50 AS hot, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
 s AS (SELECT *, p - row_number() OVER (PARTITION BY user_id ORDER BY p) AS g FROM e WHERE hot),
 r AS (SELECT user_id, g, min(p) - 1 AS lo, max(p) - 1 AS hi, count(*) AS n FROM s GROUP BY ALL)
 """
@@ -84,12 +92,12 @@ r AS (SELECT user_id, g, min(p) - 1 AS lo, max(p) - 1 AS hi, count(*) AS n FROM
 
 @query("runs", RUNS + "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY lo) - 1 AS run_no, lo, hi, n FROM r WHERE n >= 2")
 def runs(spark, d):
-    return ordered.runs(indexed(spark, d), ["user_id"], "i", F.col("value") > 250, 2, count_samples=True)
+    return ordered.runs(indexed(spark, d), ["user_id"], "i", F.col("value") > 50, 2, count_samples=True)
 
 
 @query("runs_by_extent", RUNS + "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY lo) - 1 AS run_no, lo, hi, n, (lo + hi) / 2.0 AS mid FROM r WHERE hi - lo >= 2")
 def runs_by_extent(spark, d):
-    return ordered.run_midpoints(ordered.runs(indexed(spark, d), ["user_id"], "i", F.col("value") > 250, 2))
+    return ordered.run_midpoints(ordered.runs(indexed(spark, d), ["user_id"], "i", F.col("value") > 50, 2))
 
 
 @query("kth_run_profile", f"""
@@ -352,10 +360,10 @@ def mutual_nearest(spark, d):
 
 
 @query("interval_join", """
-WITH c AS (SELECT p_partkey, p_retailprice AS lo, p_retailprice + 3.0 AS hi FROM part WHERE p_size <= 10)
+WITH c AS (SELECT p_partkey, p_retailprice AS lo, p_retailprice + 3.0 AS hi FROM part)
 SELECT o.event_id, c.p_partkey FROM events o JOIN c ON o.value * 4 >= c.lo AND o.value * 4 < c.hi""")
 def interval_join(spark, d):
-    spans = table(spark, d, "part").where("p_size <= 10").select("p_partkey", F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 3.0).alias("hi"))
+    spans = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 3.0).alias("hi"))
     return matching.interval(events(spark, d).select("event_id", (F.col("value") * 4).alias("at")), spans, [], "at", "lo", "hi", 3.0).select("event_id", "p_partkey")
 
 
@@ -365,11 +373,11 @@ def linear_map(spark, d):
 
 
 @query("collapse_map", """
-WITH n AS (SELECT DISTINCT l_suppkey AS i FROM lineitem), m AS (SELECT l_suppkey AS i, CAST(floor(median(l_linenumber)) AS INT) AS j FROM lineitem WHERE l_quantity > 49 GROUP BY 1)
+WITH n AS (SELECT DISTINCT l_suppkey AS i FROM lineitem), m AS (SELECT l_suppkey AS i, CAST(floor(median(l_linenumber)) AS INT) AS j FROM lineitem GROUP BY 1)
 SELECT n.i, coalesce(j, -1) AS j FROM n LEFT JOIN m ON m.i = n.i""")
 def collapse_map(spark, d):
-    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_linenumber").alias("j"), "l_quantity")
-    return matching.collapse_map(li.where("l_quantity > 49"), li.select("i").distinct(), [], "i", "j")
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_linenumber").alias("j"))
+    return matching.collapse_map(li, li.select("i").distinct(), [], "i", "j")
 
 
 @query("alignment_offset", f"""
@@ -679,11 +687,11 @@ def percentile_stretch(spark, d):
 
 
 @query("levels_airness", f"""
-WITH c AS ({CELLS}), l AS (SELECT quantile_cont(v, 0.01) AS air, quantile_cont(v, 0.75) AS film FROM c WHERE z % 5 = 0 AND col % 4 = 0)
+WITH c AS ({CELLS}), l AS (SELECT quantile_cont(v, 0.01) AS air, quantile_cont(v, 0.75) AS film FROM c)
 SELECT z, col, round(least(greatest((film - v) / (film - air), 0.0), 1.3), 6) AS airness FROM c CROSS JOIN l""")
 def levels_airness(spark, d):
     c = cells(spark, d)
-    lv = c.where("z % 5 = 0 AND col % 4 = 0").agg(F.percentile("v", F.lit(0.01)).alias("air"), F.percentile("v", F.lit(0.75)).alias("film"))
+    lv = c.agg(F.percentile("v", F.lit(0.01)).alias("air"), F.percentile("v", F.lit(0.75)).alias("film"))
     return r6(c.join(F.broadcast(lv)).select("z", "col", sem.airness(F.col("v"), F.col("air"), F.col("film")).alias("airness")), "airness")  # one row
 
 

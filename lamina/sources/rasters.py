@@ -1,9 +1,10 @@
 """Sources: array files as tables, discovery of numbered files, and injected codecs.
 
 ``spark.read.format("array_files")`` (after register()) reads .npy files of any rank from 1 to 3 as
-rows (path, z, row, px): one input partition for each file, read through pyarrow's file systems,
-with only the asked rows loaded. Other formats enter by ``CODECS``: a suffix and a function of
-bytes to an array.
+rows (path, z, row, px): one input partition for each file, read through pyarrow's file systems.
+.npz archives are read alike; option ``key`` names their array (the first one, unless given).
+Options z_from and z_to (exclusive) bound z: files whose names or headers place them outside are
+not read. Other formats enter by ``CODECS``: a suffix and a function of bytes and key to an array.
 """
 
 from __future__ import annotations
@@ -19,7 +20,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-CODECS: dict[str, Callable[[bytes], np.ndarray]] = {".npy": lambda b: np.load(io.BytesIO(b), allow_pickle=False)}
+def _npz(data: bytes, key: str | None) -> np.ndarray:
+    with np.load(io.BytesIO(data), allow_pickle=False) as arrays:
+        return arrays[key or arrays.files[0]]
+
+
+CODECS: dict[str, Callable[[bytes, str | None], np.ndarray]] = {".npy": lambda data, key: np.load(io.BytesIO(data), allow_pickle=False), ".npz": _npz}
+#: Bytes from which a .npy file's shape is told before the rest is read.
+HEADER = 1 << 12
 SCHEMA = "path string, z long, row long, px array<double>"
 
 
@@ -34,34 +42,61 @@ class _File(InputPartition):
         self.path = path
 
 
+def first_z(path: str) -> int:
+    """Where a file's z starts: the first of the two numbers of a range, or the last number."""
+    name = path.rsplit("/", 1)[-1]
+    if m := re.search(r"(\d+)-(\d+)\D*$", name):
+        return int(m.group(1))
+    return int(m.group(1)) if (m := re.search(r"(\d+)(?!.*\d)", name)) else 0
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.z_from, self.z_to = options["path"], int(options.get("z_from", 0)), int(options.get("z_to", 2**62))
+        self.key = options.get("key")
+
+    def _may_hold(self, path: str) -> bool:
+        """By name: a file starts before z_to, and a range doesn't end before z_from."""
+        m = re.search(r"(\d+)-(\d+)\D*$", path.rsplit("/", 1)[-1])
+        return first_z(path) < self.z_to and not (m and int(m.group(2)) < self.z_from)
 
     def partitions(self) -> list[InputPartition]:
         fs, at = _open(self.root)
         info = fs.get_file_info(at)
         files = [info] if info.is_file else fs.get_file_info(pyarrow.fs.FileSelector(at, recursive=True))
-        paths = sorted(f.path for f in files if f.is_file and any(f.path.endswith(s) for s in CODECS))
+        paths = sorted(f.path for f in files if f.is_file and any(f.path.endswith(s) for s in CODECS) and self._may_hold(f.path))
         prefix = self.root[: len(self.root) - len(at)] if "://" in self.root else ""
         return [_File(prefix + p) for p in paths]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         fs, at = _open(partition.path)
+        first = first_z(at)
         with fs.open_input_file(at) as f:
+            if at.endswith(".npy") and first < self.z_from:
+                shape = _shape(f.read(HEADER))
+                if shape and first + (shape[0] if len(shape) == 3 else 1) <= self.z_from:
+                    return
+                f.seek(0)
             data = f.read()
-        array = CODECS[next(s for s in CODECS if at.endswith(s))](data)
+        array = CODECS[next(s for s in CODECS if at.endswith(s))](data, self.key)
         array = array.reshape((1,) * (3 - array.ndim) + array.shape)
-        first = int(m.group(1)) if (m := re.search(r"(\d+)(?!.*\d)", at.rsplit("/", 1)[-1])) else 0
-        for k in range(array.shape[0]):
-            z = first + k
-            if self.z_from <= z < self.z_to:
-                rows = [r.astype(float) for r in array[k]]
-                yield pa.record_batch({"path": [partition.path] * len(rows), "z": pa.array([z] * len(rows), pa.int64()), "row": pa.array(range(len(rows)), pa.int64()), "px": pa.array(rows, pa.list_(pa.float64()))})
+        for k in range(max(0, self.z_from - first), min(array.shape[0], self.z_to - first)):
+            rows = [r.astype(float) for r in array[k]]
+            yield pa.record_batch({"path": [partition.path] * len(rows), "z": pa.array([first + k] * len(rows), pa.int64()), "row": pa.array(range(len(rows)), pa.int64()), "px": pa.array(rows, pa.list_(pa.float64()))})
+
+
+def _shape(head: bytes) -> tuple | None:
+    """The shape that a .npy file's first bytes tell, if they hold all of its header."""
+    f = io.BytesIO(head)
+    try:
+        read = {(1, 0): np.lib.format.read_array_header_1_0, (2, 0): np.lib.format.read_array_header_2_0}.get(np.lib.format.read_magic(f))
+        return read(f)[0] if read else None
+    except ValueError:
+        return None
 
 
 class ArrayFiles(DataSource):
-    """Numbered array files; z starts at the last number of the file's name."""
+    """Numbered array files; z starts at first_z() of the file's name."""
 
     @classmethod
     def name(cls) -> str:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.functions.semantics import rint
+from lamina.functions.semantics import portable_uniform, rint
 
 
 def grouped_folds(items: DataFrame, parent: str, folds: int, seed: int = 42, hashed: bool = True) -> DataFrame:
     """Adds fold; all items of a parent share one, so none leaks between training and test."""
-    by = F.xxhash64(F.col(parent), F.lit(seed)) if hashed else F.col(parent)
-    return items.withColumn("fold", F.pmod(by, F.lit(folds)).cast("int"))
+    if hashed:
+        return items.withColumn("fold", F.floor(portable_uniform(F.col(parent), seed=seed) * folds).cast("int"))
+    return items.withColumn("fold", F.pmod(F.col(parent), F.lit(folds)).cast("int"))
 
 
 def split(items: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:

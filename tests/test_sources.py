@@ -17,6 +17,23 @@ def test_array_files(spark, tmp_path):
     assert spark.read.format("array_files").option("z_from", 11).load(str(tmp_path)).count() == 3
 
 
+def test_archives_and_files_outside_the_range(spark, tmp_path):
+    rasters.register(spark)
+    a = np.arange(24.0).reshape(2, 3, 4)
+    np.savez(tmp_path / "cache_0003.npz", other=a[0] * 0, strip=a[1])
+    read = lambda **o: spark.read.format("array_files").options(**o).load(str(tmp_path))
+    assert [list(r.px) for r in read(key="strip").orderBy("row").collect()] == a[1].tolist()
+    assert {x for r in read().collect() for x in r.px} == {0.0}
+    np.save(tmp_path / "volume_0010-0011.npy", a)
+    np.save(tmp_path / "slice_0007.npy", a[0])
+    (tmp_path / "volume_0020-0039.npy").write_bytes(b"not an array: it must not be opened")
+    (tmp_path / "slice_0050.npy").write_bytes(b"nor this one")
+    assert sorted({r.z for r in read(z_from=8, z_to=20).collect()}) == [10, 11]
+    assert [p.path.rsplit("/", 1)[1] for p in rasters._Reader({"path": str(tmp_path), "z_from": "11", "z_to": "20"}).partitions()] == ["cache_0003.npz", "slice_0007.npy", "volume_0010-0011.npy"]
+    assert sorted({r.z for r in read(z_from=11, z_to=20).collect()}) == [11]
+    assert rasters._shape((tmp_path / "slice_0007.npy").read_bytes()) == (3, 4) and rasters._shape(b"junk of some length") is None
+
+
 def test_discovery(spark):
     v = spark.createDataFrame([("a/vol_0000-0019.h5",), ("a/vol_0020-0039.h5",)], "path string")
     p = spark.createDataFrame([("b/p_0020-0039.h5",)], "path string")
