@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.functions.semantics import TWO_PI, hashed_uniform, lerp, ordered, rint
+from lamina.functions.semantics import TWO_PI, hashed_uniform, portable_uniform, lerp, ordered, rint
 
 
 def crop(df: DataFrame, row: str, col: str, height: int, width: int, box: tuple[float, float, float, float]) -> DataFrame:
@@ -113,7 +113,7 @@ def windows(df: DataFrame, keys: list[str], values: str, starts: Column, width:
 
 def hashed_starts(n: int, length: Column, width: int, seed: int, *keys: Column) -> Column:
     """``n`` reproducible window starts for each row."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(hashed_uniform(*keys, i, seed=seed) * (length - width + 1)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(portable_uniform(*keys, i, seed=seed) * (length - width + 1)).cast("int"))
 
 
 def corrupt(window: Column, mode: str, seed: int, *keys: Column) -> Column:

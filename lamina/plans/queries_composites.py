@@ -82,13 +82,17 @@ def windows(spark, d):
     return w.select("vec_id", "start", F.round(F.aggregate("window", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("w"))
 
 
-@query("corrupted_windows")
+@query("corrupted_windows", """
+WITH s AS (SELECT vec_id, embedding AS e, CAST(floor(CAST('0x' || substr(md5(vec_id || '|' || i || '|5'), 1, 8) AS BIGINT) / 4294967296.0 * 49) AS INT) AS start FROM embeddings CROSS JOIN (SELECT unnest(range(3)) AS i))
+SELECT vec_id, start, true AS reverse, true AS roll, true AS swap, true AS shuffle, round(CAST(e[start + 16] AS DOUBLE), 6) AS reversed_first, round(CAST(e[start + 9] AS DOUBLE), 6) AS swapped_first FROM s""")
 def corrupted_windows(spark, d):
     """Windows at hashed places, damaged in four ways; each keeps its values as a set."""
-    e = table(spark, d, "embeddings")
+    e = table(spark, d, "embeddings").withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
     w = geo.windows(e, ["vec_id"], "embedding", geo.hashed_starts(3, F.size("embedding"), 16, 5, F.col("vec_id")), 16)
     modes = ["reverse", "roll", "swap", "shuffle"]
-    return w.select("vec_id", "start", *[(F.array_sort(geo.corrupt(F.col("window"), m, 3, F.col("vec_id"))) == F.array_sort("window")).alias(m) for m in modes])
+    same = [(F.array_sort(geo.corrupt(F.col("window"), m, 3, F.col("vec_id"))) == F.array_sort("window")).alias(m) for m in modes]
+    first = [F.round(geo.corrupt(F.col("window"), m, 3, F.col("vec_id"))[0], 6).alias(n) for m, n in (("reverse", "reversed_first"), ("swap", "swapped_first"))]
+    return w.select("vec_id", "start", *same, *first)
 
 
 @query("motion_masks", """
@@ -157,11 +161,11 @@ def walk_quality(spark, d):
 
 
 @query("cut_cells", """
-WITH b AS (SELECT user_id, event_id AS lo, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS cell, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS hi FROM events WHERE value > 300)
+WITH b AS (SELECT user_id, event_id AS lo, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS cell, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS hi FROM events WHERE value > 60)
 SELECT e.user_id, e.event_id, b.cell FROM events e JOIN b ON b.user_id = e.user_id AND e.event_id >= b.lo AND e.event_id < b.hi""")
 def cut_cells(spark, d):
     e = events(spark, d)
-    bounds = e.where("value > 300").select("user_id", F.col("event_id").alias("at"))
+    bounds = e.where("value > 60").select("user_id", F.col("event_id").alias("at"))
     return comp.cut_cells(e.select("user_id", "event_id"), bounds, ["user_id"], "event_id", 200.0).select("user_id", "event_id", "cell")
 
 

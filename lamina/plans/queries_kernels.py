@@ -138,7 +138,21 @@ def align_sequences(spark, d):
     return k.align_sequences(e, ["label"], "side", "vec_id", "embedding", 0.2)
 
 
-@query("viterbi_offsets")
+_VIA = "list_transform(range(64), lambda i: w.best[i + 1] - CAST(0.1 AS DOUBLE) * abs(i - j))"
+
+
+@query("viterbi_offsets", f"""
+WITH RECURSIVE s AS (SELECT label, vec_id AS z, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS sc, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS t FROM embeddings),
+w AS (
+  SELECT label, t, sc AS best, CAST([] AS BIGINT[]) AS back FROM s WHERE t = 1
+  UNION ALL
+  SELECT w.label, s.t, list_transform(range(64), lambda j: list_max({_VIA}) + s.sc[j + 1]), list_transform(range(64), lambda j: CAST(list_position({_VIA}, list_max({_VIA})) - 1 AS BIGINT)) FROM w JOIN s ON s.label = w.label AND s.t = w.t + 1),
+l AS (SELECT label, max(t) AS m FROM w GROUP BY label),
+b AS (
+  SELECT w.label, t, CAST(list_position(best, list_max(best)) - 1 AS BIGINT) AS col, back FROM w JOIN l ON l.label = w.label AND l.m = w.t
+  UNION ALL
+  SELECT b.label, w.t, b.back[b.col + 1], w.back FROM b JOIN w ON w.label = b.label AND w.t = b.t - 1)
+SELECT s.label, s.z, CAST(b.col AS INT) AS col FROM b JOIN s ON s.label = b.label AND s.t = b.t""")
 def viterbi_offsets(spark, d):
     return k.best_path(cells(spark, d).select("label", "z", "col", "v"), ["label"], "z", "col", "v", 0.1)
 
