@@ -40,9 +40,21 @@ def image_errors(spark, d):
     return s.select("vec_id", F.round("psnr", 5).alias("psnr"), F.round("msad", 6).alias("msad"))
 
 
-@query("image_similarity")
+@query("image_similarity", f"""
+WITH n AS ({NEXT}), c AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, a, b FROM n),
+t AS (SELECT unnest(range({len(_TAPS)})) - {len(_TAPS) // 2} AS o, unnest({_TAPS}) AS w), k AS (SELECT p.o AS dy, q.o AS dx, p.w * q.w AS w FROM t p CROSS JOIN t q),
+l AS (SELECT c.vec_id, c.y, c.x, w, CASE WHEN c.y + dy < 0 THEN -1 - c.y - dy WHEN c.y + dy > 7 THEN 15 - c.y - dy ELSE c.y + dy END AS qy, CASE WHEN c.x + dx < 0 THEN -1 - c.x - dx WHEN c.x + dx > 7 THEN 15 - c.x - dx ELSE c.x + dx END AS qx FROM c CROSS JOIN k),
+g AS (SELECT l.vec_id, l.y, l.x, sum(w * q.a) AS ma, sum(w * q.b) AS mb, sum(w * q.a * q.a) AS aa, sum(w * q.b * q.b) AS bb, sum(w * q.a * q.b) AS ab FROM l JOIN c q ON q.vec_id = l.vec_id AND q.y = l.qy AND q.x = l.qx GROUP BY l.vec_id, l.y, l.x),
+s AS (SELECT vec_id, avg((2 * ma * mb + 0.0001) * (2 * (ab - ma * mb) + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (aa - ma * ma + bb - mb * mb + 0.0009))) AS ssim FROM g GROUP BY vec_id),
+o AS (SELECT p.d AS dy, q.d AS dx FROM (SELECT unnest(range(-1, 2)) AS d) p CROSS JOIN (SELECT unnest(range(-1, 2)) AS d) q),
+e AS (SELECT c.vec_id, c.y, c.x, sqrt(power(sum(q.a * dx * (2 - abs(dy))), 2) + power(sum(q.a * dy * (2 - abs(dx))), 2)) AS ga, sqrt(power(sum(q.b * dx * (2 - abs(dy))), 2) + power(sum(q.b * dy * (2 - abs(dx))), 2)) AS gb
+  FROM c CROSS JOIN o JOIN c q ON q.vec_id = c.vec_id AND q.y = least(greatest(c.y + dy, 0), 7) AND q.x = least(greatest(c.x + dx, 0), 7) GROUP BY c.vec_id, c.y, c.x),
+r AS (SELECT vec_id, corr(ga, gb) AS grad_corr FROM e GROUP BY vec_id), m AS (SELECT vec_id, -10 * log10(avg((a - b) * (a - b))) AS psnr, avg(abs(a - b)) AS msad FROM c GROUP BY vec_id)
+SELECT s.vec_id, round(grad_corr, 6) AS grad_corr, round(ssim, 6) AS ssim, round(greatest(ssim, 1e-6), 6) AS ms_ssim, round(psnr, 5) AS psnr, round(msad, 6) AS msad FROM s JOIN r ON r.vec_id = s.vec_id JOIN m ON m.vec_id = s.vec_id""")
 def image_similarity(spark, d):
-    return k.image_scores(neighbours(spark, d), ["vec_id"], "a", "b", (8, 8))
+    """Images of 8 pixels have one scale."""
+    s = k.image_scores(neighbours(spark, d), ["vec_id"], "a", "b", (8, 8))
+    return r6(s, "grad_corr", "ssim", "ms_ssim", "msad").withColumn("psnr", F.round("psnr", 5))
 
 
 @query("image_shift", f"""
