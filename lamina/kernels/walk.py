@@ -255,7 +255,7 @@ def match_profiles(tracks: list[np.ndarray], walks: list[np.ndarray], near: floa
 
 class Tracker:
     """Numbers windings over rising z: matched walks extend their track, unmatched tracks drift
-    along, unmatched walks open new ones; fragments that never meet in z and agree are merged."""
+    along, unmatched walks open new ones; fragments and twins that agree are merged."""
 
     def __init__(self, near: float, least: int = 12):
         self.near, self.least = near, least
@@ -288,18 +288,32 @@ class Tracker:
         self.profiles, self.seen = [np.array(p, float) for p in state[0]], [list(s) for s in state[1]]
         return self
 
-    def merged(self) -> dict[int, int]:
-        """Track -> the earlier track whose fragment it is."""
-        to: dict[int, int] = {}
-        for b in range(len(self.profiles)):
-            for a in range(b):
-                if a in to or set(self.seen[a]) & set(self.seen[b]):
-                    continue
-                d = np.abs(self.profiles[a] - self.profiles[b])
-                if np.isfinite(d).sum() >= self.least and np.nanmedian(d) <= self.near:
-                    to[b] = a
-                    self.seen[a] = sorted({*self.seen[a], *self.seen[b]})
-                    break
+    def merged(self, near: float | None = None, back: int = 3) -> dict[int, int]:
+        """Track -> the better covered track (ties: the inner one) whose fragment or twin it is. By
+        rising median radius each is held against the last ``back`` kept ones: profiles must agree
+        within ``near`` (default: the tracker's), or median radii where they hardly overlap."""
+        near = self.near if near is None else near
+        profiles, seen = list(self.profiles), [set(s) for s in self.seen]
+        middle = [float(np.nanmedian(p)) if np.isfinite(p).any() else np.inf for p in profiles]
+        to, kept = {}, []
+
+        def apart(a: int, b: int) -> float:
+            d = np.abs(profiles[a] - profiles[b])
+            d = d[np.isfinite(d)]
+            return float(np.median(d)) if len(d) >= self.least else abs(middle[a] - middle[b])
+
+        for b in sorted(range(len(profiles)), key=lambda i: (middle[i], i)):
+            k = next((k for k in range(max(0, len(kept) - back), len(kept)) if apart(kept[k], b) < near), None)
+            if k is None:
+                kept.append(b)
+                continue
+            big, small = (kept[k], b) if len(seen[kept[k]]) >= len(seen[b]) else (b, kept[k])
+            profiles[big] = np.where(np.isfinite(profiles[big]), profiles[big], profiles[small])
+            seen[big] |= seen[small]
+            to[small], kept[k] = big, big
+        for a in to:
+            while to[a] in to:
+                to[a] = to[to[a]]
         return to
 
 

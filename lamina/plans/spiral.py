@@ -103,15 +103,19 @@ def profiles(paths: DataFrame, cx: float, cy: float, seam: float = 0.0, bins: in
 
 def track(profile_rows: DataFrame, keys: list[str], near: float) -> DataFrame:
     """keys, z, walk_id, track_id. A roll's profiles (windings x slices short rows) are one group:
-    the fold over z is sequential; different rolls run side by side."""
+    the fold over z is sequential; different rolls run side by side. Where merged tracks both have a
+    walk in a slice, that of the track seen most often (ties: the smaller walk_id) counts, the others
+    are left out."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t, out = walk.Tracker(near), []
         for z, part in pdf.sort_values(["z", "walk_id"]).groupby("z"):
             ids = t.step(int(z), [np.array([np.nan if v is None else v for v in r], float) for r in part["r"]])
             out += [(*(pdf[k].iloc[0] for k in keys), int(z), int(w), i) for w, i in zip(part["walk_id"], ids, strict=True)]
-        to = t.merged()
-        return pd.DataFrame([(*r[:-1], to.get(r[-1], r[-1])) for r in out], columns=[*keys, "z", "walk_id", "track_id"])
+        to, seen = t.merged(), [len(s) for s in t.seen]
+        out.sort(key=lambda r: (r[-3], -seen[r[-1]], r[-2]))
+        rows = pd.DataFrame([(*r[:-1], to.get(r[-1], r[-1])) for r in out], columns=[*keys, "z", "walk_id", "track_id"])
+        return rows.drop_duplicates(["z", "track_id"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in profile_rows.schema if f.name in keys)
     return profile_rows.groupBy(*keys).applyInPandas(run, f"{kinds}, z int, walk_id int, track_id int")
