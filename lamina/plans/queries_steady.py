@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lamina.functions.semantics import ordered
-from lamina.kernels import frames, steady, walk
+from lamina.kernels import frames, labels, steady, walk
 from lamina.kernels.image import gaussian, gradient_correlation, sobel
 from lamina.operators import steady as op
 from lamina.plans.queries_closed import _numbered
@@ -214,3 +214,28 @@ def evenly_paired(spark, d):
     truths = table(spark, d, "events").withColumn("i", (F.row_number().over(ordered(keys, "ts", "event_id")) - 1).cast("long")).select(*keys, "i", "value")
     guesses = truths.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("i"))
     return op.evenly_paired(guesses, truths, keys, "i", dropped=2)
+
+
+@query("perturbed_labels", """
+SELECT k, 1e0 AS clipped, 0e0 AS gained, 8e0 * (30 + k) AS thick, 4e0 AS wobbled, 0e0 AS specks, 1e0 AS bridged FROM (SELECT unnest(range(5)) AS k)""")
+def perturbed_labels(spark, d):
+    """A layer of four rows in a base of twenty: a fifth of its edge clipped and no air gained, two rows
+    more on either side, changes that stay within two pixels, no specks in air, a bridged gap."""
+
+    def f(i):
+        a = np.zeros((40, 30 + i), int)
+        a[10:30] = labels.BASE
+        a[18:22] = labels.LAYER
+        edge, clipped = 2 * a.shape[1], labels.clip_edge(a, 0.2, i)
+        wobbled = np.flatnonzero((labels.wobble(a, 2.0, i) != a).any(axis=1))
+        spiral = {"centre": (40.0, 40.0), "r0": 15.0, "pitch": 10.0, "thick": 3.0, "windings": 2}
+        return {
+            "clipped": 0.2 <= (clipped[[10, 29]] == 0).sum() / edge <= 0.25,
+            "gained": ((a == 0) & (clipped != 0)).sum(),
+            "thick": (labels.thicken(a, np.ones(a.shape), 2.0, 0.5) == labels.LAYER).sum(),
+            "wobbled": 4 if len(wobbled) and wobbled.min() >= 16 and wobbled.max() <= 23 else -1,
+            "specks": (labels.speckle(a, 0.5, i)[a == 0] != 0).sum(),
+            "bridged": labels.bridges(np.zeros((80, 80), int), 1, i, **spiral).any(),
+        }
+
+    return _numbered(spark, 5, f, ["clipped", "gained", "thick", "wobbled", "specks", "bridged"])

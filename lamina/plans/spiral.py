@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.semantics import hashed_uniform, spiral_angle
-from lamina.kernels import walk
+from lamina.kernels import labels, walk
 from lamina.kernels.image import bilinear
 from lamina.operators import interp, ordered
 
@@ -77,6 +77,19 @@ def _raster(pdf: pd.DataFrame, column: str) -> np.ndarray:
     return np.stack(pdf.sort_values("row")[column].to_list())
 
 
+def perturb(slices: DataFrame, seed: int = 0, **how) -> DataFrame:
+    """The slices with worse labels (see ``kernels.labels.perturb``), drawn anew for each z; a task holds
+    one slice at a time."""
+    kept = slices.select("z", "row", "label", "px")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("row")
+        out = labels.perturb(_raster(p, "label"), _raster(p, "px"), seed + 97 * int(p["z"].iloc[0]), **how)
+        return p.assign(label=[v.tolist() for v in out])
+
+    return kept.groupBy("z").applyInPandas(run, kept.schema)
+
+
 PATHS = "z int, walk_id int, seq int, x double, y double"
 
 

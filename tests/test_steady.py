@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.kernels import frames, steady, walk
+from lamina.kernels import frames, labels, steady, walk
 from lamina.kernels.image import gaussian, gradient_correlation, sobel
 from lamina.operators import steady as op
+from lamina.plans import spiral
 
 
 def texture(h, w, seed=0, sigma=1.5):
@@ -144,3 +145,16 @@ def test_operators(spark):
     row = op.variant_summary(scores, ["k"], ["grad_corr", "ms_ssim"]).collect()[0]
     assert row.pairs == 4 and row.grad_corr == pytest.approx(1, abs=0.02)
     assert op.variant_summary(scores.limit(0), ["k"], ["grad_corr"]).count() == 0
+
+
+def test_perturbed_labels(spark):
+    a = np.zeros((40, 33), int)
+    a[10:30], a[18:22] = 1, 2
+    assert (labels.perturb(a, np.ones(a.shape), 3) == a).all()
+    worse = labels.perturb(a, np.ones(a.shape), 3, clip=0.2, grow=1.0, above=0.5, shift=1.0, flip=0.1)
+    assert (worse[a == 0] == 0).all() and (worse != a).any() and (worse == labels.perturb(a, np.ones(a.shape), 3, clip=0.2, grow=1.0, above=0.5, shift=1.0, flip=0.1)).all()
+    assert (labels.thicken(a, np.zeros(a.shape), 2.0, 0.5) == a).all() and (labels.clip_edge(a * 0, 0.5, 1) == 0).all()
+    slices = spiral.generate(spark, spiral.Spiral(size=60, slices=2, windings=2, r0=8.0))
+    out = spiral.perturb(slices, clip=0.2, pinch=3, centre=(29.5, 29.5), r0=8.0, pitch=11.0, thick=5.0, windings=2).collect()
+    was = {(r.z, r.row): r.label for r in slices.collect()}
+    assert len(out) == 120 and sum(r.label != was[r.z, r.row] for r in out) > 5 and {len(r.px) for r in out} == {60}
