@@ -21,6 +21,8 @@ import pyarrow.compute
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Characters that count as white space, as in [\x20\x09-\x0D].
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -212,3 +214,21 @@ def crc32(data: bytes) -> int:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_columns(df: DataFrame, fields: dict[str, str], make, text: str) -> DataFrame:
+    """``df`` with one new column for each entry of ``fields`` (name: type), which
+    ``make(texts)`` computes from the texts (strings; null ones are empty) of a portion of rows as one
+    list or array for each field. Other columns pass through; a taken name gets an underscore."""
+    small_batches(df.sparkSession)
+    names = {f: free(df, f) for f in fields}
+    plain = df.sparkSession.createDataFrame([], ", ".join(f"`{names[f]}` {t}" for f, t in fields.items())).schema
+    types = to_arrow_schema(plain)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(batches, text, BATCH_BYTES // 4):
+            columns = make([t or "" for t in b[text].to_pylist()])
+            made = [pa.array(c, f.type) for c, f in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *types.names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *plain.fields]))

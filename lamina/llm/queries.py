@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontamination, line_dedup, near_dedup, secret_scan, sentencepiece_nbest, sharding, token_files, topk_search, toxicity, url_filter
+from lamina.llm import (
+    decontamination,
+    fill_middle,
+    html_text,
+    line_dedup,
+    near_dedup,
+    periodic_runs,
+    secret_scan,
+    sentencepiece_nbest,
+    sharding,
+    token_files,
+    topk_search,
+    toxicity,
+    url_filter,
+)
+from lamina.llm.common import with_columns
 from lamina.tables import table
 
 
@@ -146,6 +161,80 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    again = F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), again)
+
+
+# Written from the rule: tokens as a list, no masks.
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (
+  SELECT doc_id, text, w, len(w) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM t),
+cut AS (
+  SELECT doc_id, text, n,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(w[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS p, array_to_string(w[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS m,
+    array_to_string(w[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS s FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM cut
+"""
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), "n_chars")
+
+
+# No density here: the given pages mark the article by its element, and these are the tags inside.
+OP12_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+blocks AS (SELECT page_id, url, regexp_split_to_array(body, '</?(?:h1|p)>') AS parts FROM a),
+plain AS (
+  SELECT page_id, url, [trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?b>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ 	
+
+]+', ' ', 'g')) FOR x IN parts] AS lines
+  FROM blocks)
+SELECT page_id, url, text, length(text) AS n_chars FROM (SELECT page_id, url, array_to_string([x FOR x IN lines IF x <> ''], chr(10)) AS text FROM plain)
+"""
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in every tenth document, by its id's crc32, the words from one on repeat."""
+
+    def repeat(h: int, text: str) -> str:
+        words = periodic_runs.words_of(text)
+        n, g = len(words), h // 10
+        if not n:
+            return text
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        return b" ".join(words[:a] + [words[a + i % p] for i in range(n - a)]).decode("utf-8", "surrogatepass")
+
+    def make(texts: list[str]):
+        # a crc32, a line feed, the text
+        cut = (t.partition("\n") for t in texts)
+        return ([repeat(int(h), t) if h.endswith("0") else t for h, _, t in cut],)
+
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string")).cast("string"), F.lit(""))
+    joined = docs.select("doc_id", F.concat(h, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    return with_columns(joined, {"text": "string"}, make, "text").select("doc_id", F.col("text_").alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.find_runs(planted(table(spark, sf_dir, "documents")), min_length=12, min_exponent=2)
+    best = F.expr("array_min(transform(runs, r -> named_struct('less', -r.length, 'start', r.start, 'period', r.period)))")
+    lines = F.expr("concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')))")
+    out = out.withColumn("best", best).withColumn("length", -F.col("best.less"))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), "length", F.col("best.period").alias("period"),
+        F.expr("1000 * length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -154,6 +243,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "pipeline": pipeline,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_html_text": op12_html_text,
+    "op13_periodic_runs": op13_periodic_runs,
     "op7_secret_scan": op7_secret_scan,
     "op10_sentencepiece": op10_sentencepiece,
     "op8_url_filter": op8_url_filter,
@@ -166,6 +258,8 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
 }
 ORACLE_SQL = {
+    "op11_fill_middle": OP11_SQL,
+    "op12_html_text": OP12_SQL,
     "op8_url_filter": OP8_SQL,
     "op1_topk_search": OP1_SQL,
     "op4_near_dedup": OP4_SQL,
