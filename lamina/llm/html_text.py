@@ -10,6 +10,7 @@ article; the smallest density on its path to the body is the threshold for other
 from __future__ import annotations
 
 import html
+import html.entities
 import re
 from math import e, log
 
@@ -67,12 +68,18 @@ _TAG = re.compile(r"</?([A-Za-z][^\x00\s/>]*)")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)?))?")
 _TAG_END = re.compile(r"[\s/]*>?")
 _COMMENT_END = re.compile(r"--!?>")
+#: In attributes a name without a semicolon before = or a letter is no reference.
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*(?:;|(?![A-Za-z0-9=])))")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _CLOSERS = {t: re.compile(rf"(?i)</{t}(?=[\s/>])") for t in RAW}
 _HIDDEN = re.compile(r"(?i)(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 _NO_WORDS = re.compile(r"[^a-zA-Z ]+")
 
 
+def _referred(m: re.Match) -> str:
+    return html.unescape(m[0]) if m[0][1] == "#" else html.entities.html5.get(m[0][1:], m[0])
+
+
 def pieces(page: str):
     """('text', decoded), ('start', name, attributes) and ('end', name) in page order, without
     comments. What is not closed reaches to the page's end."""
@@ -105,7 +112,7 @@ def pieces(page: str):
             attributes = {}
             while (a := _ATTRIBUTE.match(page, at)) is not None:
                 value = next((v for v in a.groups()[1:] if v is not None), "")
-                attributes.setdefault(a[1].lower(), html.unescape(value))
+                attributes.setdefault(a[1].lower(), _REFERENCE.sub(_referred, value) if "&" in value else value)
                 at = a.end()
             at = _TAG_END.match(page, at).end()
             if page[at - 1] != ">":

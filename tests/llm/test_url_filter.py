@@ -1,6 +1,6 @@
 from lamina.llm.components import connected_components
 from lamina.llm.queries import OP8_SQL, URL_RULES
-from lamina.llm.url_filter import judge_urls
+from lamina.llm.url_filter import judge_urls, resolved
 
 
 def judge(spark, rows, redirects=None):
@@ -67,6 +67,57 @@ def test_against_sql_with_patterns_of_its_own(spark):
     assert {r[0] for r in want if r[4] == "block"} == {1, 2, 3, 9, 10, 13, 14}
 
 
+HARD = {  # html, whether the page links to the blocked one, written from the rules of HTML and URLs
+    "plain": ('<link rel="canonical" href="http://a.example.com/en/x">', True),
+    "one word of several": ('<link rel="shortlink CANONICAL" href="http://a.example.com/en/x">', True),
+    "an attribute before": ('<link data-href="/y" rel=canonical href=http://a.example.com/en/x>', True),
+    "a sign in a value": ('<link title="a>b" rel=\'canonical\' href="http://a.example.com/en/x"/>', True),
+    "another word": ('<link rel="canonicalized-not" href="http://a.example.com/en/x">', False),
+    "in a comment": ('<!-- <link rel="canonical" href="http://a.example.com/en/x"> -->', False),
+    "in a script": ('<script>"<link rel=canonical href=http://a.example.com/en/x>"</script>', False),
+    "in a title": ("<title><link rel=canonical href=http://a.example.com/en/x></title>", False),
+    "in a template": ("<template><link rel=canonical href=http://a.example.com/en/x></template>", False),
+    "in a value": ("<p title='<link rel=canonical href=http://a.example.com/en/x>'>", False),
+    "the default port": ('<link rel="canonical" href="http://A.example.com:80/en/x#top">', True),
+    "another port": ('<link rel="canonical" href="http://a.example.com:8080/fr/x">', False),
+    "a base": ('<base href="http://a.example.com/en/"><link rel="canonical" href="x">', True),
+    "a base behind": ('<link rel="canonical" href="./x"><base href="//a.example.com/en/y?z"><base href="/">', True),
+    "steps up": ('<link rel="canonical" href="http://a.example.com/fr/../en/./x">', True),
+    "references": ("<link rel=&#99;anonical href=http&colon;//a.example.com/en/x>", True),
+    "spaces around": ('<link rel="canonical" href=" \nhttp://a.example.com/en/x ">', True),
+    "first of two": ('<link rel="canonical" href="http://z.org/" href="http://a.example.com/en/x">', False),
+    "an end tag": ("</link rel=canonical href=http://a.example.com/en/x>", False),
+    "a refresh": ('<meta http-equiv="refresh" content="0;url=\'http://a.example.com/en/x\' y">', True),
+    "a refresh without its name": ('<META content="3, http://a.example.com/en/x" HTTP-EQUIV=" REFRESH ">', True),
+    "no refresh": ('<meta name="refresh" content="0;url=http://a.example.com/en/x">', False),
+    "a refresh without a time": ('<meta http-equiv="refresh" content="url=http://a.example.com/en/x">', False),
+    "another scheme": ('<link rel="canonical" href="mailto:a.example.com/en/x">', False),
+    "a query with names of references": ("<link rel=canonical href=http://a.example.com/en/x?a=1&copy=2>", True),
+}
+
+
+def test_links_as_html_has_them(spark):
+    rows = [(k, f"http://p{k}.org/a/b", html) for k, (html, _) in enumerate(HARD.values())]
+    rows += [(90, "http://q.org/1", '<link rel=canonical href="https://r.org/?a=1&copy=2">'), (91, "https://r.org:443/?a=1&copy=2", "<link rel=canonical href=//a.example.com/en/x>")]
+    got = judge(spark, rows)
+    names = list(HARD)
+    for k, (_, linked) in enumerate(HARD.values()):
+        assert got[k].verdict_ == ("block" if linked else "allow"), names[k]
+    assert got[90].verdict_ == got[91].verdict_ == "block" and got[91].host == "r.org:443"
+
+
+def test_resolving():
+    """Against the standard library, where that follows the same rules."""
+    from urllib.parse import urljoin, urlsplit
+
+    for page in ("http://h.org/a/b/c?d", "http://h.org/", "http://h.org/a"):
+        for t in ("x", "./x", "../x", "../../x/.", "/x/../y", "?q", "//k.org/z?w", "https://k.org/b", "x/..", "..", ".", "x?y=/../z", "http:y"):
+            want = urlsplit(urljoin(page, t))
+            host, path = want.netloc, want.path + ("?" + want.query if want.query else "")
+            got = resolved(t, "http", urlsplit(page).netloc, urlsplit(page).path)
+            assert got[1:] == (host, path), (page, t)
+
+
 def test_empty(spark):
     assert judge(spark, []) == {}
 
