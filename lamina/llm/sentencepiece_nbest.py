@@ -21,7 +21,6 @@ segmentation is the likeliest one and not the one that merging by rank gives.
 
 from __future__ import annotations
 
-import heapq
 import itertools
 import math
 import re
@@ -42,6 +41,8 @@ TEXT_BYTES, SEGMENTS, SHORT, BATCH, UNKNOWN_COST = 4 << 20, 400_000, 62, 4096, 1
 UNIT, NEVER, ALL_CUTS = 1_000_000, -(2**60), 2**63 - 1
 #: Characters of a batch's segments at most, padded; what a score is above unless it is NEVER and more.
 BATCH_CHARS, LOST = 1 << 16, -(2**59)
+#: Ends of a longer segment whose edges are held at once; characters and ids that a worker remembers.
+BLOCK, REMEMBERED = 4096, 1 << 24
 _P = np.uint64(0x100000001B3)
 _SLOTS = 20
 # Piece types of the model format.
@@ -168,40 +169,67 @@ def _codes(segment: str) -> np.ndarray:
 
 
 class Lattice:
-    """One segment's lattice."""
+    """One segment's lattice, for segments of any length: forward scores are kept, edges are found
+    a block of ends at a time, and again where the search comes by."""
 
     def __init__(self, vocabulary: Pieces, segment: str):
-        score, ids = vocabulary.edges(_codes(segment)[None])
-        self.vocabulary, self.n = vocabulary, len(segment)
-        k, i, _ = np.nonzero(score > NEVER)
-        ends = i + k + 1
-        order = np.lexsort((k, ends))
-        self.start, self.score, self.ids = (x[order].tolist() for x in (i, score[k, i, 0], ids[k, i, 0]))
-        self.upto = np.searchsorted(ends[order], np.arange(self.n + 2)).tolist()  # edges into j: upto[j] .. upto[j + 1]
-        best = [0] + [NEVER] * self.n
+        self.vocabulary, self.n, self.codes = vocabulary, len(segment), _codes(segment)
+        self.most = most = min(vocabulary.longest, self.n)
+        self._blocks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        # positions stand ``most`` places on, so that every end has as many starts
+        self.best = best = np.full(most + self.n + 1, NEVER, np.int64)
+        best[most] = 0
         for j in range(1, self.n + 1):
-            best[j] = max(best[self.start[e]] + self.score[e] for e in range(self.upto[j], self.upto[j + 1]))
-        self.best = best
+            edge = self._into(j)[0]
+            best[most + j] = (best[j : most + j] + edge).max()
+
+    def _into(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the edges into ``j``, by start, from j - most to j - 1."""
+        b, at = divmod(j - 1, BLOCK)
+        if b not in self._blocks:
+            if len(self._blocks) > 1:
+                del self._blocks[max(self._blocks, key=lambda x: abs(x - b))]
+            lo, hi = b * BLOCK, min(self.n, (b + 1) * BLOCK)
+            first = max(0, lo + 1 - self.most)
+            score, ids = self.vocabulary.edges(self.codes[None, first:hi])
+            by_end = np.full((hi - lo, self.most), NEVER, np.int64), np.zeros((hi - lo, self.most), np.int32)
+            ends = np.arange(lo + 1, hi + 1)
+            for k in range(len(score)):
+                there = ends - k - 1 >= first
+                starts = ends[there] - k - 1 - first
+                by_end[0][there, self.most - 1 - k] = score[k, starts, 0]
+                by_end[1][there, self.most - 1 - k] = ids[k, starts, 0]
+            self._blocks[b] = by_end
+        score, ids = self._blocks[b]
+        return score[at], ids[at]
 
     def n_best(self, n: int) -> list[tuple[int, int, list[int]]]:
-        """The n first segmentations as (score, cuts, ids): backward A* whose heuristic, the
-        forward score, is exact."""
-        heap = [(-self.best[self.n], 0, self.n, 0, None)]
+        """The n first segmentations as (score, place by cuts, ids): backward A* whose heuristic,
+        the forward score, is exact.
+
+        The frontier holds the n best entries, found ones among them, in the order of their cuts:
+        the ways on from an entry take its place, those through longer pieces first, so cuts are
+        never compared."""
+        frontier: list[tuple[int, int, int, tuple | None]] = [(int(self.best[-1]), self.n, 0, None)]  # estimate, position, score behind it, ids behind it
+        while (p := min((k for k, x in enumerate(frontier) if x[1]), key=lambda k: (-frontier[k][0], k), default=None)) is not None:
+            _, at, done, link = frontier[p]
+            edge, ids = self._into(at)
+            through = self.best[at : at + self.most] + edge
+            some = np.flatnonzero(through > LOST)
+            if len(some) > n:
+                some = np.sort(some[np.argsort(-through[some], kind="stable")[:n]])
+            ways = [(int(through[c]) + done, at - self.most + c, done + int(edge[c]), (int(ids[c]), link)) for c in some.tolist()]
+            frontier[p : p + 1] = ways
+            if len(frontier) > n:
+                frontier = [frontier[k] for k in sorted(sorted(range(len(frontier)), key=lambda k: (-frontier[k][0], k))[:n])]
         out = []
-        while heap and len(out) < n:
-            f, cuts, at, done, link = heapq.heappop(heap)
-            if at == 0:
-                ids = []
-                while link is not None:
-                    i, link = link
-                    ids.append(i)
-                out.append((-f, cuts, self.vocabulary.spelled(ids)))
-                continue
-            for e in range(self.upto[at], self.upto[at + 1]):
-                i = self.start[e]
-                cost = done + self.score[e]
-                heapq.heappush(heap, (-(self.best[i] + cost), cuts | (1 << i if i else 0), i, cost, (self.ids[e], link)))
-        return out
+        for place, (score, _, _, link) in enumerate(frontier):
+            ids = []
+            while link is not None:
+                i, link = link
+                ids.append(i)
+            out.append((score, place, self.vocabulary.spelled(ids)))
+        return sorted(out, key=lambda x: (-x[0], x[1]))
 
 
 def _first(score: np.ndarray, cuts: np.ndarray, n: int) -> np.ndarray:
@@ -290,7 +318,7 @@ class Segmenter:
         the first, ``sooner`` whether it has the smaller cuts. A way has ids in the pool, a score,
         and ``order``, its place among its segment's ways by cuts."""
         self.known = _Numbers()
-        self.size = self.n_ways = 0
+        self.size = self.n_ways = self.chars = 0
         self.parts = {c: [np.zeros(0, t)] for c, t in (("pool", np.int32), ("first", np.int64), ("ways", np.int64), ("behind", np.int64), ("sooner", bool), ("begin", np.int64), ("length", np.int64), ("score", np.int64), ("order", np.int64))}
 
     def _column(self, name: str) -> np.ndarray:
@@ -315,6 +343,7 @@ class Segmenter:
     def learn(self, segments: list[str]) -> None:
         """Ways of segments that are numbered already, in the order of their numbers."""
         lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        self.chars += int(lengths.sum())
         by_length = np.argsort(-lengths, kind="stable")
         falling, lo = lengths[by_length], 0
         ordered = [segments[k] for k in by_length.tolist()]
@@ -372,7 +401,7 @@ class Segmenter:
 
     def segment(self, texts: list[str]) -> Iterator[list[tuple[int, np.ndarray]]]:
         """For each text its N best (score, ids), best first; one without ids for an empty text."""
-        if len(self.known) > SEGMENTS:
+        if len(self.known) > SEGMENTS or self.size + self.chars > REMEMBERED:
             self._forget()
         prefix = " " if self.vocabulary.dummy_prefix else ""
         cut = [self.vocabulary.cut.findall(prefix + t) if t else [] for t in texts]

@@ -102,6 +102,46 @@ def test_ties_fall_alike_in_batches_and_lattices():
             assert ways(segmenter, w) == [(s, ids) for s, _, ids in sp.Lattice(v, w).n_best(n)]
 
 
+def test_long_segments_across_blocks(monkeypatch):
+    """The same ways whatever the blocks, and those of all segmentations of short ones."""
+    v, rng = small(), random.Random(4)
+    for _ in range(60):
+        text = "".join(rng.choices("abcé ", [6, 6, 3, 1, 1], k=rng.randint(1, 12)))
+        want = every(v, text)
+        for block in (1, 3, 4096):
+            monkeypatch.setattr(sp, "BLOCK", block)
+            for n in (1, 4, 30):
+                got = sp.Lattice(v, text).n_best(n)
+                assert [(s, tuple(p)) for s, _, p in got] == [(s, p) for s, _, p in want[:n]]
+                assert [c for _, c, _ in sorted(got, key=lambda x: x[1])] == sorted(c for _, c, _ in got)
+
+
+MANY = """
+import random, resource
+from lamina.llm import sentencepiece_nbest as sp
+v = sp.Pieces.load({model!r})
+rng = random.Random(1)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for ways, text in ((2, "x" * 200_000), (1, "".join(rng.choices("etaoinsrhlé中1.", k=1_000_000)))):
+    segmenter = sp.Segmenter(v, ways)
+    found = next(iter(segmenter.segment([text])))
+    assert len(found) == ways and all(segmenter.decode(ids) == text.encode() for _, ids in found)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+
+
+def test_memory_of_a_million_characters_without_a_space():
+    """MB beyond the vocabulary's."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).parents[2])
+    out = subprocess.run([sys.executable, "-c", MANY.format(model=MODEL)], capture_output=True, text=True, env={**os.environ, "PYTHONPATH": os.pathsep.join([root, *sys.path])}, check=True)
+    assert int(out.stdout) < 700, out.stdout
+
+
 def test_very_long_segment():
     v = small()
     text = "ab" * 700
