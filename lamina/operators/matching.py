@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.functions.semantics import ordered, rint
+from lamina.functions.semantics import finite, ordered, rint
+from lamina.sources.scratch import settle
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, columns: list[str], forward: bool = False, tolerance: float | None = None) -> DataFrame:
@@ -91,3 +94,47 @@ def alignment_offset(left: DataFrame, right: DataFrame, keys: list[str], index:
     m = nearest(left.select(*keys, at, index), r, keys, at, ["_ri"], tolerance).where("_ri IS NOT NULL")
     off = m.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(F.col("_ri") - F.col(index), F.lit(0.5)).alias("_o"))
     return off.select(*keys, "n", F.when(F.col("n") < least, F.lit(0.0)).otherwise(F.col("_o")).alias("offset"))
+
+
+def nearest_in_plane(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str, columns: list[str], cell: float | None = None) -> DataFrame:
+    """Each left row with ``columns`` of the nearest right row of its key in the plane, and ``distance``;
+    of equally near ones the one whose columns come first in order.
+
+    Right rows lie in square cells; a left row looks into the nine around it. What it finds there is
+    proven nearest if no nearer point could lie beyond them. Rows without proof go on with cells
+    twice as wide, so a level is one equi-join and levels number the logarithm of the extent. ``cell``
+    is the first width; by default right rows average one a cell. Right rows at one place count once.
+    NULL or NaN coordinates find nothing and are not found; left rows without a right row in their
+    key get NULL. Left rows may repeat."""
+    taken = {c.lower() for c in left.columns}
+    if taken & {c.lower() for c in (*columns, "distance")}:
+        raise ValueError("left has a column of that name")
+    ok = lambda df: df.where(finite(F.col(x)).isNotNull() & finite(F.col(y)).isNotNull())
+    spots = ok(right).groupBy(*keys, F.col(x).cast("double").alias("_rx"), F.col(y).cast("double").alias("_ry")).agg(F.min(F.struct(*columns)).alias("_c"))
+    spots = settle(spots)
+    if cell is None:
+        n, x0, x1, y0, y1 = spots.agg(F.count("*"), F.min("_rx"), F.max("_rx"), F.min("_ry"), F.max("_ry")).first()
+        extent = max((x1 - x0), (y1 - y0)) if n else 0.0
+        cell = max(math.sqrt(max((x1 - x0), extent / 1024) * max((y1 - y0), extent / 1024) / n), extent * 1e-6) if extent else 1.0
+    asked = ok(left).select(*keys, F.col(x).cast("double").alias("_lx"), F.col(y).cast("double").alias("_ly")).distinct()
+    open_ = asked.join(spots.select(*keys).distinct(), keys, "left_semi") if keys else asked if not spots.isEmpty() else asked.limit(0)
+    at = lambda c, s: F.floor(F.col(c) / s)
+    done = None
+    while True:
+        around = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+        cells = open_.withColumn("_dx", around).withColumn("_dy", around)
+        cells = cells.select(*keys, "_lx", "_ly", (at("_lx", cell) + F.col("_dx")).alias("_cx"), (at("_ly", cell) + F.col("_dy")).alias("_cy"))
+        there = spots.withColumns({"_cx": at("_rx", cell), "_cy": at("_ry", cell)})
+        d2 = (F.col("_lx") - F.col("_rx")) ** 2 + (F.col("_ly") - F.col("_ry")) ** 2
+        best = cells.join(there, [*keys, "_cx", "_cy"]).groupBy(*keys, "_lx", "_ly").agg(F.min(F.struct(d2.alias("d"), F.col("_c").alias("c"))).alias("_b"))
+        room = lambda c: F.least(F.col(c) - (at(c, cell) - 1) * cell, (at(c, cell) + 2) * cell - F.col(c))
+        seen = settle(open_.join(best, [*keys, "_lx", "_ly"], "left").withColumn("_proven", F.coalesce(F.sqrt("_b.d") < F.least(room("_lx"), room("_ly")), F.lit(False))))
+        proven = seen.where("_proven").select(*keys, "_lx", "_ly", "_b")
+        done = proven if done is None else done.union(proven)
+        open_ = seen.where("NOT _proven").select(*keys, "_lx", "_ly")
+        if open_.isEmpty():
+            break
+        cell *= 2
+    q = left.withColumns({"_lx": F.col(x).cast("double"), "_ly": F.col(y).cast("double")})
+    out = q.join(done, [*keys, "_lx", "_ly"], "left")
+    return out.select(*left.columns, *[F.col(f"_b.c.{c}").alias(c) for c in columns], F.sqrt("_b.d").alias("distance"))

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions.semantics import rint
-from lamina.kernels import frames as cells
 from lamina.kernels import image, steady
 from lamina.operators.kernel_ops import _types, apply, pair_numbers
 
@@ -94,40 +93,3 @@ def evenly_paired(guesses: DataFrame, truths: DataFrame, keys: list[str], index:
     g = g.withColumn(f"true_{index}", place.cast(truths.schema[index].dataType))
     t = truths.select(*keys, *[F.col(c).alias(f"true_{c}") for c in truths.columns if c not in keys])
     return g.join(t, [*keys, f"true_{index}"]).drop("_n", "_m")
-
-
-def rectify(strip: DataFrame, rails: DataFrame, keys: list[str], row: str, values: str, nominal: tuple[float, float], pitch: float, phase: float, share: float | None = None) -> DataFrame:
-    """keys, cell, row, values of the frames of each strip (rows of arrays) between its rails: side
-    (0 or 1), u, y, x. Strips without both rails give none."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        low, high = (right[right["side"] == s].sort_values("u")[["u", "y", "x"]].to_numpy(float).T for s in (0, 1))
-        if len(left) and low.size and high.size:
-            a = _stack(left.sort_values(row)[values], (1, -1))[:, 0]
-            for k, frame in cells.rectify(a, low, high, nominal, pitch, phase, cells.rail_rows(nominal, pitch, share, len(a))):
-                out += [(*(left[c].iloc[0] for c in keys), k, i, v.tolist()) for i, v in enumerate(frame)]
-        return pd.DataFrame(out, columns=[*keys, "cell", "row", "values"])
-
-    s, r = strip.select(*keys, row, values).groupBy(*keys), rails.select(*keys, "side", "u", "y", "x").groupBy(*keys)
-    return s.cogroup(r).applyInPandas(run, f"{_types(strip, keys)}, cell int, row int, values array<double>")
-
-
-def lock_to_truth(strip: DataFrame, frames: DataFrame, keys: list[str], row: str, values: str, order: str, truth: str, at: str, shape: tuple[int, int], pitch: float, arc: float = 1.0, across: float = 1.0, sign: float = 1.0, top: float = 0.0, ends: tuple[int, int] = (0, 0)) -> DataFrame:
-    """keys, order, x, z, locked: where windows on each strip (rows of arrays) show their true frames,
-    from guessed places ``at``; see ``kernels.steady.Lock``. Strips without frames give none."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=[*keys, order, "x", "z", "locked"])
-        a, p = _stack(left.sort_values(row)[values], (1, -1))[:, 0], right.sort_values(order)
-        lock = steady.Lock(steady.strip_window(a, shape, arc, across, top), pitch, arc, across, sign)
-        truths, guess = list(_stack(p[truth], shape)), p[at].to_numpy(float)
-        x, z, locked = lock.corrections(truths, guess, *steady.measure(lock, truths, guess), ends)
-        out = pd.DataFrame({order: p[order].to_numpy(), "x": x, "z": z, "locked": locked})
-        for i, k in enumerate(keys):
-            out.insert(i, k, p[k].iloc[0])
-        return out
-
-    s, f = strip.select(*keys, row, values).groupBy(*keys), frames.select(*keys, order, truth, at).groupBy(*keys)
-    return s.cogroup(f).applyInPandas(run, f"{_types(strip, keys)}, {_types(frames, [order])}, x double, z double, locked boolean")

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 
 
-from lamina.plans import queries_bands, queries_closed, queries_composites, queries_image, queries_kernels, queries_native, queries_steady  # noqa: E402, F401
+from lamina.plans import queries_bands, queries_blocks, queries_closed, queries_composites, queries_image, queries_kernels, queries_native, queries_steady  # noqa: E402, F401

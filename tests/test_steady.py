@@ -2,10 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.kernels import frames, labels, steady, walk
+from lamina.kernels import frames, steady, walk
 from lamina.kernels.image import gaussian, gradient_correlation, sobel
 from lamina.operators import steady as op
-from lamina.plans import spiral
 
 
 def texture(h, w, seed=0, sigma=1.5):
@@ -84,16 +83,6 @@ def test_affine_and_histogram():
     assert steady.deform_spread(np.stack([t, t]), np.stack([t, t])) == pytest.approx((0, 0, 0), abs=1e-9)
 
 
-def test_rectify():
-    strip = np.add.outer(1000.0 * np.arange(60), np.arange(400.0))
-    u = np.arange(0, 401.0, 50)
-    low, high = np.stack([u, np.full(9, 10.0), u + 3]), np.stack([u, np.full(9, 52.0), u + 5])
-    got = dict(frames.rectify(strip, low, high, (10, 50), 50.0, 0.0, (20, 40)))
-    assert sorted(got) == list(range(7)) and got[1].shape == (20, 50)
-    assert got[2][5, 7] == pytest.approx(1000 * (10 + 42 * 15 / 40) + 107 + 3 + 2 * 15 / 40)
-    assert frames.rail_rows((10, 50), 50.0, 0.4, 60) == (20, 40) and frames.rail_rows((10, 50), 50.0, None, 60) == (0, 60)
-
-
 def test_twins_merge():
     base = [np.full(96, 20.0 + 8 * k) for k in range(4)]
     t = walk.Tracker(1.0)
@@ -105,39 +94,9 @@ def test_twins_merge():
     assert t.merged(3.0)[4] == 2
 
 
-def reel(seed=0, n=16, h=48, w=40):
-    """A strip (across, along) of one texture over and over that wobbles across, and its true frames, of
-    which some show nothing."""
-    rng = np.random.default_rng(seed)
-    tile = texture(w + 24, h, 30 + seed)
-    wobble = np.rint(2 * np.sin(np.arange(n) / 2.5)).astype(int)
-    strip = np.concatenate([np.zeros((w + 24, 30)), *[np.roll(tile, s, 0) for s in wobble], np.zeros((w + 24, 30))], axis=1)
-    strip = strip + 0.02 * rng.normal(size=strip.shape)
-    true = 30.0 + h * np.arange(n)
-    truths = np.stack([tile[12 : 12 + w].T for _ in range(n)])
-    truths[6:8] = 0
-    return strip, truths, true, wobble, true + rng.integers(-4, 5, n)
-
-
-@pytest.mark.parametrize("seed", [0, 1])
-def test_lock(seed):
-    strip, truths, true, wobble, guess = reel(seed)
-    lock = steady.Lock(steady.strip_window(strip, (48, 40), top=12.0), 48.0)
-    x, z, locked = lock.corrections(list(truths), guess, *steady.measure(lock, list(truths), guess))
-    assert locked.sum() == 14 and not locked[6:8].any()
-    assert np.abs(x - true).max() < 1.0 and np.abs(z - wobble).mean() < 0.8
-    none = lock.corrections(list(truths * 0), guess, *steady.measure(lock, list(truths * 0), guess))
-    assert not none[2].any() and np.allclose(none[0], guess, atol=10)
-    ends = lock.corrections(list(truths), guess, *steady.measure(lock, list(truths), guess), (1, 1))[2]
-    assert not ends[0] and not ends[-1] and ends[1]
-
-
 def test_operators(spark):
-    strip, truths, true, _, guess = reel(0)
-    s = spark.createDataFrame([(r, i, v.tolist()) for r in (1, 2) for i, v in enumerate(strip)], "reel int, row int, v array<double>")
-    f = spark.createDataFrame([(1, i, t.ravel().tolist(), float(g)) for i, (t, g) in enumerate(zip(truths, guess, strict=True))], "reel int, i int, px array<double>, at double")
-    got = op.lock_to_truth(s, f, ["reel"], "row", "v", "i", "px", "at", (48, 40), 48.0, top=12.0).orderBy("i").collect()
-    assert [r.reel for r in got] == [1] * 16 and max(abs(r.x - t) for r, t in zip(got, true, strict=True)) < 1
+    tile = texture(40, 48, 30).T
+    f = spark.createDataFrame([(1, i, tile.ravel().tolist()) for i in range(16)], "reel int, i int, px array<double>")
     held = op.stabilise(f.where("i < 6"), ["reel"], "i", "px", (48, 40), angle=0.0).collect()
     assert len(held) == 6 and max(abs(r.dy) for r in held) < 0.1 and held[0].bottom > held[0].top
     assert op.locked_shifts(f, ["reel"], "i", "px", (48, 40)).count() == 16 and op.border_shifts(f, ["reel"], "i", "px", (48, 40)).count() == 16
@@ -145,16 +104,3 @@ def test_operators(spark):
     row = op.variant_summary(scores, ["k"], ["grad_corr", "ms_ssim"]).collect()[0]
     assert row.pairs == 4 and row.grad_corr == pytest.approx(1, abs=0.02)
     assert op.variant_summary(scores.limit(0), ["k"], ["grad_corr"]).count() == 0
-
-
-def test_perturbed_labels(spark):
-    a = np.zeros((40, 33), int)
-    a[10:30], a[18:22] = 1, 2
-    assert (labels.perturb(a, np.ones(a.shape), 3) == a).all()
-    worse = labels.perturb(a, np.ones(a.shape), 3, clip=0.2, grow=1.0, above=0.5, shift=1.0, flip=0.1)
-    assert (worse[a == 0] == 0).all() and (worse != a).any() and (worse == labels.perturb(a, np.ones(a.shape), 3, clip=0.2, grow=1.0, above=0.5, shift=1.0, flip=0.1)).all()
-    assert (labels.thicken(a, np.zeros(a.shape), 2.0, 0.5) == a).all() and (labels.clip_edge(a * 0, 0.5, 1) == 0).all()
-    slices = spiral.generate(spark, spiral.Spiral(size=60, slices=2, windings=2, r0=8.0))
-    out = spiral.perturb(slices, clip=0.2, pinch=3, centre=(29.5, 29.5), r0=8.0, pitch=11.0, thick=5.0, windings=2).collect()
-    was = {(r.z, r.row): r.label for r in slices.collect()}
-    assert len(out) == 120 and sum(r.label != was[r.z, r.row] for r in out) > 5 and {len(r.px) for r in out} == {60}
