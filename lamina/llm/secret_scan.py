@@ -20,7 +20,11 @@ NODES = 2 ** (DEPTH + 1) - 1
 BEFORE, AFTER = 64, 32
 # What a candidate is made of, and the words that speak for or against it.
 CANDIDATE = r"[A-Za-z0-9+/_.=\-]{16,}"
-_NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth(?:orization)?|bearer|credentials?|private[_\-]?key|key)"
+_NAMES = (
+    r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth(?:orization)?|bearer|credentials?|private[_\-]?key|key"
+    r"|passwort|kennwort|losungswort|geheim(?:nis|wort)|schl(?:ü|ue)ssel|zugangsdaten|mot[ _\-]?de[ _\-]?passe|mdp|phrase[ _\-]secr[eè]te|identifiants?|jeton"
+    r"|contrase(?:ñ|n)a|clave|palabra[ _\-]de[ _\-]paso|frase[ _\-]secreta|credencial(?:es)?)"
+)
 KEYWORDS = rf"(?i){_NAMES}[\x22']?\s*(?:[=:]|=>)?\s*[\x22']?$"
 HARMLESS = r"(?i)(?:sha\d*|md5|commit|checksum|hash|digest|uuid|guid|etag|integrity|order|invoice|card|phone|tel|version|file|path|see|page|isbn|doi|id)[\x22']?\s*(?:[=:#])?\s*[\x22']?$"
 _PREFIXES = "(?:AKIA|ASIA|gh[opsu]_|xox[abprs]-|sk_live_|sk_test_|eyJ|AIza|glpat-|npm_)"
@@ -34,17 +38,32 @@ VALUE_CHARS = 6
 _HEAD = rf"(?i){_NAMES}[\x22']?\s*+(?:=>|:=|[=:]++)\s*+(?:(?:bearer|basic)\s++)?+[\x22'`]?+"
 _PLAIN = r"(?!</|[&;,][\x22']?[A-Za-z_]\w{0,30}[\x22']?[=:]|[,;.:)\]}>\x22'`]{0,8}+(?:\s|$))\S"
 ASSIGNED = rf"{_HEAD}(?![^\sA-Za-z0-9]{{0,8}}{_NAMES}[\x22']?\s{{0,8}}[=:])(?:(?<=\x22)[^\x22\s]{{{VALUE_CHARS},}}+(?=\x22)|(?<=')[^'\s]{{{VALUE_CHARS},}}+(?=')|(?:{_PLAIN}){{256}}+\S*+|(?:{_PLAIN}){{{VALUE_CHARS},255}}+)"
+#: A password between a user's name and the host of an address.
+_USER = r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s/:@?#\x22'<>]{0,64}:"
+ADDRESSED = _USER + r"[^\s/@\x22'<>]{3,256}+(?=@)"
+VALUES = f"{ADDRESSED}|{ASSIGNED}"
 PLACEHOLDER = r"(?i)(.)\1{4,}|example|changeme|placeholder|your|dummy|0123456|123456789|abcdefg|xxxx"
 FILE = r"(?i)\.(?:com|org|net|edu|gov|io|html?|php|png|jpe?g|gif|svg|js|css|py|java|txt|md|json|xml|ya?ml|pdf|zip|gz)(?:$|[/.])"
 WORDS = "about account address after again all also and any app are back base been before block body build button call can case change class client code color com common config content control copy count create current data date default delete device docs document each edit element email end error event every example file first font for form from full function get git global group have head help home html http image index info input into item java key label last level line link list load local lock log login main make map master media member menu message method model module more name net new next node not number object open option order org other out over page param part path people phone photo post print product public query read record request return right root save script search section select send server service session set show site size source start state status string style system table test text that the their there these this time title tool top type update upload user value version video view was web what when where which will window with word work world www year you your".split()
-FEATURES = 20
+FEATURES = 22
+#: Words of the corpus that count as a dictionary: those in the most documents, of DICTIONARY_LETTERS
+#: letters at least.
+DICTIONARY, DICTIONARY_LETTERS = 4096, 3
 
 
 def _share(n: Column, length: Column) -> Column:
     return n.cast("double") / F.greatest(length, F.lit(1))
 
 
-def features(candidate: Column, before: Column, after: Column) -> Column:
+def frequent_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> list[str]:
+    """The ``most`` words that occur in the most documents, lower-cased; ties in their order. All
+    documents are counted; ``most`` words come to the driver and go into the plan."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(rf"\p{{L}}{{{DICTIONARY_LETTERS},24}}"), F.lit(0)))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return [r[0] for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def features(candidate: Column, before: Column, after: Column, dictionary: list[str] = ()) -> Column:
     """An array of FEATURES doubles. Where the candidate is key=value, the key counts as what
     stands before the value."""
     cut = F.regexp_extract(candidate, r"^([A-Za-z_.\-]{2,30}=+)(?=[^=])", 1)
@@ -53,6 +72,9 @@ def features(candidate: Column, before: Column, after: Column) -> Column:
     n = F.length(value)
     lower = F.lower(value)
     count = lambda pattern: F.regexp_count(value, F.lit(pattern))
+    parts = F.transform(F.regexp_extract_all(value, F.lit(r"\p{Lu}?\p{Ll}+|\p{Lu}+"), F.lit(0)), F.lower)
+    known = F.filter(parts, lambda w: w.isin(list(dictionary))) if len(dictionary) else F.array().cast("array<string>")
+    in_words = F.aggregate(known, F.lit(0), lambda a, w: a + F.length(w))
     covered = n - F.length(F.regexp_replace(lower, "|".join(sorted(WORDS, key=lambda w: (-len(w), w))), ""))
     letters = count("[A-Za-z]")
     flag = lambda c: c.cast("double")
@@ -77,6 +99,8 @@ def features(candidate: Column, before: Column, after: Column) -> Column:
         flag(around.rlike("[@/]$") | after.rlike("^[@]")),
         flag(around.rlike("[\\x22']$") & after.rlike("^[\\x22']")),
         _share(count("[_\\-]"), n),
+        _share(in_words, n),
+        flag(before.rlike(r"://[^\s/@]{0,64}:$") & after.startswith("@")),
     )
 
 
@@ -109,11 +133,11 @@ def _hits(docs: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFram
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each candidate of each text: id, nth, start (in code points, from 0), candidate, before and
     after. Runs of 16 or more of CANDIDATE's characters that are TELLING are candidates, and so are
-    the values of ASSIGNED that lie in no such run. nth counts from 0 for runs, and from -1
-    downwards for assignments."""
+    passwords inside addresses and the values of ASSIGNED, names in four languages, that lie in no
+    such run. nth counts from 0 for runs, and from -1 downwards for the others."""
     runs = _hits(docs, id_col, text_col, CANDIDATE).where(F.col("hit").rlike(TELLING))
     runs = runs.select("id", "nth", F.col("end").alias("start"), F.col("hit").alias("candidate"), F.right("left", F.lit(BEFORE)).alias("before"), F.left("right", F.lit(AFTER)).alias("after"))
-    values = _hits(docs, id_col, text_col, ASSIGNED).withColumn("head", F.regexp_extract("hit", "^" + _HEAD, 0))
+    values = _hits(docs, id_col, text_col, VALUES).withColumn("head", F.regexp_extract("hit", f"^(?:{_USER}|{_HEAD})", 0))
     values = values.select("id", (-1 - F.col("nth")).alias("nth"), (F.col("end") + F.length("head")).alias("start"), F.substr("hit", F.length("head") + 1).alias("candidate"), F.right(F.concat("left", "head"), F.lit(BEFORE)).alias("before"), F.left("right", F.lit(AFTER)).alias("after"))
     one = CANDIDATE.split("{")[0]
     run = F.concat(F.regexp_extract("before", one + "*$", 0), "candidate", F.regexp_extract("after", f"^{one}*", 0))
@@ -124,8 +148,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def labelled_findings(spark: SparkSession, rows: int = 6_000, seed: int = SEED) -> DataFrame:
     """Findings as a review would label them, made from a rule: candidate, before, after and label
     (1: a secret). Kinds of secrets: assigned passwords and tokens, cloud and service keys, signed
-    tokens, short passwords, pass phrases. Of others: numbers, hosts, paths, words, identifiers,
-    checksums, placeholders, and words and code behind a secret's name."""
+    tokens, short passwords, pass phrases, passwords in addresses. Of others: numbers, hosts, paths,
+    words, identifiers, checksums, placeholders, and words and code behind a secret's name."""
     r = lambda salt, n: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(salt)), F.lit(n))
     hexa = F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{seed}")), 512)
     hex_upper = F.upper(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"+{seed}")), 512))
@@ -137,7 +161,9 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000, seed: int = SEED)
     digits = F.translate(F.left(hexa, F.lit(24)), "abcdef", "493817")
     name = F.array_join(F.array(*map(word, "abcd")), "\0")
     name = F.replace(name, F.lit("\0"), pick("join", ["_", "-", ".", "/", ""]))
-    assign = ["password: ", "db_password: ", 'password = "', "passwd=", "pwd: ", "secret: ", "secret=", "token: ", "api_key = '", "auth_token=", "passphrase: ", "credentials: "]
+    assign = ["password: ", "db_password: ", 'password = "', "passwd=", "pwd: ", "secret: ", "secret=", "token: ", "api_key = '", "auth_token=", "passphrase: ", "credentials: ", "Passwort: ", "Kennwort = ", "mot de passe : ", "mdp=", "contraseña: ", "clave = "]
+    address = F.concat(pick("p1", ["postgres", "mysql", "mongodb", "https", "redis", "amqp", "ftp"]), F.lit("://"), F.when(r("p2", 8) > 0, word("u")).otherwise(""), F.lit(":"))
+    host = F.concat(F.lit("@"), word("w"), pick("p3", [".com/", ".local:5432/", "-db", ".internal/x", ""]))
     kinds = [  # candidate, what ends the text before it, what follows, label
         (F.concat(pick("k", ["password=", "passwd=", "pwd=", "secret=", "token=", "api_key=", "auth="]), F.left(hexa, F.lit(12) + r("n", 24).cast("int"))), F.concat(word("w"), F.lit(" ")), F.concat(F.lit(" "), word("x")), 1),
         (F.left(hexa, pick("n", [32, 40, 64])), pick("k", ['token = "', 'secret: "', "api_key = '", 'access_key="', "Authorization: Bearer ", "private_key: "]), pick("q", ['"', "'", " "]), 1),
@@ -164,6 +190,11 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000, seed: int = SEED)
         (F.concat(word("a"), pick("s", ["_", "-", ".", "/", ""]), word("b"), pick("t", ["", "", "()", "[0]", "s"])), pick("k", [*assign, "key: ", "pass: "]), F.concat(pick("q", [" ", ", ", ". ", "\n"]), word("x")), 0),
         (F.concat(pick("s", ["${", "{{", "<", "$", "%", "["]), F.when(r("u", 2) == 0, F.upper(word("a"))).otherwise(word("a")), F.lit("_"), word("b"), pick("t", ["}", "}}", ">", "", "%", "]"])), pick("k", assign), pick("q", ['"', " ", "\n"]), 0),
         (F.concat(word("a"), F.initcap(F.left(made, F.lit(3) + r("n", 8).cast("int"))), F.when(r("u", 2) == 0, F.initcap(word("b"))).otherwise(""), F.initcap(word("c")), F.initcap(word("d")), pick("t", ["", "", "2", "64", "V3"])), pick("k", ["function ", "call ", "new ", "use ", "the ", "= ", "class "]), pick("q", ["(", " ", ".", ";", "\n"]), 0),
+        (F.concat(F.initcap(F.when(r("v", 2) == 0, F.left(made, F.lit(6) + r("n", 9).cast("int"))).otherwise(word("a"))), (r("d", 9990) + 10).cast("string"), pick("t", ["", "!", "?", "."])), pick("k", assign), pick("q", ['"', " ", "\n"]), 1),
+        (F.left(plain, F.lit(8) + r("n", 12).cast("int")), address, host, 1),
+        (F.concat(F.left(F.lower(plain), F.lit(3) + r("n", 5).cast("int")), r("d", 999).cast("string"), F.right(F.lower(plain), r("m", 4).cast("int"))), address, host, 1),
+        (F.concat(F.initcap(F.left(made, F.lit(5) + r("n", 7).cast("int"))), r("d", 9999).cast("string"), pick("t", ["", "!", "$"])), address, host, 1),
+        (F.concat(pick("v", ["password", "pass", "pwd", "secret", "xxxxx", "changeme", "${DB_PASS}", "$PASSWORD", "your_password", "user", "example", "{{pw}}", "%s", "*****"]), F.lit("")), address, host, 0),
     ]
     kind = r("kind", len(kinds))
     options = [F.when(kind == k, F.struct(c.alias("candidate"), b.alias("before"), a.alias("after"), F.lit(y).alias("label"))) for k, (c, b, a, y) in enumerate(kinds)]
@@ -204,13 +235,13 @@ class Forest:
         return F.get(F.transform(F.array(x), total), 0) / (len(self.share) // NODES)
 
 
-def train(findings: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED) -> Forest:
+def train(findings: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED, dictionary: list[str] = ()) -> Forest:
     """A forest from findings (candidate, before, after, label): at most ``rows`` of them, those with
     the smallest hashes. Each tree weighs rows by a hashed Poisson draw and tries, at each node,
     a random third of the features at quantile cuts; Gini impurity decides."""
     text = [F.coalesce(F.col(c), F.lit("")) for c in ("candidate", "before", "after")]
     order = F.xxhash64(*text, "label")
-    sample = findings.where(F.col("label").isin(0, 1)).orderBy(order).limit(rows).select(features(*text).alias("x"), F.col("label").cast("int").alias("y"), order.alias("h"))
+    sample = findings.where(F.col("label").isin(0, 1)).orderBy(order).limit(rows).select(features(*text, dictionary).alias("x"), F.col("label").cast("int").alias("y"), order.alias("h"))
     sample = save(sample, "secret-findings")
     cuts = sample.select(*[F.percentile_approx(F.get("x", F.lit(j)), [k / BINS for k in range(1, BINS)], 10_000).alias(f"c{j}") for j in range(FEATURES)]).first()
     edges = [sorted(set(c or [])) for c in cuts]
@@ -253,14 +284,18 @@ def train(findings: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED) -> Fore
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every candidate of every text (see candidates()) with the forest's score: doc_id, nth, start, candidate,
     before, after, score (0 to 1) and secret (score >= ``threshold``). ``findings`` are labelled
-    ones to learn from; labelled_findings() unless given.
+    ones to learn from; labelled_findings() unless given. What counts as a word comes from the corpus
+    itself, see frequent_words(), and from WORDS.
 
     Null or empty texts have no candidates; long texts are read whole. Null ids stay null, repeated
     rows repeat theirs. Findings with null parts count them as empty; labels other than 0 and 1
     are left out; without findings every score is 0. Empty table: no rows. Other columns are not
     read.
     """
-    forest = train(labelled_findings(docs.sparkSession) if findings is None else findings, train_rows)
+    dictionary = sorted({*frequent_words(docs, text_col), *WORDS})
+    if findings is None:
+        findings = labelled_findings(docs.sparkSession)
+    forest = train(findings, train_rows, dictionary=dictionary)
     rows = candidates(docs, id_col, text_col)
-    score = forest.score(features(F.col("candidate"), F.col("before"), F.col("after")))
+    score = forest.score(features(F.col("candidate"), F.col("before"), F.col("after"), dictionary))
     return rows.withColumn("score", score).select(F.col("id").alias("doc_id"), "nth", "start", "candidate", "before", "after", "score", (F.col("score") >= threshold).alias("secret"))
