@@ -158,9 +158,13 @@ def row_coherence(df: DataFrame, row: str, values: str) -> DataFrame:
 
 def strip_scores(df: DataFrame, row: str, values: str) -> DataFrame:
     """One row of quality scores of a strip of array rows: coherence, p5 to p95, mean row variance,
-    share of finite and non-zero samples."""
+    share of finite and non-zero samples. The percentiles come from histograms that narrow, so no
+    task sees all samples; NaN and NULL are left out of them. A strip without samples scores NULL."""
+    from lamina.operators.rounds import exact_quantiles
+
     cells = df.select(row, F.explode(values).alias("v")).select(row, F.col("v").cast("double").alias("v"))
-    flat = cells.agg((F.percentile("v", F.lit(0.95)) - F.percentile("v", F.lit(0.05))).alias("dynamic_range"), F.avg(((F.col("v") != 0) & finite(F.col("v")).isNotNull()).cast("int")).alias("filled"))
+    low, high = exact_quantiles(cells, "v", [0.05, 0.95])
+    flat = cells.agg(F.avg(((F.col("v") != 0) & finite(F.col("v")).isNotNull()).cast("int")).alias("filled")).withColumn("dynamic_range", F.lit(None if low is None else high - low).cast("double"))
     var = cells.groupBy(row).agg(F.var_pop("v").alias("x")).agg(F.avg("x").alias("row_var_mean"))
     coh = row_coherence(df, row, values).agg(F.avg("corr").alias("z_coherence"))
     return flat.join(F.broadcast(var)).join(F.broadcast(coh))  # one row each

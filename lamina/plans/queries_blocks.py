@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions.semantics import ordered
 from lamina.operators import blocks as op
-from lamina.operators import matching, regions, rounds
+from lamina.operators import matching, regions, rounds, search
 from lamina.plans.queries_native import r6
 from lamina.plans.registry import query, table
 
@@ -187,3 +187,28 @@ def held_places(spark, d):
     s = rows.select("user_id", "i", F.when(e % 5 > 0, v % 4 - 2).alias("along"), F.when(e % 5 > 0, v % 2 - 1).alias("across"))
     out = rounds.held_places(m, s, ["user_id"], "i", 0.6, 50.0)
     return out.select("user_id", "i", "locked", (F.round("x", 5) + 0.0).alias("x"), (F.round("z", 5) + 0.0).alias("z"))
+
+
+def _levels_sql() -> str:
+    """Two levels of a grid of slopes and offsets between neighbouring vectors."""
+    near = "SELECT a.label, a.v AS x, b.v AS y FROM c a JOIN c b ON b.vec_id = a.vec_id + 1 AND b.i = a.i"
+    parts = ["c AS (SELECT label, vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)", f"p AS MATERIALIZED ({near})", "m AS (SELECT label, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(x * x) AS xx, avg(x * y) AS xy, avg(y * y) AS yy FROM p GROUP BY label)"]
+    grids = {1: "SELECT label, -1 + i * 0.25e0 AS s, -0.5e0 + j * 0.125e0 AS o FROM m CROSS JOIN (SELECT unnest(range(9)) AS i) CROSS JOIN (SELECT unnest(range(9)) AS j)"}
+    grids[2] = "SELECT label, -1 + i * 0.0625e0 AS s, -0.5e0 + j * 0.03125e0 AS o FROM b1 CROSS JOIN (SELECT unnest(range(33)) AS i) CROSS JOIN (SELECT unnest(range(33)) AS j) WHERE abs(i - (s + 1) / 0.0625) < 4.5 AND abs(j - (o + 0.5) / 0.03125) < 4.5"
+    for k in (1, 2):
+        parts.append(f"g{k} AS ({grids[k]})")
+        parts.append(f"b{k} AS (SELECT g.label, g.s, g.o, -(yy + s * s * xx + o * o - 2 * s * xy - 2 * o * y + 2 * s * o * x) AS score FROM g{k} g JOIN m USING (label) QUALIFY row_number() OVER (PARTITION BY g.label ORDER BY round(score, 12) DESC, s, o) = 1)")
+    return f"WITH {', '.join(parts)} SELECT label, s, o, round(score, 6) AS score FROM b2"
+
+
+@query("searched_levels", _levels_sql())
+def searched_levels(spark, d):
+    """For each label the slope and offset that lead best from a vector to the next one."""
+    e = table(spark, d, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), "i", F.col("x").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    means = e.join(after, ["vec_id", "i"]).groupBy("label").agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(x * x).alias("xx"), F.avg(x * y).alias("xy"), F.avg(y * y).alias("yy"))
+    s, o, m = F.col("s"), F.col("o"), F.col
+    error = m("yy") + s * s * m("xx") + o * o - 2 * s * m("xy") - 2 * o * m("my") + 2 * s * o * m("mx")
+    out = search.search_levels(e, ["label"], {"s": (-1.0, 1.0, 0.25), "o": (-0.5, 0.5, 0.125)}, lambda g: g.join(means, "label").select("label", "s", "o", F.round(-error, 12).alias("score")), 2, 4)
+    return r6(out, "score")

@@ -68,7 +68,9 @@ class _Reader(DataSourceReader):
         prefix = self.root[: len(self.root) - len(at)] if "://" in self.root else ""
         return [_File(prefix + p) for p in paths]
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark asks for when there are no partitions
+            return
         fs, at = _open(partition.path)
         first = first_z(at)
         with fs.open_input_file(at) as f:
