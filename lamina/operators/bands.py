@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.semantics import TWO_PI, lerp, median, ordered
+from lamina.operators.matching import banded
 from lamina.operators import matching
 from lamina.operators.ordered import runs
 
@@ -64,7 +65,8 @@ def band_pair(peaks: DataFrame, keys: list[str], at: str, height: str, apart: fl
     which their distance is off (ties: the first): keys, lo, hi, score."""
     a, b = (peaks.select(*keys, F.col(at).alias(n), F.col(height).alias(f"_{n}")) for n in ("lo", "hi"))
     off = F.abs(F.col("hi") - F.col("lo") - apart)
-    pairs = a.join(b, keys).where((F.col("hi") > F.col("lo")) & (off <= slack)).withColumn("score", F.col("_lo") + F.col("_hi") - off / apart)
+    near = banded(a.withColumn("_to", F.col("lo") + apart), b, keys, "_to", "hi", slack)
+    pairs = near.where(F.col("hi") > F.col("lo")).withColumn("score", F.col("_lo") + F.col("_hi") - off / apart)
     first = F.row_number().over(ordered(keys, F.desc("score"), "lo", "hi"))
     return pairs.withColumn("_k", first).where("_k = 1").select(*keys, "lo", "hi", "score")
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lamina.kernels import image, signal, walk
 from lamina.operators import kernel_ops as k
-from lamina.plans.queries_image import _SOBEL, PIXELS, SIDE, numbers
+from lamina.operators import frames as fr
+from lamina.plans.queries_image import _SOBEL, PIXELS, SIDE, frames, numbers, top_and_total
 from lamina.plans.queries_native import r6
 from lamina.plans.registry import query, table
 
@@ -129,28 +130,26 @@ def affine_fields(spark, d):
 SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 5) AS first, round(CAST(embedding[33] AS DOUBLE), 5) AS middle, round(CAST(embedding[64] AS DOUBLE), 5) AS last FROM embeddings""")
 def inverted_lerp(spark, d):
     """A signal read at every half place comes back."""
-    u = np.arange(127) / 2
-
-    def f(a, _):
-        s = signal.invert_lerp(u, np.interp(u, np.arange(64), a), 64, ridge=0.0)
-        return {"first": round(s[0], 5), "middle": round(s[32], 5), "last": round(s[63], 5)}
-
-    return numbers(spark, d, f, ["first", "middle", "last"], shape=None)
+    e = frames(spark, d)
+    read = F.transform(F.sequence(F.lit(0), F.lit(126)), lambda k: (F.get("a", F.floor(k / 2).cast("int")) + F.get("a", F.ceil(k / 2).cast("int"))) / 2)
+    e = e.select("vec_id", F.array(*[F.lit(k / 2) for k in range(127)]).alias("u"), read.alias("v"))
+    out = fr.undone_reading(e, ["vec_id"], "u", "v", 64, ridge=0.0)
+    return out.select("vec_id", *[F.round(F.get("samples", F.lit(k)), 5).alias(n) for k, n in ((0, "first"), (32, "middle"), (63, "last"))])
 
 
 @query("turned_images", """
 SELECT vec_id, CAST((4 - vec_id % 4) % 4 AS DOUBLE) AS turns, 0.0 AS mirror, 1.0 AS dy, -2.0 AS dx, 1.0 AS score FROM embeddings""")
 def turned_images(spark, d):
     """The turn that undoes a turn, and the block shift that undoes a roll."""
-    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"), F.array(F.col("vec_id").cast("double")).alias("b"))
-
-    def f(p, q):
-        a = p.reshape(SIDE)
-        turns, mirror, score = image.best_orientation(a, np.rot90(a, int(q[0]) % 4))
-        _, shift = image.block_displacements(a, np.roll(a, (1, -2), (0, 1)), 1, 3)
-        return {"turns": turns, "mirror": float(mirror), "dy": shift[0, 0], "dx": shift[0, 1], "score": score}
-
-    return r6(k.pair_numbers(e, ["vec_id"], "a", "b", None, f, ["turns", "mirror", "dy", "dx", "score"]), "dy", "dx", "score")
+    i, j = (lambda p: F.floor(p / 8)), (lambda p: p % 8)
+    at = lambda row, col: F.get("a", (row * 8 + col).cast("int"))
+    turn = F.col("vec_id") % 4
+    turned = lambda _, p: F.when(turn == 0, F.get("a", p)).when(turn == 1, at(j(p), 7 - i(p))).when(turn == 2, at(7 - i(p), 7 - j(p))).otherwise(at(7 - j(p), i(p)))
+    rolled = lambda _, p: at(F.pmod(i(p) - 1, F.lit(8)), F.pmod(j(p) + 2, F.lit(8)))
+    e = frames(spark, d).withColumns({"b": F.transform("a", turned), "c": F.transform("a", rolled)})
+    turns = fr.orientations(e, ["vec_id"], "a", "b", SIDE).select("vec_id", F.col("turns").cast("double").alias("turns"), F.col("mirror").cast("double").alias("mirror"), "score")
+    shift = fr.block_shifts(e, ["vec_id"], "a", "c", SIDE, 1, 3).select("vec_id", "dy", "dx")
+    return r6(turns.join(shift, "vec_id"), "dy", "dx", "score")
 
 
 @query("distances_inside", """
@@ -158,19 +157,17 @@ SELECT vec_id, round(sum(greatest(dy, dx) + (sqrt(2) - 1) * least(dy, dx)), 6) A
 FROM (SELECT vec_id, abs(i // 8 - vec_id % 8) AS dy, abs(i % 8 - vec_id // 8 % 8) AS dx FROM (SELECT vec_id, unnest(range(64)) AS i FROM embeddings)) GROUP BY vec_id""")
 def distances_inside(spark, d):
     """Over eight neighbours in an open square."""
-    e = table(spark, d, "embeddings").select("vec_id", F.array(F.col("vec_id").cast("double")).alias("a"), F.array(F.lit(0.0)).alias("b"))
-
-    def f(a, _):
-        g = image.geodesic(np.ones(SIDE, bool), (int(a[0]) % 8, int(a[0]) // 8 % 8))
-        return {"total": g.sum(), "furthest": g.max()}
-
-    return r6(k.pair_numbers(e, ["vec_id"], "a", "b", None, f, ["total", "furthest"]), "total", "furthest")
+    e = table(spark, d, "embeddings").select("vec_id", F.array_repeat(F.lit(1.0), 64).alias("a"), F.array((F.col("vec_id") % 8).cast("double"), (F.floor(F.col("vec_id") / 8) % 8).cast("double")).alias("s"))
+    out = fr.distances_inside(e, ["vec_id"], "a", "s", SIDE)
+    return r6(out.select("vec_id", F.aggregate("distances", F.lit(0.0), lambda a, v: a + v).alias("total"), F.array_max("distances").alias("furthest")), "total", "furthest")
 
 
 @query("embedded_images", f"WITH c AS ({PIXELS}), {_SOBEL} SELECT a.vec_id, round(corr(a.g, b.g), 6) AS likeness FROM s a JOIN s b ON b.vec_id = a.vec_id + 1 AND b.i = a.i GROUP BY a.vec_id")
 def embedded_images(spark, d):
     """The product of two images' embeddings is the correlation of their gradients."""
-    return numbers(spark, d, lambda a, b: {"likeness": float(image.embedding(a, 8) @ image.embedding(b, 8))}, ["likeness"], pair=True)
+    e = fr.embeddings(frames(spark, d), ["vec_id"], "a", SIDE, 8)
+    both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    return r6(both.select("vec_id", F.aggregate(F.zip_with("embedding", "b", lambda x, y: x * y), F.lit(0.0), lambda a, v: a + v).alias("likeness")), "likeness")
 
 
 @query("enlarged", f"""
@@ -181,13 +178,11 @@ n AS (SELECT c.vec_id, g.y, g.x, sum(c.v * (CASE dy WHEN 1 THEN cy - least(floor
 SELECT vec_id, round(max(s), 6) AS top, round(sum(s), 6) AS total, round(max(e), 6) AS level FROM n JOIN (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e FROM embeddings) USING (vec_id) GROUP BY vec_id""")
 def enlarged(spark, d):
     """Twice the size; and a field of equal block shifts is that shift everywhere."""
-
-    def f(a, _):
-        s = image.resize(a, 16, 16)
-        dy, dx = image.dense_field(np.full((4, 2), a[0, 0]), 2, 12, 12, 1.0)
-        return {"top": s.max(), "total": s.sum(), "level": float(dy.max() + dx.min()) / 2}
-
-    return numbers(spark, d, f, ["top", "total", "level"])
+    e = frames(spark, d)
+    big = fr.enlarged(e, ["vec_id"], "a", SIDE, (16, 16)).select("vec_id", *top_and_total("pixels"))
+    field = fr.dense_fields(e.select("vec_id", F.array_repeat(F.get("a", F.lit(0)), 8).alias("s")), ["vec_id"], "s", 2, (12, 12), 1.0)
+    level = field.select("vec_id", ((F.array_max("dy") + F.array_min("dx")) / 2).alias("level"))
+    return r6(big.join(level, "vec_id"), "top", "total", "level")
 
 
 @query("unit_noise", "SELECT k, 0.0 AS mean, 1.0 AS deviation FROM (SELECT unnest(range(9)) AS k)")

@@ -7,8 +7,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry as geo
-from lamina.kernels import image, signal, walk
-from lamina.operators import composites, interp, ordered
+from lamina.kernels import image, walk
+from lamina.operators import composites, interp, ordered, rounds, search
+from lamina.operators import frames as fr
 from lamina.operators import kernel_ops as k
 from lamina.plans.queries_kernels import neighbours
 from lamina.plans.queries_native import cells, events, r6
@@ -16,7 +17,6 @@ from lamina.plans.registry import query, table
 from lamina.sources import rasters, sinks, splits
 
 SIDE = (8, 8)
-_INDEX = np.arange(64).reshape(SIDE)
 PIXELS = "SELECT vec_id, i, i // 8 AS y, i % 8 AS x, v, v > 0 AS m FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(64)) AS i FROM embeddings)"
 #: Components by four neighbours: each pixel's root is the first pixel in reading order.
 COMPONENTS = f"""c AS ({PIXELS}), on_ AS (SELECT * FROM c WHERE m),
@@ -37,8 +37,19 @@ def numbers(spark, d, f, names, shape=SIDE, pair=False):
     return r6(k.pair_numbers(e, ["vec_id"], "a", "b", shape, f, names), *names)
 
 
-def _where(mask) -> tuple[float, float]:
-    return float(mask.sum()), float((mask * _INDEX).sum())
+def frames(spark, d, pair=False):
+    """vec_id, a: each vector as an image of SIDE; with ``pair`` the next one as b."""
+    return neighbours(spark, d) if pair else table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
+
+
+def on_at(mask: str, n: str, places: str):
+    """How many pixels of a mask are on, and the sum of their places."""
+    hit = F.filter(F.transform(mask, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())
+    return F.size(hit).cast("double").alias(n), F.aggregate(hit, F.lit(0.0), lambda a, i: a + i).alias(places)
+
+
+def top_and_total(values: str):
+    return F.array_max(values).alias("top"), F.aggregate(values, F.lit(0.0), lambda a, v: a + v).alias("total")
 
 
 # ---- masks
@@ -49,11 +60,8 @@ WITH c AS ({PIXELS}), n AS (SELECT a.vec_id, a.i, bool_or(b.m) AS g, bool_and(b.
 SELECT vec_id, CAST(count(*) FILTER (WHERE g) AS DOUBLE) AS grown, CAST(coalesce(sum(i) FILTER (WHERE g), 0) AS DOUBLE) AS grown_at,
   CAST(count(*) FILTER (WHERE s) AS DOUBLE) AS shrunk, CAST(coalesce(sum(i) FILTER (WHERE s), 0) AS DOUBLE) AS shrunk_at FROM n GROUP BY vec_id""")
 def grown_and_shrunk(spark, d):
-    def f(a, _):
-        (n, at), (m, by) = _where(image.dilate(a > 0, 1)), _where(image.erode(a > 0, 1))
-        return {"grown": n, "grown_at": at, "shrunk": m, "shrunk_at": by}
-
-    return numbers(spark, d, f, ["grown", "grown_at", "shrunk", "shrunk_at"])
+    out = fr.resized_masks(frames(spark, d), ["vec_id"], "a", SIDE)
+    return out.select("vec_id", *on_at("grown", "grown", "grown_at"), *on_at("shrunk", "shrunk", "shrunk_at"))
 
 
 @query("large_regions", f"""
@@ -62,18 +70,16 @@ g AS (SELECT DISTINCT a.vec_id, a.i, a.x, a.y FROM c a JOIN c b ON a.vec_id = b.
 n AS (SELECT a.vec_id, a.i, count(*) AS want, count(g.i) AS got FROM c a JOIN c b ON a.vec_id = b.vec_id AND greatest(abs(a.x - b.x), abs(a.y - b.y)) <= 1 LEFT JOIN g ON g.vec_id = b.vec_id AND g.i = b.i GROUP BY ALL)
 SELECT vec_id, CAST(count(*) FILTER (WHERE want = got) AS DOUBLE) AS n, CAST(coalesce(sum(i) FILTER (WHERE want = got), 0) AS DOUBLE) AS places FROM n GROUP BY vec_id""")
 def large_regions(spark, d):
-    return numbers(spark, d, lambda a, _: dict(zip(("n", "places"), _where(image.keep_large(a > 0, 4)), strict=True)), ["n", "places"])
+    return fr.large_regions(frames(spark, d), ["vec_id"], "a", SIDE, 4).select("vec_id", *on_at("kept", "n", "places"))
 
 
 @query("rings_of_components", f"""
 WITH RECURSIVE {COMPONENTS}, s AS (SELECT p.vec_id, root, avg(sqrt(power(x - 3.5, 2) + power(y - 3.5, 2))) AS r FROM p JOIN c ON c.vec_id = p.vec_id AND c.i = p.i GROUP BY p.vec_id, root HAVING count(*) >= 3)
 SELECT e.vec_id, CAST(count(r) AS DOUBLE) AS n, round(coalesce(min(r), -1.0), 6) AS "inner", round(coalesce(max(r), -1.0), 6) AS "outer" FROM embeddings e LEFT JOIN s ON s.vec_id = e.vec_id GROUP BY e.vec_id""")
 def rings_of_components(spark, d):
-    def f(a, _):
-        _, r = image.components_by_radius(a > 0, 3.5, 3.5, 3)
-        return {"n": len(r), "inner": r[0] if len(r) else -1.0, "outer": r[-1] if len(r) else -1.0}
-
-    return numbers(spark, d, f, ["n", "inner", "outer"])
+    r = fr.ring_regions(frames(spark, d), ["vec_id"], "a", SIDE, (3.5, 3.5), 3).select("vec_id", "radii")
+    ends = [F.coalesce(f("radii"), F.lit(-1.0)).alias(n) for f, n in ((F.array_min, "inner"), (F.array_max, "outer"))]
+    return r6(r.select("vec_id", F.size("radii").cast("double").alias("n"), *ends), "inner", "outer")
 
 
 @query("corner_marks", f"""
@@ -83,11 +89,10 @@ WITH RECURSIVE {COMPONENTS}, s AS (
 k AS (SELECT vec_id, (CASE WHEN cy < 4 THEN 't' ELSE 'b' END) || (CASE WHEN cx < 4 THEN 'l' ELSE 'r' END) AS corner, arg_max(10 * cx + cy, root) AS place FROM s GROUP BY ALL)
 SELECT e.vec_id, {", ".join(f"round(coalesce(max(place) FILTER (WHERE corner = '{x}'), -1.0), 6) AS {x}" for x in ("tl", "tr", "bl", "br"))} FROM embeddings e LEFT JOIN k ON k.vec_id = e.vec_id GROUP BY e.vec_id""")
 def corner_marks(spark, d):
-    def f(a, _):
-        m = image.marks(a, 0.0, 2, (1, 4), (1, 4))
-        return {c: 10 * m[c][0] + m[c][1] if c in m else -1.0 for c in ("tl", "tr", "bl", "br")}
-
-    return numbers(spark, d, f, ["tl", "tr", "bl", "br"])
+    e, corners = frames(spark, d), ["tl", "tr", "bl", "br"]
+    m = fr.corner_marks(e, ["vec_id"], "a", SIDE, 0.0, 2, (1, 4), (1, 4))
+    wide = m.groupBy("vec_id").agg(*[F.max(F.when(F.col("corner") == c, 10 * F.col("x") + F.col("y"))).alias(c) for c in corners])
+    return r6(e.select("vec_id").join(wide, "vec_id", "left").select("vec_id", *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in corners]), *corners)
 
 
 # ---- filters and sampling
@@ -99,11 +104,7 @@ n AS (SELECT c.vec_id, c.i, sum(q.v) AS whole, sum(q.v) FILTER (WHERE abs(dy) <=
   FROM c CROSS JOIN o JOIN c q ON q.vec_id = c.vec_id AND q.y = least(greatest(c.y + dy, 0), 7) AND q.x = least(greatest(c.x + dx, 0), 7) GROUP BY ALL)
 SELECT vec_id, round(max(part / 9 - (whole - part) / 16), 6) AS top, round(sum(part / 9 - (whole - part) / 16), 6) AS total FROM n GROUP BY vec_id""")
 def box_contrast(spark, d):
-    def f(a, _):
-        m = image.box_match(a, 1, 1, 1)
-        return {"top": m.max(), "total": m.sum()}
-
-    return numbers(spark, d, f, ["top", "total"])
+    return r6(fr.box_contrasts(frames(spark, d), ["vec_id"], "a", SIDE, 1, 1, 1).select("vec_id", *top_and_total("contrast")), "top", "total")
 
 
 _SOBEL = """o AS (SELECT a.dy, b.dx FROM (SELECT unnest(range(-1, 2)) AS dy) a CROSS JOIN (SELECT unnest(range(-1, 2)) AS dx) b),
@@ -115,7 +116,10 @@ s AS (SELECT c.vec_id, c.i, sqrt(power(sum(q.v * dx * (2 - abs(dy))), 2) + power
 WITH c AS ({PIXELS}), {_SOBEL}
 SELECT a.vec_id, round(max(a.g), 6) AS steepest, round(corr(a.g, b.g), 6) AS corr FROM s a JOIN s b ON b.vec_id = a.vec_id + 1 AND b.i = a.i GROUP BY a.vec_id""")
 def gradients(spark, d):
-    return numbers(spark, d, lambda a, b: {"steepest": image.sobel(a).max(), "corr": image.gradient_correlation(a, b)}, ["steepest", "corr"], pair=True)
+    g = fr.gradients(frames(spark, d, pair=True), ["vec_id"], "a", SIDE)
+    flat = g.select("vec_id", F.posexplode("gradient").alias("i", "g"))
+    after = fr.gradients(frames(spark, d), ["vec_id"], "a", SIDE).select((F.col("vec_id") - 1).alias("vec_id"), F.posexplode("gradient").alias("i", "h"))
+    return r6(flat.join(after, ["vec_id", "i"]).groupBy("vec_id").agg(F.max("g").alias("steepest"), F.corr("g", "h").alias("corr")), "steepest", "corr")
 
 
 @query("halved", f"""
@@ -132,13 +136,9 @@ WITH c AS ({PIXELS}), w AS (SELECT a.j, a.wy, b.k, b.wx FROM (SELECT unnest(rang
 n AS (SELECT c.vec_id, c.i, sum(q.v * wy * wx) AS s FROM c CROSS JOIN w JOIN c q ON q.vec_id = c.vec_id AND q.y = least(greatest(c.y + j, 0), 7) AND q.x = least(greatest(c.x + k, 0), 7) GROUP BY c.vec_id, c.i)
 SELECT vec_id, round(max(s), 6) AS top, round(sum(s), 6) AS total FROM n GROUP BY vec_id""")
 def bicubic_grid(spark, d):
-    x, y = np.meshgrid(np.arange(8) + 0.25, np.arange(8) + 0.5)
-
-    def f(a, _):
-        s = image.bicubic(a, x, y)
-        return {"top": s.max(), "total": s.sum()}
-
-    return numbers(spark, d, f, ["top", "total"])
+    places = lambda f, by: F.array(*[F.lit(float(f(i) + by)) for i in range(64)])
+    e = frames(spark, d).withColumns({"y": places(lambda i: i // 8, 0.5), "x": places(lambda i: i % 8, 0.25)})
+    return r6(fr.bicubic_samples(e, ["vec_id"], "a", SIDE, "y", "x").select("vec_id", *top_and_total("samples")), "top", "total")
 
 
 @query("warped", f"""
@@ -147,11 +147,8 @@ u AS (SELECT *, least(floor(cy), 6) AS j, least(floor(cx), 6) AS k FROM t), o AS
 n AS (SELECT u.vec_id, u.i, sum(q.v * (CASE dy WHEN 1 THEN cy - j ELSE 1 - cy + j END) * (CASE dx WHEN 1 THEN cx - k ELSE 1 - cx + k END)) AS s FROM u CROSS JOIN o JOIN c q ON q.vec_id = u.vec_id AND q.y = j + dy AND q.x = k + dx GROUP BY u.vec_id, u.i)
 SELECT vec_id, round(max(s), 6) AS top, round(sum(s), 6) AS total FROM n GROUP BY vec_id""")
 def warped(spark, d):
-    def f(a, _):
-        s = image.warp(a, np.full(SIDE, 0.5), np.full(SIDE, -1.25))
-        return {"top": s.max(), "total": s.sum()}
-
-    return numbers(spark, d, f, ["top", "total"])
+    e = frames(spark, d).withColumns({"dy": F.array_repeat(F.lit(0.5), 64), "dx": F.array_repeat(F.lit(-1.25), 64)})
+    return r6(fr.warped(e, ["vec_id"], "a", SIDE, "dy", "dx").select("vec_id", *top_and_total("pixels")), "top", "total")
 
 
 @query("crops_and_overlaps", f"""
@@ -174,7 +171,7 @@ WITH c AS (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY vec_id) AS v FROM (SE
 s AS (SELECT unnest(range(-8, 9)) AS s), r AS (SELECT a.vec_id, s, sum(a.v * b.v) AS r FROM c a CROSS JOIN s JOIN c b ON b.vec_id = a.vec_id + 1 AND b.i = (a.i - s + 64) % 64 GROUP BY a.vec_id, s)
 SELECT vec_id, CAST(arg_max(s, r) AS DOUBLE) AS shift FROM r GROUP BY vec_id""")
 def best_roll(spark, d):
-    return numbers(spark, d, lambda a, b: {"shift": signal.circular_shift(a, b, 8)}, ["shift"], shape=None, pair=True)
+    return fr.best_rolls(frames(spark, d, pair=True), ["vec_id"], "a", "b", 8).select("vec_id", F.col("shift").cast("double").alias("shift"))
 
 
 @query("best_circular_fit", f"""
@@ -182,7 +179,7 @@ WITH p AS ({PIXELS}), c AS (SELECT *, v - avg(v) OVER (PARTITION BY vec_id) AS u
 r AS (SELECT a.vec_id, dy, dx, sum(a.u * b.u) / sqrt(sum(a.u * a.u) * sum(b.u * b.u)) AS r FROM c a CROSS JOIN s JOIN c b ON b.vec_id = a.vec_id + 1 AND b.y = (a.y - dy + 8) % 8 AND b.x = (a.x - dx + 8) % 8 GROUP BY a.vec_id, dy, dx)
 SELECT vec_id, round(max(r), 6) AS peak FROM r GROUP BY vec_id""")
 def best_circular_fit(spark, d):
-    return numbers(spark, d, lambda a, b: {"peak": signal.ncc_peak(a, b)}, ["peak"], pair=True)
+    return r6(fr.circular_peaks(frames(spark, d, pair=True), ["vec_id"], "a", "b", SIDE), "peak")
 
 
 @query("separated_peaks", """
@@ -192,7 +189,8 @@ two AS (SELECT c.vec_id, any_value(a) AS a, arg_max(i, v) AS b FROM c JOIN one U
 three AS (SELECT c.vec_id, any_value(a) AS a, any_value(b) AS b, arg_max(i, v) AS c FROM c JOIN two USING (vec_id) WHERE least(abs(i - a), 64 - abs(i - a)) >= 6 AND least(abs(i - b), 64 - abs(i - b)) >= 6 GROUP BY c.vec_id)
 SELECT vec_id, CAST(a AS DOUBLE) AS first, CAST(b AS DOUBLE) AS second, CAST(c AS DOUBLE) AS third FROM three""")
 def separated_peaks(spark, d):
-    return numbers(spark, d, lambda a, _: dict(zip(("first", "second", "third"), signal.top_separated(a, np.arange(64.0), 3, 6.0, 64.0), strict=True)), ["first", "second", "third"], shape=None)
+    out = fr.separated_peaks(frames(spark, d), ["vec_id"], "a", 3, 6.0, 64.0)
+    return out.select("vec_id", *[F.get("places", F.lit(k)).cast("double").alias(n) for k, n in enumerate(("first", "second", "third"))])
 
 
 # ---- rays and paths
@@ -231,7 +229,8 @@ t AS (SELECT *, lead(hot) OVER (PARTITION BY vec_id, ray ORDER BY j) AS after FR
 m AS (SELECT a.vec_id, a.ray, sum(b.n) AS n FROM e a JOIN e b ON b.vec_id = a.vec_id AND (b.ray - a.ray + 18) % 16 < 4 GROUP BY ALL)
 SELECT vec_id, CAST(arg_min(ray, n * 100 + ray) AS DOUBLE) AS ray FROM m GROUP BY vec_id""")
 def seam(spark, d):
-    return numbers(spark, d, lambda a, _: {"ray": np.rint(walk.seam_azimuth(a > 0, 3.5, 3.5, 0.0, 5.0, 16, 4) * 16 / walk.TWO_PI)}, ["ray"])
+    out = fr.seams(frames(spark, d), ["vec_id"], "a", SIDE, (3.5, 3.5), 0.0, 5.0, 16, 4)
+    return out.select("vec_id", F.rint(F.col("azimuth") * 16 / walk.TWO_PI).alias("ray"))
 
 
 @query("even_cuts", """
@@ -240,12 +239,10 @@ s AS (SELECT *, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS g FROM
 n AS (SELECT vec_id, len, CASE WHEN round_even(len / 1.5, 0) >= 2 AND len >= 2.55 THEN round_even(len / 1.5, 0) ELSE 1 END AS parts FROM r)
 SELECT vec_id, CAST(sum(parts) AS DOUBLE) AS n, round(max(len / parts), 6) AS longest FROM n GROUP BY vec_id""")
 def even_cuts(spark, d):
-    def f(a, _):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], (a > 0).astype(np.int8), [0]])))
-        s = walk.split_merged(np.stack([edge[::2], edge[1::2] - 1], 1).astype(float), 1.5)
-        return {"n": len(s), "longest": (s[:, 1] - s[:, 0]).max()}
-
-    return numbers(spark, d, f, ["n", "longest"], shape=None)
+    runs = ordered.runs(cells(spark, d).withColumnRenamed("z", "vec_id"), ["vec_id"], "col", F.col("v") > 0)
+    runs = runs.select("vec_id", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))
+    parts = fr.split_runs(runs, "lo", "hi", F.lit(1.5))
+    return r6(parts.groupBy("vec_id").agg(F.count("*").cast("double").alias("n"), F.max(F.col("hi") - F.col("lo")).alias("longest")), "longest")
 
 
 @query("kept_by_spacing", """
@@ -259,11 +256,8 @@ w AS (
   FROM w JOIN o ON o.vec_id = w.vec_id AND o.k = w.k + 1)
 SELECT vec_id, CAST(n AS DOUBLE) AS n, CAST(s + last AS DOUBLE) AS places FROM w WHERE k = 64""")
 def kept_by_spacing(spark, d):
-    def f(a, b):
-        kept = walk.dedup_by_spacing(a, b, 0.03)
-        return {"n": len(kept), "places": sum(kept)}
-
-    return numbers(spark, d, f, ["n", "places"], shape=None, pair=True)
+    out = fr.kept_by_spacing(frames(spark, d, pair=True), ["vec_id"], "a", "b", 0.03)
+    return out.select("vec_id", F.size("kept").cast("double").alias("n"), F.aggregate("kept", F.lit(0.0), lambda a, i: a + i).alias("places"))
 
 
 @query("path_radius", """
@@ -284,11 +278,12 @@ d AS (SELECT c.*, k, abs(r - (1.5 + 0.5 / (2 * pi()) * (phi + 2 * pi() * k))) AS
 n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY vec_id, i ORDER BY d, k) = 1), g AS (SELECT *, phi + 2 * pi() * k AS u FROM n WHERE d <= 0.2)
 SELECT vec_id, CAST(count(*) AS DOUBLE) AS n, round(regr_intercept(r, u), 6) AS c0, round(regr_slope(r, u), 6) AS c1 FROM g GROUP BY vec_id""")
 def windings_of_a_line(spark, d):
-    def f(a, b):
-        c, winding = walk.spiral_fit(3.0 + a, 2.0 + 6 * np.abs(b), 0.5, 1.5, 0.2, 4, rounds=1)
-        return {"n": (winding >= 0).sum(), "c0": c[0], "c1": c[1]}
-
-    return numbers(spark, d, f, ["n", "c0", "c1"], shape=None, pair=True)
+    """One round of assigning points to the windings of a spiral, within a gate, and refitting it."""
+    e = frames(spark, d, pair=True).select("vec_id", F.explode(F.arrays_zip("a", "b")).alias("p"))
+    points = e.select("vec_id", (3.0 + F.col("p.a")).alias("phi"), (2.0 + 6 * F.abs(F.col("p.b"))).alias("r"))
+    out = rounds.fit_spirals(points, ["vec_id"], "phi", "r", 4, (1.5, 0.5), gate=0.2, rounds=1)
+    c = lambda k: F.get("coefficients", F.lit(k))
+    return r6(out.select("vec_id", F.col("n").cast("double").alias("n"), c(0).alias("c0"), (c(1) / walk.TWO_PI).alias("c1")), "c0", "c1")
 
 
 # ---- discovery and splits
@@ -363,19 +358,20 @@ SELECT vec_id, round(avg(v), 6) AS c0, round(2 * avg(v * cos(t)), 6) AS a1, roun
 def fourier_coefficients(spark, d):
     """On evenly spread azimuths the first round is the plain Fourier sum."""
     names = ["c0", "a1", "b1", "a2", "b2"]
-    at = np.arange(64) * walk.TWO_PI / 64
-    return numbers(spark, d, lambda a, _: dict(zip(names, signal.fourier_fit(at, a, 2, rounds=1), strict=True)), names, shape=None)
+    e = frames(spark, d).withColumn("at", F.array(*[F.lit(i * walk.TWO_PI / 64) for i in range(64)]))
+    out = fr.fourier_fits(e, ["vec_id"], "at", "a", 2, rounds=1)
+    return r6(out.select("vec_id", *[F.get("coefficients", F.lit(k)).alias(n) for k, n in enumerate(names)]), *names)
 
 
 @query("searched_place", """
 WITH c AS (SELECT vec_id, 30 * CAST(embedding[1] AS DOUBLE) AS t FROM embeddings), x AS (SELECT vec_id, t, unnest(range(-12, 13)) AS x FROM c)
 SELECT vec_id, CAST(arg_min(x, abs(x - t)) AS DOUBLE) AS place, round(-min(abs(x - t)), 6) AS score FROM x GROUP BY vec_id""")
 def searched_place(spark, d):
-    def f(a, _):
-        x, s = signal.coarse_to_fine(lambda x: -abs(x - 30 * a[0]), 0.0, 12.0, 4.0)
-        return {"place": x, "score": s}
-
-    return numbers(spark, d, f, ["place", "score"], shape=None)
+    """The place among whole numbers that lies nearest to a value, coarse places first."""
+    e = table(spark, d, "embeddings").select("vec_id", (30 * F.get("embedding", F.lit(0)).cast("double")).alias("t"))
+    score = lambda g: g.join(e, "vec_id").select("vec_id", "x", (-F.abs(F.col("x") - F.col("t"))).alias("score"))
+    out = search.search_levels(e, ["vec_id"], {"x": (-12.0, 12.0, 4.0)}, score, levels=2, finer=4)
+    return r6(out.select("vec_id", F.col("x").alias("place"), "score"), "score")
 
 
 @query("bilinear_grid", f"""
@@ -404,11 +400,10 @@ w AS (
     LATERAL (SELECT list_min(list_transform(q.r, lambda v: abs(v - w.last))) AS g) a, LATERAL (SELECT q.r[list_position(list_transform(q.r, lambda v: abs(v - w.last)), a.g)] AS near) b)
 SELECT vec_id, CAST(n AS DOUBLE) AS n, round(s, 6) AS total FROM w WHERE k = 8""")
 def ring_walk(spark, d):
-    def f(a, _):
-        t = walk.ring_track(list(10 * a), 2, 0.0, 0.3)
-        return {"n": np.isfinite(t).sum(), "total": np.nansum(t)}
-
-    return numbers(spark, d, f, ["n", "total"])
+    e = frames(spark, d).select("vec_id", F.transform("a", lambda v: 10 * v).alias("a"))
+    out = fr.ring_tracks(e, ["vec_id"], "a", 8, 2, 0.0, 0.3)
+    there = F.filter("radii", lambda v: v.isNotNull())
+    return r6(out.select("vec_id", F.size(there).cast("double").alias("n"), F.aggregate(there, F.lit(0.0), lambda a, v: a + v).alias("total")), "total")
 
 
 @query("restored", "SELECT event_id, round(value, 6) AS value FROM events")

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lamina.functions import semantics as sem
-from lamina.kernels import frames, image, signal
+from lamina.kernels import frames, signal
+from lamina.operators import frames as fr
 from lamina.operators import kernel_ops as k
 from lamina.operators import matching
 from lamina.plans import spiral
@@ -240,8 +241,8 @@ WITH c AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v - avg(v) OVER (PARTITION BY
 p AS (SELECT vec_id, y, k, power(sum(v * cos(2 * pi() * k * x / 8)), 2) + power(sum(v * sin(2 * pi() * k * x / 8)), 2) AS p FROM c CROSS JOIN (SELECT unnest(range(5)) AS k) GROUP BY ALL)
 SELECT vec_id, round(sum(p) FILTER (WHERE k = 4) / sum(p), 6) AS share FROM p GROUP BY vec_id""")
 def high_frequency_share(spark, d):
-    one = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
-    return r6(k.pair_numbers(one.withColumn("b", F.col("a")), ["vec_id"], "a", "b", (8, 8), lambda a, _: {"share": image.high_frequency_share(a)}, ["share"]), "share")
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
+    return r6(fr.high_frequencies(e, ["vec_id"], "a", (8, 8)), "share")
 
 
 @query("robust_polynomial")
