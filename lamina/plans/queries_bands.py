@@ -50,9 +50,10 @@ def stratified_sample(spark, d):
     return sampling.stratified(events(spark, d), ["event_id"], [(v < 5, 0.5), (v > 60, 0.25), (F.lit(True), 0.1)], seed=1).select("event_id", "stratum")
 
 
-@query("uv_grid", "SELECT i // 40 AS row, i % 40 AS col, round(i % 40 / 39.0, 6) AS u FROM (SELECT unnest(range(1000)) AS i)")
+@query("uv_grid", "SELECT i // 40 AS row, i % 40 AS col, round(i % 40 / 39.0, 6) AS u FROM (SELECT unnest(range(40 * (SELECT count(*) FROM embeddings))) AS i)")
 def uv_grid(spark, d):
-    return r6(sampling.uv_grid(spark, 40, 25), "u")
+    """A grid with a row for each vector."""
+    return r6(sampling.uv_grid(spark, 40, table(spark, d, "embeddings").count()), "u")
 
 
 @query("seed_ray_by_count", _RUNS + """, n AS (SELECT label, z, count(*) AS n FROM r GROUP BY ALL), f AS (SELECT * FROM n WHERE n = (SELECT floor(quantile_cont(n, 0.995)) FROM n) ORDER BY label, z LIMIT 1)

@@ -1,12 +1,12 @@
-"""Queries of kernels on inputs whose result is known in closed form: rings, exact waves, turned and
-rolled images, affine fields. Their SQL states that result."""
+"""Queries of frame operators whose result is known in closed form: turned and rolled images, affine fields,
+readings undone. Their SQL states it."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from lamina.kernels import image, signal, walk
+from lamina.kernels import signal
 from lamina.operators import kernel_ops as k
 from lamina.operators import frames as fr
 from lamina.plans.queries_image import _SOBEL, PIXELS, SIDE, frames, numbers, top_and_total
@@ -14,103 +14,6 @@ from lamina.plans.queries_native import r6
 from lamina.plans.registry import query, table
 
 
-def _numbered(spark, n, f, names):
-    """``f`` of each number from 0 to n - 1."""
-    rows = spark.range(n).select(F.col("id").alias("k"), F.array(F.col("id").cast("double")).alias("a"), F.array(F.col("id").cast("double")).alias("b"))
-    return r6(k.pair_numbers(rows, ["k"], "a", "b", None, lambda a, _: f(int(a[0])), names), *names)
-
-
-def _ring(r: float, c: float, n: int = 400) -> np.ndarray:
-    t = 0.3 + np.arange(n) * (walk.TWO_PI - 0.05) / n
-    return np.stack([c + r * np.cos(t), c + r * np.sin(t)], 1)
-
-
-@query("round_a_ring", """
-SELECT k, 12.0 + k AS radius, 1.0 AS turns, 12.0 + k AS recentred, 2.0 AS offset_, 12.0 + k AS profile, 2.0 AS kept, 1.0 AS smoothed FROM (SELECT unnest(range(12)) AS k)""")
-def round_a_ring(spark, d):
-    """A band of known radius: followed, recentred on, measured against, profiled, smoothed."""
-    names = ["radius", "turns", "recentred", "offset_", "profile", "kept", "smoothed"]
-
-    def f(i):
-        r = 12.0 + i
-        c = r + 8.0
-        y, x = np.mgrid[: int(2 * c) + 1, : int(2 * c) + 1]
-        band = np.abs(np.hypot(x - c, y - c) - r) <= 1.3
-        path = walk.follow(band, (c + r, c), 1, c, c, -0.02)
-        kept = walk.dedup_by_profile([_ring(r, c), _ring(r + 0.3, c, 450), _ring(r - 6, c)], c, c, 0.3, 1.5)
-        smooth = walk.smooth_path(_ring(r, c), 0.4)
-        return {
-            "radius": np.rint(walk.median_radius(path, c, c)),
-            "turns": np.rint((len(path) - 1) * 2 / (walk.TWO_PI * r)),
-            "recentred": np.rint(walk.median_radius(walk.recentre(_ring(r + 0.8, c), band), c, c)),
-            "offset_": np.rint(np.nanmedian(np.abs(walk.offsets_to_band(_ring(r - 2, c), band)))),
-            "profile": np.nanmedian(walk.profile(_ring(r, c), c, c, 0.3)),
-            "kept": len(kept),
-            "smoothed": float(np.sqrt(((smooth - _ring(r, c)) ** 2).mean(axis=0)).max() <= 0.4),
-        }
-
-    return _numbered(spark, 12, f, names)
-
-
-@query("traced_rings", "SELECT k, 2.0 AS windings, 14.0 + k AS \"inner\", 22.0 + k AS \"outer\", 1.0 AS bare FROM (SELECT unnest(range(6)) AS k)")
-def traced_rings(spark, d):
-    """Two bands traced from scratch; the bare band among four known windings found."""
-
-    def f(i):
-        r = 14.0 + i
-        c = r + 16.0
-        y, x = np.mgrid[: int(2 * c) + 1, : int(2 * c) + 1]
-        d_ = np.hypot(x - c, y - c)
-        paths = walk.trace((np.abs(d_ - r) <= 1.3) | (np.abs(d_ - r - 8) <= 1.3), c, c, 5.0, c, 0.3)
-        radii = [np.rint(walk.median_radius(p, c, c)) for p in paths]
-        known = [_ring(x, c) for x in (r - 8, r - 4, r, r + 8)]
-        bare = walk.bare_bands(known, np.abs(d_ - r - 4) <= 1.3, c, c, 0.3)
-        return {"windings": len(paths), "inner": radii[0], "outer": radii[-1], "bare": sum(abs(m - r - 4) < 0.5 for _, m in bare)}
-
-    return _numbered(spark, 6, f, ["windings", "inner", "outer", "bare"])
-
-
-@query("matched_profiles", "SELECT k, 3.0 AS matched, 0.25 AS drift, 4.0 AS tracks FROM (SELECT unnest(range(8)) AS k)")
-def matched_profiles(spark, d):
-    """Walks that drift by a quarter keep their tracks; one that none is near opens another."""
-
-    def f(i):
-        tracks = [np.full(96, 10.0 + i + 4 * j) for j in range(3)]
-        walks = [t + 0.25 for t in tracks[::-1]] + [np.full(96, 80.0)]
-        taken, drift = walk.match_profiles(tracks, walks, 1.0)
-        tracker = walk.Tracker(1.0)
-        tracker.step(0, tracks)
-        ids = tracker.step(1, walks)
-        return {"matched": sum(taken[j] == 2 - j for j in range(3)), "drift": drift, "tracks": len(tracker.profiles) if ids == [2, 1, 0, 3] else -1}
-
-    return _numbered(spark, 8, f, ["matched", "drift", "tracks"])
-
-
-@query("known_pitch", "SELECT k, 8.0 + k AS pitch, 8.0 + k AS refined, 8.0 + k AS phase, 39.0 AS bounds FROM (SELECT unnest(range(10)) AS k)")
-def known_pitch(spark, d):
-    """Forty whole periods of a wave: the pitch by three ways, and the peaks between the ends."""
-
-    def f(i):
-        p = 8.0 + i
-        a = np.cos(walk.TWO_PI * np.arange(int(40 * p)) / p)
-        e = signal.estimate_pitch(a, 5, 30)
-        return {"pitch": round(e, 1), "refined": round(signal.refine_pitch(a, e), 1), "phase": round(signal.phase_pitch(a, p), 1), "bounds": len(signal.boundaries(a, p))}
-
-    return _numbered(spark, 10, f, ["pitch", "refined", "phase", "bounds"])
-
-
-@query("straight_splines", "SELECT k, round(0.5 + 0.1 * k, 6) AS first, round(0.5 + 0.1 * k + 9.9 * (k - 3), 6) AS last FROM (SELECT unnest(range(8)) AS k)")
-def straight_splines(spark, d):
-    """A smoothing spline keeps a straight line."""
-    x = np.arange(100) / 10
-
-    def f(i):
-        s = signal.penalised_spline(x, 0.5 + 0.1 * i + (i - 3) * x, 0.1)(x)
-        return {"first": round(float(s[0]), 4), "last": round(float(s[-1]), 4)}
-
-    return _numbered(spark, 8, f, ["first", "last"])
-
-
 @query("affine_fields", """
 SELECT vec_id, round(e[1], 6) AS y0, round(e[2], 6) AS yy, round(e[3], 6) AS yx, round(e[4], 6) AS x0 FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)""")
 def affine_fields(spark, d):
@@ -183,12 +86,3 @@ def enlarged(spark, d):
     field = fr.dense_fields(e.select("vec_id", F.array_repeat(F.get("a", F.lit(0)), 8).alias("s")), ["vec_id"], "s", 2, (12, 12), 1.0)
     level = field.select("vec_id", ((F.array_max("dy") + F.array_min("dx")) / 2).alias("level"))
     return r6(big.join(level, "vec_id"), "top", "total", "level")
-
-
-@query("unit_noise", "SELECT k, 0.0 AS mean, 1.0 AS deviation FROM (SELECT unnest(range(9)) AS k)")
-def unit_noise(spark, d):
-    def f(i):
-        n = image.coarse_noise(40, 30 + i, 8, i)
-        return {"mean": round(float(n.mean()), 6) + 0.0, "deviation": n.std()}
-
-    return _numbered(spark, 9, f, ["mean", "deviation"])

@@ -10,7 +10,6 @@ from lamina.functions import geometry as geo
 from lamina.functions import semantics as sem
 from lamina.operators import aggregates as agg
 from lamina.operators import composites as comp
-from lamina.operators import ordered
 from lamina.plans.queries_native import CELLS, FIRST, INDEXED, cells, events, indexed, r6, split_by_type
 from lamina.plans.registry import query, table
 
@@ -69,11 +68,10 @@ def fourier(spark, d):
 
 
 @query("synthetic_patterns", """
-SELECT CAST(x AS BIGINT) AS x, round(x / 255.0, 6) AS gradient, CAST(floor(x / 16.0) AS INT) % 2 AS bars FROM (SELECT unnest(range(256)) AS x)""")
+SELECT event_id, round(event_id % 256 / 255.0, 6) AS gradient, CAST(floor(event_id % 256 / 16.0) AS INT) % 2 AS bars FROM events""")
 def synthetic_patterns(spark, d):
-    x = spark.range(256).select(F.col("id").alias("x"))
-    p = lambda kind: geo.patterns(kind, F.col("x"), F.lit(0), 256, 1)
-    return r6(x.select("x", p("gradient").alias("gradient"), p("bars").cast("int").alias("bars")), "gradient")
+    p = lambda kind: geo.patterns(kind, F.col("event_id") % 256, F.lit(0), 256, 1)
+    return r6(table(spark, d, "events").select("event_id", p("gradient").alias("gradient"), p("bars").cast("int").alias("bars")), "gradient")
 
 
 @query("windows", "SELECT vec_id, s AS start, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding[s + 1 : s + 16]]), 5) AS w FROM (SELECT vec_id, embedding, unnest([0, 16, 32, 48]) AS s FROM embeddings)")

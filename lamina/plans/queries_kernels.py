@@ -217,16 +217,6 @@ def track_windings(spark, d):
     return spiral.track(e, ["roll"], 0.8)
 
 
-@query("spiral_unroll")
-def spiral_unroll(spark, d):
-    return spiral.unroll(spark, spiral.Spiral())
-
-
-@query("spiral_geometry")
-def spiral_geometry(spark, d):
-    return spiral.generate(spark, spiral.Spiral(noise=0.1)).select("z", "row", F.aggregate("label", F.lit(0), lambda a, x: a + x).alias("on"), F.round(F.array_max("px"), 9).alias("top"))
-
-
 @query("spiral_points", """
 WITH s AS (SELECT 24.0 AS r0, 11.0 / (2 * pi()) AS a, 24.0 * 8 * pi() + 11.0 / (2 * pi()) * power(8 * pi(), 2) / 2 AS len),
 t AS (SELECT vec_id, r0, a, (sqrt(r0 * r0 + 2 * a * (vec_id / 3000.0) * len) - r0) / a AS t FROM embeddings CROSS JOIN s)

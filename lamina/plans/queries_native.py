@@ -367,9 +367,13 @@ def interval_join(spark, d):
     return matching.interval(events(spark, d).select("event_id", (F.col("value") * 4).alias("at")), spans, [], "at", "lo", "hi", 3.0).select("event_id", "p_partkey")
 
 
-@query("linear_map", "SELECT CAST(unnest(range(25)) AS BIGINT) AS i, CAST(round_even(unnest(range(25)) * 149.0 / 24.0, 0) AS INT) AS j")
+@query("linear_map", """
+WITH n AS (SELECT (SELECT count(*) FROM supplier) AS a, (SELECT count(*) FROM customer) AS b)
+SELECT s_suppkey AS i, CAST(round_even(s_suppkey * (b - 1.0e0) / (a - 1), 0) AS INT) AS j FROM supplier CROSS JOIN n""")
 def linear_map(spark, d):
-    return spark.range(25).select(F.col("id").alias("i"), matching.linear_map(25, 150)(F.col("id")).alias("j"))
+    """Suppliers spread evenly over customers."""
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
+    return s.select(F.col("s_suppkey").alias("i"), matching.linear_map(s.count(), c.count())(F.col("s_suppkey")).alias("j"))
 
 
 @query("collapse_map", """

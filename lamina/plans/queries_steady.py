@@ -1,5 +1,4 @@
-"""Queries of frames held still, cut, locked and scored: on reels made so that the result is known in
-closed form, which their SQL states, and on the tables where SQL can express the operator."""
+"""Queries of frames paired, matched and scored."""
 
 from __future__ import annotations
 
@@ -7,119 +6,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lamina.functions.semantics import ordered
-from lamina.kernels import frames, steady, walk
-from lamina.kernels.image import gaussian, gradient_correlation, sobel
+from lamina.kernels import steady
 from lamina.operators import steady as op
-from lamina.plans.queries_closed import _numbered
 from lamina.plans.queries_image import PIXELS, SIDE, numbers
 from lamina.plans.queries_native import events, r6
 from lamina.plans.registry import query, table
 
 
-def _texture(h: int, w: int, seed: int, sigma: float = 1.5) -> np.ndarray:
-    return gaussian(np.random.default_rng(seed).normal(size=(h, w)), sigma) * 4
-
-
-@query("steadied_frames", "SELECT k, 14.0e0 AS found, 1.0e0 AS still FROM (SELECT unnest(range(3)) AS k)")
-def steadied_frames(spark, d):
-    """Frames that jump by a pixel are told apart and, moved, agree within the common box."""
-    i = np.arange(14)
-    true = np.stack([i // 2 % 2, (i + 1) // 2 % 2], axis=1)
-
-    def f(seed):
-        wide = _texture(60, 70, seed)
-        reel = np.stack([wide[8 - y : 52 - y, 8 - x : 62 - x] for y, x in true])
-        p, (y0, y1, x0, x1) = steady.stabilise(reel, angle=0.0)
-        held = [steady.moved(a, *q)[y0:y1, x0:x1] for a, q in zip(reel, p, strict=True)]
-        return {"found": (np.abs(p[:, :2] - true + true.mean(axis=0)).max(axis=1) < 0.35).sum(), "still": min(gradient_correlation(held[0], a) for a in held) > 0.9}
-
-    return _numbered(spark, 3, f, ["found", "still"])
-
-
-@query("locked_shifts", "SELECT k, 1.0e0 AS slow, 1.0e0 AS local, 0.0e0 AS across FROM (SELECT unnest(range(3)) AS k)")
-def locked_shifts(spark, d):
-    """A slow sway and jumps of rows, neither of which moves columns."""
-
-    def f(seed):
-        base, i = _texture(48, 48, 40 + seed), np.arange(40)
-        sway, jump = np.rint(3 * np.sin(i / 6)).astype(int), (i % 7 == 3) * 2
-        slow = steady.lock_slow(np.stack([np.roll(base, s, 0) for s in sway]), sigma=1.0)
-        local = steady.lock_local(np.stack([sobel(base[4 - s : 44 - s]) for s in jump]))
-        return {"slow": np.abs(slow[:, 0] - sway + np.median(sway)).max() < 1, "local": np.abs(local[:, 0] - jump).max() < 0.3, "across": np.rint(max(np.abs(slow[:, 1]).max(), np.abs(local[:, 1]).max()))}
-
-    return _numbered(spark, 3, f, ["slow", "local", "across"])
-
-
-@query("aperture_edges", "SELECT k, 20.5e0 + k % 5 AS \"left\", 78.5e0 + k % 7 AS \"right\" FROM (SELECT unnest(range(20)) AS k)")
-def aperture_edges(spark, d):
-    """Soft steps at known columns."""
-    x = F.sequence(F.lit(0), F.lit(99))
-    step = lambda at: lambda c: 1 / (1 + F.exp(at - c))
-    lo, hi = step(F.lit(20.5) + F.col("k") % 5), step(F.lit(78.5) + F.col("k") % 7)
-    reel = spark.range(20).select(F.col("id").alias("k")).withColumn("px", F.transform(x, lambda c: lo(c) - hi(c)))
-    out = op.aperture_edges(reel, ["k"], "px", (1, 100), (0.2, 0.8), 0.1)
-    return out.select("k", *[F.round(c, 2).alias(c) for c in ("left", "right")])
-
-
-@query("aperture_boxes", "SELECT k, 12.0e0 + k AS x0, 9.0e0 + k AS y0, 188.0e0 - k AS x1, 111.0e0 - k AS y1 FROM (SELECT unnest(range(6)) AS k)")
-def aperture_boxes(spark, d):
-    """Dark lines inside two columns of holes and around two rows of them."""
-
-    def f(i):
-        mean = np.ones((120, 200))
-        mean[:, [12 + i, 188 - i]] = 0
-        mean[[9 + i, 111 - i]] = 0
-        return dict(zip(("x0", "y0", "x1", "y1"), steady.aperture_box(mean, (9, 191), (10, 110)), strict=True))
-
-    return _numbered(spark, 6, f, ["x0", "y0", "x1", "y1"])
-
-
-@query("moved_borders", "SELECT k, 1.0e0 + k % 3 AS \"left\", 1.0e0 + k % 3 AS \"right\", 0.0e0 AS top, 0.0e0 AS bottom, 9.0e0 AS cuts FROM (SELECT unnest(range(6)) AS k)")
-def moved_borders(spark, d):
-    """One frame of nine rolled along its rows; cuts found at borders that sway along the strip."""
-    x = np.arange(1000)
-
-    def f(i):
-        by, wide = 1 + i % 3, _texture(100, 100, i, 2.0)
-        shifts = steady.border_shifts(np.stack([wide if j != 4 else np.roll(wide, by, 1) for j in range(9)]), 0.4, 8)[4]
-        lines = 100.0 * np.arange(1, 10)
-        by_cut = by * np.cos(2.0 * np.arange(9))
-        strip = np.tile(sum(np.exp(-(((x - c - s) / 3.0) ** 2)) for c, s in zip(lines, by_cut, strict=True)), (5, 1))
-        off = steady.register_cuts(strip, lines, 100.0, (0, 5), sigma=0.1) - lines - by_cut + np.median(by_cut)
-        return {**dict(zip(("left", "right", "top", "bottom"), np.rint(shifts) + 0.0, strict=True)), "cuts": (np.abs(off) < 0.1).sum()}
-
-    return _numbered(spark, 6, f, ["left", "right", "top", "bottom", "cuts"])
-
-
-@query("template_borders", "SELECT k, 13.0e0 AS low, 13.0e0 AS high FROM (SELECT unnest(range(4)) AS k)")
-def template_borders(spark, d):
-    """Both borders of thirteen cells follow a drift that leaves the first search."""
-
-    def f(seed):
-        strip, drift = 0.02 * np.random.default_rng(seed).normal(size=(200, 1300)), np.arange(13)
-        for j in drift:
-            strip[50 + j : 150 + j, 100 * j : 100 * j + 100] += 1
-        b = frames.template_borders(strip, 100.0 * np.arange(14), (56, 156), 12, reach=10)
-        return {"low": (np.abs(b[:, 0] - 50 - drift) < 0.8).sum(), "high": (np.abs(b[:, 1] - 150 - drift) < 0.8).sum()}
-
-    return _numbered(spark, 4, f, ["low", "high"])
-
-
-@query("affine_aligned", "SELECT k, 1.0e0 AS aligned, 0.0e0 AS spread FROM (SELECT unnest(range(4)) AS k)")
-def affine_aligned(spark, d):
-    """A picture stretched, shrunk and moved agrees with the true one once aligned; pairs that all are
-    stretched alike spread by nothing."""
-    y, x = np.mgrid[:80, :80] - 39.5
-
-    def f(i):
-        t = _texture(80, 80, 5 + i, 2.0)
-        a = steady.bilinear(t, 39.5 + 1.02 * x + 1, 39.5 + 0.99 * y - 2, outside=None)
-        u, v = steady.align_affine(t, a, 4)
-        return {"aligned": gradient_correlation(u[6:-6, 6:-6], v[6:-6, 6:-6]) > 0.9, "spread": round(max(steady.deform_spread(np.stack([a, a]), np.stack([t, t]))), 6)}
-
-    return _numbered(spark, 4, f, ["aligned", "spread"])
-
-
 @query("matched_values", f"""
 WITH c AS ({PIXELS}), a AS (SELECT vec_id, v, rank() OVER (PARTITION BY vec_id ORDER BY v) AS r, row_number() OVER (PARTITION BY vec_id ORDER BY v) AS i, count(*) OVER (PARTITION BY vec_id, v) AS n FROM c),
 b AS (SELECT vec_id, v AS w, row_number() OVER (PARTITION BY vec_id ORDER BY v) AS i FROM c)
@@ -134,20 +27,6 @@ def matched_values(spark, d):
     return numbers(spark, d, f, ["mean", "span"], shape=SIDE, pair=True)
 
 
-@query("twin_tracks", "SELECT k, 4.0e0 AS windings, 1.0e0 AS twin FROM (SELECT unnest(range(5)) AS k)")
-def twin_tracks(spark, d):
-    """A second walk beside a winding for some slices is that winding's twin."""
-
-    def f(i):
-        base, t = [np.full(96, 20.0 + i + 8 * j) for j in range(4)], walk.Tracker(1.0)
-        for z in range(6):
-            t.step(z, [*base, base[2] + 2.0] if z < 3 else base)
-        to = t.merged(3.0)
-        return {"windings": len(t.profiles) - len(to), "twin": to == {4: 2}}
-
-    return _numbered(spark, 5, f, ["windings", "twin"])
-
-
 @query("variant_frames", "SELECT vec_id, 1e0 AS grad_corr, 1e0 AS ms_ssim, 0e0 AS mse FROM embeddings")
 def variant_frames(spark, d):
     """A picture against itself, affine alignment and matching of histograms included."""
