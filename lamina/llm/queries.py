@@ -224,6 +224,26 @@ def planted(docs: DataFrame) -> DataFrame:
     return with_columns(joined, {"text": "string"}, make, "text").select("doc_id", F.col("text_").alias("text"))
 
 
+# A crc32 by its table, made from the polynomial; and runs from pairs of equal words, not from shifts.
+OP13_SQL = r"""
+WITH crc AS MATERIALIZED (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)),
+d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(4294967295, list_reduce(list_concat([4294967295], [CAST(ord(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS h
+  FROM documents CROSS JOIN crc),
+g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS hit, CASE WHEN len(w) > 0 THEN h // 10 % len(w) END AS a, 3 + h // 10 % 8 AS m FROM d),
+p AS MATERIALIZED (SELECT doc_id, n, CASE WHEN hit THEN [w[CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // m) ELSE i END + 1] FOR i IN range(n)] ELSE w END AS w FROM g),
+x AS MATERIALIZED (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM p),
+e AS (SELECT u.doc_id, u.i, v.i - u.i AS q FROM x u JOIN x v ON u.doc_id = v.doc_id AND u.word = v.word AND v.i > u.i AND v.i - u.i <= u.n // 2),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) AS k FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island),
+r AS MATERIALIZED (SELECT doc_id, start, k + q AS length, min(q) AS period FROM s WHERE k + q >= greatest(12, 2 * q) GROUP BY ALL),
+f AS (SELECT doc_id, count(*) AS n_runs, arg_min({'s': start, 'l': length, 'p': period}, {'l': -length, 's': start, 'p': period}) AS b, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+c AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND x.i >= r.start + r.period AND x.i < r.start + r.length) GROUP BY x.doc_id)
+SELECT p.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.p AS period, 1000 * b.l // b.p AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM p LEFT JOIN f USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = periodic_runs.find_runs(planted(table(spark, sf_dir, "documents")), min_length=12, min_exponent=2)
     best = F.expr("array_min(transform(runs, r -> named_struct('less', -r.length, 'start', r.start, 'period', r.period)))")
@@ -260,6 +280,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op11_fill_middle": OP11_SQL,
     "op12_html_text": OP12_SQL,
+    "op13_periodic_runs": OP13_SQL,
     "op8_url_filter": OP8_SQL,
     "op1_topk_search": OP1_SQL,
     "op4_near_dedup": OP4_SQL,
