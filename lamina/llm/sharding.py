@@ -2,7 +2,8 @@
 
 Groups (equal texts) stand in one order, by their smallest id. The capacity of the largest shard
 is found by bisection: a capacity is feasible if filling shards greedily, each as far as it goes,
-needs no more than the given number. The order never comes to one place. The driver holds a ladder
+needs no more than the given number. Greedy filling leaves the last shards short, so the cuts are
+then spread: within the capacity found, each is put near an even share of what is left. The order never comes to one place. The driver holds a ladder
 of prefix sums, at most LADDER cells with the first and last sum in each, and bisects between what
 the ladder proves feasible and what it proves infeasible. Where the two differ, the cells around
 the possible cuts are divided again, until the cuts are exact: a pass for each ladder, and with
@@ -105,6 +106,21 @@ class Ladder:
         self.points, self.dark = points[order], dark[order]
 
 
+    def floor(self, target: int, open_: set) -> int:
+        """The largest known sum up to the target; ``open_`` gets what is around it if others are not known."""
+        i = self._at(target)
+        if self.dark[i] and self.points[i] < target:
+            open_.add((int(self.points[i]), int(self.points[i + 1])))
+        return int(self.points[i])
+
+    def ceil(self, target: int, open_: set) -> int:
+        """The smallest known sum from the target on, likewise."""
+        i = int(np.searchsorted(self.points, target))
+        if self.points[i] > target and self.dark[i - 1]:
+            open_.add((int(self.points[i - 1]), int(self.points[i])))
+        return int(self.points[i])
+
+
 def _fill(reach, total: int, capacity: int, shards: int) -> list[int]:
     """Where greedily filled shards end; the last is the total if the capacity is feasible."""
     ends, at = [], 0
@@ -122,30 +138,57 @@ def _least(low: int, high: int, feasible) -> int:
     return low
 
 
-def minimax_cuts(divide, total: int, largest: int, shards: int) -> tuple[int, list[int]]:
-    """The smallest feasible capacity, and the prefix sums at which its shards end. ``divide`` gets
-    open ranges and the width of each one's cells, and returns those that hold sums as (first sum,
-    last sum, how many)."""
+def _joined(gaps) -> list[tuple[int, int]]:
+    ranges: list[tuple[int, int]] = []
+    for a, b in sorted(gaps):
+        if ranges and a < ranges[-1][1]:
+            ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]))
+        else:
+            ranges.append((a, b))
+    return ranges
+
+
+def _look(ladder: Ladder, divide, ranges: list[tuple[int, int]]) -> None:
+    every = sum(b - a for a, b in ranges)
+    ladder.learn(ranges, divide(ranges, [max(1, -(-every // LADDER))] * len(ranges)))
+
+
+def _spread(ladder: Ladder, divide, total: int, capacity: int, shards: int) -> list[int]:
+    """Ends of shards within a feasible capacity, each as near as may be to an even share of what is left
+    (the smaller of two equally near ones), but so that the shards behind it can hold the rest."""
+    while True:
+        open_: set[tuple[int, int]] = set()
+        first = [total]  # from where on one shard, two, ... can hold the rest
+        for _ in range(shards - 1):
+            first.append(ladder.ceil(max(0, first[-1] - capacity), open_))
+        ends, at = [], 0
+        for left in range(shards, 1, -1):
+            top = ladder.floor(min(total, at + capacity), open_)
+            even = min(at + -(-(total - at) // left), top)
+            near = [x for x in (ladder.floor(even, open_), ladder.ceil(even, open_)) if first[left - 1] <= x <= top]
+            at = min(near, key=lambda x: (abs(x - even), x), default=max(at, min(first[left - 1], top)))
+            ends.append(at)
+        if not open_:
+            return [*ends, total]
+        _look(ladder, divide, _joined(open_))
+
+
+def minimax_cuts(divide, total: int, largest: int, shards: int, spread: bool = False) -> tuple[int, list[int]]:
+    """The smallest feasible capacity, and the prefix sums at which greedily filled shards end, or,
+    ``spread``, those of _spread() within that capacity. ``divide`` gets open ranges and the width of
+    each one's cells, and returns those that hold sums as (first sum, last sum, how many)."""
     if not total:
         return 0, [0] * shards
     ladder, ranges = Ladder(total), [(0, total)]
     least = max(largest, -(-total // shards))
     while True:
-        every = sum(b - a for a, b in ranges)
-        widths = [max(1, -(-every // LADDER))] * len(ranges)
-        ladder.learn(ranges, divide(ranges, widths))
+        _look(ladder, divide, ranges)
         sure = _least(least, total, lambda c: _fill(ladder.low, total, c, shards)[-1] == total)
         least = _least(least, sure, lambda c: _fill(ladder.high, total, c, shards)[-1] == total)
         low, high = _fill(ladder.low, total, least, shards), _fill(ladder.high, total, sure, shards)
         if least == sure and low == high:
-            return sure, low
-        gaps = sorted(g for a, b in zip([0, *low], [0, *high], strict=True) if (g := ladder.gap(min(total, a + least), min(total, b + sure))))
-        ranges = []
-        for a, b in gaps:
-            if ranges and a < ranges[-1][1]:
-                ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]))
-            else:
-                ranges.append((a, b))
+            return sure, _spread(ladder, divide, total, sure, shards) if spread else low
+        ranges = _joined(g for a, b in zip([0, *low], [0, *high], strict=True) if (g := ladder.gap(min(total, a + least), min(total, b + sure))))
 
 
 def _divider(groups: DataFrame, starts: dict[int, int]):
@@ -167,8 +210,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     A row's size is the UTF-8 bytes of its text (null: none) plus ``overhead``. Rows with equal
     texts (null equals null, not the empty text) are a group and share a shard. Groups stand in
     the order of their smallest id (groups without one first; ties by the text's hash); shards are
-    contiguous in that order, and the largest is as small as contiguity and whole groups allow. A
-    slot counts a shard's rows from 0, in the order of groups, then of ids (null first), then of a
+    contiguous in that order, and the largest is as small as contiguity and whole groups allow; within
+    that capacity each cut lies as near to an even share of the rest as it can. A slot counts a shard's rows from 0, in the order of groups, then of ids (null first), then of a
     hash of the other columns.
 
     Empty and null texts are groups like any other. Repeated rows each get a slot. Empty table:
@@ -185,7 +228,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     rows = save(rows, "shard-rows")
     firsts = rows.groupBy("h1", "h2").agg(F.min("id").alias("gid"), F.sum("size").alias("bytes"))
     groups, starts, total, largest = _with_prefix(firsts, list(_KEY), "bytes", "prefix", True, "shard-groups")
-    _, ends = minimax_cuts(_divider(groups, starts), total, largest, shards)
+    _, ends = minimax_cuts(_divider(groups, starts), total, largest, shards, spread=True)
     ends = sorted({e for e in ends if 0 < e < total})
     after = _starts_column(starts) + F.col("prefix")
     # each cut's last group: its key tells where the next shard starts; at most `shards` rows

@@ -78,6 +78,51 @@ def test_capacity_and_cuts_from_ladders(sizes, shards, cells):
     assert fill == at and (cells < 1000 or len(asked) <= 2 + (at > 1000))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 60) | st.just(900), min_size=1, max_size=120), st.integers(1, 30), st.sampled_from([2, 5, 40, 1000]))
+def test_spread_cuts_from_ladders(sizes, shards, cells):
+    """Spread cuts keep the least capacity, and are those of the rule on the whole list of sums."""
+    sums, at = [0], 0
+    for s in sizes:
+        sums.append(at := at + s)
+
+    def divide(ranges, widths):
+        out = {}
+        for r, ((a, b), w) in enumerate(zip(ranges, widths, strict=True)):
+            for x in sums:
+                if a < x < b:
+                    out.setdefault((r, (x - a) // w), []).append(x)
+        return [(min(x), max(x), len(x)) for x in out.values()]
+
+    kept, sharding.LADDER = sharding.LADDER, cells
+    try:
+        capacity, ends = sharding.minimax_cuts(divide, at, max(sizes), shards, spread=True)
+    finally:
+        sharding.LADDER = kept
+    assert capacity == smallest_capacity(sizes, shards) and len(ends) == shards and ends[-1] == at
+    assert set(ends) <= set(sums) and max(b - a for a, b in zip([0, *ends], ends, strict=False)) <= capacity
+    rest = [at]
+    for _ in range(shards - 1):
+        rest.append(min(x for x in sums if x >= rest[-1] - capacity))
+    start = 0
+    for left, end in zip(range(shards, 1, -1), ends, strict=False):
+        fit = [x for x in sums if start <= x <= start + capacity and x >= rest[left - 1]]
+        even = min(start - (start - at) // left if (at - start) % left == 0 else start + (at - start) // left + 1, max(x for x in sums if x <= start + capacity))
+        assert end == min(fit, key=lambda x: (abs(x - even), x))
+        start = end
+
+
+def test_shards_are_near_equal(spark):
+    """Of many small documents every shard holds nearly its share, the last one included."""
+    rng = random.Random(12)
+    rows = [(i, f"{i} " + "x" * rng.randint(0, 900)) for i in range(2_000)]
+    held = {}
+    for r in shard_documents(docs_frame(spark, rows), 24).collect():
+        held[r.shard] = held.get(r.shard, 0) + r.size
+    mean = sum(held.values()) / 24
+    assert len(held) == 24 and min(held.values()) > 0.97 * mean and max(held.values()) < 1.03 * mean
+
+
 @pytest.mark.parametrize("cells", [7, 65_536])
 def test_few_cells(spark, monkeypatch, cells):
     monkeypatch.setattr(sharding, "LADDER", cells)
