@@ -11,7 +11,9 @@ Queries come in blocks of thousands, candidates in buckets dealt to strides, bot
 integers that hold them. A task holds one block and streams one stride of buckets past it, longest
 first; all queries of a block that a bucket concerns by length are multiplied with its longer part
 at once. The longest bucket of all comes before: the k-th best score in it is where a query's
-threshold starts in every stride.
+threshold starts in every stride. It also says how long a candidate must be to matter to the query;
+queries are dealt into blocks by that length, and a bucket that is too short for all queries of a block
+is never sent to it.
 """
 
 from __future__ import annotations
@@ -41,19 +43,23 @@ def quantised(vector: Column, scale: float = 64.0) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
 
 
-def _pack(size: int):
-    """Sorted rows into rows of up to ``size`` vectors of one dimension, ``width`` bytes a number."""
+def _pack(size: int, bounds: bool = False):
+    """Sorted rows into rows of up to ``size`` vectors of one dimension, ``width`` bytes a number. With
+    ``bounds`` rows also have a floor, and the length that a candidate needs to reach it: floors
+    stay beside the ids, of the lengths the least one tells which buckets can matter at all."""
 
-    def emit(ids: list, vectors: list):
+    def emit(ids: list, vectors: list, floors: list, needs: list):
         i, v = np.concatenate(ids), np.concatenate(vectors)
         longest = float(np.sqrt((v.astype(np.float64) ** 2).sum(axis=1).max()))
         kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if t is np.int64 or (v.min() >= np.iinfo(t).min and v.max() <= np.iinfo(t).max))
-        return pa.record_batch({"dim": pa.array([v.shape[1]], pa.int32()), "longest": [longest], "width": pa.array([np.dtype(kind).itemsize], pa.int32()), "ids": pa.array([i.tobytes()], pa.binary()), "vectors": pa.array([v.astype(kind).tobytes()], pa.binary())})
+        more = {"floor": pa.array([np.concatenate(floors).tobytes()], pa.binary()), "need": [float(np.concatenate(needs).min())]} if bounds else {}
+        return pa.record_batch({"dim": pa.array([v.shape[1]], pa.int32()), "longest": [longest], "width": pa.array([np.dtype(kind).itemsize], pa.int32()), "ids": pa.array([i.tobytes()], pa.binary()), "vectors": pa.array([v.astype(kind).tobytes()], pa.binary()), **more})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, held = [], [], 0
+        ids, vectors, floors, needs, held = [], [], [], [], 0
         for b in batches:
             i, flat = b["id"].to_numpy(), b["v"].flatten().to_numpy()
+            floor, need = (b[c].to_numpy() if bounds else i for c in ("floor", "need"))
             at = b["v"].offsets.to_numpy().astype(np.int64)
             at -= at[0] if len(at) else 0
             dims = np.diff(at)
@@ -61,14 +67,16 @@ def _pack(size: int):
             for lo, hi in zip([0, *cut], [*cut, len(dims)], strict=True):
                 while lo < hi:
                     if held and (held == size or vectors[0].shape[1] != dims[lo]):
-                        yield emit(ids, vectors)
-                        ids, vectors, held = [], [], 0
+                        yield emit(ids, vectors, floors, needs)
+                        ids, vectors, floors, needs, held = [], [], [], [], 0
                     to = min(hi, lo + size - held)
                     ids.append(i[lo:to])
+                    floors.append(floor[lo:to])
+                    needs.append(need[lo:to])
                     vectors.append(flat[at[lo] : at[to]].reshape(to - lo, -1))
                     lo, held = to, held + to - lo
         if held:
-            yield emit(ids, vectors)
+            yield emit(ids, vectors, floors, needs)
 
     return run
 
@@ -133,9 +141,12 @@ class _Block:
         self.least = np.full(len(ids), _NONE, np.int64) if floor is None else floor.copy()
         self.row, self.vec, self.score = (np.zeros(0, np.int64) for _ in range(3))
 
+    def need(self) -> np.ndarray:
+        """The length that a candidate needs at least to reach a query's score; 0 while any may do."""
+        return np.where(self.least > 0, self.least.astype(np.float64) / np.maximum(self.length, 1e-300) * (1 - 1e-9), 0.0)
+
     def meet(self, bucket: _Bucket) -> None:
-        bound = self.least > 0
-        need = np.where(bound, self.least.astype(np.float64) / np.maximum(self.length, 1e-300) * (1 - 1e-9), 0.0)
+        bound, need = self.least > 0, self.need()
         live = ~bound | (need <= bucket.length[0])
         cosine = np.minimum(1.0, need / max(bucket.length[0], 1e-300))
         long = np.where(bound, np.searchsorted(-bucket.length, -need, side="right"), len(bucket.ids))
@@ -172,17 +183,19 @@ class _Block:
 
 
 def _search(k: int, seed: bool = False):
-    """Blocks against the buckets that follow them: what they found, or, to ``seed``, the blocks
-    again with each query's least score."""
+    """Blocks against the buckets that follow them: what they found, or, to ``seed``, their queries one
+    by one with the least score of each and the length it asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, block, held = None, None, None
+        task, block = None, None
 
         def finish():
             if block is None:
                 return
             if seed:
-                yield pa.record_batch({**{c: pa.array([held[c]], t) for c, t in _KINDS.items()}, "floor": pa.array([block.least.tobytes()], pa.binary())})
+                n, dim = block.q.shape
+                v = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(block.q.ravel()))
+                yield pa.record_batch({"id": block.ids, "v": v, "dim": pa.array([dim] * n, pa.int32()), "floor": block.least, "need": block.need()})
             else:
                 yield pa.record_batch({"query_id": block.ids[block.row], "vec_id": block.vec, "score": block.score})
 
@@ -192,7 +205,7 @@ def _search(k: int, seed: bool = False):
                     yield from finish()
                     task, block = row["task"], None
                 if row["is_query"]:
-                    held, floor = row, row["floor"]
+                    floor = row["floor"]
                     block = _Block(*_unpack(row), k, None if floor is None else np.frombuffer(floor, np.int64))
                 else:
                     block.meet(_Bucket(*_unpack(row)))
@@ -201,17 +214,18 @@ def _search(k: int, seed: bool = False):
     return run
 
 
-_KINDS = {"block": pa.int64(), "dim": pa.int32(), "longest": pa.float64(), "width": pa.int32(), "ids": pa.binary(), "vectors": pa.binary()}
+_SEEDED = "id long, v array<long>, dim int, floor long, need double"
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "vector", counts: dict | None = None) -> DataFrame:
     """Each query's ``k`` highest inner products with the vectors of other ids: query_id, rank
     (from 1), vec_id and score. Ties go to the smaller id. Vectors are arrays of long.
 
     Null ids, null vectors and vectors with a null component take no part. A query meets vectors
     of its own dimension alone. Of queries that repeat an id, the smallest vector counts; repeated
     candidates each count. With fewer than ``k`` candidates all are returned. Products beyond a
-    long stop at its ends. Empty tables give no rows. Other columns are not read.
+    long stop at its ends. Empty tables give no rows. Other columns are not read. ``counts`` gets the
+    pairs of a block and a bucket that are sent to tasks, and how many there could be.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -233,14 +247,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     # one bucket for each dimension
     first = buckets.join(buckets.groupBy("dim").agg(F.max(F.struct("longest", "bucket"))["bucket"].alias("bucket")).select("bucket"), "bucket")
     both = as_query(plain.withColumn("task", F.col("block")), F.lit(None).cast("binary")).union(as_bucket(first.join(plain.select("dim", F.col("block").alias("task")), "dim")))
-    blocks = save(both.repartition(n, "task").sortWithinPartitions(*order).mapInArrow(_search(k, seed=True), "block long, dim int, longest double, width int, ids binary, vectors binary, floor binary"), "topk-blocks")
+    seeded = save(both.repartition(n, "task").sortWithinPartitions(*order).mapInArrow(_search(k, seed=True), _SEEDED), "topk-seeded")
+    # queries that ask for like lengths stand together, so that a block as a whole can spare itself buckets
+    by = [F.col("dim"), F.desc("need"), F.col("id")]
+    again = seeded.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("id", "v", "floor", "need")
+    blocks = save(again.mapInArrow(_pack(QUERIES, bounds=True), _PACK + ", floor binary, need double").withColumn("block", F.monotonically_increasing_id()), "topk-blocks")
+    forget(seeded)
     forget(plain)
 
-    # the stated query set, in blocks, against every bucket
+    # the stated query set, in blocks, against every bucket that is long enough for some query of the block
     many = buckets.count()
     strides = max(1, min(many, max(-(-many * BUCKET // STRIDE), -(-n // max(1, blocks.count())))))
-    tasks = blocks.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(strides - 1))).alias("stride")).withColumn("task", F.xxhash64("block", "stride"))
-    passing = buckets.withColumn("stride", F.pmod(F.xxhash64("bucket"), F.lit(strides)).cast("int")).join(tasks.select("dim", "stride", "task"), ["dim", "stride"])
+    tasks = blocks.select("dim", "block", "need", F.explode(F.sequence(F.lit(0), F.lit(strides - 1))).alias("stride")).withColumn("task", F.xxhash64("block", "stride"))
+    passing = buckets.withColumn("stride", F.pmod(F.xxhash64("bucket"), F.lit(strides)).cast("int")).join(tasks.select("dim", "stride", "task", "need"), ["dim", "stride"]).where("longest >= need")
+    if counts is not None:
+        counts["sent"] = passing.count()
+        counts["possible"] = sum(r["n"] * r["m"] for r in buckets.groupBy("dim").agg(F.count("*").alias("n")).join(blocks.groupBy("dim").agg(F.count("*").alias("m")), "dim").collect())
     both = as_query(blocks.join(tasks.select("block", "task"), "block"), F.col("floor")).union(as_bucket(passing))
     found = both.repartition(n, "task").sortWithinPartitions(*order).mapInArrow(_search(k), _FOUND)
     # at most k rows of a query from each stride meet here

@@ -40,6 +40,19 @@ def test_against_brute_force(spark, kind, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute(rows, queries, 20)
 
 
+def test_short_buckets_are_not_sent(spark, monkeypatch):
+    """Pairs of block and bucket: where lengths differ, few of all possible ones travel, and nothing is lost."""
+    monkeypatch.setattr(topk_search, "BUCKET", 64)
+    monkeypatch.setattr(topk_search, "QUERIES", 16)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3_000, 8)) * rng.lognormal(0, 1.0, size=(3_000, 1))
+    rows = [(i, [int(c) for c in np.floor(64 * v)]) for i, v in enumerate(x)]
+    queries, counts = rows[::20], {}
+    got = top_k(frame(spark, [(*r, "") for r in rows]), frame(spark, [(*r, "") for r in queries]), 20, counts=counts)
+    assert sorted(map(tuple, got.collect())) == brute(rows, queries, 20)
+    assert counts["possible"] >= 10 * 47 and counts["sent"] < 0.4 * counts["possible"], counts
+
+
 def test_few_many_and_huge(spark):
     rows = [(1, [2**40, -5]), (2, [2**40, 7]), (3, [3, 4]), (3, [3, 4])]
     got = sorted(map(tuple, top_k(frame(spark, [(*r, "") for r in rows]), frame(spark, [(1, [2**40, -5], ""), (3, [3, 4], "")]), 5).collect()))
