@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.semantics import MAD_SCALE, centred, circular_mean, finite, histogram_bin, median, ordered, ratio, rint, running, wrap_angle
+from lamina.operators.rounds import exact_quantiles
 
 
 def confusion(df: DataFrame, keys: list[str], predicted: str, truth: str, classes: list[int]) -> DataFrame:
@@ -160,8 +161,6 @@ def strip_scores(df: DataFrame, row: str, values: str) -> DataFrame:
     """One row of quality scores of a strip of array rows: coherence, p5 to p95, mean row variance,
     share of finite and non-zero samples. The percentiles come from histograms that narrow, so no
     task sees all samples; NaN and NULL are left out of them. A strip without samples scores NULL."""
-    from lamina.operators.rounds import exact_quantiles
-
     cells = df.select(row, F.explode(values).alias("v")).select(row, F.col("v").cast("double").alias("v"))
     low, high = exact_quantiles(cells, "v", [0.05, 0.95])
     flat = cells.agg(F.avg(((F.col("v") != 0) & finite(F.col("v")).isNotNull()).cast("int")).alias("filled")).withColumn("dynamic_range", F.lit(None if low is None else high - low).cast("double"))
@@ -179,6 +178,8 @@ def robust_scatter(df: DataFrame, keys: list[str], value: str, least: int = 3) -
 
 
 def line_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """keys, slope, intercept, n of the least-squares line; rows with a NULL in x or y don't count. NULL where all
+    x are equal or none is left; NaN goes through."""
     return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_count(y, x).alias("n"))
 
 

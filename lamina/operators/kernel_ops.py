@@ -81,26 +81,38 @@ def pair_numbers(df: DataFrame, keys: list[str], a: str, b: str, shape: tuple[in
 
 
 # ---- named operators
+#
+# A group without rows gives none. NULL samples reach kernels as NaN; order must not repeat in a key,
+# or equal places stand in no fixed order.
 
 
 def gaussian_smooth(df, keys, order, value, sigma, mode="nearest"):
+    """keys, order, smooth: a Gaussian of ``sigma`` samples that ends at four of them. A NULL or NaN sample
+    makes NaN of all that it would weigh in."""
     return series_map(df, keys, order, value, lambda a: signal.convolve1d(a, signal.gaussian_taps(sigma), mode), "smooth")
 
 
 def fill_and_smooth(df, keys, order, value, sigma, limit=4.0):
+    """keys, order, smooth: missing samples filled linearly, the ends held; what lies further than ``limit``
+    scaled MADs from the median of nine filled likewise; a Gaussian. All missing: zeros."""
     return series_map(df, keys, order, value, lambda a: signal.fill_and_smooth(a, sigma, limit), "smooth")
 
 
 def circular_fill(df, keys, order, value, sigma):
+    """keys, order, smooth: missing samples filled linearly round the circle, then a circular Gaussian (none for
+    ``sigma`` 0). All missing: zeros."""
     return series_map(df, keys, order, value, lambda a: signal.fill_circular(a, sigma), "smooth")
 
 
 def bandpass(df, keys, order, value, pitch, width=0.25):
+    """keys, order, part: what has periods within ``width`` (a share) of ``pitch``. A NULL or NaN sample makes the
+    whole series NaN."""
     return series_map(df, keys, order, value, lambda a: signal.bandpass(a, pitch, width), "part")
 
 
 def pitch(df, keys, order, value, lo, hi):
-    """Autocorrelation pitch, its refinement, and that from the phase."""
+    """Autocorrelation pitch, its refinement, and that from the phase; of equal maxima the shortest period. A
+    NULL or NaN sample makes all three NaN."""
 
     def f(a: np.ndarray) -> dict[str, float]:
         p = signal.estimate_pitch(a, lo, hi)
@@ -111,6 +123,9 @@ def pitch(df, keys, order, value, lo, hi):
 
 
 def find_peaks(df, keys, order, value, distance=1.0, prominence=0.0):
+    """keys, k, at: places of local maxima, a plateau's middle (the left one of two); where two are nearer than
+    ``distance`` the higher stays, of equally high ones the first. NULL or NaN samples are never maxima, nor
+    are their neighbours; series without maxima give no rows."""
     return series_places(df, keys, order, value, lambda a: signal.peaks(a, distance, prominence))
 
 
@@ -121,7 +136,8 @@ def cell_bounds(df, keys, order, value, pitch_, how="lock"):
 
 
 def winding_boundaries(df, keys, radius, smooth=3.0, distance=8.0, share=0.08, per_length=False):
-    """Valleys of each group's histogram of radii."""
+    """keys, k, r: valleys of each group's histogram of radii. Radii are not NULL; a group without valleys
+    gives no rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         at = signal.valley_boundaries(pdf[radius].to_numpy(float), smooth, distance, share, per_length)

@@ -125,10 +125,29 @@ def bin_to_boundaries(spark, d):
     return comp.bin_to_boundaries(events(spark, d).select("event_id", "value"), b, [], "value").select("event_id", "k")
 
 
-@query("refit_centres")
+def _clipped_sql() -> str:
+    """Three rounds of a line refitted to what lies near it, for both coordinates, then interpolation."""
+    fit = lambda c, used: f"regr_intercept({c}, CAST(z AS DOUBLE)){used} OVER u + regr_slope({c}, CAST(z AS DOUBLE)){used} OVER u * z"
+    parts = [f"e AS ({INDEXED}), t AS (SELECT user_id, i AS z, value AS cx, value * 0.5 + i AS cy, true AS ux, true AS uy FROM e)"]
+    last = "t"
+    for k in range(1, 4):
+        line = ", ".join(f"abs({c} - ({fit(c, f' FILTER (WHERE u{x})')})) AS d{x}" for c, x in (("cx", "x"), ("cy", "y")))
+        parts.append(f"f{k} AS (SELECT *, {line} FROM {last} WINDOW u AS (PARTITION BY user_id))")
+        used = ", ".join(f"d{x} <= greatest(1.4826 * median(d{x}) FILTER (WHERE u{x}) OVER u, 0.5) AS u{x}" for x in "xy")
+        parts.append(f"g{k} AS (SELECT user_id, z, cx, cy, {used} FROM f{k} WINDOW u AS (PARTITION BY user_id))")
+        last = f"g{k}"
+    parts.append(f"k AS MATERIALIZED (SELECT *, (ux AND uy) OR avg(CAST(ux AND uy AS INT)) OVER (PARTITION BY user_id) < 0.5 AS keep FROM {last})")
+    ends = "SELECT k.*, max({'z': a.z, 'x': a.cx, 'y': a.cy}) FILTER (WHERE a.z <= k.z) AS l, min({'z': a.z, 'x': a.cx, 'y': a.cy}) FILTER (WHERE a.z >= k.z) AS r FROM k LEFT JOIN k a ON a.user_id = k.user_id AND a.keep GROUP BY ALL"
+    parts.append(f"m AS ({ends})")
+    value = lambda c: f"round(coalesce(l.{c} + (r.{c} - l.{c}) * coalesce((z - l.z) * 1.0e0 / nullif(r.z - l.z, 0), 0), l.{c}, r.{c}), 5) AS c{c}"
+    return f"WITH {', '.join(parts)} SELECT user_id, z, {value('x')}, {value('y')}, CASE WHEN keep THEN 'measured' ELSE 'interpolated' END AS origin FROM m"
+
+
+@query("refit_centres", _clipped_sql())
 def refit_centres(spark, d):
     c = indexed(spark, d).select("user_id", F.col("i").alias("z"), F.col("value").alias("cx"), (F.col("value") * 0.5 + F.col("i")).alias("cy"))
-    return comp.refit_centres(c, ["user_id"], "z", ["cx", "cy"], 3, 1.0)
+    out = comp.refit_centres(c, ["user_id"], "z", ["cx", "cy"], 3, 1.0)
+    return out.withColumns({x: F.round(x, 5) for x in ("cx", "cy")})
 
 
 @query("ladder_gaps", """

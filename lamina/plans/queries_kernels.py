@@ -89,9 +89,20 @@ def pitch(spark, d):
     return k.pitch(events(spark, d).select("event_type", "event_id", "value"), ["event_type"], "event_id", "value", 5, 60)
 
 
-@query("peaks")
+@query("peaks", f"""
+WITH RECURSIVE c AS MATERIALIZED ({CELLS}), n AS (SELECT z, col, v, lag(v) OVER w AS l, lead(v) OVER w AS r FROM c WINDOW w AS (PARTITION BY z ORDER BY col)),
+o AS MATERIALIZED (SELECT z, col, v, row_number() OVER (PARTITION BY z ORDER BY v DESC, col) AS k FROM n WHERE v > l AND v > r),
+w AS (
+  SELECT z, k, [col] AS kept FROM o WHERE k = 1
+  UNION ALL
+  SELECT w.z, o.k, CASE WHEN list_min([abs(x - o.col) FOR x IN w.kept]) < 4 THEN w.kept ELSE list_append(w.kept, o.col) END FROM w JOIN o ON o.z = w.z AND o.k = w.k + 1),
+p AS (SELECT z, col, v FROM (SELECT z, unnest(kept) AS col FROM w QUALIFY k = max(k) OVER (PARTITION BY z)) JOIN c USING (z, col)),
+e AS (SELECT p.z, p.col, p.v, coalesce(max(c.col) FILTER (WHERE c.col < p.col), -1) AS l, coalesce(min(c.col) FILTER (WHERE c.col > p.col), 64) AS r FROM p LEFT JOIN c ON c.z = p.z AND c.v > p.v GROUP BY ALL),
+q AS (SELECT e.z, e.col, e.v - greatest(min(c.v) FILTER (WHERE c.col <= e.col), min(c.v) FILTER (WHERE c.col >= e.col)) AS high FROM e JOIN c ON c.z = e.z AND c.col > e.l AND c.col < e.r GROUP BY e.z, e.col, e.v)
+SELECT z, row_number() OVER (PARTITION BY z ORDER BY col) - 1 AS k, CAST(col AS DOUBLE) AS at FROM q WHERE high >= 0.1""")
 def peaks(spark, d):
-    return k.find_peaks(cells(spark, d), ["z"], "col", "v", 4, 0.5)
+    """Maxima of vectors, four places apart, that stand out by a tenth."""
+    return k.find_peaks(cells(spark, d), ["z"], "col", "v", 4, 0.1)
 
 
 @query("cell_bounds")
