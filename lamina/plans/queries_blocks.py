@@ -59,7 +59,7 @@ def block_samples(spark, d):
     """Strips read between pixels at places that events give; some lie outside."""
     e = table(spark, d, "events").select("event_id", (F.col("event_id") % 10).cast("int").alias("label"), "value")
     out = op.sample(e, strips(spark, d, 16), ["label"], "row", 7, 16, F.col("value") / 9.0, F.pmod(F.col("value") * 7.3, F.lit(66.0)) - 1)
-    return out.select("event_id", "label", (F.round("v", 6) + 0.0).alias("v"))
+    return out.select("event_id", F.col("label").cast("long").alias("label"), (F.round("v", 6) + 0.0).alias("v"))
 
 
 _RAIL = """SELECT label, cell, col, line, y0 + (y1 - y0) * t AS y, x0 + (x1 - x0) * t AS x FROM (
@@ -76,7 +76,8 @@ def rectified_frames(spark, d):
     low = knots.select("label", F.lit(0).alias("side"), "u", (4 + F.col("label") % 3 + F.col("u") / 32).alias("y"), (F.col("u") + 0.25 * F.col("label")).alias("x"))
     high = knots.select("label", F.lit(1), "u", 30.0 + F.col("label") % 2 - F.col("u") / 64, F.col("u") - 0.5 + F.col("u") / 50)
     out = op.rectify(strips(spark, d, 16), low.union(high), ["label"], "row", 7, 16, (4.0, 30.0), 12.0, 2.0, (6.0, 20))
-    return out.select("label", "cell", "row", F.posexplode("values").alias("col", "v")).withColumn("v", F.round("v", 6) + 0.0)
+    out = out.select("label", "cell", F.col("row").cast("long").alias("row"), F.posexplode("values").alias("col", "v"))
+    return out.withColumns({"col": F.col("col").cast("long"), "v": F.round("v", 6) + 0.0})
 
 
 @query("nearest_spots", """
@@ -100,7 +101,7 @@ def region_labels(spark, d):
     """Regions of a stack whose slices are the labels' strips, from blocks of 2 x 7 x 16 voxels."""
     b = op.map_blocks(strips(spark, d, 16), ["label"], "row", 64, 16, 0, lambda a: np.where(a > 0.14, 1.0, 0.0))
     out = regions.label_regions(b, [], "label", "row", 2, 7, 16)
-    return long_form(out, 16, "region", "labels").where("region IS NOT NULL")
+    return long_form(out, 16, "region", "labels").where("region IS NOT NULL").withColumn("z", F.col("z").cast("int"))
 
 
 @query("feature_distances", f"""
@@ -186,7 +187,7 @@ def held_places(spark, d):
     m = rows.select("user_id", "i", (F.col("i") * 50.0 + e % 11).alias("x0"), (v % 20 - 10).alias("along"), (v % 6 - 3).alias("across"), ((v / 3) % 1).alias("score"))
     s = rows.select("user_id", "i", F.when(e % 5 > 0, v % 4 - 2).alias("along"), F.when(e % 5 > 0, v % 2 - 1).alias("across"))
     out = rounds.held_places(m, s, ["user_id"], "i", 0.6, 50.0)
-    return out.select("user_id", "i", "locked", (F.round("x", 5) + 0.0).alias("x"), (F.round("z", 5) + 0.0).alias("z"))
+    return out.select("user_id", F.col("i").cast("long").alias("i"), "locked", (F.round("x", 5) + 0.0).alias("x"), (F.round("z", 5) + 0.0).alias("z"))
 
 
 def _levels_sql() -> str:

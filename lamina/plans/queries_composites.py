@@ -147,7 +147,7 @@ def _clipped_sql() -> str:
 def refit_centres(spark, d):
     c = indexed(spark, d).select("user_id", F.col("i").alias("z"), F.col("value").alias("cx"), (F.col("value") * 0.5 + F.col("i")).alias("cy"))
     out = comp.refit_centres(c, ["user_id"], "z", ["cx", "cy"], 3, 1.0)
-    return out.withColumns({x: F.round(x, 5) for x in ("cx", "cy")})
+    return out.withColumns({"z": F.col("z").cast("long"), **{x: F.round(x, 5) for x in ("cx", "cy")}})
 
 
 @query("ladder_gaps", """
