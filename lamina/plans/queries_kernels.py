@@ -156,7 +156,25 @@ def winding_boundaries(spark, d):
     return k.winding_boundaries(e, ["event_type"], "r", 3.0, 8, 0.03)
 
 
-@query("align_sequences")
+@query("align_sequences", """
+WITH RECURSIVE v AS (SELECT label, vec_id % 2 AS side, row_number() OVER (PARTITION BY label, vec_id % 2 ORDER BY vec_id) AS k, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+u AS (SELECT label, side, k, [x / greatest(sqrt(list_sum([y * y FOR y IN e])), 1e-12) FOR x IN e] AS e FROM v),
+n AS (SELECT label, count(*) FILTER (WHERE side = 0) AS n, count(*) FILTER (WHERE side = 1) AS m FROM v GROUP BY label),
+c AS (SELECT a.label, a.k AS i, list(1 - list_dot_product(a.e, b.e) ORDER BY b.k) AS c FROM u a JOIN u b ON a.label = b.label AND a.side = 0 AND b.side = 1 GROUP BY a.label, a.k),
+h AS (SELECT label, i, c, n, m, CAST(round_even((i - 1) * (m - 1) * 1.0e0 / greatest(1, n - 1), 0) AS BIGINT) AS mid, greatest(CAST(ceil(CAST(0.2 AS DOUBLE) * greatest(n, m)) AS BIGINT), 1) AS half FROM c JOIN n USING (label)),
+r AS MATERIALIZED (SELECT label, i, c, m, greatest(0, mid - half) + 1 AS lo, least(m - 1, mid + half) + 1 AS hi FROM h),
+w AS (
+  SELECT label, CAST(0 AS BIGINT) AS i, list_concat([CAST(0 AS DOUBLE)], [CAST(1e300 AS DOUBLE) FOR x IN range(m)]) AS best FROM n
+  UNION ALL
+  SELECT r.label, r.i, list_concat([CAST(1e300 AS DOUBLE)], [CASE WHEN j < lo OR j > hi THEN 1e300 ELSE list_sum(c[lo:j]) + list_min([least(best[k], best[k + 1]) - CASE WHEN k > lo THEN list_sum(c[lo:k - 1]) ELSE 0 END FOR k IN range(lo, j + 1)]) END FOR j IN range(1, m + 1)])
+  FROM w JOIN r ON r.label = w.label AND r.i = w.i + 1),
+b AS MATERIALIZED (SELECT * FROM w),
+p AS (
+  SELECT label, n AS i, m AS j FROM n WHERE n > 0 AND m > 0
+  UNION ALL
+  SELECT label, CASE WHEN (d <= u AND d <= s) OR u <= s THEN i - 1 ELSE i END, CASE WHEN (d <= u AND d <= s) OR s < u THEN j - 1 ELSE j END
+  FROM (SELECT p.label, p.i, p.j, up.best[p.j] AS d, up.best[p.j + 1] AS u, same.best[p.j] AS s FROM p JOIN b up ON up.label = p.label AND up.i = p.i - 1 JOIN b same ON same.label = p.label AND same.i = p.i WHERE p.i > 0 AND p.j > 0))
+SELECT label, i - 1 AS i, j - 1 AS j FROM p WHERE i > 0 AND j > 0""")
 def align_sequences(spark, d):
     e = table(spark, d, "embeddings").select("label", F.pmod("vec_id", F.lit(2)).cast("int").alias("side"), "vec_id", "embedding")
     return k.align_sequences(e, ["label"], "side", "vec_id", "embedding", 0.2)
