@@ -147,9 +147,13 @@ def top_separated(score: np.ndarray, at: np.ndarray, k: int, apart: float, perio
 
 
 def valley_boundaries(radii: np.ndarray, smooth: float, distance: float, share: float, per_length: bool = False) -> np.ndarray:
-    """Radii of valleys in a histogram of radii: at least ``distance`` apart, with a prominence of
-    ``share`` of the largest count; counts may be taken per circumference."""
-    h = np.bincount(np.floor(radii).astype(int)).astype(float)
+    """valleys() of a histogram of radii in bins of 1 from 0."""
+    return valleys(np.bincount(np.floor(radii).astype(int)).astype(float), smooth, distance, share, per_length)
+
+
+def valleys(h: np.ndarray, smooth: float, distance: float, share: float, per_length: bool = False) -> np.ndarray:
+    """Valleys of smoothed counts: at least ``distance`` apart, with a prominence of ``share`` of the
+    largest count; counts may be taken per circumference."""
     if per_length:
         h = h / (2 * np.pi * np.maximum(np.arange(len(h)), 1))
     s = convolve1d(h, gaussian_taps(smooth))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lamina.kernels import image, signal
 
@@ -136,14 +137,19 @@ def cell_bounds(df, keys, order, value, pitch_, how="lock"):
 
 
 def winding_boundaries(df, keys, radius, smooth=3.0, distance=8.0, share=0.08, per_length=False):
-    """keys, k, r: valleys of each group's histogram of radii. Radii are not NULL; a group without valleys
-    gives no rows."""
+    """keys, k, r: valleys of each group's histogram of radii. Radii are counted in bins of 1 before they are
+    grouped, so a group is as large as its largest radius, however many radii there are. NULL, NaN and
+    negative radii are left out; a group without valleys gives no rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = signal.valley_boundaries(pdf[radius].to_numpy(float), smooth, distance, share, per_length)
+        h = np.zeros(int(pdf["_bin"].max()) + 1)
+        h[pdf["_bin"]] = pdf["_n"]
+        at = signal.valleys(h, smooth, distance, share, per_length)
         return pd.DataFrame({"k": np.arange(len(at), dtype=np.int64), "r": np.asarray(at, float)})
 
-    return apply(df.select(*keys, radius), keys, "k long, r double", run)
+    r = F.col(radius).cast("double")
+    counted = df.where((r >= 0) & ~F.isnan(r)).groupBy(*keys, F.floor(r).alias("_bin")).agg(F.count("*").alias("_n"))
+    return apply(counted, keys, "k long, r double", run)
 
 
 def shift_to_reference(df, keys, a, b, limit):

@@ -150,7 +150,22 @@ def bandpass(spark, d):
     return r6(k.bandpass(cells(spark, d), ["z"], "col", "v", 8.0).withColumn("col", F.col("col").cast("long")), "part")
 
 
-@query("winding_boundaries")
+@query("winding_boundaries", """
+WITH RECURSIVE b AS (SELECT event_type AS t, CAST(floor(sqrt(value * value + user_id * user_id)) AS BIGINT) AS i FROM events), m AS (SELECT t, max(i) AS top FROM b GROUP BY t),
+h AS MATERIALIZED (SELECT g.t, g.i, top, count(b.i) AS n FROM (SELECT t, top, unnest(range(top + 1)) AS i FROM m) g LEFT JOIN b ON b.t = g.t AND b.i = g.i GROUP BY ALL),
+k AS (SELECT x, exp(-0.5 * (x / 3.0) ** 2) / sum(exp(-0.5 * (x / 3.0) ** 2)) OVER () AS tap FROM (SELECT unnest(range(-12, 13)) AS x)),
+s AS MATERIALIZED (SELECT a.t, a.i, -sum(h.n * tap) AS v FROM h a CROSS JOIN k JOIN h ON h.t = a.t AND h.i = CASE WHEN a.i + x < 0 THEN -a.i - x - 1 WHEN a.i + x > a.top THEN 2 * a.top - a.i - x + 1 ELSE a.i + x END GROUP BY a.t, a.i),
+f AS (SELECT *, sum(new) OVER (PARTITION BY t ORDER BY i) AS flat FROM (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY t ORDER BY i) THEN 0 ELSE 1 END AS new FROM s)),
+g AS (SELECT *, lag(v) OVER w AS l, lead(v) OVER w AS r FROM (SELECT t, flat, (min(i) + max(i)) // 2 AS i, any_value(v) AS v FROM f GROUP BY t, flat) WINDOW w AS (PARTITION BY t ORDER BY flat)),
+o AS MATERIALIZED (SELECT t, i, v, row_number() OVER (PARTITION BY t ORDER BY v DESC, i) AS k FROM g WHERE v > l AND v > r),
+w AS (
+  SELECT t, k, [i] AS kept FROM o WHERE k = 1
+  UNION ALL
+  SELECT w.t, o.k, CASE WHEN list_min([abs(x - o.i) FOR x IN w.kept]) < 8 THEN w.kept ELSE list_append(w.kept, o.i) END FROM w JOIN o ON o.t = w.t AND o.k = w.k + 1),
+p AS (SELECT t, i, v FROM (SELECT t, unnest(kept) AS i FROM w QUALIFY k = max(k) OVER (PARTITION BY t)) JOIN s USING (t, i)),
+e AS (SELECT p.t, p.i, p.v, coalesce(max(s.i) FILTER (WHERE s.i < p.i), -1) AS l, coalesce(min(s.i) FILTER (WHERE s.i > p.i), 1000000) AS r FROM p LEFT JOIN s ON s.t = p.t AND s.v > p.v GROUP BY ALL),
+q AS (SELECT e.t, e.i, e.v - greatest(min(s.v) FILTER (WHERE s.i <= e.i), min(s.v) FILTER (WHERE s.i >= e.i)) AS high FROM e JOIN s ON s.t = e.t AND s.i > e.l AND s.i < e.r GROUP BY e.t, e.i, e.v)
+SELECT q.t AS event_type, row_number() OVER (PARTITION BY q.t ORDER BY i) - 1 AS k, CAST(i AS DOUBLE) AS r FROM q JOIN (SELECT t, max(-v) AS most FROM s GROUP BY t) y USING (t) WHERE high >= 0.03 * most""")
 def winding_boundaries(spark, d):
     e = events(spark, d).withColumn("r", F.hypot("value", "user_id"))
     return k.winding_boundaries(e, ["event_type"], "r", 3.0, 8, 0.03)
