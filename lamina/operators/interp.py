@@ -43,16 +43,25 @@ def circular_interpolate(queries: DataFrame, knots: DataFrame, keys: list[str],
 
 
 def resample_index(df: DataFrame, keys: list[str], index: str, value: str, n_out: int) -> DataFrame:
-    """A series of 0-based indices resampled linearly to ``n_out`` evenly spread places."""
-    n = df.groupBy(*keys).agg((F.max(index) + 1).alias("_n"))
-    places = n.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(n_out - 1))).alias("col"))
-    step = F.lit(0.0) if n_out == 1 else F.col("col") * (F.col("_n") - 1) / (n_out - 1)
-    lo = F.least(F.floor(step), F.greatest(F.col("_n") - 2, F.lit(0))).cast("long")
-    places = places.withColumn("_p", step).withColumn("_i", lo)
-    a = df.select(*keys, F.col(index).cast("long").alias("_i"), F.col(value).alias("_a"))
-    b = df.select(*keys, (F.col(index) - 1).cast("long").alias("_i"), F.col(value).alias("_b"))
-    rows = places.join(a, [*keys, "_i"]).join(b, [*keys, "_i"], "left")
-    return rows.select(*keys, "col", lerp(F.col("_a"), F.coalesce("_b", "_a"), F.col("_p") - F.col("_i")).alias(value))
+    """A series of 0-based indices resampled linearly to ``n_out`` evenly spread places. Each row makes
+    the places from its index to the next, so a key is shuffled once and nothing is joined."""
+    known = df.where(F.col(index).isNotNull())
+    for k in keys:
+        known = known.where(F.col(k).isNotNull())
+    rows = known.select(*keys, F.col(index).alias("_x"), F.col(index).cast("long").alias("_i"), F.col(value).alias("_a"))
+    near = ordered(keys, "_i")
+    after = F.collect_list(F.struct(F.col("_a").alias("_b"))).over(near.rangeBetween(1, 1))
+    rows = rows.withColumns({"_n": F.max("_x").over(near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) + 1, "_next": after})
+    step = lambda c: F.lit(0.0) if n_out == 1 else c * (F.col("_n") - 1) / (n_out - 1)
+    last = F.greatest(F.col("_n") - 2, F.lit(0)).cast("long")
+    # one place more at either end, for rounding; the filter decides
+    per = (n_out - 1) / F.greatest(F.col("_n") - 1, F.lit(1))
+    lo = F.greatest(F.floor(F.col("_i") * per) - 1, F.lit(0)).cast("int")
+    hi = F.when(F.col("_i") >= last, F.lit(n_out - 1)).otherwise(F.least(F.ceil((F.col("_i") + 1) * per) + 1, F.lit(n_out - 1)).cast("int"))
+    own = lambda c: F.least(F.floor(step(c)), last) == F.col("_i")
+    places = rows.where(F.col("_i").between(F.lit(0), last) & (lo <= hi)).withColumn("col", F.explode(F.filter(F.sequence(lo, hi), own)))
+    both = places.select(*keys, "col", "_i", "_n", "_a", F.explode_outer("_next").alias("_next"))
+    return both.select(*keys, "col", lerp(F.col("_a"), F.coalesce("_next._b", "_a"), step(F.col("col")) - F.col("_i")).alias(value))
 
 
 def resample_nearest(df: DataFrame, keys: list[str], index: str, n_out: int) -> DataFrame:

@@ -107,3 +107,21 @@ def test_heal_over_z(spark):
 def test_greedy(spark):
     p = spark.createDataFrame([(0, 1, 1, 0.1), (0, 1, 2, 0.2), (0, 2, 1, 0.15), (0, 2, 2, 0.9)], "k int, a int, b int, c double")
     assert out(kernel_ops.greedy_pairs(p, ["k"], "a", "b", "c")) == [(0, 1, 1, 0.1), (0, 2, 2, 0.9)]
+
+
+def test_resample_index_without_joins(spark):
+    rows = [(0, 0, 0.0), (0, 1, 1.0), (0, 3, 9.0), (0, 4, None), (1, 0, 7.0), (2, 0, 1.0), (2, 1, 3.0), (2, 1, 5.0), (3, None, 1.0), (None, 0, 2.0), (None, 1, 2.0)]
+    for n_out in (1, 2, 4, 7, 100):
+        r = interp.resample_index(frame(spark, rows), ["k"], "i", "v", n_out)
+        want = []
+        for k in (0, 1, 2, 3):
+            own = [(i, v) for q, i, v in rows if q == k and i is not None]
+            n = max((i for i, _ in own), default=-1) + 1
+            for c in range(n_out) if n else ():
+                at = c * (n - 1) / (n_out - 1) if n_out > 1 else 0.0
+                lo = min(int(at), max(n - 2, 0))
+                for a in (v for i, v in own if i == lo):
+                    for b in [v for i, v in own if i == lo + 1] or [None]:
+                        want.append((k, c, None if a is None else a + ((a if b is None else b) - a) * (at - lo)))
+        assert out(r) == sorted(want, key=lambda x: tuple((y is None, y) for y in x))
+        assert "Join" not in r._jdf.queryExecution().executedPlan().toString()  # one that is broadcast filled the driver
