@@ -65,8 +65,9 @@ def affine_from_points(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def winding_of(r: Column, phi: Column, r0: float, pitch: float, windings: int) -> Column:
-    """The winding whose radius at an azimuth is nearest (the inner one on ties)."""
-    options = F.array(*[F.struct(F.abs(r - (r0 + pitch * (phi / TWO_PI + k))).alias("error"), F.lit(k).alias("k")) for k in range(windings)])
+    """The winding whose radius at an azimuth is nearest; the inner one on ties, which are errors equal
+    to nine decimals, since rounding in the last bit would decide otherwise."""
+    options = F.array(*[F.struct(F.round(F.abs(r - (r0 + pitch * (phi / TWO_PI + k))), 9).alias("error"), F.lit(k).alias("k")) for k in range(windings)])
     return F.array_min(options)["k"]
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lamina.functions import geometry
 from lamina.functions import semantics as sem
 from lamina.operators import aggregates as agg
 from lamina.operators import interp, kernel_ops, matching, ordered
@@ -125,3 +126,11 @@ def test_resample_index_without_joins(spark):
                         want.append((k, c, None if a is None else a + ((a if b is None else b) - a) * (at - lo)))
         assert out(r) == sorted(want, key=lambda x: tuple((y is None, y) for y in x))
         assert "Join" not in r._jdf.queryExecution().executedPlan().toString()  # one that is broadcast filled the driver
+
+
+def test_winding_on_ties(spark):
+    """Radii halfway between two windings, where the last bit of the azimuth must not decide."""
+    rows = [(k, u, round(40.0 + 40.0 * k + 0.4 * u, 2)) for k in range(11) for u in range(100)]
+    f = frame(spark, [*rows, (0, 0, None)])
+    phi = F.col("i") / 100.0 * (2 * math.pi)
+    assert f.where(geometry.winding_of(F.col("v"), phi, 20.0, 40.0, 12) != F.col("k")).count() == 0
