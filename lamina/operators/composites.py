@@ -68,10 +68,17 @@ def walk_quality(paths: DataFrame, keys: list[str], order: str, x: str, y: str,
     return steps.groupBy(*keys).agg(F.count("*").alias("points"), F.count_if(F.col("_l") > jump).alias("jumps"), F.count_if(F.col("_t") > kink).alias("kinks"), F.coalesce(F.sum("_l"), F.lit(0.0)).alias("length"))
 
 
-def cut_cells(profile: DataFrame, bounds: DataFrame, keys: list[str], at: str, bucket: float) -> DataFrame:
-    """Columns of a strip given the cell between neighbouring bounds that they fall in: adds cell."""
+def cut_cells(profile: DataFrame, bounds: DataFrame, keys: list[str], at: str, bucket: float | None = None) -> DataFrame:
+    """Columns of a strip given the cell between neighbouring bounds that they fall in: adds cell, c_lo
+    and c_hi. Cells don't overlap, so a column's is that of the last bound at or before it; no row is
+    repeated, however wide the cells are, and ``bucket`` is not needed."""
     b = bounds.select(*keys, F.col("at").cast("double").alias("c_lo")).withColumns({"cell": F.row_number().over(ordered(keys, "c_lo")) - 1, "c_hi": F.lead("c_lo").over(ordered(keys, "c_lo"))})
-    return matching.interval(profile, b.where("c_hi IS NOT NULL"), keys, at, "c_lo", "c_hi", bucket)
+    b = b.where("c_hi IS NULL OR c_hi > c_lo")  # of equal bounds the last one; the last of all ends the cells
+    known = profile.where(F.col(at).isNotNull())
+    for k in keys:
+        known = known.where(F.col(k).isNotNull())
+    found = matching.asof(known.withColumn("_at", F.col(at).cast("double")), b.withColumnRenamed("c_lo", "_at"), keys, "_at", ["cell", "c_hi"])
+    return found.where("c_hi IS NOT NULL").select(*profile.columns, F.col("_at_right").alias("c_lo"), "cell", "c_hi")
 
 
 def template(cells: DataFrame, keys: list[str], cell: str, offset: str, value: str, least: int = 5) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lamina.functions import geometry
 from lamina.functions import semantics as sem
 from lamina.operators import aggregates as agg
-from lamina.operators import interp, kernel_ops, matching, ordered
+from lamina.operators import composites, interp, kernel_ops, matching, ordered
 from lamina.plans import spiral
 
 
@@ -134,3 +134,13 @@ def test_winding_on_ties(spark):
     f = frame(spark, [*rows, (0, 0, None)])
     phi = F.col("i") / 100.0 * (2 * math.pi)
     assert f.where(geometry.winding_of(F.col("v"), phi, 20.0, 40.0, 12) != F.col("k")).count() == 0
+
+
+def test_cut_cells_repeats_no_row(spark):
+    """Cells that span very many buckets, equal bounds, columns on bounds and outside, nulls."""
+    bounds = spark.createDataFrame([(0, 10.0), (0, 20.0), (0, 20.0), (0, 1e12), (1, 5.0), (2, None), (2, 0.0), (2, 4.0), (None, 0.0), (None, 9.0)], "k int, at double")
+    points = frame(spark, [(0, i, 0.0) for i in (9, 10, 19, 20, 21, 2000000000)] + [(1, 5, 0.0), (2, 0, 1.0), (2, 4, 1.0), (2, None, 1.0), (0, 10, 2.0), (None, 1, 0.0), (3, 1, 0.0)])
+    r = composites.cut_cells(points, bounds, ["k"], "i", 1.0)
+    wide = (20.0, 2, 1e12)
+    assert r.columns == ["k", "i", "v", "c_lo", "cell", "c_hi"] and dict(r.dtypes)["i"] == "int"
+    assert out(r) == [(0, 10, 0.0, 10.0, 0, 20.0), (0, 10, 2.0, 10.0, 0, 20.0), (0, 19, 0.0, 10.0, 0, 20.0), *[(0, i, 0.0, *wide) for i in (20, 21, 2000000000)], (2, 0, 1.0, 0.0, 1, 4.0)]
