@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -340,22 +342,65 @@ def drift(strip: np.ndarray, window: int, step: int, limit: int, smooth: float,
 
 def dtw(a: np.ndarray, b: np.ndarray, band: float = 0.1) -> list[tuple[int, int]]:
     """Dynamic time warping of rows under 1 - cosine within a band around the diagonal; going
-    back, the diagonal comes first on ties."""
+    back, the diagonal comes first on ties.
+
+    Sums are made a cross diagonal (i + j the same) at a time. Two of them are kept now and then, and
+    going back, what lies between is made again near the path alone: of n rows, memory grows with
+    n ** 1.5, and with n times the rows' width, but not with n ** 2."""
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    cost = 1 - unit(a) @ unit(b).T
-    n, m = cost.shape
+    u, v = unit(a), np.ascontiguousarray(unit(b)[::-1])
+    n, m = len(u), len(v)
     half = max(int(np.ceil(band * max(n, m))), 1)
-    best = np.full((n + 1, m + 1), np.inf)
-    best[0, 0] = 0
-    for i in range(1, n + 1):
-        mid = round((i - 1) * (m - 1) / max(1, n - 1))
-        for j in range(max(0, mid - half), min(m - 1, mid + half) + 1):
-            best[i, j + 1] = cost[i - 1, j] + min(best[i - 1, j], best[i - 1, j + 1], best[i, j])
-    i, j, path = n, m, []
-    while i > 0 and j > 0:
-        path.append((i - 1, j - 1))
-        options = ((best[i - 1, j - 1], i - 1, j - 1), (best[i - 1, j], i - 1, j), (best[i, j - 1], i, j - 1))
-        _, i, j = min(options, key=lambda x: x[0])
+    row = np.arange(n)
+    mid = np.rint(row * (m - 1) / max(1, n - 1)).astype(np.int64)
+    d = np.arange(n + m - 1)
+    first = np.searchsorted(row + np.minimum(m - 1, mid + half), d, "left")
+    last = np.searchsorted(row + np.maximum(0, mid - half), d, "right") - 1
+    every = max(16, math.isqrt(n + m))
+
+    def sweep(before: list[np.ndarray], start: int, stop: int, low: int, high: int):
+        """Sums of diagonals ``start`` to ``stop`` (exclusive) in rows ``low`` to ``high``, from the two
+        before; row i stands at i + 1 - low, those out of the band are infinite."""
+        older, old = before
+        for k in range(start, stop):
+            new = np.full(high - low + 2, np.inf)
+            p, q = max(first[k], low), min(last[k], high)
+            if p <= q:
+                near = np.minimum(np.minimum(older[p - low : q - low + 1], old[p - low : q - low + 1]), old[p - low + 1 : q - low + 2])
+                new[p - low + 1 : q - low + 2] = (1 - np.vecdot(u[p : q + 1], v[m - 1 - k + p : m - k + q])) + near
+            yield new
+            older, old = old, new
+
+    nothing = np.full(n + 1, np.inf)
+    origin = nothing.copy()
+    origin[0] = 0
+    kept, lows = [], []
+    pair = [origin, nothing]
+    for k in range(0, n + m - 1, every):
+        low, high = int(first[max(k - 2, 0)]), int(last[max(k - 1, 0)])
+        kept.append([x[low : high + 2].copy() for x in pair])
+        lows.append(low)
+        for new in sweep(pair, k, min(k + every, n + m - 1), 0, n - 1):
+            pair = [pair[1], new]
+    i, j, path = n - 1, m - 1, []
+    for block in range(len(kept) - 1, -1, -1):
+        k = block * every
+        if i < 0 or j < 0 or i + j < k:
+            continue
+        low, high = max(0, i - every - 2), i
+        pair = []
+        for x in kept[block]:
+            whole = np.full(high - low + 2, np.inf)
+            p, q = max(low, lows[block]), min(high + 1, lows[block] + len(x) - 1)
+            if p <= q:
+                whole[p - low : q - low + 1] = x[p - lows[block] : q - lows[block] + 1]
+            pair.append(whole)
+        sums = [*pair, *sweep(pair, k, i + j + 1, low, high)]
+        at = lambda r, c: sums[r + c - k + 2][r + 1 - low]
+        while i >= 0 and j >= 0 and i + j >= k:
+            path.append((i, j))
+            options = ((at(i - 1, j - 1), i - 1, j - 1), (at(i - 1, j), i - 1, j), (at(i, j - 1) if j else np.inf, i, j - 1))
+            _, i, j = min(options, key=lambda x: x[0])
     return path[::-1]
 
 

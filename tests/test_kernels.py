@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -183,3 +185,40 @@ def test_tracker():
     assert walk.dedup_by_spacing(np.array([10.0, 11, 20]), np.array([5, 9, 3]), 4) == [1, 2]
     tracks = walk.radius_tracks({0: [10.0, 20], 1: [10.5, 20.4, 40], 2: [11, 21, 40.2]})
     assert sorted(len(x) for x in tracks) == [2, 3, 3]
+
+
+def table_dtw(a, b, band):
+    """The whole table of sums, cell by cell."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    cost = 1 - np.vecdot(unit(a)[:, None], unit(b)[None])
+    n, m = cost.shape
+    half = max(int(np.ceil(band * max(n, m))), 1)
+    best = np.full((n + 1, m + 1), np.inf)
+    best[0, 0] = 0
+    for i in range(n):
+        mid = round(i * (m - 1) / max(1, n - 1))
+        for j in range(max(0, mid - half), min(m - 1, mid + half) + 1):
+            best[i + 1, j + 1] = cost[i, j] + min(best[i, j], best[i, j + 1], best[i + 1, j])
+    i, j, path = n, m, []
+    while i > 0 and j > 0:
+        path.append((i - 1, j - 1))
+        i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda x: best[x])
+    return path[::-1]
+
+
+def test_dtw_in_blocks_is_that_of_the_table():
+    """Also with repeated rows, where the diagonal comes first, and bands that leave gaps."""
+    r = np.random.default_rng(3)
+    for n, m, band, repeated in [(1, 1, 0.1, False), (1, 40, 0.1, False), (40, 1, 0.1, False), (70, 90, 0.1, False), (90, 70, 0.3, False), (80, 80, 0.2, True), (9, 150, 0.001, False), (150, 9, 0.001, True), (60, 60, 1.0, True)]:
+        pool = r.normal(size=(5 if repeated else 200, 4))
+        a, b = pool[r.integers(0, len(pool), n)], pool[r.integers(0, len(pool), m)]
+        assert signal.dtw(a, b, band) == table_dtw(a, b, band), (n, m, band)
+
+
+def test_dtw_memory():
+    a, b = np.random.default_rng(4).normal(size=(2, 1000, 4))
+    tracemalloc.start()
+    signal.dtw(a, b, 0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6  # a table of sums has 8 MB
