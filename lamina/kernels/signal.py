@@ -95,25 +95,21 @@ def peaks(a: np.ndarray, distance: float = 1, prominence: float = 0.0) -> np.nda
     """Local maxima (a plateau's middle), thinned from the highest down so that none is nearer
     than ``distance`` to a kept one, whose prominence reaches the given one."""
     n = len(a)
-    found, i = [], 1
-    while i < n - 1:
-        if a[i] > a[i - 1]:
-            j = i
-            while j + 1 < n and a[j + 1] == a[i]:
-                j += 1
-            if j + 1 < n and a[j + 1] < a[i]:
-                found.append((i + j) // 2)
-            i = j
-        i += 1
-    at = np.array(found, np.int64)
+    start = np.flatnonzero(np.concatenate([np.ones(min(n, 1), bool), a[1:] != a[:-1]]))  # of runs of equal samples
+    end = np.append(start[1:], n) - 1
+    inner = (start > 0) & (end < n - 1)
+    start, end = start[inner], end[inner]
+    high = (a[start] > a[start - 1]) & (a[end + 1] < a[start])
+    at = (start[high] + end[high]) // 2
     if distance > 1 and len(at):
-        keep = np.ones(len(at), bool)
-        for k in np.argsort(-a[at], kind="stable"):
+        reach = math.ceil(distance) - 1
+        lo, hi = np.searchsorted(at, at - reach, "left").tolist(), np.searchsorted(at, at + reach, "right").tolist()
+        keep = bytearray(b"\1" * len(at))
+        for k in np.argsort(-a[at], kind="stable").tolist():
             if keep[k]:
-                near = np.abs(at - at[k]) < distance
-                near[k] = False
-                keep[near] = False
-        at = at[keep]
+                keep[lo[k] : hi[k]] = bytes(hi[k] - lo[k])
+                keep[k] = 1
+        at = at[np.frombuffer(keep, np.uint8) > 0]
     if prominence > 0:
         at = at[[_prominence(a, p) >= prominence for p in at]] if len(at) else at
     return at

@@ -6,15 +6,20 @@ outputs. A group must fit a task: a profile, a pair of images, a slice; not a wh
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.functions.semantics import ordered
 from lamina.kernels import image, signal
 
+#: Rows of a batch that goes back to Spark.
+BATCH = 1 << 16
+
 
 def _types(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
@@ -53,13 +58,38 @@ def series_numbers(df: DataFrame, keys: list[str], order: str, value: str, f: Ca
 
 
 def series_places(df: DataFrame, keys: list[str], order: str, value: str, f: Callable[[np.ndarray], np.ndarray], name: str = "at") -> DataFrame:
-    """A varying number of places of each series: keys, k, name."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.asarray(f(pdf.sort_values(order)[value].to_numpy(float)), float)
-        return pd.DataFrame({"k": np.arange(len(at), dtype=np.int64), name: at})
+    """A varying number of places of each series: keys, k, name. Spark sorts the rows, on disk if need be; of
+    a series only the samples are held, at 8 bytes each."""
+    names = list(keys)
 
-    return apply(df.select(*keys, order, value), keys, f"k long, {name} double", run)
+    def places(own: list[pa.Array], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        a = np.concatenate(parts)
+        parts.clear()
+        at = np.asarray(f(a), float)
+        for i in range(0, len(at), BATCH):
+            n = min(BATCH, len(at) - i)
+            same = pa.array(np.zeros(n, np.int64))
+            yield pa.record_batch([*[c.take(same) for c in own], pa.array(np.arange(i, i + n, dtype=np.int64)), pa.array(at[i : i + n], pa.float64())], [*names, "k", name])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, parts = None, []
+        for t in batches:
+            v = t.column("_v").to_numpy(zero_copy_only=False)
+            new = t.column("_new").to_numpy(zero_copy_only=False)
+            cuts = [0, *np.flatnonzero(new).tolist(), len(v)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i < j and new[i]:
+                    if own is not None:
+                        yield from places(own, parts)
+                    own = [t.column(k).slice(i, 1) for k in names]
+                if i < j:
+                    parts.append(v[i:j].copy())
+        if own is not None:
+            yield from places(own, parts)
+
+    by = ordered(keys, F.col(order).asc_nulls_last())
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"), (F.row_number().over(by) == 1).alias("_new"))
+    return rows.mapInArrow(run, f"{_types(df, keys)}, k long, {name} double")
 
 
 def pair_numbers(df: DataFrame, keys: list[str], a: str, b: str, shape: tuple[int, int] | None, f: Callable[[np.ndarray, np.ndarray], dict[str, float]], names: list[str]) -> DataFrame:

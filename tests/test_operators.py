@@ -144,3 +144,18 @@ def test_cut_cells_repeats_no_row(spark):
     wide = (20.0, 2, 1e12)
     assert r.columns == ["k", "i", "v", "c_lo", "cell", "c_hi"] and dict(r.dtypes)["i"] == "int"
     assert out(r) == [(0, 10, 0.0, 10.0, 0, 20.0), (0, 10, 2.0, 10.0, 0, 20.0), (0, 19, 0.0, 10.0, 0, 20.0), *[(0, i, 0.0, *wide) for i in (20, 21, 2000000000)], (2, 0, 1.0, 0.0, 1, 4.0)]
+
+
+def test_series_places_of_streams(spark):
+    """Series longer and shorter than a batch, a null key, null samples; places in more than one batch."""
+    rows = [(k, i, None if i == 7 else float(i + 100 * (k or 0))) for k in (0, 1, 2, None) for i in range(25 * ((k or 0) + 1))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        f = frame(spark, rows[::-1], "g int, i int, v double").repartition(3)
+        got = out(kernel_ops.series_places(f, ["g"], "i", "v", lambda a: np.repeat(a, 1000)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(k, 1000 * i + j, math.nan if v is None else v) for k, i, v in rows for j in range(1000)]
+    same = lambda rs: sorted(str(tuple(r)) for r in rs)
+    assert same(got) == same(want)
+    assert out(kernel_ops.series_places(f.where("false"), ["g"], "i", "v", lambda a: a)) == []
