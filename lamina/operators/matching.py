@@ -57,11 +57,19 @@ def best_in_band(pairs: DataFrame, keys: list[str], score: Column, *ties) -> Dat
 
 
 def interval(points: DataFrame, spans: DataFrame, keys: list[str], at: str, lo: str, hi: str, bucket: float) -> DataFrame:
-    """Points inside half-open intervals [lo, hi), by equi-join on buckets."""
+    """Points inside half-open intervals [lo, hi), by equi-join on buckets. Without keys, points that lie
+    outside all intervals are dropped before they are shuffled, by one row with the ends of the whole.
+    Buckets are merged, since intervals repeated for theirs are larger than the estimate that would
+    have them broadcast."""
     b = lambda c: F.floor(F.col(c) / bucket).cast("long")
-    s = spans.where(F.col(hi) > F.col(lo)).withColumn("_bucket", F.explode(F.sequence(b(lo), b(hi))))
-    p = points.withColumn("_bucket", b(at))
-    return p.join(s, [*keys, "_bucket"]).where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_bucket")
+    s = spans.where(F.col(hi) > F.col(lo))
+    p = points
+    if not keys:
+        ends = s.agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi"))
+        p = p.join(F.broadcast(ends), (F.col(at) >= F.col("_lo")) & (F.col(at) < F.col("_hi"))).drop("_lo", "_hi")
+    s = s.withColumn("_bucket", F.explode(F.sequence(b(lo), b(hi))))
+    p = p.withColumn("_bucket", b(at))
+    return p.join(s.hint("merge"), [*keys, "_bucket"]).where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_bucket")
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, left_at: str, right_at: str, width: float) -> DataFrame:

@@ -159,3 +159,13 @@ def test_series_places_of_streams(spark):
     same = lambda rs: sorted(str(tuple(r)) for r in rs)
     assert same(got) == same(want)
     assert out(kernel_ops.series_places(f.where("false"), ["g"], "i", "v", lambda a: a)) == []
+
+
+def test_interval_drops_points_outside_first(spark):
+    spans = spark.createDataFrame([(1, 0.0, 3.0), (2, 2.0, 8.0), (3, 5.0, 5.0), (4, None, 9.0)], "s int, lo double, hi double")
+    points = spark.createDataFrame([(i, x) for i, x in enumerate((-1.0, 0.0, 2.0, 3.0, 7.9, 8.0, 100.0, None))], "p int, x double")
+    r = matching.interval(points, spans, [], "x", "lo", "hi", 3.0).select("p", "s")
+    assert out(r) == [(1, 1), (2, 1), (2, 2), (3, 2), (4, 2)]
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert out(matching.interval(points, spans.where("false"), [], "x", "lo", "hi", 3.0)) == []
