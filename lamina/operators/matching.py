@@ -56,20 +56,36 @@ def best_in_band(pairs: DataFrame, keys: list[str], score: Column, *ties) -> Dat
     return pairs.withColumn("_n", F.row_number().over(ordered(keys, score.desc(), *ties))).where("_n = 1").drop("_n")
 
 
+#: Rows in a pack of ``interval``. Its pairs come pack by pack, so one column repeats a value and the other a
+#: sequence of so many: Parquet writes both shortly, if a page (20,000 rows) holds the sequence often.
+PACK = 128
+
+
 def interval(points: DataFrame, spans: DataFrame, keys: list[str], at: str, lo: str, hi: str, bucket: float) -> DataFrame:
     """Points inside half-open intervals [lo, hi), by equi-join on buckets. Without keys, points that lie
     outside all intervals are dropped before they are shuffled, by one row with the ends of the whole.
-    Buckets are merged, since intervals repeated for theirs are larger than the estimate that would
-    have them broadcast."""
+    In a bucket points and intervals are packed in order, PACK in a row, and packs that overlap are
+    unpacked: all pairs, in an order that columnar files keep small. Packs are merged, since intervals
+    repeated for their buckets are larger than the estimate that would have them broadcast."""
     b = lambda c: F.floor(F.col(c) / bucket).cast("long")
     s = spans.where(F.col(hi) > F.col(lo))
-    p = points
+    p = points.where(F.col(at).isNotNull())
     if not keys:
         ends = s.agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi"))
         p = p.join(F.broadcast(ends), (F.col(at) >= F.col("_lo")) & (F.col(at) < F.col("_hi"))).drop("_lo", "_hi")
-    s = s.withColumn("_bucket", F.explode(F.sequence(b(lo), b(hi))))
-    p = p.withColumn("_bucket", b(at))
-    return p.join(s.hint("merge"), [*keys, "_bucket"]).where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_bucket")
+    cells = [*keys, "_bucket"]
+
+    def packs(df, name, first, last):
+        rest = [c for c in df.columns if c not in cells]
+        n = F.row_number().over(ordered(cells, first, last))
+        return df.withColumn("_n", F.floor((n - 1) / PACK)).groupBy(*cells, "_n").agg(F.min(first).alias(f"{name}_first"), F.max(last).alias(f"{name}_last"), F.collect_list(F.struct(*rest)).alias(name)).drop("_n"), [f"{name}.{c}" for c in rest]
+
+    s, spans_own = packs(s.withColumn("_bucket", F.explode(F.sequence(b(lo), b(hi)))), "_s", lo, hi)
+    p, points_own = packs(p.withColumn("_bucket", b(at)), "_p", at, at)
+    pairs = s.hint("merge").join(p, cells).where((F.col("_p_last") >= F.col("_s_first")) & (F.col("_p_first") < F.col("_s_last")))
+    pairs = pairs.withColumn("_s", F.filter("_s", lambda x: (F.col("_p_last") >= x[lo]) & (F.col("_p_first") < x[hi])))
+    pairs = pairs.withColumn("_s", F.explode("_s")).withColumn("_p", F.explode("_p"))
+    return pairs.where((F.col(f"_p.{at}") >= F.col(f"_s.{lo}")) & (F.col(f"_p.{at}") < F.col(f"_s.{hi}"))).select(*keys, *points_own, *spans_own)
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, left_at: str, right_at: str, width: float) -> DataFrame:

@@ -169,3 +169,26 @@ def test_interval_drops_points_outside_first(spark):
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert out(matching.interval(points, spans.where("false"), [], "x", "lo", "hi", 3.0)) == []
+
+
+def test_interval_pairs_come_in_packs(spark, tmp_path):
+    """Pairs of 60 points and 30,000 spans took four bytes each in files, in the order of single points."""
+    spans = spark.range(30000).select("id", (F.col("id") % 2 * 0.1).alias("lo"), (F.col("id") % 2 + 2.0).alias("hi"))
+    points = spark.range(60).select(F.col("id").alias("p"), (F.col("id") % 4 * 0.1 + 1.0).alias("x"))
+    matching.interval(points, spans, [], "x", "lo", "hi", 3.0).select("p", "id").write.parquet(f"{tmp_path}/pairs")
+    r = spark.read.parquet(f"{tmp_path}/pairs")
+    assert r.count() == r.distinct().count() == 1800000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 1800000
+
+
+def test_interval_of_many_packs_is_a_plain_join(spark):
+    u = lambda seed: F.rand(seed) * 20 - 10
+    points = spark.range(3000).select("id", (F.col("id") % 3).alias("k"), F.round(u(1), 1).alias("x")).union(spark.createDataFrame([(3000, 0, -0.0), (3001, 1, float("nan")), (3002, 2, None), (3003, None, 1.0)], "id long, k long, x double"))
+    spans = spark.range(1500).select(F.col("id").alias("s"), (F.col("id") % 4).alias("k"), F.round(u(2), 1).alias("lo"), F.rand(3).alias("w"))
+    spans = spans.select("s", "k", "lo", (F.col("lo") + F.when(F.col("s") % 7 == 0, 9.0).otherwise(F.round("w", 1) - 0.1)).alias("hi"))
+    inside = (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi"))
+    for keys, s in (([], spans.drop("k")), (["k"], spans)):
+        got = matching.interval(points, s, keys, "x", "lo", "hi", 2.0)
+        want = points.join(s, keys).where(inside) if keys else points.crossJoin(s).where(inside)
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert out(got) == out(want) and got.count() > 50000
